@@ -113,7 +113,6 @@ def issue_row_context(found: DataFrame, df: DataFrame, context: int = 2, cap: in
     w = W.partitionBy(*key).orderBy("row_no")
     hits = found.filter(F.col("row_no").isNotNull()).select(*key, "row_no").distinct()
     hits = hits.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= cap)
-    new = F.coalesce(F.col("row_no") - context - F.lag("row_no").over(w) - context > 1 - context, F.lit(True))
     # a hit joins the running span when it lies at most one row past the span's end (previous hit + context)
     new = F.coalesce(F.col("row_no") - (F.lag("row_no").over(w) + context) > 1, F.lit(True))
     isl = hits.withColumn("span", F.sum(new.cast("int")).over(w)).filter(F.col("span") <= spans)
