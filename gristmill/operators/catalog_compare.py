@@ -21,7 +21,7 @@ def handle_key(c="Handle"):
 
 def first_per_handle(df: DataFrame, columns: list[str]) -> DataFrame:
     """First row per normalised handle. ``min_by`` combines map-side, so a hot handle moves one row per task."""
-    keep = F.struct(*[F.trim(jstrim(F.coalesce(F.col(c), F.lit("")))).alias(f"c{i}") for i, c in enumerate(columns)],
+    keep = F.struct(*[jstrim(F.coalesce(F.col(c), F.lit(""))).alias(f"c{i}") for i, c in enumerate(columns)],
                     F.coalesce(F.nullif(cell(df, "Title"), F.lit("")), F.nullif(cell(df, "Variant SKU"), F.lit("")), handle_key()).alias("title"))
     return df.filter(handle_key() != "").groupBy(handle_key().alias("handle")).agg(F.min_by(keep, F.col("row_no")).alias("r"))
 

@@ -13,12 +13,14 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from gristmill.functions import catalog_fields as K
 from gristmill.functions import prices as P
 from gristmill.functions.text import is_blank, jstrim, not_blank, or_text, slug
 from gristmill.operators import catalog_rows as R
 from gristmill.operators.ordered import running_count
+from gristmill.session import cut_lineage
 
 ENTRY = "array<struct<column_name:string,before:string,after:string,reason:string,code:string>>"
 AUTO = ["SMART_QUOTES_DETECTED", "CELL_WHITESPACE", "PRICE_CURRENCY_SYMBOL", "BOOLEAN_FORMAT", "HANDLE_FORMAT_INVALID", "DUPLICATE_IMAGE_ROWS"]
@@ -138,7 +140,7 @@ def _mend(html: str) -> str:
     return html + "".join(f"</{t}>" for t in reversed(still_open))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def mend_html(bodies: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Pandas UDF because the stray-tag rule needs a back-reference inside a look-ahead."""
     for s in bodies:
@@ -267,6 +269,7 @@ REVIEWED = {
     "SINGLE_VARIANT_MULTIPLE_IMAGES": fix_single_variant, "INVENTORY_QTY_MISSING_WITH_TRACKER": fix_missing_qty,
     "SKU_DUPLICATE_IN_FILE": fix_duplicate_skus, "DUPLICATE_IDENTICAL_ROWS": fix_identical_rows,
 }
+KEYED = {"IMAGE_ROW_VARIANT_DATA", "SINGLE_VARIANT_MULTIPLE_IMAGES", "SKU_DUPLICATE_IN_FILE", "DUPLICATE_IDENTICAL_ROWS"}
 AUTOMATIC = {
     "SMART_QUOTES_DETECTED": fix_smart_quotes, "CELL_WHITESPACE": fix_whitespace, "PRICE_CURRENCY_SYMBOL": fix_currency,
     "BOOLEAN_FORMAT": fix_booleans, "HANDLE_FORMAT_INVALID": fix_handles,
@@ -280,8 +283,13 @@ def repair(df: DataFrame, approved: list[str] = (), automatic: bool = True) -> D
         for fix in AUTOMATIC.values():
             out = fix(out)
         out = fix_dup_images(out, df)
+    keyed = 0
     for code, fix in REVIEWED.items():
         if code in approved:
+            if code in KEYED:
+                # a keyed repair reads its input twice; without a cut the plan would double at every step
+                out = cut_lineage(out) if keyed else out
+                keyed += 1
             out = fix(out)
     return out
 

@@ -26,7 +26,6 @@ from gristmill.operators import catalog_rows as R
 
 SCHEMA = "file_id string, code string, severity string, auto_fix string, scope string, row_no bigint, handle string, column_name string, value string, detail string"
 OUT = ["file_id", "code", "severity", "auto_fix", "scope", "row_no", "handle", "column_name", "value", "detail"]
-TEXT = F.lit(None).cast("string")
 
 
 @dataclass
@@ -41,7 +40,7 @@ class Context:
         return R.cell(self.df, name)
 
 
-def _hit(code: str, cond: Column, column, value, detail=TEXT, scope=None) -> Column:
+def _hit(code: str, cond: Column, column, value, detail=None, scope=None) -> Column:
     lit = lambda x: x if isinstance(x, Column) else F.lit(x)
     return F.when(
         cond,
@@ -210,7 +209,7 @@ def handle_rules(x: Context, codes: list[str]) -> DataFrame:
             for i, n in enumerate(opts)]), ", ") if opts else F.lit("")
     price, compare = P.price_value(F.col("first.price")), P.price_value(F.col("first.compare"))
     row = F.col("first_row")
-    def hit(code, cond, column, value, at=row, scope="", detail=TEXT):
+    def hit(code, cond, column, value, at=row, scope="", detail=None):
         lit = lambda v: v if isinstance(v, Column) else F.lit(v)
         return code, F.when(cond, F.struct(
             at.alias("row_no"), F.lit(code).alias("code"), lit(scope).alias("scope"), F.lit(column).alias("column_name"),
@@ -232,7 +231,7 @@ def handle_rules(x: Context, codes: list[str]) -> DataFrame:
     return g.select("file_id", "handle", F.inline(F.filter(F.array(*structs), lambda s: s.isNotNull())))
 
 
-def _rows(df: DataFrame, code: str, scope, row_no, handle, column, value, detail=TEXT) -> DataFrame:
+def _rows(df: DataFrame, code: str, scope, row_no, handle, column, value, detail=None) -> DataFrame:
     lit = lambda v: v if isinstance(v, Column) else F.lit(v)
     return df.select(
         "file_id", lit(row_no).cast("bigint").alias("row_no"), lit(handle).alias("handle"), F.lit(code).alias("code"),
@@ -253,7 +252,7 @@ def option_combinations(x: Context) -> DataFrame:
     )
     combo = F.array_join(F.array("o1", "o2", "o3"), " / ")
     combo = F.regexp_replace(combo, r"( / )+$", "")
-    return _rows(g, "VARIANT_DUPLICATE_OPTION_COMBINATION", "", F.col("row_no"), F.col("handle"), "Option1 Value", combo, F.col("n"))
+    return _rows(g, "VARIANT_DUPLICATE_OPTION_COMBINATION", "", F.col("row_no"), F.col("handle"), "Option1 Name", combo, F.col("n"))
 
 
 def shared_skus(x: Context) -> DataFrame:
@@ -357,7 +356,7 @@ def file_rules(files: DataFrame, codes: list[str]) -> DataFrame:
     out = files.select("file_id", F.inline(F.filter(F.array(*structs), lambda s: s.isNotNull())))
     return out.select(
         "file_id", F.lit(None).cast("bigint").alias("row_no"), F.lit("").alias("handle"), "code", F.lit("").alias("scope"),
-        F.lit("(file)").alias("column_name"), "value", TEXT.alias("detail"))
+        F.lit("(file)").alias("column_name"), "value", F.lit(None).cast("string").alias("detail"))
 
 
 def _union(parts: list[DataFrame]) -> DataFrame | None:
