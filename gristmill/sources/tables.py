@@ -110,14 +110,12 @@ SQL_UPDATE = f"SELECT {_ansi(UPDATE, 'p_partkey + 2')} FROM part"
 
 # ---- stories ------------------------------------------------------------------------------------------------
 AS_OF = "2024-01-10 00:00:00"
-_FLAT = "trim(regexp_replace(text, '[ \\n\\r\\t]+', ' '{G}))"
-STORY_TITLE = "CASE WHEN doc_id % 4 = 1 THEN substring({F}, 1, 72) || ' - Outlet ' || source ELSE substring({F}, 1, 72) END"
+# column -> expression over documents joined with pages; {F} is the text with single spaces
 STORY = {
     "story_id": "doc_id",
-    "title": STORY_TITLE,
+    "title": "CASE WHEN doc_id % 4 = 1 THEN substring({F}, 1, 72) || ' - Outlet ' || source ELSE substring({F}, 1, 72) END",
     "summary": "substring({F}, 73, 400)",
     "source": "source",
-    "published_at": f"CAST('{AS_OF}' AS TIMESTAMP) - (INTERVAL '1' MINUTE) * CAST(doc_id * 7919 % 10000 AS INT)",
     "readable": "CASE doc_id % 7 WHEN 0 THEN 'paywalled' WHEN 1 THEN 'metered' WHEN 2 THEN 'thin' ELSE 'open' END",
     "redirect": "doc_id % 13 = 0",
     "lane": "CASE WHEN doc_id % 6 = 0 THEN 'breaking' WHEN doc_id % 3 = 1 THEN 'search' ELSE 'publisher' END",
@@ -126,27 +124,19 @@ STORY = {
 }
 
 
-def _story(fields: dict[str, str], g: str) -> list[tuple[str, str]]:
-    flat = _FLAT.replace("{G}", g)
-    return [(n, e.replace("{F}", flat)) for n, e in fields.items()]
-
-
 def stories(spark: SparkSession, sf: str) -> DataFrame:
     """News stories from documents; the address comes from pages where the ids meet."""
     d, p = table(spark, sf, "documents"), table(spark, sf, "pages").select("page_id", "url")
     flat = F.trim(F.regexp_replace("text", "[ \\n\\r\\t]+", " "))
-    j = d.join(p, d.doc_id == p.page_id, "left").withColumn("_flat", flat)
-    exprs = []
-    for n, e in STORY.items():
-        if n == "published_at":
-            continue
-        exprs.append(f"{e.replace('{F}', '_flat')} AS {n}")
-    published = (F.unix_seconds(F.to_timestamp(F.lit(AS_OF))) - F.col("doc_id") * 7919 % 10000 * 60).cast("timestamp")
-    return j.withColumn("_pub", published).selectExpr(*exprs, "_pub AS published_at")
-
-
-SQL_STORIES = "SELECT " + ", ".join(f"{e} AS {n}" for n, e in _story(STORY, ", 'g'").copy()) + " FROM documents LEFT JOIN pages ON doc_id = page_id"
-SQL_STORIES = SQL_STORIES.replace("'[ \\n\\r\\t]+'", "'[ \\n\\r\\t]+'")
+    j = d.withColumn("_flat", F.substring(flat, 1, 500)).join(p, d.doc_id == p.page_id, "left")
+    minutes = F.col("doc_id") * 7919 % 10000
+    published = (F.unix_seconds(F.to_timestamp(F.lit(AS_OF))) - minutes * 60).cast("timestamp")
+    return j.withColumn("_pub", published).selectExpr(*[f"{e.replace('{F}', '_flat')} AS {n}" for n, e in STORY.items()], "_pub AS published_at")
+
+
+_SQL_FLAT = "trim(regexp_replace(text, '[ \\n\\r\\t]+', ' ', 'g'))"
+SQL_STORIES = "SELECT " + ", ".join(f"{e.replace('{F}', _SQL_FLAT)} AS {n}" for n, e in STORY.items()) + (
+    f", TIMESTAMP '{AS_OF}' - to_minutes(CAST(doc_id * 7919 % 10000 AS BIGINT)) AS published_at FROM documents LEFT JOIN pages ON doc_id = page_id")
 
 
 def chats(spark: SparkSession, sf: str) -> DataFrame:
