@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import html
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -22,19 +26,15 @@ def ts(as_of: str) -> Column:
 
 
 # ---- items ------------------------------------------------------------------------------------------------------
-def unescape_entities(c) -> Column:
-    """HTML entities to characters. Rows without an ampersand never leave the JVM."""
-    import html
-    from collections.abc import Iterator
+@F.pandas_udf(StringType())
+def _unescape(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for s in parts:
+        yield s.map(lambda t: html.unescape(t) if isinstance(t, str) and "&" in t else t)
 
-    import pandas as pd
 
-    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in parts:
-            yield s.map(lambda t: html.unescape(t) if isinstance(t, str) and "&" in t else t)
-
-    udf = F.pandas_udf(run, StringType(), functionType=F.PandasUDFType.SCALAR_ITER)
-    return udf(col_of(c))
+def unescape_entities(c) -> Column:
+    """HTML entities to characters (Arrow batches; the entity table has no SQL form)."""
+    return _unescape(col_of(c))
 
 
 def feed_item_normalize(df: DataFrame, as_of: str, limit: int = 300) -> DataFrame:

@@ -73,6 +73,21 @@ def similar_pairs(sets: DataFrame, required: Required, least_size: int = 1) -> D
     return j.filter((F.col("shared") >= F.col("t")) & (F.get("_c", F.lit(0)) == F.col("token"))).select("a", "b", "shared")
 
 
+def sharing_pairs(left: DataFrame, right: DataFrame, required: Required) -> DataFrame:
+    """(a, b, shared) between two collections where the left set alone decides how much must be shared.
+
+    Only the first ``n - t + 1`` tokens of a left set, rarest on the right first, look for partners.
+    """
+    freq = right.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("freq"))
+    ex = left.select("key", F.explode("tokens").alias("token")).join(freq, "token", "left")
+    o = ex.groupBy("key").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("freq", F.lit(0)).alias("freq"), "token"))).alias("_o"))
+    o = o.select(F.col("key").alias("a"), F.transform("_o", lambda x: x["token"]).alias("ta"), F.size("_o").alias("n")).withColumn("t", required(F.col("n")))
+    probe = o.filter("t <= n").select("a", "ta", "t", F.explode(F.slice("ta", F.lit(1), F.col("n") - F.col("t") + 1)).alias("token"))
+    index = right.select(F.col("key").alias("b"), F.col("tokens").alias("tb"), F.explode("tokens").alias("token"))
+    j = probe.join(index, "token").withColumn("_c", F.array_intersect("ta", "tb")).withColumn("shared", F.size("_c"))
+    return j.filter((F.col("shared") >= F.col("t")) & (F.get("_c", F.lit(0)) == F.col("token"))).select("a", "b", "shared")
+
+
 def both_ways(pairs: DataFrame) -> DataFrame:
     return pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "shared"))
 

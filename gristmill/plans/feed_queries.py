@@ -67,7 +67,7 @@ def age_label(when, as_of):
 
 def daypart(when):
     hour = F.hour(when)
-    return F.when(hour < 12, "Morning").when(hour < 17, "Afternoon").otherwise("Evening")
+    return F.when(hour < 11, "Morning").when(hour < 17, "Afternoon").otherwise("Evening")
 
 
 def day_label(when):
@@ -76,7 +76,7 @@ def day_label(when):
 
 scalar("age_label", lambda: age_label("published_at", AS_OF),
        f"CASE WHEN {_h} < 1 THEN 'under 1 h old' WHEN {_h} < 48 THEN CAST(CAST(floor({_h} + 0.5) AS BIGINT) AS VARCHAR) || ' h old' ELSE CAST(CAST(floor({_h} / 24 + 0.5) AS BIGINT) AS VARCHAR) || ' days old' END")
-scalar("daypart", lambda: daypart("published_at"), "CASE WHEN hour(published_at) < 12 THEN 'Morning' WHEN hour(published_at) < 17 THEN 'Afternoon' ELSE 'Evening' END")
+scalar("daypart", lambda: daypart("published_at"), "CASE WHEN hour(published_at) < 11 THEN 'Morning' WHEN hour(published_at) < 17 THEN 'Afternoon' ELSE 'Evening' END")
 scalar("day_label", lambda: day_label("published_at"), "strftime(published_at, '%a, %-d %B')")
 scalar("same_day", lambda: F.to_date("published_at") == F.to_date(F.lit("2024-01-08")), "CAST(published_at AS DATE) = DATE '2024-01-08'")
 query("iso_duration_seconds", "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN (event_id % 5) * 3600 + (event_id % 60) * 60 WHEN event_id % 3 = 1 THEN event_id % 90 ELSE 0 END AS seconds FROM events")(
