@@ -37,6 +37,15 @@ def col_of(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, use) -> Column:
+    """Evaluate ``value`` once and use it many times inside one expression.
+
+    Inside array functions the optimizer does not share common parts: a list built from a whole text would be
+    rebuilt for every element that looks at it.
+    """
+    return F.get(F.transform(F.array(value), lambda v: use(v)), F.lit(0))
+
+
 def jstrim(c) -> Column:
     """Trim every kind of Unicode space, not only U+0020."""
     return F.regexp_replace(col_of(c), TRIM_RE, "")

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from gristmill.functions import text as TX
 from gristmill.functions import urls as U
+from gristmill.functions.claims import ascii_bounds
 from gristmill.operators import feeds as FE
 from gristmill.operators import related as RL
 from gristmill.session import cut_lineage
@@ -180,7 +181,7 @@ def digest_quality(digests, sections, drafts, frames, as_of: str) -> DataFrame:
     text = F.array_join("paragraphs", " ")
     outlets = F.size(F.array_distinct(F.filter(F.transform("sources", lambda s: s["source"]), lambda s: F.coalesce(s, F.lit("")) != "")))
     per = d.select(*SECTION, "thin", F.size("bad_numbers").alias("nums"), F.size("phrases").alias("tells"), F.size("audit").alias("aud"), "signature",
-                   TX.count_words(text).alias("words"), text.rlike(SIGNAL_RE).alias("sig"), (outlets < 2).alias("single"), F.lit(True).alias("done"))
+                   TX.count_words(text).alias("words"), text.rlike(ascii_bounds(SIGNAL_RE)).alias("sig"), (outlets < 2).alias("single"), F.lit(True).alias("done"))
     j = inc.join(per, SECTION, "left")
     done = F.col("done").isNotNull()
     g = j.groupBy("digest_id").agg(

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from gristmill.functions import urls as U
+from gristmill.functions.claims import ascii_bounds
 from gristmill.functions.text import (
     STOPWORDS, clean_title, collapse, col_of, has_word, has_word_unicode, jstrim, raw_tokens, strip_tags, title_key, token_set,
 )
@@ -128,7 +129,7 @@ SOFT_RE = (
 
 
 def soft_story(title) -> Column:
-    return F.coalesce(col_of(title), F.lit("")).rlike(SOFT_RE)
+    return F.coalesce(col_of(title), F.lit("")).rlike(ascii_bounds(SOFT_RE))
 
 
 # ---- order-dependent de-duplication -------------------------------------------------------------------------------

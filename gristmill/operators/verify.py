@@ -25,7 +25,7 @@ def quote_verify(facts: DataFrame, articles: DataFrame) -> DataFrame:
     j = facts.join(articles.select("story_id", F.col("text").alias("article")), "story_id", "left")
     q, art = plain_words("quote"), plain_words(F.coalesce("article", F.lit("")))
     j = j.withColumn("_q", q).withColumn("_a", art)
-    parts = F.filter(F.transform(F.split("_q", "…", -1), F.trim), lambda s: F.length(s) >= 20)
+    parts = F.filter(F.transform(F.split("_q", "…", -1), lambda x: F.trim(x)), lambda s: F.length(s) >= 20)
     found = F.when(F.contains("_q", F.lit("…")), (F.size(parts) > 0) & F.forall(parts, lambda s: F.contains("_a", s))).otherwise(F.contains("_a", F.col("_q")))
     speaker = F.regexp_extract("claim", r"^((?:[A-Z][\w'’-]*\s+){1,4})(?:said|says)(?!\w)", 1)
     names = F.filter(F.split(plain_words(speaker), " ", -1), lambda w: F.length(w) > 2)
@@ -215,15 +215,29 @@ def easy_text(df: DataFrame, key: str, text: str) -> DataFrame:
     return s.groupBy(key).agg(collapse(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("no", "s"))), lambda x: x["s"]), "")).alias(text))
 
 
-def split_paragraph(text, words: int = 110, least: int = 4) -> Column:
+def split_paragraph(text: Column, words: int = 110, least: int = 4) -> Column:
     """Two halves when a paragraph has more than 110 words and four sentences; cut where half of the words are reached."""
-    from gristmill.functions.text import sentences_safe
-    ss = sentences_safe(text)
-    counts = F.transform(ss, count_words)
-    running = F.transform(F.sequence(F.lit(1), F.size(counts)), lambda i: F.aggregate(F.slice(counts, F.lit(1), i), F.lit(0), lambda a, x: (a + x).cast("int")))
-    cut = F.least(F.size(ss) - 1, F.coalesce(F.array_position(F.transform(running, lambda r: r >= count_words(text) / 2), True), F.lit(1)).cast("int"))
-    halves = F.array(jstrim(F.array_join(F.slice(ss, F.lit(1), cut), "")), jstrim(F.array_join(F.slice(ss, cut + 1, F.size(ss)), "")))
-    return F.when((count_words(text) > words) & (F.size(ss) >= least), halves).otherwise(F.array(text))
+    from gristmill.functions.text import let, sentences_safe
+
+    def cut_at(sized):
+        """Number of sentences in the first half: the running word count is a fold over the sentence sizes."""
+        total = F.aggregate(sized, F.lit(0), lambda a, x: (a + x["w"]).cast("int"))
+        def find(half):
+            start = F.struct(F.lit(0).alias("acc"), F.lit(0).alias("i"), F.lit(0).alias("cut"))
+            def step(a, x):
+                acc, i = (a["acc"] + x["w"]).cast("int"), (a["i"] + 1).cast("int")
+                return F.struct(acc.alias("acc"), i.alias("i"), F.when((a["cut"] == 0) & (acc >= half), i).otherwise(a["cut"]).cast("int").alias("cut"))
+            return F.aggregate(sized, start, step, lambda a: F.least(F.greatest(a["cut"], F.lit(1)), F.size(sized) - 1))
+        return let(total / 2, find)
+
+    def halves(sized):
+        ss = F.transform(sized, lambda x: x["s"])
+        part = lambda a, n: jstrim(F.array_join(F.slice(ss, a, n), ""))
+        return let(cut_at(sized), lambda c: F.array(part(F.lit(1), c), part(c + 1, F.size(sized))))
+
+    sized = F.transform(sentences_safe(text), lambda s: F.struct(s.alias("s"), count_words(s).alias("w")))
+    long_text = count_words(text) > words
+    return F.when(long_text, let(sized, lambda z: F.when(F.size(z) >= least, halves(z)).otherwise(F.array(text)))).otherwise(F.array(text))
 
 
 def readability_stats(df: DataFrame, key: str, paragraphs: str, long: int = 20) -> DataFrame:
