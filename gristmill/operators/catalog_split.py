@@ -66,3 +66,15 @@ def split_by_bytes(df: DataFrame, target: int = K.SPLIT_TARGET_BYTES) -> DataFra
     key = F.when(is_blank("Handle"), F.concat(F.lit("\u0001"), F.col("row_no").cast("string"))).otherwise(F.col("Handle"))
     j = df.withColumn("product", key).join(groups.select("file_id", "product", "part"), ["file_id", "product"]).join(parts, "file_id")
     return j.withColumn("part", F.when(F.col("_parts") > 1, F.col("part"))).drop("product", "_parts")
+
+
+def oversize_log(df: DataFrame, limit: int = K.SIZE_LIMIT_BYTES, target: int = K.SPLIT_TARGET_BYTES) -> DataFrame:
+    """Change-log rows of the size repair: split into n parts, could not split, or nothing for files under the limit."""
+    head = header_bytes(data_columns(df))
+    packed = pack_groups(product_groups(df), head, target)
+    g = packed.groupBy("file_id").agg((F.sum("bytes") + head).alias("size"), F.max("part").alias("parts")).filter(F.col("size") >= limit)
+    many = F.col("parts") > 1
+    return g.select(
+        "file_id", F.lit("(file)").alias("column_name"), F.concat(F.col("size").cast("string"), F.lit(" bytes")).alias("before"),
+        F.when(many, F.concat(F.col("parts").cast("string"), F.lit(" parts"))).otherwise("(could not split safely)").alias("after"),
+        F.when(many, F.lit("Split into parts, products kept whole")).otherwise(F.lit("A single product is too large for one part")).alias("reason"))

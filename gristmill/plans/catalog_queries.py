@@ -56,7 +56,9 @@ FIND = ["file_id", "row_no", "handle", "column_name", "value"]
 
 
 def rule_query(code: str, mode: str = "existing_products"):
-    return lambda spark, sf: CK.findings(catalog(spark, sf), mode=mode, codes=[code]).select(*FIND)
+    # findings on a whole column or header have no row
+    cols = ["file_id", "column_name", "value"] if code.startswith(("DESTRUCTIVE", "HEADER")) else FIND
+    return lambda spark, sf: CK.findings(catalog(spark, sf), mode=mode, codes=[code]).select(*cols)
 
 
 def rows_sql(*parts: tuple[str, str, str]) -> str:
@@ -164,9 +166,9 @@ _sens = [n for n in K.SENSITIVE if n in SHORT]
 _cond = lambda n: "is_primary" if n in K.PRODUCT_LEVEL else "(is_variant OR is_primary)"
 BLANKS = KIND + ", b AS (" + " UNION ALL ".join(
     f"SELECT file_id, '{n}' AS column_name, count(*) AS considered, count(*) FILTER (WHERE {Q.blank(SHORT[n])}) AS blanks FROM kinds WHERE NOT image AND {_cond(n)} GROUP BY 1" for n in _sens) + ")"
-GROUP_SQL["DESTRUCTIVE_BLANK_ALL_ROWS"] = f"{BLANKS} SELECT file_id, CAST(NULL AS BIGINT) AS row_no, '' AS handle, column_name, CAST(blanks AS VARCHAR) AS value FROM b WHERE blanks > 0 AND blanks = considered"
-GROUP_SQL["DESTRUCTIVE_BLANK_INCLUDED_COLUMN"] = f"{BLANKS} SELECT file_id, CAST(NULL AS BIGINT) AS row_no, '' AS handle, column_name, CAST(blanks AS VARCHAR) AS value FROM b WHERE blanks > 0 AND blanks < considered"
-GROUP_SQL["HEADER_UNKNOWN_COLUMN"] = f"{C} SELECT DISTINCT file_id, CAST(NULL AS BIGINT) AS row_no, '' AS handle, 'Legacy Code' AS column_name, '' AS value FROM c"
+GROUP_SQL["DESTRUCTIVE_BLANK_ALL_ROWS"] = f"{BLANKS} SELECT file_id, column_name, CAST(blanks AS VARCHAR) AS value FROM b WHERE blanks > 0 AND blanks = considered"
+GROUP_SQL["DESTRUCTIVE_BLANK_INCLUDED_COLUMN"] = f"{BLANKS} SELECT file_id, column_name, CAST(blanks AS VARCHAR) AS value FROM b WHERE blanks > 0 AND blanks < considered"
+GROUP_SQL["HEADER_UNKNOWN_COLUMN"] = f"{C} SELECT DISTINCT file_id, 'Legacy Code' AS column_name, '' AS value FROM c"
 for _code, _sql in GROUP_SQL.items():
     register(_code, rule_query(_code), _sql)
 
@@ -223,8 +225,8 @@ _verdict = "CASE WHEN critical > 0 THEN 'NOT_READY' WHEN warning > 0 THEN 'READY
 SUMMARY = FOUND + ", sev AS (SELECT file_id, count(*) FILTER (WHERE severity = 'critical') AS critical, count(*) FILTER (WHERE severity = 'warning') AS warning, count(*) FILTER (WHERE severity = 'info') AS info FROM iss GROUP BY 1)"
 query("severity_summary", f"{SUMMARY} SELECT *, {_verdict} AS status FROM sev")(
     lambda spark, sf: RP.severity_summary(report_findings(spark, sf), catalog(spark, sf)))
-query("batch_summary", f"{SUMMARY}, g AS (SELECT file_id, sum(critical)::BIGINT AS critical, sum(warning)::BIGINT AS warning, sum(info)::BIGINT AS info, count(*) AS files FROM sev GROUP BY ROLLUP(file_id)) SELECT *, {_verdict} AS status FROM g")(
-    lambda spark, sf: RP.batch_summary(RP.severity_summary(report_findings(spark, sf), catalog(spark, sf))))
+query("batch_summary", f"{SUMMARY}, g AS (SELECT file_id, sum(critical)::BIGINT AS critical, sum(warning)::BIGINT AS warning, sum(info)::BIGINT AS info, count(*) AS files FROM sev GROUP BY ROLLUP(file_id)) SELECT coalesce(file_id, '(all)') AS file_id, critical, warning, info, files, {_verdict} AS status FROM g")(
+    lambda spark, sf: RP.batch_summary(RP.severity_summary(report_findings(spark, sf), catalog(spark, sf))).withColumn("file_id", F.coalesce("file_id", F.lit("(all)"))))
 _named = [(c, K.RULES[c][2]) for c in K.RULES if K.RULES[c][2]]
 query("passed_checks", FOUND + ", n(code, check_name) AS (VALUES " + ", ".join(f"('{c}', '{n}')" for c, n in _named) + "), "
       f"ids AS (SELECT DISTINCT file_id FROM found) SELECT ids.file_id, n.code, n.check_name FROM ids, n WHERE NOT EXISTS (SELECT 1 FROM found f WHERE f.file_id = ids.file_id AND f.code = n.code)")(
@@ -399,8 +401,8 @@ query("slug", f"SELECT doc_id, {Q.slug('substring(text, 1, 200)')} AS slug FROM
 query("price_parse", f"{C} SELECT file_id, row_no, {Q.price_value('price')} AS value, ({Q.price_value('price')}) IS NOT NULL AS parseable, {Q.comma_decimal('price')} AS comma_decimal, "
       f"regexp_matches(price, '[$€£¥]') AS has_currency, {Q.price_text('price')} AS normalized FROM c")(
     lambda spark, sf: catalog(spark, sf).select("file_id", "row_no", price_parse("Variant Price").alias("p")).select("file_id", "row_no", "p.*"))
-query("bool_norm", f"{C} SELECT file_id, row_no, {_nb} AS value FROM c")(
-    lambda spark, sf: catalog(spark, sf).select("file_id", "row_no", CR.P.bool_norm("Published").alias("value")))
+query("bool_norm", f"{C} SELECT file_id, row_no, coalesce({_nb}, '') AS value FROM c")(
+    lambda spark, sf: catalog(spark, sf).select("file_id", "row_no", F.coalesce(CR.P.bool_norm("Published"), F.lit("")).alias("value")))
 query("category_ok", f"{C} SELECT file_id, row_no, NOT (coalesce({Q.filled('cat')} AND NOT regexp_matches({Q.trim('cat')}, '(?i)^gid://shopify/|[>»›]|^[a-z]{{2}}(-[a-z0-9]+)+$'), false)) AS ok FROM c")(
     lambda spark, sf: catalog(spark, sf).select("file_id", "row_no", CR.P.category_ok("Product Category").alias("ok")))
 query("is_blank", f"{C} SELECT file_id, row_no, {Q.blank('t')} AS blank_title, {Q.blank('o1n')} AS blank_option FROM c")(

@@ -209,13 +209,13 @@ query("fetch_error_reason", f"SELECT event_id, CASE event_id % 9 WHEN 0 THEN 'th
 
 
 @query("feed_stats", f"{S}, {HITS}, reg AS (SELECT DISTINCT source AS feed, 'open' AS access FROM st UNION ALL SELECT 'missing', 'metered'), m AS (SELECT source, count(*) AS c FROM hit WHERE hits > 0 GROUP BY 1), n AS (SELECT source, count(*) AS c FROM st GROUP BY 1) "
-       "SELECT feed, access, n.c IS NOT NULL AS ok, CASE WHEN n.c IS NULL THEN NULL ELSE 200 END AS code, coalesce(n.c, 0) AS items, coalesce(m.c, 0) AS matched, '' AS error FROM reg LEFT JOIN n ON n.source = feed LEFT JOIN m ON m.source = feed")
+       "SELECT feed, access, n.c IS NOT NULL AS ok, CASE WHEN n.c IS NULL THEN 0 ELSE 200 END AS code, coalesce(n.c, 0) AS items, coalesce(m.c, 0) AS matched, '' AS error FROM reg LEFT JOIN n ON n.source = feed LEFT JOIN m ON m.source = feed")
 def feed_stats(s, sf):
     st = stories(s, sf)
     feeds = st.select(F.col("source").alias("feed")).distinct()
     registry = feeds.withColumn("access", F.lit("open")).unionByName(s.createDataFrame([("missing", "metered")], "feed string, access string"))
     fetched = feeds.select("feed", F.lit(True).alias("ok"), F.lit(200).alias("code"), F.lit("").alias("error"))
-    return FE.feed_stats(registry, fetched, st.withColumn("feed", F.col("source")), hits(s, sf).withColumn("feed", F.col("source")))
+    return FE.feed_stats(registry, fetched, st.withColumn("feed", F.col("source")), hits(s, sf).withColumn("feed", F.col("source"))).fillna(0, ["code"])
 
 
 # ---- related -----------------------------------------------------------------------------------------------------------

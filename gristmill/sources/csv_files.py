@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import csv
+import io
+import itertools
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -53,8 +59,8 @@ def csv_probe(files: DataFrame) -> DataFrame:
 
 
 def binary_files(spark: SparkSession, path: str) -> DataFrame:
-    """Raw files of a folder as (file_id, content)."""
-    return spark.read.format("binaryFile").load(path).select(F.regexp_extract("path", r"([^/]+)$", 1).alias("file_id"), "content")
+    """Raw files of a folder as (file_id, content); the id is the file's path."""
+    return spark.read.format("binaryFile").load(path).select(F.col("path").alias("file_id"), "content")
 
 
 def csv_scan(spark: SparkSession, paths, headers: list[str], sep: str = ",", encoding: str = "UTF-8") -> DataFrame:
@@ -66,7 +72,7 @@ def csv_scan(spark: SparkSession, paths, headers: list[str], sep: str = ",", enc
     """
     schema = T.StructType([T.StructField(h, T.StringType()) for h in headers])
     df = spark.read.schema(schema).csv(paths, header=True, sep=sep, encoding=encoding, multiLine=True, quote='"', escape='"', mode="PERMISSIVE", enforceSchema=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
-    df = df.select("*", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("file_id"), F.monotonically_increasing_id().alias("_id"))
+    df = df.select("*", F.col("_metadata.file_path").alias("file_id"), F.monotonically_increasing_id().alias("_id"))
     some = F.lit(False)
     for h in headers:
         some = some | not_blank(h)
@@ -75,37 +81,31 @@ def csv_scan(spark: SparkSession, paths, headers: list[str], sep: str = ",", enc
     return df.join(base, "file_id").select("file_id", (F.col("_id") - F.col("_first") + 2).alias("row_no"), *headers)
 
 
-def header_of(spark: SparkSession, path: str, sep: str = ",", encoding: str = "UTF-8") -> list[str]:
-    """Trimmed header names of one file; reads a single line."""
-    first = spark.read.option("encoding", encoding).csv(path, sep=sep, header=False, multiLine=True, escape='"').limit(1).collect()
-    return [str(v).lstrip("﻿").strip() for v in first[0] if v is not None] if first else []
+def csv_batch_scan(files: DataFrame, columns: list[str], batch_rows: int = 10_000) -> DataFrame:
+    """Rows of many files, each with its own delimiter, encoding and header, in one job.
 
+    ``files(file_id, content)`` -> (file_id, row_no, one column per known name, ``extra`` map of the others). A catalog file
+    is one upload of bounded size; it is parsed where its bytes are and its rows leave in batches, so neither paths nor
+    contents pass through the driver.
+    """
+    enc, _ = file_encoding(F.col("content"))
+    x = files.select("file_id", "content", enc.alias("e")).select("file_id", decoded(F.col("content"), F.col("e")).alias("text"))
+    x = x.select("file_id", "text", delimiter_of(F.col("text")).alias("sep"))
 
-def csv_batch_scan(spark: SparkSession, folder: str, probe: DataFrame | None = None, max_layouts: int = 1000) -> tuple[DataFrame, DataFrame]:
-    """(rows, files) of a folder. Files are grouped by (delimiter, encoding, header line); each group is one Spark read.
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for fid, text, sep in zip(pdf["file_id"], pdf["text"], pdf["sep"]):
+                reader = csv.reader(io.StringIO(text, newline=""), delimiter=sep)
+                header = [h.strip() for h in next(reader, [])]
+                rows = ((i, r) for i, r in enumerate(r for r in reader if any(v.strip() for v in r)))
+                while part := list(itertools.islice(rows, batch_rows)):
+                    cells = [dict(zip(header, r)) for _, r in part]
+                    yield pd.DataFrame({"file_id": fid, "row_no": [i + 2 for i, _ in part], "cells": cells})
 
-    Only the list of distinct layouts comes to the driver; more layouts than ``max_layouts`` is an error, not a cut.
-    """
-    raw = binary_files(spark, folder)
-    enc, bom = file_encoding(F.col("content"))
-    x = raw.select("file_id", F.octet_length("content").cast("bigint").alias("byte_size"), enc.alias("encoding"), bom.alias("has_bom"), "content")
-    text = decoded(F.col("content"), F.col("encoding"))
-    x = x.select("file_id", "byte_size", "encoding", "has_bom", delimiter_of(text).alias("delimiter"), F.split(text, r"\r?\n", 2)[0].alias("header"), text.alias("_t"))
-    files = x.withColumn("misfit_rows", misfits(F.col("_t"), F.col("delimiter"))).drop("_t")
-    layouts = files.groupBy("delimiter", "encoding", "header").agg(F.collect_list("file_id").alias("names")).limit(max_layouts + 1).collect()
-    if len(layouts) > max_layouts:
-        raise ValueError(f"more than {max_layouts} different file layouts; read them in batches")
-    rows = None
-    for r in layouts:
-        names = split_header(r["header"], r["delimiter"])
-        part = csv_scan(spark, [f"{folder}/{n}" for n in r["names"]], names, r["delimiter"], r["encoding"])
-        rows = part if rows is None else rows.unionByName(part, allowMissingColumns=True)
-    return rows, files
-
-
-def split_header(line: str, sep: str) -> list[str]:
-    import csv
-    return [h.strip() for h in next(csv.reader([line], delimiter=sep))]
+    cells = x.mapInPandas(run, "file_id string, row_no bigint, cells map<string,string>")
+    known = F.array(*[F.lit(c) for c in columns])
+    return cells.select("file_id", "row_no", *[F.coalesce(F.try_element_at("cells", F.lit(c)), F.lit("")).alias(c) for c in columns],
+                        F.map_filter("cells", lambda k, v: ~F.array_contains(known, k)).alias("extra"))
 
 
 def misfits(text: Column, sep: Column) -> Column:
@@ -129,13 +129,21 @@ def write_corrected_csv(df: DataFrame, path: str) -> None:
     """All fields quoted, comma, UTF-8, original row order inside each file folder."""
     names = data_columns(df)
     ordered = df.repartitionByRange("file_id", "row_no").sortWithinPartitions("file_id", "row_no")
-    ordered.select("file_id", *names).write.mode("overwrite").partitionBy("file_id").csv(path, header=True, quoteAll=True, escape='"', emptyValue="")
+    ordered.select("file_id", *names).write.mode("overwrite").partitionBy("file_id").csv(
+        path, header=True, quoteAll=True, escape='"', emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def write_change_log(changes: DataFrame, path: str) -> None:
-    change_log_table(changes).write.mode("overwrite").csv(path, header=True, quoteAll=True, escape='"')
+    change_log_table(changes).write.mode("overwrite").csv(path, header=True, quoteAll=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def change_log_table(changes: DataFrame) -> DataFrame:
     """Export form of the change log."""
     return changes.select("file_id", F.col("row_no").alias("Row"), F.col("column_name").alias("Column"), F.col("before").alias("Before"), F.col("after").alias("After"), F.col("reason").alias("Reason"))
+
+
+def delimiter_log(probe: DataFrame) -> DataFrame:
+    """Change-log rows for files that were not comma-separated; the sink always writes commas."""
+    return probe.filter(F.col("delimiter") != ",").select(
+        "file_id", F.lit("(file)").alias("column_name"), F.concat("delimiter", F.lit("-separated")).alias("before"),
+        F.lit("comma-separated").alias("after"), F.lit("Converted delimiter to comma").alias("reason"))

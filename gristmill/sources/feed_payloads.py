@@ -123,18 +123,16 @@ def json_repair_parse(df: DataFrame, text: str, schema: str) -> DataFrame:
 
 
 def _prune(v):
-    """Without breadcrumb nodes and properties, and without what they leave empty."""
+    """Without breadcrumb nodes and properties; nulls and emptied containers go too."""
+    empty = lambda x: x is None or x == [] or x == {}
     if isinstance(v, list):
-        kept = [p for p in map(_prune, v) if p is not None]
-        return kept if kept or not v else None
-    if not isinstance(v, dict):
-        return v
-    kind = v.get("@type")
-    if kind == "BreadcrumbList" or (isinstance(kind, list) and "BreadcrumbList" in kind):
-        return None
-    pairs = {k: _prune(x) for k, x in v.items() if k != "breadcrumb"}
-    kept = {k: x for k, x in pairs.items() if x is not None or v[k] is None}
-    return kept if kept or not v else None
+        return [p for p in map(_prune, v) if not empty(p)]
+    if isinstance(v, dict):
+        if v.get("@type") == "BreadcrumbList":
+            return None
+        pairs = {k: _prune(x) for k, x in v.items() if k != "breadcrumb"}
+        return {k: x for k, x in pairs.items() if not empty(x)}
+    return v
 
 
 @F.pandas_udf(StringType())

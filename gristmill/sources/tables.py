@@ -65,7 +65,10 @@ COPY_OFFSET = 1_000_000_000_000
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    df = spark.read.parquet(f"{sf}/{name}.parquet")
+    # zone-less times are read in the session's zone, so that they can carry watermarks and be compared
+    plain = [f.name for f in df.schema.fields if f.dataType.typeName() == "timestamp_ntz"]
+    return df.withColumns({n: F.col(n).cast("timestamp") for n in plain}) if plain else df
 
 
 def _as_rows(part: DataFrame, fields: dict[str, str], row_no: str) -> DataFrame:
