@@ -38,7 +38,7 @@ def payloads(s, sf):
     content = (
         F.when(kind == 1, F.concat(F.unhex(F.lit("EFBBBF")), F.encode(text, "UTF-8"))).when(kind == 2, F.concat(F.unhex(F.lit("FFFE")), F.encode(text, "UTF-16LE")))
         .when(kind == 3, F.encode(latin, "ISO-8859-1")).otherwise(F.encode(text, "UTF-8")))
-    return g.select("file_id", content.alias("content"))
+    return g.select("file_id", F.explode(F.array(content)).alias("content"))
 
 
 PROBE = f"WITH f AS (SELECT DISTINCT CAST(floor(p_partkey / 100) AS INT) AS n, 'file-' || CAST(CAST(floor(p_partkey / 100) AS BIGINT) AS VARCHAR) AS file_id FROM part)"
@@ -206,4 +206,4 @@ def stream_coverage(s, sf):
 
 
 query("stream_carry_expiry")(lambda s, sf: ST.drain(ST.carry_expiry(
-    story_stream(s, sf).filter("story_id % 10 = 0").select(F.col("story_id").alias("section_id"), "title", (F.col("published_at") - F.expr("INTERVAL 1 HOUR")).alias("at")), story_stream(s, sf).select("story_id", "title", "published_at")), "carry"))
+    story_stream(s, sf).filter("story_id % 10 = 0").select(F.col("story_id").alias("section_id"), "title", (F.col("published_at") - F.expr("INTERVAL 1 HOUR")).alias("at")), story_stream(s, sf).select("story_id", "title", "published_at"), hours=2), "carry"))

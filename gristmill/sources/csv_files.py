@@ -12,50 +12,62 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gristmill.functions.text import jstrim, not_blank
+from gristmill.functions.text import jstrim, let, not_blank
 from gristmill.operators.catalog_rows import data_columns
 
 # Delimiters in order of preference on a tie.
 DELIMITERS = [",", ";", "\t", "|"]
 
 
-def file_encoding(content: Column) -> tuple[Column, Column]:
-    """(encoding, has_bom) of raw bytes: byte-order marks first, then valid UTF-8, else ISO-8859-1.
+def has_bom(content: Column) -> Column:
+    head = F.hex(F.substring(content, 1, 3))
+    return head.startswith("EFBBBF") | head.startswith("FFFE") | head.startswith("FEFF")
+
+
+def file_encoding(content: Column) -> Column:
+    """Encoding of raw bytes: byte-order marks first, then valid UTF-8, else ISO-8859-1.
 
     The whole content is tested, so a character cut at a sample edge cannot mislead the test.
     """
-    head = F.hex(F.substring(content, 1, 3))
-    enc = (
+    by_mark = lambda head: (
         F.when(head.startswith("EFBBBF"), "UTF-8").when(head.startswith("FFFE"), "UTF-16LE").when(head.startswith("FEFF"), "UTF-16BE")
         .when(F.is_valid_utf8(content.cast("string")), "UTF-8").otherwise("ISO-8859-1"))
-    return enc, head.startswith("EFBBBF") | head.startswith("FFFE") | head.startswith("FEFF")
+    return let(F.hex(F.substring(content, 1, 3)), by_mark)
 
 
-def decoded(content: Column, encoding: Column) -> Column:
+def decoded(content: Column) -> Column:
     """Text of the bytes in their own encoding, without the byte-order mark."""
-    # decode takes a constant charset, so one branch per known encoding
-    text = F.lit(None).cast("string")
-    for e in ("UTF-16LE", "UTF-16BE", "ISO-8859-1", "UTF-8"):
-        text = F.when(encoding == e, F.decode(content, e)).otherwise(text)
-    return F.regexp_replace(text, r"^\x{FEFF}", "")
+    def pick(e):
+        # decode takes a constant charset, so there is one branch per known encoding
+        text = F.lit(None).cast("string")
+        for name in ("UTF-16LE", "UTF-16BE", "ISO-8859-1", "UTF-8"):
+            text = F.when(e == name, F.decode(content, name)).otherwise(text)
+        return F.regexp_replace(text, r"^\x{FEFF}", "")
+    return let(file_encoding(content), pick)
 
 
 def delimiter_of(text: Column) -> Column:
     """Most frequent candidate in the first five lines; ties keep the earlier candidate, none at all means comma."""
+    names = F.array(*[F.lit(d) for d in DELIMITERS])
+    def count(head):
+        return F.array(*[F.length(head) - F.length(F.replace(head, F.lit(d), F.lit(""))) for d in DELIMITERS])
+    def best(counts):
+        top = F.array_max(counts)
+        return F.when(top > 0, F.element_at(names, F.array_position(counts, top).cast("int"))).otherwise(",")
     head = F.array_join(F.slice(F.split(text, r"\r?\n", 6), 1, 5), "\n")
-    counts = [F.length(head) - F.length(F.replace(head, F.lit(d), F.lit(""))) for d in DELIMITERS]
-    best = F.greatest(*counts)
-    out = F.lit(",")
-    for d, n in reversed(list(zip(DELIMITERS, counts))):
-        out = F.when((n == best) & (best > 0), F.lit(d)).otherwise(out)
-    return out
+    return let(let(head, count), best)
+
+
+def with_text(files: DataFrame) -> DataFrame:
+    """(file_id, content, text): the decoded text is generated once per file, whatever reads it later."""
+    return files.select("file_id", "content", F.explode(F.array(decoded(F.col("content")))).alias("text"))
 
 
 def csv_probe(files: DataFrame) -> DataFrame:
     """``files(file_id, content binary)`` -> (file_id, encoding, has_bom, delimiter, byte_size)."""
-    enc, bom = file_encoding(F.col("content"))
-    x = files.select("file_id", "content", enc.alias("encoding"), bom.alias("has_bom"), F.octet_length("content").cast("bigint").alias("byte_size"))
-    return x.select("file_id", "encoding", "has_bom", delimiter_of(decoded(F.col("content"), F.col("encoding"))).alias("delimiter"), "byte_size")
+    c = F.col("content")
+    return with_text(files).select(
+        "file_id", file_encoding(c).alias("encoding"), has_bom(c).alias("has_bom"), delimiter_of(F.col("text")).alias("delimiter"), F.octet_length(c).cast("bigint").alias("byte_size"))
 
 
 def binary_files(spark: SparkSession, path: str) -> DataFrame:
@@ -88,9 +100,7 @@ def csv_batch_scan(files: DataFrame, columns: list[str], batch_rows: int = 10_00
     is one upload of bounded size; it is parsed where its bytes are and its rows leave in batches, so neither paths nor
     contents pass through the driver.
     """
-    enc, _ = file_encoding(F.col("content"))
-    x = files.select("file_id", "content", enc.alias("e")).select("file_id", decoded(F.col("content"), F.col("e")).alias("text"))
-    x = x.select("file_id", "text", delimiter_of(F.col("text")).alias("sep"))
+    x = with_text(files).select("file_id", "text", delimiter_of(F.col("text")).alias("sep"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -110,19 +120,17 @@ def csv_batch_scan(files: DataFrame, columns: list[str], batch_rows: int = 10_00
 
 def misfits(text: Column, sep: Column) -> Column:
     """Rows whose field count differs from the header's. Quoted fields are blanked first, so separators in them do not count."""
-    flat = F.regexp_replace(text, '"(?:[^"]|"")*"', "q")
+    flat = F.regexp_replace(text, '"(?:[^"]|"")*+"', "q")
     lines = F.filter(F.split(flat, r"\r?\n", -1), lambda x: jstrim(x) != "")
     width = lambda x: F.length(x) - F.length(F.replace(x, sep, F.lit("")))
-    counts = F.transform(lines, width)
-    return F.size(F.filter(counts, lambda n: n != F.get(counts, F.lit(0)))).cast("bigint")
+    odd = lambda counts: F.size(F.filter(counts, lambda n: n != F.get(counts, F.lit(0)))).cast("bigint")
+    return let(F.transform(lines, width), odd)
 
 
 def csv_misfit_rows(files: DataFrame) -> DataFrame:
     """``files(file_id, content)`` -> (file_id, misfit_rows)."""
-    enc, _ = file_encoding(F.col("content"))
-    x = files.select("file_id", "content", enc.alias("e"))
-    x = x.select("file_id", decoded(F.col("content"), F.col("e")).alias("t"))
-    return x.select("file_id", misfits(F.col("t"), delimiter_of(F.col("t"))).alias("misfit_rows"))
+    x = with_text(files).select("file_id", "text", F.explode(F.array(delimiter_of(F.col("text")))).alias("sep"))
+    return x.select("file_id", misfits(F.col("text"), F.col("sep")).alias("misfit_rows"))
 
 
 def write_corrected_csv(df: DataFrame, path: str) -> None:

@@ -84,28 +84,6 @@ def feed_registry(spark: SparkSession, rows: list[tuple[str, str, str, str]]) ->
 
 
 # ---- JSON -----------------------------------------------------------------------------------------------------------
-def _escape_controls(text: str) -> str:
-    """Raw control characters inside string values become escapes."""
-    out, inside, skip = [], False, False
-    for ch in text:
-        if skip:
-            skip = False
-        elif ch == "\\":
-            skip = inside
-        elif ch == '"':
-            inside = not inside
-        elif inside and ch < " ":
-            ch = {"\n": "\\n", "\r": "\\r", "\t": "\\t"}.get(ch, " ")
-        out.append(ch)
-    return "".join(out)
-
-
-@F.pandas_udf(StringType())
-def _repair_strings(s: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for part in s:
-        yield part.map(lambda t: _escape_controls(t) if isinstance(t, str) else t)
-
-
 def json_core(text) -> Column:
     """Text between the first ``{`` and the last ``}``, code fences removed."""
     t = F.regexp_replace(col_of(text), r"(?i)```(?:json)?", "")
@@ -113,13 +91,18 @@ def json_core(text) -> Column:
 
 
 def json_repair_parse(df: DataFrame, text: str, schema: str) -> DataFrame:
-    """Add ``parsed`` (null when hopeless) and ``repaired``. The repair runs only on rows that do not parse as they are."""
-    core = df.withColumn("_core", json_core(text)).withColumn("_ok", F.get_json_object("_core", "$").isNotNull())
-    whole = core.filter("_ok").withColumn("_fix", F.col("_core"))
-    rest = core.filter("NOT _ok OR _ok IS NULL").withColumn("_fix", F.regexp_replace(_repair_strings("_core"), r",\s*([}\]])", "$1"))
-    out = whole.unionByName(rest)
-    valid = F.get_json_object("_fix", "$").isNotNull()
-    return out.withColumns({"parsed": F.when(valid, F.from_json("_fix", schema)), "repaired": valid & ~F.coalesce("_ok", F.lit(False))}).drop("_core", "_ok", "_fix")
+    """Add ``parsed`` (null when hopeless) and ``repaired``.
+
+    Raw control characters inside strings are accepted by the reader's own option. Trailing commas are removed only
+    from texts that do not parse as they are.
+    """
+    valid = lambda c: F.get_json_object(c, "$").isNotNull()
+    core = df.withColumn("_core", json_core(text))
+    ok = F.coalesce(valid(F.col("_core")), F.lit(False))
+    core = core.withColumn("_ok", ok).withColumn("_fix", F.when(F.col("_ok"), F.col("_core")).otherwise(F.regexp_replace("_core", r",\s*([}\]])", "$1")))
+    read = F.from_json("_fix", schema, {"allowUnquotedControlChars": "true"})
+    good = F.coalesce(valid(F.col("_fix")), F.lit(False))
+    return core.withColumns({"parsed": F.when(good, read), "repaired": good & ~F.col("_ok")}).drop("_core", "_ok", "_fix")
 
 
 def _prune(v):
