@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from gristmill.functions.text import col_of
+from gristmill.functions.text import SPACE_CHARS, col_of, let
 
 LINE_WS = r" \t\x{0B}\f\r\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
 # Standalone page numbers in English, Swedish and German, fractions, dashes, brackets.
@@ -22,7 +22,7 @@ LIST_RE = r"(?i)^\s*(?:[-*•·–—]\s+|\d+[.)]\s+|[a-z][.)]\s+)"
 
 def ltrim(c) -> Column:
     """Trim any white space of a single line."""
-    return F.regexp_replace(col_of(c), rf"^[\n{LINE_WS}]+|[\n{LINE_WS}]+\z", "")
+    return F.btrim(col_of(c), F.lit(SPACE_CHARS))
 
 
 def strip_control(c) -> Column:
@@ -32,20 +32,24 @@ def strip_control(c) -> Column:
 
 
 def is_page_number(line) -> Column:
-    return ltrim(line).rlike(PAGE_NUMBER_RE)
+    # no page number is longer than a few dozen characters; long lines skip the regex
+    return let(ltrim(line), lambda t: (F.length(t) <= 200) & t.rlike(PAGE_NUMBER_RE))
 
 
 def is_list_line(line) -> Column:
     return col_of(line).rlike(LIST_RE)
 
 
+def heading_shape(t: Column) -> Column:
+    """Heading test of a trimmed line; the cheap length test comes first."""
+    return (
+        F.length(t).between(1, 65) & ~t.rlike(r"[.,;:!?]$") & ~is_list_line(t)
+        & t.rlike("[A-Za-z]") & (F.regexp_count(t, F.lit(rf"[^\n{LINE_WS}]")) <= 50))
+
+
 def is_heading_line(line) -> Column:
     """Short, has letters, no closing punctuation, not a list item."""
-    t = ltrim(line)
-    return (
-        (F.length(t) > 0) & (F.length(t) <= 65) & ~t.rlike(r"[.,;:!?]$") & ~is_list_line(t)
-        & t.rlike("[A-Za-z]") & (F.regexp_count(t, F.lit(rf"[^\n{LINE_WS}]")) <= 50)
-    )
+    return let(ltrim(line), heading_shape)
 
 
 def fuzzy_shape(line) -> Column:
@@ -54,14 +58,16 @@ def fuzzy_shape(line) -> Column:
     return F.lower(F.regexp_replace(t, rf"[\n{LINE_WS}]+", " "))
 
 
-def is_running_header(line) -> Column:
-    """Looks like a page header: short, no sentence end, and digits, capitals or a leading symbol."""
-    t = ltrim(line)
+def running_shape(t: Column) -> Column:
     letters, uppers = F.regexp_count(t, F.lit("[A-Za-z]")), F.regexp_count(t, F.lit("[A-Z]"))
     return (
-        (F.length(t) > 0) & (F.length(t) <= 80) & ~t.rlike(r"[.!?]\s*$") & (F.regexp_count(t, F.lit(",")) <= 3)
-        & (t.rlike(r"\d") | ((letters > 0) & (uppers / F.greatest(letters, F.lit(1)) > 0.6)) | t.rlike(r"^[\W_]"))
-    )
+        F.length(t).between(1, 80) & ~t.rlike(r"[.!?]\s*$") & (F.regexp_count(t, F.lit(",")) <= 3)
+        & (t.rlike(r"\d") | ((letters > 0) & (uppers / F.greatest(letters, F.lit(1)) > 0.6)) | t.rlike(r"^[\W_]")))
+
+
+def is_running_header(line) -> Column:
+    """Looks like a page header: short, no sentence end, and digits, capitals or a leading symbol."""
+    return let(ltrim(line), running_shape)
 
 
 def rejoin_hyphens(c) -> Column:
@@ -69,8 +75,7 @@ def rejoin_hyphens(c) -> Column:
 
 
 def repeat_candidate(line) -> Column:
-    t = ltrim(line)
-    return (F.length(t) > 0) & (F.length(t) <= 80) & t.rlike("[a-zA-Z]")
+    return let(ltrim(line), lambda t: F.length(t).between(1, 80) & t.rlike("[a-zA-Z]"))
 
 
 def repeated_shapes(lines: Column, times: int = 3) -> Column:
@@ -88,7 +93,7 @@ def repeated_shapes(lines: Column, times: int = 3) -> Column:
 def drop_repeated(lines: Column) -> Column:
     """Remove header-like lines whose shape occurs three times or more in the same document."""
     def keep(found):
-        return F.filter(lines, lambda x: ~(repeat_candidate(x) & is_running_header(x) & F.array_contains(found, fuzzy_shape(x))))
+        return F.filter(lines, lambda x: ~(repeat_candidate(x) & F.array_contains(found, fuzzy_shape(x)) & is_running_header(x)))
     return F.flatten(F.transform(F.array(repeated_shapes(lines)), lambda found: F.when(F.size(found) > 0, keep(found)).otherwise(lines)))
 
 
@@ -98,13 +103,13 @@ def line_kind(line: Column, lists: bool = True, headings: bool = True) -> Column
     if lists:
         own = own | is_list_line(line)
     if headings:
-        own = own | is_heading_line(line)
+        own = own | heading_shape(line)
     return F.when(line == "", "b").when(own, "o").otherwise("p")
 
 
 def reflow(lines: Column, lists: bool = True, headings: bool = True) -> Column:
     """Wrapped lines become one paragraph line; lists and headings stay on their own. Returns the text."""
-    marked = F.transform(lines, lambda x: F.struct(ltrim(x).alias("t"), line_kind(ltrim(x), lists, headings).alias("k")))
+    marked = F.transform(F.transform(lines, ltrim), lambda t: F.struct(t.alias("t"), line_kind(t, lists, headings).alias("k")))
     def glue(m):
         def one(x, i):
             lead = F.when(i == 0, "").when((x["k"] == "p") & (F.get(m, i - 1)["k"] == "p"), " ").otherwise("\n")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from gristmill.functions.text import SPACES_RE, col_of, is_blank, jstrim
+from gristmill.functions.text import SPACES_RE, col_of, is_blank, jstrim, let
 
 # Symbols that mark a price cell as carrying a currency.
 CURRENCY_CLASS = "[$€£¥₹₽₩₪₺₴₦₱₡₲₵₸₼₾₿]"
@@ -29,21 +29,27 @@ def strip_currency(c) -> Column:
     return F.regexp_replace(first, SPACES_RE, "")
 
 
+COMMA_DECIMAL_RE = r"^(\d{1,3}(\.\d{3})+,\d{1,2}|\d+,\d{1,2})$"
+
+
+def _bare(c) -> Column:
+    return strip_currency(jstrim(F.coalesce(col_of(c), F.lit(""))))
+
+
 def price_text(c) -> Column:
     """The normalised number text of a price cell: symbol off, comma decimals and thousands resolved."""
-    s = strip_currency(jstrim(F.coalesce(col_of(c), F.lit(""))))
-    dotted = F.replace(F.replace(s, F.lit("."), F.lit("")), F.lit(","), F.lit("."))
-    return (
-        F.when(s.rlike(r"^\d{1,3}(\.\d{3})+,\d{1,2}$"), dotted)
-        .when(s.rlike(r"^\d+,\d{1,2}$"), F.replace(s, F.lit(","), F.lit(".")))
-        .when(s.rlike(r"^\d+,\d{3}$"), F.replace(s, F.lit(","), F.lit("")))
-        .otherwise(s)
-    )
+    def read(s):
+        dotted = F.replace(F.replace(s, F.lit("."), F.lit("")), F.lit(","), F.lit("."))
+        return (
+            F.when(s.rlike(r"^\d{1,3}(\.\d{3})+,\d{1,2}$"), dotted)
+            .when(s.rlike(r"^\d+,\d{1,2}$"), F.replace(s, F.lit(","), F.lit(".")))
+            .when(s.rlike(r"^\d+,\d{3}$"), F.replace(s, F.lit(","), F.lit("")))
+            .otherwise(s))
+    return let(_bare(c), read)
 
 
 def price_is_comma_decimal(c) -> Column:
-    s = strip_currency(jstrim(F.coalesce(col_of(c), F.lit(""))))
-    return s.rlike(r"^\d{1,3}(\.\d{3})+,\d{1,2}$") | s.rlike(r"^\d+,\d{1,2}$")
+    return _bare(c).rlike(COMMA_DECIMAL_RE)
 
 
 def price_has_currency(c) -> Column:
@@ -52,8 +58,7 @@ def price_has_currency(c) -> Column:
 
 def price_value(c) -> Column:
     """Numeric value of a price cell, null when blank or unreadable. A lone symbol reads as 0."""
-    t = price_text(c)
-    return F.when(is_blank(c), None).when(t == "", F.lit(0.0)).otherwise(number_or_null(t))
+    return F.when(is_blank(c), None).otherwise(let(price_text(c), lambda t: F.when(t == "", F.lit(0.0)).otherwise(number_or_null(t))))
 
 
 def price_parse(c) -> Column:

@@ -52,9 +52,10 @@ def cross_doc_lines(df: DataFrame, doc: str = "doc_id", text: str = "text") -> D
     held by a third of all documents is one partial aggregate per task, and its join side is a single row.
     """
     short = (
-        doc_lines(df, doc, text).withColumn("t", L.ltrim("line"))
+        df.select(doc, F.posexplode(F.transform(F.split(F.col(text), "\n", -1), lambda x: F.struct(x.alias("line"), L.ltrim(x).alias("t")))).alias("line_no", "_x"))
+        .select(doc, "line_no", "_x.line", "_x.t")
         .filter((F.length("t") > 0) & (F.length("t") <= 100) & F.col("t").rlike("[a-zA-Z]"))
-        .select(F.col(doc), "line_no", "line", "t", F.xxhash64(L.fuzzy_shape("t")).alias("_h"), L.fuzzy_shape("t").alias("shape"))
+        .select(F.col(doc), "line_no", "line", "t", L.fuzzy_shape("t").alias("shape"))
     )
     first = F.min(F.struct(F.col(doc).alias("doc"), F.col("line_no").alias("line_no"), F.col("t").alias("t"))).alias("first")
     shared = (
@@ -75,6 +76,8 @@ def strip_cross_doc(df: DataFrame, doc: str = "doc_id", text: str = "text") -> D
 
 def corpus_stats(df: DataFrame, before: str = "text", after: str = "clean_text") -> DataFrame:
     """Totals before and after cleaning, with the share of tokens saved."""
+    # a generated row holds both texts, so the cleaning is not repeated for every figure
+    df = df.select(F.inline(F.array(F.struct(F.col(before), F.col(after), F.col("lines_removed")))))
     g = df.agg(
         F.count(F.lit(1)).alias("docs"), F.sum(F.length(before)).alias("chars_before"), F.sum(F.length(after)).alias("chars_after"),
         F.sum(count_words(before)).alias("words_before"), F.sum(count_words(after)).alias("words_after"),
@@ -86,9 +89,8 @@ def corpus_stats(df: DataFrame, before: str = "text", after: str = "clean_text")
 
 def markdown_block(name: Column, text: Column) -> Column:
     """One document as Markdown: heading lines ``##``, list items ``-``, paragraphs joined."""
-    marked = F.transform(F.split(text, "\n", -1), lambda x: F.struct(
-        L.ltrim(x).alias("t"),
-        F.when(L.ltrim(x) == "", "b").when(L.is_heading_line(x), "h").when(L.is_list_line(L.ltrim(x)), "l").otherwise("p").alias("k")))
+    marked = F.transform(F.transform(F.split(text, "\n", -1), L.ltrim), lambda t: F.struct(
+        t.alias("t"), F.when(t == "", "b").when(L.heading_shape(t), "h").when(L.is_list_line(t), "l").otherwise("p").alias("k")))
     def glue(m):
         def one(x, i):
             para_goes_on = F.coalesce(F.get(m, i + 1)["k"] == "p", F.lit(False))

@@ -6,6 +6,8 @@ small; pages are spread over the cluster by their key.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -19,27 +21,31 @@ def layout_lines(words: DataFrame, tolerance: float = 8.0) -> DataFrame:
     """Add ``line_no`` (0-based) and ``word_no`` (order by x inside the line).
 
     A word joins the running line while its centre is within ``tolerance`` of the mean centre of the line so far. The
-    mean moves with every word, which no window function can express, so each page is walked once.
+    mean moves with every word, which no window function can express, so sorted partitions are streamed with three
+    numbers of state; no page is ever held as a group.
     """
     kind = dict(words.dtypes)["page_id"]
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.assign(_c=(pdf["y0"] + pdf["y1"]) / 2).sort_values(["_c", "x0", "text"], kind="stable").reset_index(drop=True)
-        line, mean, n, out = -1, 0.0, 0, []
-        for c in pdf["_c"]:
-            if line >= 0 and abs(c - mean) <= tolerance:
-                n += 1
-                mean = (mean * (n - 1) + c) / n
-            else:
-                line, mean, n = line + 1, c, 1
-            out.append(line)
-        pdf["line_no"] = pd.array(out, dtype="int32")
-        pdf = pdf.sort_values(["line_no", "x0"], kind="stable")
-        pdf["word_no"] = pdf.groupby("line_no").cumcount().astype("int32")
-        return pdf[["page_id", "line_no", "word_no", "text", "x0", "x1", "y0", "y1"]]
-
-    return words.select("page_id", "text", "x0", "x1", "y0", "y1").groupBy("page_id").applyInPandas(
-        run, f"page_id {kind}, line_no int, word_no int, text string, x0 double, x1 double, y0 double, y1 double")
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        page, line, mean, n = None, 0, 0.0, 0
+        for pdf in batches:
+            out = []
+            for p, c in zip(pdf["page_id"].tolist(), pdf["_c"].tolist()):
+                if p != page:
+                    page, line, mean, n = p, 0, c, 1
+                elif abs(c - mean) <= tolerance:
+                    n += 1
+                    mean = (mean * (n - 1) + c) / n
+                else:
+                    line, mean, n = line + 1, c, 1
+                out.append(line)
+            yield pdf.drop(columns="_c").assign(line_no=pd.array(out, dtype="int32"))
+
+    x = words.select("page_id", "text", "x0", "x1", "y0", "y1", ((F.col("y0") + F.col("y1")) / 2).alias("_c"))
+    x = x.repartition("page_id").sortWithinPartitions("page_id", "_c", "x0", "text")
+    x = x.mapInPandas(scan, f"page_id {kind}, text string, x0 double, x1 double, y0 double, y1 double, line_no int")
+    no = F.row_number().over(W.partitionBy("page_id", "line_no").orderBy("x0", "text")) - 1
+    return x.select("page_id", "line_no", no.cast("int").alias("word_no"), "text", "x0", "x1", "y0", "y1")
 
 
 def layout_lines_by_gap(words: DataFrame, tolerance: float = 8.0) -> DataFrame:

@@ -100,7 +100,10 @@ def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 60) -> Data
     """
     e = edges.select(F.col("a").alias("x"), F.col("b").alias("y"))
     e = cut_lineage(e.unionByName(e.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct())
-    labels = cut_lineage(nodes.select("node", F.col("node").alias("label")))
+    # nodes without an edge are their own component and take no part in the rounds
+    ends = e.select(F.col("x").alias("node")).distinct()
+    alone = nodes.select("node").join(ends, "node", "left_anti").select("node", F.col("node").alias("label"))
+    labels = cut_lineage(ends.select("node", F.col("node").alias("label")))
     for _ in range(max_rounds):
         seen = e.join(labels.withColumnsRenamed({"node": "y"}), "y").groupBy("x").agg(F.min("label").alias("low"))
         step = labels.join(seen, labels.node == seen.x, "left").select("node", "label", F.least("label", F.coalesce("low", "label")).alias("new"))
@@ -109,5 +112,5 @@ def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 60) -> Data
         moved = nxt.filter("old <> label").limit(1).count()
         labels = nxt.drop("old")
         if not moved:
-            return labels
+            return labels.unionByName(alone)
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")

@@ -46,12 +46,12 @@ def quote_lookup(quotes: DataFrame, articles: DataFrame, k: int = 5) -> DataFram
     q = quotes.select("quote_id", plain_words("quote").alias("q")).withColumn("_w", F.split("q", " ", -1))
     q = q.withColumn("n", F.least(F.lit(k), F.size("_w") - 2)).filter("n >= 1")
     q = q.select("quote_id", "q", "n", F.xxhash64(F.array_join(F.slice("_w", F.lit(2), F.col("n")), " ")).alias("run"))
-    sizes = q.select("n").distinct()
+    used = sorted(r["n"] for r in q.select("n").distinct().collect())  # at most k values
     a = articles.select("story_id", plain_words("text").alias("a")).withColumn("_w", F.split("a", " ", -1))
     run = lambda n: F.transform(F.sequence(F.lit(1), F.size("_w") - n + 1), lambda i: F.xxhash64(F.array_join(F.slice("_w", i, n), " ")))
-    # at most k length classes; each article lists its distinct run hashes once per class that quotes use
+    # each article lists its distinct run hashes once per length class in use
     runs = [a.filter(F.size("_w") >= n).select("story_id", F.lit(n).alias("n"), F.explode(F.array_distinct(run(F.lit(n)))).alias("run")).join(
-        q.filter(F.col("n") == n).select("run").distinct(), "run", "left_semi") for n in range(1, k + 1)]
+        q.filter(F.col("n") == n).select("run").distinct(), "run", "left_semi") for n in used or [k]]
     hits = runs[0]
     for r in runs[1:]:
         hits = hits.unionByName(r)

@@ -66,6 +66,10 @@ COPY_OFFSET = 1_000_000_000_000
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     df = spark.read.parquet(f"{sf}/{name}.parquet")
+    if name in ("documents", "pages"):
+        # long texts in fewer files than cores would keep most cores idle; many files are left as they are
+        cores = spark.sparkContext.defaultParallelism
+        df = df.repartition(cores) if len(df.inputFiles()) < cores else df
     # zone-less times are read in the session's zone, so that they can carry watermarks and be compared
     plain = [f.name for f in df.schema.fields if f.dataType.typeName() == "timestamp_ntz"]
     return df.withColumns({n: F.col(n).cast("timestamp") for n in plain}) if plain else df
