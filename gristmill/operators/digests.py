@@ -149,7 +149,8 @@ def digest_overlap(members: DataFrame, stories: DataFrame, percent: int = 35) ->
 
 def digest_dup_groups(members, stories, digests: DataFrame, quality: DataFrame) -> DataFrame:
     """Groups of overlapping digests with the one to keep: (digest_id, group_id, keep, drop)."""
-    q = quality.filter("grade <> 'none'").join(digests.filter("NOT pool").select("digest_id", "created", "exported"), "digest_id")
+    # grades feed every later step, so they are computed once
+    q = cut_lineage(quality.filter("grade <> 'none'").join(digests.filter("NOT pool").select("digest_id", "created", "exported"), "digest_id"))
     pairs = digest_overlap(members.join(q.select("digest_id"), "digest_id", "left_semi"), stories)
     comp = RL.components(q.select(F.col("digest_id").alias("node")), pairs).withColumnsRenamed({"node": "digest_id", "label": "group_id"})
     j = q.join(comp, "digest_id")
