@@ -68,20 +68,25 @@ def html_open_tag(html) -> Column:
     return top(stack)
 
 
-def _row_hits(x: Context) -> list[tuple[str, Column]]:
-    """All row-local rules as (code, struct-or-null)."""
+def _row_hits(x: Context, codes: list[str]) -> list[tuple[str, Column]]:
+    """The wanted row-local rules as (code, struct-or-null)."""
     c, cols = x.cell, R.data_columns(x.df)
     img = R.is_image_row(x.df)
     hits: list[tuple[str, Column]] = []
 
     def add(code, cond, column, value, **kw):
-        hits.append((code, _hit(code, cond, column, value, **kw)))
+        if code in codes:
+            hits.append((code, _hit(code, cond, column, value, **kw)))
+
+    def need(*names):
+        return any(n in codes for n in names)
 
     # the first cell, in file order, that holds a typographic character / outer space
-    smart = F.coalesce(*[F.when(F.col(n).rlike(K.SMART_CHARS_RE), F.struct(F.lit(n).alias("n"), F.substring(n, 1, 60).alias("v"))) for n in cols])
-    add("SMART_QUOTES_DETECTED", smart.isNotNull(), smart["n"], smart["v"])
+    if need("SMART_QUOTES_DETECTED"):
+        smart = F.coalesce(*[F.when(F.col(n).rlike(K.SMART_CHARS_RE), F.struct(F.lit(n).alias("n"), F.substring(n, 1, 60).alias("v"))) for n in cols])
+        add("SMART_QUOTES_DETECTED", smart.isNotNull(), smart["n"], smart["v"])
     wcols = [n for n in K.WHITESPACE_COLUMNS if x.has(n)]
-    if wcols:
+    if wcols and need("CELL_WHITESPACE"):
         padded = lambda n: not_blank(n) & (F.col(n) != jstrim(n))
         ws = F.coalesce(*[F.when(padded(n), F.struct(F.lit(n).alias("n"), F.col(n).alias("v"))) for n in wcols])
         add("CELL_WHITESPACE", ws.isNotNull(), ws["n"], ws["v"])
@@ -98,7 +103,7 @@ def _row_hits(x: Context) -> list[tuple[str, Column]]:
     o1 = not_blank(c("Option1 Name")) | not_blank(c("Option1 Value"))
     add("VARIANT_ORPHANED", o1 & is_blank(h), "Handle", c("Option1 Value"))
     pairs = [i for i in (1, 2, 3) if x.has(f"Option{i} Name") and x.has(f"Option{i} Value")]
-    if pairs:
+    if pairs and need("VARIANT_PARTIAL_COLLAPSE"):
         half = F.coalesce(*[
             F.when(is_blank(f"Option{i} Name") != is_blank(f"Option{i} Value"),
                    F.struct(F.lit(f"Option{i}").alias("n"),
@@ -107,37 +112,38 @@ def _row_hits(x: Context) -> list[tuple[str, Column]]:
             for i in pairs])
         add("VARIANT_PARTIAL_COLLAPSE", half.isNotNull(), half["n"], half["v"])
 
-    dirty = F.array_join(F.array(*[F.when(not_blank(n), F.lit(n)) for n in K.IMAGE_ROW_EXTRA if x.has(n)]), ", ")
-    add("IMAGE_ROW_VARIANT_DATA", img & (dirty != ""), dirty, c("Image Src"))
+    if need("IMAGE_ROW_VARIANT_DATA"):
+        dirty = F.array_join(F.array(*[F.when(not_blank(n), F.lit(n)) for n in K.IMAGE_ROW_EXTRA if x.has(n)]), ", ")
+        add("IMAGE_ROW_VARIANT_DATA", img & (dirty != ""), dirty, c("Image Src"))
 
     tracker, qty = c("Variant Inventory Tracker"), c("Variant Inventory Qty")
-    if x.has("Variant Inventory Tracker") and x.has("Variant Inventory Qty"):
+    if x.has("Variant Inventory Tracker") and x.has("Variant Inventory Qty") and need("INVENTORY_QTY_MISSING_WITH_TRACKER", "INVENTORY_TRACKER_MISSING"):
         add("INVENTORY_QTY_MISSING_WITH_TRACKER", ~img & not_blank(tracker) & is_blank(qty), "Variant Inventory Qty", tracker)
         add("INVENTORY_TRACKER_MISSING", ~img & not_blank(qty) & is_blank(tracker), "Variant Inventory Tracker", qty)
     for n in K.BOOLEAN_COLUMNS:
-        if x.has(n):
+        if x.has(n) and need("BOOLEAN_FORMAT"):
             add("BOOLEAN_FORMAT", ~img & not_blank(n) & P.bool_norm(n).isNull(), n, F.col(n))
-    if x.has("Product Category"):
+    if x.has("Product Category") and need("PRODUCT_CATEGORY_FORMAT"):
         add("PRODUCT_CATEGORY_FORMAT", ~img & ~P.category_ok("Product Category"), "Product Category", F.substring("Product Category", 1, 80))
     for n in K.PRICE_COLUMNS:
-        if x.has(n):
+        if x.has(n) and need("PRICE_CURRENCY_SYMBOL", "PRICE_DECIMAL_COMMA", "PRICE_NON_NUMERIC", "PRICE_NEGATIVE"):
             live = ~img & not_blank(n)
             add("PRICE_CURRENCY_SYMBOL", live & P.price_has_currency(n), n, F.col(n))
             add("PRICE_DECIMAL_COMMA", live & P.price_is_comma_decimal(n), n, F.col(n), detail=P.price_text(n))
             add("PRICE_NON_NUMERIC", live & P.price_value(n).isNull(), n, F.col(n))
             add("PRICE_NEGATIVE", live & (P.price_value(n) < 0), n, F.col(n))
-    if x.has("Variant Inventory Qty"):
+    if x.has("Variant Inventory Qty") and need("INVENTORY_NON_INTEGER", "INVENTORY_NEGATIVE"):
         num = P.number_or_null(jstrim(qty))
         whole = num.isNotNull() & (num == F.floor(num))
         add("INVENTORY_NON_INTEGER", ~img & not_blank(qty) & ~whole, "Variant Inventory Qty", qty)
         add("INVENTORY_NEGATIVE", ~img & not_blank(qty) & whole & (num < 0), "Variant Inventory Qty", qty)
-    if x.has("Body (HTML)"):
+    if x.has("Body (HTML)") and need("HTML_UNCLOSED_TAG", "HTML_DANGEROUS_ATTRIBUTE"):
         body = c("Body (HTML)")
         tag = html_open_tag(body)
         add("HTML_UNCLOSED_TAG", not_blank(body) & tag.isNotNull(), "Body (HTML)", tag)
         unsafe = F.regexp_extract(body, r"(?i)<(script|iframe|object|embed)\b", 1)
         add("HTML_DANGEROUS_ATTRIBUTE", not_blank(body) & (unsafe != ""), "Body (HTML)", unsafe)
-    if x.has("Image Src"):
+    if x.has("Image Src") and need("IMAGE_URL_NOT_HTTPS", "IMAGE_URL_MALFORMED", "IMAGE_URL_PRIVATE_CDN", "IMAGE_URL_NO_EXTENSION"):
         src = jstrim("Image Src")
         ok = U.url_parses(src)
         some = not_blank("Image Src")
@@ -145,7 +151,7 @@ def _row_hits(x: Context) -> list[tuple[str, Column]]:
         add("IMAGE_URL_MALFORMED", some & ~ok, "Image Src", src)
         add("IMAGE_URL_PRIVATE_CDN", some & ok & F.coalesce(U.url_part(src, "HOST").rlike(U.PRIVATE_HOST_RE), F.lit(False)), "Image Src", src)
         add("IMAGE_URL_NO_EXTENSION", some & ok & ~F.coalesce(U.url_part(src, "PATH"), F.lit("")).rlike(U.IMAGE_EXT_RE), "Image Src", src)
-    if x.has("Status"):
+    if x.has("Status") and need("STATUS_INVALID_VALUE"):
         status = c("Status")
         add("STATUS_INVALID_VALUE", ~img & not_blank(status) & ~F.lower(jstrim(status)).isin(K.STATUS_VALUES), "Status", status)
     return hits
@@ -163,7 +169,7 @@ ROW_CODES = [
 
 
 def row_rules(x: Context, codes: list[str]) -> DataFrame:
-    hits = [h for code, h in _row_hits(x) if code in codes]
+    hits = [h for _, h in _row_hits(x, codes)]
     if not hits:
         return None
     rows = x.df.select(
@@ -418,7 +424,7 @@ def findings(
     out = _union([p.select("file_id", "row_no", "handle", "code", "scope", "column_name", "value", "detail") for p in parts if p is not None])
     if out is None:
         return df.sparkSession.createDataFrame([], SCHEMA)
-    table = F.create_map(*[v for code, (sev, fix, _) in classes.items() for v in (F.lit(code), F.struct(F.lit(sev).alias("s"), F.lit(fix).alias("f")))])
+    table = F.create_map(*[v for code, (sev, fix, _) in classes.items() if code in codes or code not in K.RULES for v in (F.lit(code), F.struct(F.lit(sev).alias("s"), F.lit(fix).alias("f")))])
     out = out.withColumn("_k", table[F.col("code")])
     share = F.col("value").try_cast("double") / F.col("detail").try_cast("double")
     removable = (F.col("code") == "DESTRUCTIVE_BLANK_INCLUDED_COLUMN") & (share >= K.BLANK_REMOVAL_RATIO)
