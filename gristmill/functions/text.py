@@ -152,8 +152,9 @@ def strip_tags(c) -> Column:
 
 
 def count_words(c) -> Column:
-    """White-space separated words; 0 for blank text. Counts matches, so no array is built."""
-    return F.regexp_count(F.coalesce(col_of(c), F.lit("")), F.lit(rf"{NONSPACE_RE}+"))
+    """White-space separated words; 0 for blank text. (Splitting is faster here than counting pattern matches.)"""
+    t = jstrim(F.coalesce(col_of(c), F.lit("")))
+    return F.when(t == "", F.lit(0)).otherwise(F.size(F.split(t, SPACES_RE, -1)))
 
 
 def estimate_tokens(c) -> Column:
