@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from gristmill.llm import ngram_join, oracles
+from gristmill.llm import ngram_join, oracles, quality, tiling
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -30,3 +31,18 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class and number of links of every document: five-word n-grams, Jaccard similarity of at least 0.8."""
     return ngram_join.near_duplicates(read(spark, sf_dir, "documents"))
+
+
+@query("op2_quality_classifier")
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document; the rows of the held-out fold are never learned from."""
+    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    weights = quality.fit(docs, labels.filter(~quality.held_out(F.col("doc_id"))))
+    scored = quality.score(docs, weights)
+    return scored.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query("op4_decontamination")
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold at least 60 % of the words of a benchmark item in tiles of five words or more."""
+    return tiling.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
