@@ -20,3 +20,29 @@ links AS (SELECT l.a AS k, sum(o.copies) AS n FROM link l JOIN one o ON o.k = l.
 SELECT d.doc_id, coalesce(c.class_id, d.doc_id) AS class_id, CAST(coalesce(o.copies - 1, 0) + coalesce(l.n, 0) AS BIGINT) AS n_links
 FROM documents d LEFT JOIN sets s ON s.doc_id = d.doc_id LEFT JOIN one o ON o.k = s.k LEFT JOIN class_of c ON c.k = s.k LEFT JOIN links l ON l.k = s.k
 """
+
+# water filling by the sorted levels at which sources are full, then one running sum a source
+SOURCE_MIX = r"""
+WITH sized AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+    len(regexp_extract_all(coalesce(text, ''), '[!-+/:-@\[-`{-~]')) AS odd FROM documents
+), drawn AS (
+  SELECT doc_id, source, size, -ln((CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 12) AS BIGINT) + 0.5) / 281474976710656.0)
+    / greatest(0.05, CASE WHEN size > 0 THEN CAST(size - odd AS DOUBLE) / size ELSE 1 END) AS k FROM sized
+), src AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS s, CASE (row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 WHEN 0 THEN 5.0 WHEN 1 THEN 2.0 ELSE 1.0 END AS w
+  FROM drawn GROUP BY source
+), full_at AS (SELECT *, 2.0 * s / w AS f FROM src WHERE s > 0),
+lv AS (
+  SELECT f, (1.5 * (SELECT sum(s) FROM src) - coalesce(sum(2.0 * s) OVER below, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER below, 0)) AS l
+  FROM full_at WINDOW below AS (ORDER BY f, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), goal AS (
+  SELECT source, s, CASE WHEN s = 0 THEN 0.0 ELSE CAST(least(w * (SELECT max(l) FROM lv WHERE l <= f), 2.0 * s) AS DOUBLE) END AS t FROM src
+), run AS (
+  SELECT d.*, g.s, g.t, CASE WHEN g.s > 0 THEN floor(g.t / g.s) ELSE 0 END AS e,
+    sum(d.size) OVER (PARTITION BY d.source ORDER BY d.k, d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS r
+  FROM drawn d JOIN goal g ON d.source IS NOT DISTINCT FROM g.source
+)
+SELECT doc_id, CAST(size AS BIGINT) AS size, s AS source_size, t AS target,
+  CAST(size * (e + CASE WHEN r - size / 2.0 <= t - e * s THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM run
+"""

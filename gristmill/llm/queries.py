@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gristmill.llm import ngram_join, oracles, quality, tiling
+from gristmill.llm import mixing, ngram_join, oracles, quality, tiling
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -27,6 +27,18 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def five_two_one() -> Column:
+    """Weights 5, 2, 1, repeating, of the sources by rank."""
+    return F.element_at(F.array(F.lit(5), F.lit(2), F.lit(1)), (F.col("rank") - 1) % 3 + 1)
+
+
+@query("op1_source_mix", oracles.SOURCE_MIX)
+def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that a mix of all documents takes from each: 150 % of all words, no source more than twice."""
+    mixed = mixing.mix(read(spark, sf_dir, "documents"), five_two_one())
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
 @query("op8_ngram_join", oracles.NGRAM_JOIN)
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class and number of links of every document: five-word n-grams, Jaccard similarity of at least 0.8."""
