@@ -3,10 +3,10 @@
 # every pair of distinct texts that shares an n-gram is compared; components by a recursive query
 NGRAM_JOIN = r"""
 WITH RECURSIVE words AS (
-  SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[\x20\x09-\x0D]+'), x -> x <> '') AS w FROM documents
+  SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
 ), grams AS (
   SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
-    ELSE list_transform(range(1, len(w) - 3), i -> array_to_string(list_slice(w, i, i + 4), ' ')) END) AS g FROM words
+    ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(list_slice(w, i, i + 4), ' ')) END) AS g FROM words
 ), sets AS (
   SELECT doc_id, md5(array_to_string(list_sort(g), chr(10))) AS k, g, len(g) AS n FROM grams WHERE len(g) > 0
 ), one AS (SELECT k, count(*) AS copies, min(doc_id) AS least, any_value(g) AS g, any_value(n) AS n FROM sets GROUP BY k),
@@ -46,3 +46,13 @@ lv AS (
 SELECT doc_id, CAST(size AS BIGINT) AS size, s AS source_size, t AS target,
   CAST(size * (e + CASE WHEN r - size / 2.0 <= t - e * s THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM run
 """
+
+URL_FILTER = r"""
+WITH rules(h, p, v) AS (VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
+rest AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS r FROM pages),
+parts AS (
+  SELECT page_id, translate(regexp_extract(r, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(r, '^[^/?#]*([^?#]*)', 1) AS path FROM rest)
+SELECT page_id, host, path, x.h || x.p AS rule, coalesce(x.v, 'allow') AS verdict FROM parts LEFT JOIN LATERAL (
+  SELECT h, p, v FROM rules WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) ORDER BY len(h) DESC, len(p) DESC LIMIT 1) x ON true
+"""
