@@ -56,3 +56,21 @@ parts AS (
 SELECT page_id, host, path, x.h || x.p AS rule, coalesce(x.v, 'allow') AS verdict FROM parts LEFT JOIN LATERAL (
   SELECT h, p, v FROM rules WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) ORDER BY len(h) DESC, len(p) DESC LIMIT 1) x ON true
 """
+
+# every pair of equal label is compared
+EMBEDDINGS = r"""
+WITH RECURSIVE v AS (
+  SELECT row_number() OVER (ORDER BY vec_id) AS r, vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings
+), ok AS (
+  SELECT * FROM v WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(x) > 0 AND list_sum(list_transform(x, lambda c: abs(c))) > 0
+    AND len(list_filter(x, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+), link AS MATERIALIZED (
+  SELECT a.r AS a, b.r AS b FROM ok a JOIN ok b ON a.label = b.label AND a.r <> b.r AND len(a.x) = len(b.x)
+  WHERE list_cosine_similarity(a.x, b.x) >= 0.98
+), reach(r, to_r) AS (SELECT a, b FROM link UNION SELECT p.r, l.b FROM reach p JOIN link l ON l.a = p.to_r),
+c AS (SELECT p.r, min(t.vec_id) AS low FROM reach p JOIN v t ON t.r = p.to_r GROUP BY p.r),
+n AS (SELECT a AS r, count(*) AS n FROM link GROUP BY a)
+SELECT v.vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, least(v.vec_id, coalesce(c.low, v.vec_id)) AS component_id,
+  coalesce(v.vec_id = least(v.vec_id, coalesce(c.low, v.vec_id)), false) AS kept
+FROM v LEFT JOIN c ON c.r = v.r LEFT JOIN n ON n.r = v.r
+"""

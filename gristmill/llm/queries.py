@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gristmill.llm import mixing, ngram_join, oracles, quality, tiling, url_filter
+from gristmill.llm import embed_dedup, mixing, ngram_join, oracles, quality, tiling, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -39,6 +39,12 @@ def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+@query("op7_embedding_near_dedup", oracles.EMBEDDINGS)
+def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and component of every vector: equal label, cosine of at least 0.98."""
+    return embed_dedup.near_duplicates(read(spark, sf_dir, "embeddings"))
+
+
 @query("op8_ngram_join", oracles.NGRAM_JOIN)
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class and number of links of every document: five-word n-grams, Jaccard similarity of at least 0.8."""
