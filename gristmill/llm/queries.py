@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gristmill.llm import embed_dedup, mixing, ngram_join, oracles, quality, tiling, url_filter
+from gristmill.llm import embed_dedup, html_extract, mixing, ngram_join, oracles, quality, tiling, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -39,6 +39,13 @@ def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+@query("op5_html_extraction")
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page, with the weights learned from a sample of the pages that mark their content."""
+    pages = read(spark, sf_dir, "pages")
+    return html_extract.extract(pages, html_extract.fit(pages)).withColumn("n_chars", F.length("text").cast("long"))
+
+
 @query("op7_embedding_near_dedup", oracles.EMBEDDINGS)
 def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and component of every vector: equal label, cosine of at least 0.98."""
