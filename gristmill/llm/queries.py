@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gristmill.llm import embed_dedup, html_extract, mixing, ngram_join, oracles, quality, tiling, url_filter
+from gristmill.llm.common import cut
+from gristmill.llm import embed_dedup, html_extract, mixing, ngram_join, oracles, pii, quality, tiling, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -81,3 +82,18 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold at least 60 % of the words of a benchmark item in tiles of five words or more."""
     return tiling.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def pii_digest(docs: DataFrame) -> DataFrame:
+    """The spans of each text and their digest; the counts and ``base_sha256`` are those of the base spans."""
+    found = cut(pii.candidates(docs.select("doc_id", "text")).drop("text"))
+    out = pii.decide(found, pii.fit(found))
+    count = lambda kind: F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    base = pii.as_text(F.col("base"))
+    return out.select("doc_id", count("email"), count("ip"), count("card"), count("phone"), F.sha2(base, 256).alias("base_sha256"), pii.as_text(F.col("spans")).alias("spans"), base.alias("base_text"))
+
+
+@query("op9_pii")
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every whole text."""
+    return pii_digest(read(spark, sf_dir, "documents"))
