@@ -74,3 +74,21 @@ SELECT v.vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, least(v.vec_id, co
   coalesce(v.vec_id = least(v.vec_id, coalesce(c.low, v.vec_id)), false) AS kept
 FROM v LEFT JOIN c ON c.r = v.r LEFT JOIN n ON n.r = v.r
 """
+
+
+def license_scan(templates: list[tuple[str, str]]) -> str:
+    """Every unit against every template; the coefficient alone decides."""
+    words = lambda x: f"string_split(trim(regexp_replace(lower({x}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), ' ')"
+    pairs = "list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))"
+    values = ", ".join("('{}', '{}')".format(n, t.replace("'", "''")) for n, t in templates)
+    return rf"""
+WITH tpl AS (SELECT name, {pairs} AS g FROM (SELECT name, {words('t')} AS w FROM (VALUES {values}) v(name, t))),
+split AS (
+  SELECT doc_id, 'line' AS kind, regexp_split_to_array(text, '\r\n|[\n\r]') AS a FROM documents UNION ALL
+  SELECT doc_id, 'paragraph', regexp_split_to_array(text, '(?:\r\n|[\n\r])[ \t]*(?:\r\n|[\n\r])\s*') FROM documents
+), unit AS (SELECT doc_id, kind, unnest(range(1, len(a) + 1)) AS unit_no, unnest(a) AS u FROM split),
+sets AS (SELECT doc_id, kind, unit_no, {pairs} AS g FROM (SELECT *, {words('u')} AS w FROM unit WHERE kind = 'line' OR regexp_matches(u, '\S\s*[\n\r]\s*\S'))),
+scored AS (SELECT doc_id, kind, unit_no, name, 2 * len(list_intersect(s.g, t.g)) / CAST(len(s.g) + len(t.g) AS DOUBLE) AS dice FROM sets s JOIN tpl t ON len(s.g) BETWEEN 1 AND 400)
+SELECT doc_id, kind, CAST(unit_no AS INTEGER) AS unit_no, arg_max(name, (dice, -rank)) AS license, max(dice) AS dice
+FROM (SELECT *, dense_rank() OVER (ORDER BY name) AS rank FROM scored WHERE dice >= {0.8}) GROUP BY doc_id, kind, unit_no
+"""

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gristmill.llm.common import cut
-from gristmill.llm import embed_dedup, html_extract, mixing, ngram_join, oracles, pii, quality, tiling, url_filter
+from gristmill.llm import embed_dedup, html_extract, licenses, mixing, ngram_join, oracles, pii, quality, tiling, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -47,6 +47,12 @@ def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(pages, html_extract.fit(pages)).withColumn("n_chars", F.length("text").cast("long"))
 
 
+@query("op6_license_scan", oracles.license_scan(licenses.TEMPLATES))
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines and paragraphs of all documents that are licence notices."""
+    return licenses.scan(read(spark, sf_dir, "documents"))
+
+
 @query("op7_embedding_near_dedup", oracles.EMBEDDINGS)
 def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and component of every vector: equal label, cosine of at least 0.98."""
