@@ -92,3 +92,30 @@ scored AS (SELECT doc_id, kind, unit_no, name, 2 * len(list_intersect(s.g, t.g))
 SELECT doc_id, kind, CAST(unit_no AS INTEGER) AS unit_no, arg_max(name, (dice, -rank)) AS license, max(dice) AS dice
 FROM (SELECT *, dense_rank() OVER (ORDER BY name) AS rank FROM scored WHERE dice >= {0.8}) GROUP BY doc_id, kind, unit_no
 """
+
+
+def warc(fields: dict[str, str], where: str, permitted: list[str]) -> str:
+    """Each revisit against all responses of its canonical URL."""
+    part = lambda k: rf"regexp_extract(url, '^\s*(?:[A-Za-z][A-Za-z0-9+.-]*://)?([^/?#\s]*)([^?#\s]*)(?:\?([^#\s]*))?', {k})"
+    allowed = ", ".join(f"'{p}'" for p in permitted)
+    headers = "[{'k': 'etag', 'v': etag}, {'k': 'last-modified', 'v': modified}, {'k': 'content-length', 'v': length}, {'k': 'expires', 'v': expires}, {'k': 'cache-control', 'v': control}]"
+    return rf"""
+WITH rec AS (SELECT html, {", ".join(f"{e} AS {n}" for n, e in fields.items())} FROM (SELECT p.*, k FROM pages p, range(4) t(k)) WHERE {where}),
+c AS (
+  SELECT *, list_filter({headers}, lambda e: e.v IS NOT NULL) AS h,
+    regexp_replace(lower({part(1)}), '^(?:[^@]*@)?(?:www\.)?|:(?:80|443)$', '', 'g') || regexp_replace({part(2)}, '/+$', '') AS base,
+    array_to_string(list_sort(list_filter(string_split({part(3)}, '&'), lambda a: a <> '' AND NOT regexp_matches(a, '^(?:utm_[a-z]+|fbclid|gclid|ref)='))), '&') AS q FROM rec
+), d AS (SELECT *, CASE WHEN q = '' THEN base ELSE base || '?' || q END AS canonical FROM c),
+j AS (
+  SELECT v.record_id, v.canonical, v.h, v.etag, v.modified, arg_max(r.record_id, (r.seconds, r.record_id)) AS refers_to
+  FROM d v LEFT JOIN d r ON r.kind = 'response' AND r.canonical = v.canonical AND r.seconds < v.seconds WHERE v.kind = 'revisit' GROUP BY ALL
+), s AS (
+  SELECT j.*, r.h AS rh, r.html, CASE WHEN refers_to IS NULL THEN 'orphan'
+    WHEN j.etag IS NOT NULL AND r.etag IS NOT NULL THEN CASE WHEN replace(j.etag, 'W/', '') = replace(r.etag, 'W/', '') THEN 'resolved' ELSE 'stale' END
+    WHEN j.modified IS NOT NULL AND r.modified IS NOT NULL THEN CASE WHEN j.modified = r.modified THEN 'resolved' ELSE 'stale' END ELSE 'unverified' END AS state
+  FROM j LEFT JOIN d r ON r.record_id = refers_to
+), m AS (SELECT *, list_filter(h, lambda e: list_contains([{allowed}], e.k)) AS up FROM s)
+SELECT record_id, canonical, state, refers_to, CASE WHEN state = 'resolved' THEN array_to_string(list_sort(list_transform(
+    list_concat(up, list_filter(rh, lambda e: NOT list_contains(list_transform(up, lambda u: u.k), e.k))), lambda e: e.k || ': ' || e.v)), chr(10)) END AS headers,
+  CASE WHEN state = 'resolved' THEN length(html) END AS payload_chars, CASE WHEN state = 'resolved' THEN md5(html) END AS payload_md5 FROM m
+"""

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gristmill.llm.common import cut
-from gristmill.llm import embed_dedup, html_extract, licenses, mixing, ngram_join, oracles, pii, quality, tiling, url_filter
+from gristmill.llm import embed_dedup, html_extract, licenses, mixing, ngram_join, oracles, pii, quality, tiling, url_filter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -103,3 +103,37 @@ def pii_digest(docs: DataFrame) -> DataFrame:
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every whole text."""
     return pii_digest(read(spark, sf_dir, "documents"))
+
+
+#: An archive made from the pages: a response of each, revisits of some a day later and an hour before, second responses.
+ARCHIVE_SQL = {
+    "record_id": "page_id * 4 + k",
+    "url": "CASE k WHEN 1 THEN concat(url, '#again') WHEN 2 THEN replace(url, '://', '://WWW.') WHEN 3 THEN concat(url, '?utm_medium=m') ELSE url END",
+    "seconds": "1700000000 + (page_id * 7919 % 100000) * 60 + CASE k WHEN 1 THEN 86400 WHEN 2 THEN -3600 WHEN 3 THEN 43200 ELSE 0 END",
+    "kind": "CASE WHEN k IN (1, 2) THEN 'revisit' ELSE 'response' END",
+    "etag": "CASE WHEN k = 0 THEN concat('\"', md5(html), '\"') WHEN k = 3 THEN concat('\"', md5(url), '\"') WHEN page_id % 7 = 3 THEN '\"gone\"' WHEN page_id % 11 = 5 THEN NULL "
+            "ELSE concat(CASE WHEN page_id % 2 = 0 THEN 'W/' ELSE '' END, '\"', CASE WHEN page_id % 4 = 1 AND k = 1 THEN md5(url) ELSE md5(html) END, '\"') END",
+    "modified": "CASE WHEN page_id % 5 = 0 THEN NULL WHEN page_id % 13 = 2 AND k IN (1, 2) THEN 'other' ELSE concat('day ', CAST(page_id % 28 AS VARCHAR(9))) END",
+    "length": "CASE WHEN k IN (1, 2) THEN '0' ELSE CAST(length(html) AS VARCHAR(19)) END",
+    "expires": "CASE WHEN k IN (1, 2) THEN 'later' END",
+    "control": "CASE WHEN k NOT IN (1, 2) THEN 'max-age=60' END",
+}
+ARCHIVE_WHERE = "k IN (0, 1) OR (k = 2 AND page_id % 3 = 0) OR (k = 3 AND page_id % 4 = 1)"
+
+
+def archive(pages: DataFrame) -> DataFrame:
+    """Records of a web archive with the fields that ``warc.resolve`` reads."""
+    rows = pages.select("page_id", "url", "html", F.explode(F.array(*map(F.lit, range(4)))).alias("k")).filter(ARCHIVE_WHERE)
+    rows = rows.select("html", "k", *[F.expr(e).alias(n) for n, e in ARCHIVE_SQL.items()])
+    names = {"ETag": "etag", "Last-Modified": "modified", "Content-Length": "length", "Expires": "expires", "Cache-Control": "control"}
+    headers = F.map_filter(F.create_map(*[x for k, c in names.items() for x in (F.lit(k), F.col(c))]), lambda k, v: v.isNotNull())
+    return rows.select("record_id", "url", F.timestamp_seconds("seconds").alias("ts"), "kind", headers.alias("headers"), F.when(F.col("kind") == "response", F.col("html")).alias("payload"))
+
+
+@query("op10_warc_revisits", oracles.warc(ARCHIVE_SQL, ARCHIVE_WHERE, warc.PERMITTED))
+def op10_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every revisit of an archive made from all pages, with its state, merged headers and a digest of the payload."""
+    records = archive(read(spark, sf_dir, "pages"))
+    out = warc.with_payload(warc.resolve(records), records)
+    headers = F.array_join(F.transform(F.array_sort(F.map_entries("headers")), lambda e: F.concat(e["key"], F.lit(": "), e["value"])), "\n")
+    return out.select("record_id", "canonical", "state", "refers_to", headers.alias("headers"), F.length("payload").cast("long").alias("payload_chars"), F.md5("payload").alias("payload_md5"))
