@@ -60,15 +60,36 @@ def targets(sizes: DataFrame, budget: float, cap: float) -> DataFrame:
     return s.select("source", "source_size", "docs", F.when(F.col("_full").isNull(), F.lit(0.0)).otherwise(F.least(share, cap * F.col("source_size"))).cast("double").alias("target"))
 
 
-def mix(docs: DataFrame, weight: Column, quality: Column | None = None, budget_share: float = 1.5, cap: float = 2.0) -> DataFrame:
-    """(doc_id, source, size, source_size, target, copies, taken) for every row of ``docs``.
+def mix(docs: DataFrame, weight: Column, budget_share: float = 1.5, cap: float = 2.0) -> DataFrame:
+    """(doc_id, source, size, source_size, target, copies, taken) for every row of ``docs(doc_id, source, text)``.
 
     ``weight`` is the weight of a source, computed over the table of sources, where ``rank`` counts them from 1 by code
     point, null last. ``copies`` says how often the mix repeats the document, ``taken`` how many words that makes.
     """
+    return _draw(docs, weight, budget_share, cap).drop("_key", "epochs")
+
+
+def mixed_documents(docs: DataFrame, weight: Column, budget_share: float = 1.5, cap: float = 2.0) -> DataFrame:
+    """The rows of ``docs`` that the mix takes, with ``copies``; all other columns as they were.
+
+    The draw gives each source its epochs and the last key that is still taken; texts are not shuffled. Rows that equal
+    the last one taken are all taken.
+    """
+    drawn = _draw(docs, weight, budget_share, cap)
+    last = F.max(F.when(F.col("copies") > F.col("epochs"), F.struct("_key", "doc_id", "size")))
+    ends = cut(drawn.groupBy("source").agg(last.alias("_last"), F.max("epochs").alias("_epochs")).withColumnRenamed("source", "_s"))
+    size = words(F.col("text"))
+    key = -F.log(unit(F.col("doc_id"))) / marks_quality(F.col("text"), size)
+    rows = docs.join(ends, F.col("source").eqNullSafe(F.col("_s")))
+    more = F.coalesce(F.struct(key.alias("_key"), F.col("doc_id"), size.alias("size")) <= F.col("_last"), F.lit(False)).cast("long")
+    # a generator, so that the words are counted once and not again to filter on them
+    taken = F.filter(F.array(F.when(size > 0, F.col("_epochs") + more).otherwise(F.lit(0))), lambda c: c > 0)
+    return rows.select(*[c for c in docs.columns if c != "copies"], F.explode(taken).alias("copies"))
+
+
+def _draw(docs: DataFrame, weight: Column, budget_share: float, cap: float) -> DataFrame:
     drawn = docs.select("doc_id", "source", "text", words(F.col("text")).alias("size"))
-    q = marks_quality(F.col("text"), F.col("size")) if quality is None else quality
-    drawn = drawn.select("doc_id", "source", "size", q.alias("_quality"))
+    drawn = drawn.select("doc_id", "source", "size", marks_quality(F.col("text"), F.col("size")).alias("_quality"))
     drawn = cut(drawn.withColumn("_key", -F.log(unit(F.col("doc_id"))) / F.col("_quality")))
     sizes = drawn.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("docs"), F.avg("_quality").alias("_mean"))
     sizes = cut(sizes)
@@ -92,4 +113,4 @@ def mix(docs: DataFrame, weight: Column, quality: Column | None = None, budget_s
     reached = F.col("_before") + F.sum("size").over(inside)
     rows = rows.withColumn("copies", F.col("epochs") + (reached - F.col("size") / 2 <= F.col("rest")).cast("long"))
     copies = F.when(F.col("size") > 0, F.col("copies")).otherwise(F.lit(0).cast("long"))
-    return rows.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return rows.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), "_key", "epochs")
