@@ -7,18 +7,16 @@ over one scan, and both outputs (corrected rows, change log) come from it.
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from gristmill.functions import catalog_fields as K
 from gristmill.functions import prices as P
-from gristmill.functions.text import is_blank, jstrim, not_blank, or_text, slug
+from gristmill.functions.text import is_blank, jstrim, let, not_blank, or_text, slug
 from gristmill.operators import catalog_rows as R
+from gristmill.operators.catalog_rules import html_open_tags
 from gristmill.operators.ordered import running_count
 from gristmill.session import cut_lineage
 
@@ -119,38 +117,25 @@ def fix_https(df: DataFrame) -> DataFrame:
     return _apply(df, {"Image Src": (http, F.regexp_replace("Image Src", "(?i)^http://", "https://"))} if "Image Src" in df.columns else {}, "Upgraded to HTTPS", "IMAGE_URL_NOT_HTTPS")
 
 
-_TAG = re.compile(r"</?([a-z][a-z0-9]*)\b[^>]*>", re.I)
 # Opening tag -> closing tags that are taken as a slip for it.
 _SLIPS = [("p", "div"), ("p", "span"), ("b", "i"), ("i", "b"), ("strong", "em"), ("em", "strong")]
-_STRAY = re.compile(r"</(div|span|p|b|i|strong|em)>(?![^<]*<\1>)", re.I)
+# a closing tag of these names that no tag follows which opens the name again
+_STRAY = r"(?i)</(div|span|p|b|i|strong|em)>(?![^<]*<\1>)"
 
 
-def _mend(html: str) -> str:
-    for a, b in _SLIPS:
-        html = re.sub(rf"<{a}>([\s\S]*?)</{b}>", rf"<{a}>\1</{a}>", html, flags=re.I)
-    html = _STRAY.sub("", html)
-    still_open: list[str] = []
-    for m in _TAG.finditer(html):
-        name = m.group(1).lower()
-        if m.group(0).startswith("</"):
-            if still_open and still_open[-1] == name:
-                still_open.pop()
-        elif not m.group(0).endswith("/>"):
-            still_open.append(name)
-    return html + "".join(f"</{t}>" for t in reversed(still_open))
-
-
-@F.pandas_udf(StringType())
-def mend_html(bodies: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """Pandas UDF because the stray-tag rule needs a back-reference inside a look-ahead."""
-    for s in bodies:
-        yield s.map(lambda t: _mend(t) if isinstance(t, str) else t)
+def mend_html(body) -> Column:
+    """Slips of closing tags put right, stray closing tags taken out, and tags left open closed at the end."""
+    t = F.col(body) if isinstance(body, str) else body
+    for opened, closed in _SLIPS:
+        t = F.regexp_replace(t, rf"(?i)<{opened}>([\s\S]*?)</{closed}>", f"<{opened}>$1</{opened}>")
+    t = F.regexp_replace(t, _STRAY, "")
+    return let(t, lambda x: F.concat(x, F.array_join(F.transform(F.reverse(html_open_tags(x)), lambda n: F.concat(F.lit("</"), n, F.lit(">"))), "")))
 
 
 def fix_html(df: DataFrame) -> DataFrame:
     if "Body (HTML)" not in df.columns:
         return df
-    df = df.withColumn("_mended", mend_html(F.col("Body (HTML)")))
+    df = df.withColumn("_mended", mend_html("Body (HTML)"))
     cond = not_blank("Body (HTML)") & (F.col("_mended") != F.col("Body (HTML)"))
     return _apply(df, {"Body (HTML)": (cond, F.col("_mended"))}, "Repaired unclosed HTML tags", "HTML_UNCLOSED_TAG").drop("_mended")
 

@@ -54,10 +54,15 @@ def _hit(code: str, cond: Column, column, value, detail=None, scope=None) -> Col
 
 def html_open_tag(html) -> Column:
     """Last tag left open when the text ends, null when none. Void tags count as open."""
+    return F.try_element_at(html_open_tags(html), F.lit(-1))
+
+
+def html_open_tags(html) -> Column:
+    """Names of the tags left open when the text ends, the outermost first."""
     tags = F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(r"(</?[a-zA-Z][a-zA-Z0-9]*\b[^>]*>)"), F.lit(1))
     name = lambda t: F.lower(F.regexp_extract(t, r"^</?([a-zA-Z][a-zA-Z0-9]*)", 1))
     top = lambda s: F.try_element_at(s, F.lit(-1))
-    stack = F.aggregate(
+    return F.aggregate(
         tags,
         F.array().cast("array<string>"),
         lambda s, t: F.when(
@@ -65,7 +70,6 @@ def html_open_tag(html) -> Column:
             F.when((F.size(s) > 0) & (top(s) == name(t)), F.slice(s, 1, F.size(s) - 1)).otherwise(s),
         ).when(t.endswith("/>"), s).otherwise(F.concat(s, F.array(name(t)))),
     )
-    return top(stack)
 
 
 def _row_hits(x: Context, codes: list[str]) -> list[tuple[str, Column]]:

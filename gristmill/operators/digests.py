@@ -8,9 +8,7 @@ thread, theme, lens, included, off_theme, ids)``, ``section_stories(digest_id, s
 
 from __future__ import annotations
 
-from collections import Counter
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -175,7 +173,7 @@ def note_text(c="note") -> Column:
     return TX.jstrim(F.regexp_replace(F.coalesce(c, F.lit("")), r"(?i)\s*From where I sit:?\s*$", ""))
 
 
-def digest_quality(digests, sections, drafts, frames, as_of: str) -> DataFrame:
+def digest_quality(digests, sections, drafts, frames, as_of: str, detail: bool = False) -> DataFrame:
     """Publish-readiness score 0..100 and grade per digest, from section-level counts."""
     inc = sections.filter("included").select(*SECTION, "off_theme", F.concat_ws("|", "ids", "lens", "title").alias("_sig"))
     d = drafts.filter((F.col("status") == "done") & (F.size("paragraphs") > 0))
@@ -201,11 +199,13 @@ def digest_quality(digests, sections, drafts, frames, as_of: str) -> DataFrame:
         pen(missing > 0, cap(40, missing * 12)) + pen(c("n") < F.when(com, 2).otherwise(3), 15) + cap(20, c("thin") * 10) + pen(F.try_divide(c("single"), c("n")) > 0.5, 15)
         + cap(24, c("nums") * 8) + cap(12, c("tells") * 4) + pen(F.try_divide(c("words"), c("n")) < 120, 15) + pen(~com & (F.try_divide(c("sig"), c("n")) < 0.6), 12)
         + pen(c("stale") > 0, 10) + cap(10, c("off") * 5) + pen(c("aud") > 3, 5) + pen(~frame, 10) + pen(frame & (c("watch") < 3), 6)
-        + pen(note_text() == "", 8) + pen(~c("reviewed"), 5) + pen(~c("exported") & (FE.age_hours("created", as_of) > 36), 5))
+        + pen(note_text() == "", 8) + pen(~c("reviewed"), 5))
+    age = pen(~c("exported") & (FE.age_hours("created", as_of) > 36), 5)
     none = F.coalesce(c("n"), F.lit(0)) == 0
-    score = F.when(none, 0).otherwise(F.greatest(F.lit(0), 100 - loss)).cast("bigint")
-    raw = F.when(~none, 100 - loss).cast("bigint")
-    return q.select("digest_id", score.alias("score"), raw.alias("raw")).withColumn("grade", _grade(F.col("score"), F.col("raw").isNull())).select("digest_id", "score", "grade")
+    scored = q.select("digest_id", F.when(~none, 100 - loss).cast("bigint").alias("before_age"), age.cast("bigint").alias("age_loss"))
+    score = F.coalesce(F.greatest(F.lit(0), F.col("before_age") - F.col("age_loss")), F.lit(0)).cast("bigint")
+    scored = scored.withColumn("score", score).withColumn("grade", _grade(F.col("score"), F.col("before_age").isNull()))
+    return scored.select("digest_id", "score", "grade", *(["before_age", "age_loss"] if detail else []))
 
 
 def _grade(score: Column, none: Column) -> Column:
@@ -215,19 +215,22 @@ def _grade(score: Column, none: Column) -> Column:
 def digest_quality_relative(digests, quality: DataFrame, members, stories) -> DataFrame:
     """Second pass: lose 15 (30 when the other is exported) when half of my keys sit in a stronger digest.
 
-    "Half of my keys" looks at one side only, so candidates come from the directed form of the overlap join.
+    The other's finished score is held against mine before the age penalty and before it is cut at 0; ``quality`` is the
+    detailed form of ``digest_quality``. "Half of my keys" looks at one side only, so candidates come from the directed
+    form of the overlap join.
     """
     keys = digest_keys(members, stories)
     sets = keys.groupBy(F.col("digest_id").alias("key")).agg(F.collect_set("key").alias("tokens"))
     pairs = RL.sharing_pairs(sets, sets, RL.share_rule(50, 1)).filter("a <> b")
     d = digests.select("digest_id", "created", "exported", "pool").join(quality, "digest_id")
-    me = d.select(F.col("digest_id").alias("a"), F.col("score").alias("s0"), F.col("created").alias("c0"))
+    me = d.select(F.col("digest_id").alias("a"), F.coalesce("before_age", F.lit(0)).alias("s0"), F.col("created").alias("c0"))
     ot = d.filter("NOT pool AND grade <> 'none'").select(F.col("digest_id").alias("b"), F.col("score").alias("s1"), F.col("created").alias("c1"), F.col("exported").alias("e1"))
     j = pairs.join(me, "a").join(ot, "b")
     worse = (F.col("s1") > F.col("s0")) | ((F.col("s1") == F.col("s0")) & (F.col("c1") > F.col("c0"))) | F.col("e1")
     hit = j.filter(worse).groupBy(F.col("a").alias("digest_id")).agg(F.max(F.when(F.col("e1"), 30).otherwise(15)).alias("loss"))
     out = quality.join(hit, "digest_id", "left")
-    final = F.greatest(F.lit(0), F.col("score") - F.when(F.col("grade") == "none", 0).otherwise(F.coalesce("loss", F.lit(0)))).cast("bigint")
+    left = F.col("before_age") - F.coalesce("loss", F.lit(0)) - F.col("age_loss")
+    final = F.coalesce(F.greatest(F.lit(0), left), F.lit(0)).cast("bigint")
     return out.select("digest_id", final.alias("score"), _grade(final, F.col("grade") == "none").alias("grade"), F.col("loss").isNotNull().alias("repeats"))
 
 
@@ -299,78 +302,72 @@ def section_rank(members, stories, top: int = 4) -> DataFrame:
     return g.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top)
 
 
-def _merge_to(stories: list[tuple[int, dict[str, int]]], n: int) -> list[tuple[list[int], dict[str, int]]]:
-    groups = [([sid], dict(bag)) for sid, bag in stories]
-    def sim(a, b):
-        inter = sum(min(v, b[1][k]) for k, v in a[1].items() if k in b[1])
-        return inter / max(2, min(len(a[1]), len(b[1]))) - (len(a[0]) + len(b[0])) * 0.01
-    while len(groups) > max(1, n):
-        i, j = max(((i, j) for i in range(len(groups)) for j in range(i + 1, len(groups))), key=lambda p: (sim(groups[p[0]], groups[p[1]]), -p[0], -p[1]))
-        total = Counter(groups[i][1])
-        total.update(groups[j][1])
-        groups[i] = (groups[i][0] + groups[j][0], dict(total))
-        del groups[j]
-    return sorted(groups, key=lambda g: -len(g[0]))
-
-
-def section_clusters(df: DataFrame, scan: str = "scan_id", per_scan: int = 60) -> DataFrame:
+def section_clusters(df: DataFrame, scan: str = "scan_id") -> DataFrame:
     """Group the stories of each scan into sections: (scan, story_id, cluster, name).
 
-    A scan is a top list: it never holds more than ``per_scan`` stories (top_stories returns 48 + 12), so each group is
-    small and bounded; a larger one is refused instead of being cut.
+    Words of a title weigh 2, other words of the first 300 characters of the summary 1. Two groups are as similar as
+    their common weight over the size of the smaller vocabulary (2 at least), less a hundredth for each story in them.
+    The most similar pair joins until ``section_count`` groups are left. A scan is a top list, so the groups of one scan
+    stand in one row, and each join is a step of a fold over it; scans run in parallel.
     """
-    words = lambda c: TX.raw_tokens(c)
-    base = df.select(scan, "story_id", words(F.col("title")).alias("tw"), words(F.substring(F.coalesce("summary", F.lit("")), 1, 300)).alias("sw"))
-    kind = dict(df.dtypes)[scan]
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) > per_scan:
-            raise ValueError(f"a scan holds {len(pdf)} stories; pass the ranked top list (at most {per_scan})")
-        pdf = pdf.sort_values("story_id")
-        bags = []
-        for sid, tw, sw in zip(pdf["story_id"], pdf["tw"], pdf["sw"]):
-            bag = {w: 1 for w in sw}
-            bag.update({w: 2 for w in tw})
-            bags.append((int(sid), bag))
-        n = next((k for k, top in ((1, 3), (2, 6), (3, 9), (4, 14), (5, 20)) if len(pdf) <= top), 6)
-        rows = []
-        for c, (ids, bag) in enumerate(_merge_to(bags, n)):
-            top = [w for w, _ in sorted(bag.items(), key=lambda kv: (-kv[1], kv[0]))[:3]]
-            name = " · ".join(w[:1].upper() + w[1:] for w in top) or "Section"
-            rows += [(pdf[scan].iloc[0], sid, c, name) for sid in ids]
-        return pd.DataFrame(rows, columns=[scan, "story_id", "cluster", "name"])
-
-    return base.groupBy(scan).applyInPandas(run, f"{scan} {kind}, story_id bigint, cluster int, name string")
+    title, rest = TX.raw_tokens(F.col("title")), TX.raw_tokens(F.substring(F.coalesce("summary", F.lit("")), 1, 300))
+    bag = F.map_from_entries(F.concat(
+        F.transform(F.array_distinct(title), lambda w: F.struct(w.alias("key"), F.lit(2).cast("long").alias("value"))),
+        F.transform(F.array_except(rest, title), lambda w: F.struct(w.alias("key"), F.lit(1).cast("long").alias("value")))))
+    group = F.struct("story_id", F.array("story_id").alias("ids"), bag.alias("bag"))
+    rows = df.select(scan, group.alias("g")).groupBy(scan).agg(F.collect_list("g").alias("g"))
+    rows = rows.select(scan, F.transform(F.array_sort("g", lambda x, y: F.when(x["story_id"] < y["story_id"], -1).otherwise(1)), lambda x: F.struct(x["ids"].alias("ids"), x["bag"].alias("bag"))).alias("g"))
+
+    def alike(x: Column, y: Column) -> Column:
+        shared = F.aggregate(F.map_keys(x["bag"]), F.lit(0).cast("long"), lambda a, w: a + F.least(F.element_at(x["bag"], w), F.coalesce(F.try_element_at(y["bag"], w), F.lit(0).cast("long"))))
+        return shared / F.greatest(F.lit(2), F.least(F.size(x["bag"]), F.size(y["bag"]))) - (F.size(x["ids"]) + F.size(y["ids"])) * 0.01
+
+    def join(gs: Column, _: Column) -> Column:
+        places = F.sequence(F.lit(1), F.size(gs))
+        pairs = F.flatten(F.transform(places, lambda i: F.transform(F.slice(places, i + 1, F.size(gs)), lambda j: F.struct(alike(F.element_at(gs, i), F.element_at(gs, j)).alias("sim"), (-i).alias("i"), (-j).alias("j")))))
+        both = lambda x, y: F.struct(F.concat(x["ids"], y["ids"]).alias("ids"), F.map_zip_with(x["bag"], y["bag"], lambda _, m, n: F.coalesce(m, F.lit(0).cast("long")) + F.coalesce(n, F.lit(0).cast("long"))).alias("bag"))
+        new = lambda best: F.transform(F.filter(places, lambda k: k != -best["j"]), lambda k: F.when(k == -best["i"], both(F.element_at(gs, k), F.element_at(gs, -best["j"]))).otherwise(F.element_at(gs, k)))
+        return TX.let(F.array_max(pairs), new)
+
+    goal = section_count(F.size("g"))
+    joined = F.aggregate(F.when(F.size("g") > goal, F.sequence(F.lit(1), F.size("g") - goal)).otherwise(F.array().cast("array<int>")), F.col("g"), join)
+    heaviest = lambda m: F.slice(F.array_sort(F.transform(F.map_entries(m), lambda e: F.struct(-e["value"], e["key"].alias("word")))), 1, 3)
+    capital = lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substr(w, F.lit(2)))
+    name = lambda m: F.array_join(F.transform(heaviest(m), lambda x: capital(x["word"])), " · ")
+    ordered = F.array_sort(F.transform(joined, lambda x, i: F.struct((-F.size(x["ids"])).alias("n"), i.alias("i"), x["ids"].alias("ids"), name(x["bag"]).alias("name"))))
+    out = rows.select(scan, F.posexplode(ordered).alias("cluster", "x"))
+    return out.select(scan, F.explode("x.ids").alias("story_id"), "cluster", F.coalesce(F.nullif("x.name", F.lit("")), F.lit("Section")).alias("name"))
 
 
 def fold_thin_themes(sections: DataFrame, members: DataFrame) -> DataFrame:
     """Themes with fewer than two sections or five stories fold into the largest: (digest_id, section_id, theme).
 
-    Works on (digest, section, theme, story count) rows, a handful per digest.
+    One row a digest holds its themes with their sizes. The thin theme with the fewest stories moves into the theme with
+    the most, as often as there are themes at most, so no thin theme is left unless it is the only one; a digest of up
+    to three sections has one theme. The themes left are numbered from 1.
     """
     counts = members.groupBy(*SECTION).agg(F.count(F.lit(1)).alias("n"))
     base = sections.select(*SECTION, F.col("theme").cast("int").alias("theme")).join(counts, SECTION)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("section_id").reset_index(drop=True)
-        themes = sorted(pdf["theme"].unique())
-        if len(pdf) <= 3:
-            pdf["theme"] = themes[0]
-            themes = themes[:1]
-        for _ in range(6):
-            if len(themes) < 2:
-                break
-            size = {t: (int((pdf["theme"] == t).sum()), int(pdf.loc[pdf["theme"] == t, "n"].sum())) for t in themes}
-            thin = sorted((t for t in themes if size[t][0] < 2 or size[t][1] < 5), key=lambda t: size[t][1])
-            if not thin:
-                break
-            big = sorted((t for t in themes if t != thin[0]), key=lambda t: -size[t][1])[0]
-            pdf.loc[pdf["theme"] == thin[0], "theme"] = big
-            themes = [t for t in themes if t != thin[0]]
-        pdf["theme"] = pdf["theme"].map({t: i + 1 for i, t in enumerate(themes)}).astype("int32")
-        return pdf[[*SECTION, "theme"]]
-
-    return base.groupBy("digest_id").applyInPandas(run, "digest_id bigint, section_id bigint, theme int")
+    sizes = base.groupBy("digest_id", "theme").agg(F.count(F.lit(1)).alias("s"), F.sum("n").alias("n")).groupBy("digest_id").agg(
+        F.sum("s").alias("all"), F.array_sort(F.collect_list(F.struct("theme", "s", "n"))).alias("themes"))
+
+    def fold(state: Column, _: Column) -> Column:
+        live, moves = state["live"], state["moves"]
+        thin = F.array_min(F.transform(F.filter(live, lambda t: (t["s"] < 2) | (t["n"] < 5)), lambda t: F.struct(t["n"], t["theme"].alias("theme"))))["theme"]
+        big = F.array_min(F.transform(F.filter(live, lambda t: t["theme"] != thin), lambda t: F.struct(-t["n"], t["theme"].alias("theme"))))["theme"]
+        gone = F.get(F.filter(live, lambda t: t["theme"] == thin), F.lit(0))
+        grown = F.transform(F.filter(live, lambda t: t["theme"] != thin), lambda t: F.when(t["theme"] == big, F.struct(
+            t["theme"].alias("theme"), (t["s"] + gone["s"]).alias("s"), (t["n"] + gone["n"]).alias("n"))).otherwise(t))
+        step = F.struct(grown.alias("live"), F.concat(moves, F.array(F.struct(thin.alias("out"), big.alias("into")))).alias("moves"))
+        return F.when(thin.isNull() | big.isNull(), state).otherwise(step)
+
+    none = F.array().cast("array<struct<out:int,into:int>>")
+    small = F.col("all") <= 3
+    first = F.struct(F.when(small, F.slice("themes", 1, 1)).otherwise(F.col("themes")).alias("live"), none.alias("moves"))
+    folded = sizes.select("digest_id", small.alias("small"), F.aggregate(F.sequence(F.lit(1), F.size("themes")), first, fold).alias("f"))
+    left = F.transform("f.live", lambda t: t["theme"])
+    end = F.aggregate("f.moves", F.col("theme"), lambda t, m: F.when(t == m["out"], m["into"]).otherwise(t))
+    return base.join(folded, "digest_id").select(*SECTION, F.when(F.col("small"), F.lit(1)).otherwise(F.array_position(left, end)).cast("int").alias("theme"))
 
 
 def first_story(members: DataFrame) -> DataFrame:

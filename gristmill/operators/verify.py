@@ -258,9 +258,10 @@ def keyphrase_best(texts: DataFrame, key: str, text: str, phrases: list[str]) ->
 
 
 def watch_bad_count(frames: DataFrame, corpus: DataFrame, key: str) -> DataFrame:
-    """Watch items holding numbers that no source of the digest contains: ``corpus(key, corpus)``."""
-    j = frames.select(key, "watch").join(corpus, key)
-    return j.select(key, F.size(F.filter("watch", lambda w: F.size(C.unsupported_numbers(w, F.col("corpus"))) > 0)).cast("bigint").alias("bad_items"))
+    """Watch items holding numbers that no source of the digest contains: ``corpus(key, corpus)``; 0 without any source."""
+    j = frames.select(key, "watch").join(corpus, key, "left")
+    bad = F.size(F.filter("watch", lambda w: F.size(C.unsupported_numbers(w, F.col("corpus"))) > 0))
+    return j.select(key, F.when(F.col("corpus").isNull(), 0).otherwise(bad).cast("bigint").alias("bad_items"))
 
 
 def lead_figure(df: DataFrame) -> DataFrame:

@@ -59,23 +59,24 @@ QUAL = (
     "count(*) FILTER (WHERE done AND signal) AS sig, count(*) FILTER (WHERE done AND outlets < 2) AS single, count(*) FILTER (WHERE done AND stale) AS stale, count(*) FILTER (WHERE done AND off_theme) AS off FROM qs GROUP BY 1), "
     "qq AS (SELECT d.digest_id, CASE WHEN coalesce(n, 0) = 0 THEN NULL ELSE 100 - (least(40, 12 * (planned - n)) + CASE WHEN n < CASE WHEN kind = 'commentary' THEN 2 ELSE 3 END THEN 15 ELSE 0 END + least(20, 10 * thin) + CASE WHEN single / n > 0.5 THEN 15 ELSE 0 END "
     "+ least(24, 8 * nums) + least(12, 4 * tells) + CASE WHEN words / n < 120 THEN 15 ELSE 0 END + CASE WHEN kind <> 'commentary' AND sig / n < 0.6 THEN 12 ELSE 0 END + CASE WHEN g.stale > 0 THEN 10 ELSE 0 END + least(10, 5 * off) + CASE WHEN aud > 3 THEN 5 ELSE 0 END "
-    "+ CASE WHEN f.digest_id IS NULL OR f.summary = '' THEN 10 WHEN len(f.watch) < 3 THEN 6 ELSE 0 END + CASE WHEN d.digest_id % 3 = 2 THEN 0 ELSE 8 END + CASE WHEN reviewed THEN 0 ELSE 5 END + CASE WHEN NOT exported AND age_hours > 36 THEN 5 ELSE 0 END) END AS raw "
+    "+ CASE WHEN f.digest_id IS NULL OR f.summary = '' THEN 10 WHEN len(f.watch) < 3 THEN 6 ELSE 0 END + CASE WHEN d.digest_id % 3 = 2 THEN 0 ELSE 8 END + CASE WHEN reviewed THEN 0 ELSE 5 END + 0) END AS before_age, CASE WHEN NOT exported AND age_hours > 36 THEN 5 ELSE 0 END AS age_loss "
     "FROM digests d LEFT JOIN qg g USING (digest_id) LEFT JOIN frames f USING (digest_id) WHERE NOT pool), "
-    "ql AS (SELECT digest_id, CAST(coalesce(greatest(0, raw), 0) AS BIGINT) AS score, CASE WHEN raw IS NULL THEN 'none' WHEN raw >= 80 THEN 'ready' WHEN raw >= 60 THEN 'fix' ELSE 'weak' END AS grade FROM qq)"
+    "qr AS (SELECT *, before_age - age_loss AS raw FROM qq), "
+    "ql AS (SELECT digest_id, CAST(coalesce(greatest(0, raw), 0) AS BIGINT) AS score, CASE WHEN raw IS NULL THEN 'none' WHEN raw >= 80 THEN 'ready' WHEN raw >= 60 THEN 'fix' ELSE 'weak' END AS grade, before_age, age_loss FROM qr)"
 )
 
 
-def quality(x):
-    return D.digest_quality(x["di"], x["se"], x["dr"], x["fr"], AS_OF)
+def quality(x, detail=False):
+    return D.digest_quality(x["di"], x["se"], x["dr"], x["fr"], AS_OF, detail=detail)
 
 
-query("digest_quality", f"{B}, {QUAL} SELECT * FROM ql")(on(quality))
+query("digest_quality", f"{B}, {QUAL} SELECT digest_id, score, grade FROM ql")(on(quality))
 query("digest_quality_relative", f"{B}, {QUAL}, {OVER}, hit AS (SELECT a AS digest_id, max(CASE WHEN od.exported THEN 30 ELSE 15 END) AS loss FROM ds JOIN dn ON dn.digest_id = a JOIN ql me ON me.digest_id = a JOIN digests md ON md.digest_id = a JOIN ql o ON o.digest_id = b AND o.grade <> 'none' JOIN digests od ON od.digest_id = b "
-      "WHERE shared / n >= 0.5 AND (o.score > me.score OR (o.score = me.score AND od.created > md.created) OR od.exported) GROUP BY 1), "
-      "fin AS (SELECT ql.digest_id, grade = 'none' AS nn, greatest(0, score - CASE WHEN grade = 'none' THEN 0 ELSE coalesce(loss, 0) END) AS score, loss IS NOT NULL AS repeats FROM ql LEFT JOIN hit USING (digest_id)) "
+      "WHERE shared / n >= 0.5 AND (o.score > me.before_age OR (o.score = me.before_age AND od.created > md.created) OR od.exported) GROUP BY 1), "
+      "fin AS (SELECT ql.digest_id, grade = 'none' AS nn, CAST(coalesce(greatest(0, before_age - age_loss - coalesce(loss, 0)), 0) AS BIGINT) AS score, loss IS NOT NULL AS repeats FROM ql LEFT JOIN hit USING (digest_id)) "
       "SELECT digest_id, score, CASE WHEN nn THEN 'none' WHEN score >= 80 THEN 'ready' WHEN score >= 60 THEN 'fix' ELSE 'weak' END AS grade, repeats FROM fin")(
-    on(lambda x: D.digest_quality_relative(x["di"], quality(x), x["m"], x["st"])))
-query("weak_digest_filter", f"{B}, {QUAL} SELECT ql.* FROM ql JOIN digests USING (digest_id) WHERE grade IN ('weak', 'none') AND NOT exported AND digest_id <> {CUR}")(
+    on(lambda x: D.digest_quality_relative(x["di"], quality(x, True), x["m"], x["st"])))
+query("weak_digest_filter", f"{B}, {QUAL} SELECT digest_id, score, grade FROM ql JOIN digests USING (digest_id) WHERE grade IN ('weak', 'none') AND NOT exported AND digest_id <> {CUR}")(
     on(lambda x: D.weak_digest_filter(x["di"], quality(x), CUR)))
 query("digest_dup_groups")(on(lambda x: D.digest_dup_groups(x["m"], x["st"], x["di"], quality(x))))
 STATS = "ss AS (SELECT digest_id, count(*) AS sections, count(*) FILTER (WHERE included) AS planned, count(*) FILTER (WHERE included AND w.status = 'done') AS written FROM sections s LEFT JOIN (SELECT digest_id, section_id, status FROM drafts) w USING (digest_id, section_id) GROUP BY 1), sn AS (SELECT digest_id, count(DISTINCT story_id) AS stories FROM section_stories GROUP BY 1), stats AS (SELECT ss.*, stories, sections - planned AS \"left\" FROM ss JOIN sn USING (digest_id))"

@@ -61,8 +61,8 @@ def _rule_sql(rid: str, pattern: str) -> str:
 
 
 _wlist = "[" + ", ".join(f"'{esc(w)}'" for w in C.PHRASE_WORDS) + "]"
-_phr = "list_concat(" + ", ".join([f"list_concat({_rule_sql(r, p)}, [])" for r, _, p in C.PHRASE_RULES[:1]]) + ", [])"
-for _r, _, _p in C.PHRASE_RULES[1:]:
+_phr = "list_concat(" + ", ".join([f"list_concat({_rule_sql(r, p)}, [])" for r, p in C.PHRASE_RULES[:1]]) + ", [])"
+for _r, _p in C.PHRASE_RULES[1:]:
     _phr = f"list_concat({_phr}, {_rule_sql(_r, _p)})"
 _phr = f"list_concat({_phr}, list_transform(list_filter({_wlist}, lambda w: contains(lower({_plain}), w)), lambda w: 'word:' || w))"
 scalar("stock_phrases", lambda: F.array_join(F.transform(C.stock_phrases("draft"), lambda p: F.concat_ws(":", p["id"], p["snippet"])), "|"), f"array_to_string({_phr}, '|')")
@@ -239,9 +239,11 @@ query("gazetteer_match", f"WITH t AS (SELECT doc_id, ' ' || regexp_replace(regex
 query("place_ranking")(lambda s, sf: PL.place_ranking(digest_texts(s, sf).withColumn("headline", F.concat("headline", F.lit(" Paris talks, U.S. Congress and Texas")))))
 
 # ---- scanned text ---------------------------------------------------------------------------------------------------------
-_OCR = "substring(text, 1, 200) || ' $ 12 and S 4 Pca Morigae Interest Hotéll Bolån Bolåneränta Netto Månatlig bolåneränta S500 SiIén x'"
+# slips planted in the lines and the dictionary that mends them
+OCR_WORDS = {"arnount": "amount", "Tota1": "Total", "0rder": "Order", "invoíce": "invoice", "nurnber": "number", "Ränla": "Ränta"}
+_OCR = "text || ' $ 12 and S 4 arnount Tota1 0rder invoíce nurnbers nurnber Ränla S500 x'"
 _fix = f"regexp_replace({_OCR}, '[$S]\\s{{0,2}}(\\d{{1,2}})\\b', '§\\1', 'g')"
-for _b, _g in C.OCR_WORDS.items():
+for _b, _g in OCR_WORDS.items():
     _fix = f"regexp_replace({_fix}, '\\b{_b}\\b', '{_g}', 'g')"
 query("ocr_line_fix", f"SELECT doc_id, {_fix} AS line FROM documents")(
-    lambda s, sf: T.table(s, sf, "documents").selectExpr("doc_id", f"{_OCR} AS l").select("doc_id", C.ocr_line_fix("l").alias("line")))
+    lambda s, sf: T.table(s, sf, "documents").selectExpr("doc_id", f"{_OCR} AS l").select("doc_id", C.ocr_line_fix("l", OCR_WORDS).alias("line")))

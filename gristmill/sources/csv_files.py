@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from gristmill.functions.text import jstrim, let, not_blank
 from gristmill.operators.catalog_rows import data_columns
+from gristmill.operators.ordered import running_count
 
 # Delimiters in order of preference on a tie.
 DELIMITERS = [",", ";", "\t", "|"]
@@ -78,9 +79,9 @@ def binary_files(spark: SparkSession, path: str) -> DataFrame:
 def csv_scan(spark: SparkSession, paths, headers: list[str], sep: str = ",", encoding: str = "UTF-8") -> DataFrame:
     """Catalog rows of files that share delimiter, encoding and header.
 
-    Quoted fields may hold line breaks and doubled quotes; blank rows are dropped; ``row_no`` follows the file (position
-    + 2). Spark gives no line numbers, but it reads a multi-line file in one piece and in order, so the running row id of
-    its partition is the position.
+    Quoted fields may hold line breaks and doubled quotes; blank rows are dropped and not counted, ``row_no`` is the place
+    among the others plus 1 for the header. Spark gives no line numbers, but it reads a multi-line file in one piece and
+    in order, so the running row id of its partition orders the rows; they are counted chunk by chunk.
     """
     schema = T.StructType([T.StructField(h, T.StringType()) for h in headers])
     df = spark.read.schema(schema).csv(paths, header=True, sep=sep, encoding=encoding, multiLine=True, quote='"', escape='"', mode="PERMISSIVE", enforceSchema=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
@@ -88,9 +89,8 @@ def csv_scan(spark: SparkSession, paths, headers: list[str], sep: str = ",", enc
     some = F.lit(False)
     for h in headers:
         some = some | not_blank(h)
-    df = df.filter(some)
-    base = df.groupBy("file_id").agg(F.min("_id").alias("_first"))
-    return df.join(base, "file_id").select("file_id", (F.col("_id") - F.col("_first") + 2).alias("row_no"), *headers)
+    counted = running_count(df.filter(some), ["file_id"], "_id", "_place")
+    return counted.select("file_id", (F.col("_place") + 1).alias("row_no"), *headers)
 
 
 def csv_batch_scan(files: DataFrame, columns: list[str], batch_rows: int = 10_000) -> DataFrame:

@@ -140,3 +140,6 @@ def test_csv_files(spark, tmp_path):
     assert rows[2].extra == {"Odd": "1"}
     one = CS.csv_scan(spark, [str(tmp_path / "a.csv")], ["Handle", "Title"]).orderBy("row_no").collect()
     assert [(r.row_no, r.Handle) for r in one] == [(2, "a"), (3, "b")]
+    (tmp_path / "blank.csv").write_bytes(b"Handle,Title\na,1\n,\nb,2\nc,3\n")
+    kept = CS.csv_scan(spark, [str(tmp_path / "blank.csv")], ["Handle", "Title"]).orderBy("row_no").collect()
+    assert [(r.row_no, r.Handle) for r in kept] == [(2, "a"), (3, "b"), (4, "c")]
