@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import cut
+from gristmill.llm.common import BROADCAST_IDS, cut
 
 BUCKET_DOCS = 20_000
 LEAST_QUALITY = 0.05
@@ -80,13 +80,22 @@ def mixed_documents(docs: DataFrame, weight: Column, budget_share: float = 1.5,
     ends = cut(drawn.groupBy("source").agg(last.alias("_last"), F.max("epochs").alias("_epochs")).withColumnRenamed("source", "_s"))
     size = words(F.col("text"))
     key = -F.log(unit(F.col("doc_id"))) / marks_quality(F.col("text"), size)
-    rows = docs.join(ends, F.col("source").eqNullSafe(F.col("_s")))
+    rows = _per_source(docs, ends)
     more = F.coalesce(F.struct(key.alias("_key"), F.col("doc_id"), size.alias("size")) <= F.col("_last"), F.lit(False)).cast("long")
     # a generator, so that the words are counted once and not again to filter on them
     taken = F.filter(F.array(F.when(size > 0, F.col("_epochs") + more).otherwise(F.lit(0))), lambda c: c > 0)
     return rows.select(*[c for c in docs.columns if c != "copies"], F.explode(taken).alias("copies"))
 
 
+def _per_source(rows: DataFrame, table: DataFrame) -> DataFrame:
+    """Rows with their source's row of a checkpointed ``table(_s, ...)``: broadcast while there are few sources, by count.
+
+    A join that shuffles would bring all texts of a hot source together.
+    """
+    few = table.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return rows.join(F.broadcast(table) if few else table, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
+
+
 def _draw(docs: DataFrame, weight: Column, budget_share: float, cap: float) -> DataFrame:
     drawn = docs.select("doc_id", "source", "text", words(F.col("text")).alias("size"))
     drawn = drawn.select("doc_id", "source", "size", marks_quality(F.col("text"), F.col("size")).alias("_quality"))
@@ -100,8 +109,7 @@ def _draw(docs: DataFrame, weight: Column, budget_share: float, cap: float) -> D
         sizes.select(F.col("source").alias("_s"), "_mean"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
     goal = goal.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long"))
     goal = cut(goal.withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size")).withColumnRenamed("source", "_s"))
-    # one row a source again: Spark broadcasts it if it is small by its measured size
-    rows = drawn.join(goal, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
+    rows = _per_source(drawn, goal)
     # keys of documents of mean quality are exponential; their distribution function estimates the rank
     buckets = F.ceil(F.col("docs") / BUCKET_DOCS)
     rows = rows.withColumn("_bucket", F.floor((1 - F.exp(-F.col("_key") * F.col("_mean"))) * buckets).cast("long"))
