@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -13,6 +9,7 @@ from pyspark.sql.types import ArrayType, StringType
 
 from gristmill.functions import claims as C
 from gristmill.functions.text import count_words, jstrim, norm_quote, sentences, shorten
+from gristmill.session import cut_lineage
 
 
 def plain_words(c) -> Column:
@@ -184,35 +181,52 @@ JOINS = [
     (r"(?i),\s+and\s+(?=(?:the|it|he|she|they|we|there|this|that|these|those|its|his|her|their)\s)", ""), (r",\s+so\s+(?=\w)", "So "),
     (r",\s+which\s+(?=(?:means|suggests|shows|is|was)\s)", "That "),
 ]
-_JOINS = [(re.compile(p), lead) for p, lead in JOINS]
 
 
-def _split(sentence: str) -> str:
-    tail = sentence[len(sentence.rstrip()):]
-    s = sentence.rstrip()
-    if len(s.split()) <= 20 or re.search(r"[\"“”]", s):
-        return sentence
-    cuts = [(abs(m.start() - len(s) / 2), i, m, lead) for i, (rx, lead) in enumerate(_JOINS) for m in rx.finditer(s)
-            if len(s[:m.start()].split()) >= 6 and len(s[m.end():].split()) >= 6]
-    if not cuts:
-        return sentence
-    _, _, m, lead = min(cuts, key=lambda c: (c[0], c[1], c[2].start()))
-    right = lead + s[m.end():]
-    return _split(re.sub(r"[,;:\s]+$", "", s[:m.start()]) + ". ") + _split(right[:1].upper() + right[1:]) + tail
+def best_cut(sentence: Column) -> Column:
+    """(left, right) of a sentence of more than 20 words without quotes, cut at the join nearest its middle that leaves
+    six words on both sides; null where there is none. Among equally near ones the earlier rule counts, then the place."""
+    from gristmill.functions.text import let
+
+    def places(body: Column) -> Column:
+        length = lambda texts: F.aggregate(texts, F.lit(0), lambda n, t: n + F.length(t))
+
+        def of_rule(rank: int, pattern: str, lead: str) -> Column:
+            joins, gaps = F.regexp_extract_all(body, F.lit(pattern), F.lit(0)), F.split(body, pattern, -1)
+            place = lambda m, at: F.struct(F.abs(at - F.length(body) / 2).alias("off"), F.lit(rank).alias("rank"), at.alias("at"), F.length(m).alias("n"), F.lit(lead).alias("lead"))
+            return F.transform(joins, lambda m, i: let(length(F.slice(gaps, F.lit(1), i + 1)) + length(F.slice(joins, F.lit(1), i)), lambda at: place(m, at)))
 
+        found = [of_rule(rank, *rule) for rank, rule in enumerate(JOINS)]
+        left, right = lambda x: F.substr(body, F.lit(1), x["at"]), lambda x: F.substr(body, x["at"] + x["n"] + 1)
+        fits = F.filter(F.concat(*found), lambda x: (count_words(left(x)) >= 6) & (count_words(right(x)) >= 6))
+        def halves(x: Column) -> Column:
+            second = F.concat(x["lead"], right(x))
+            tail = F.substr(sentence, F.length(body) + 1)
+            return F.struct(F.concat(F.regexp_replace(left(x), r"[,;:\s]+$", ""), F.lit(". ")).alias("left"),
+                            F.concat(F.upper(F.substring(second, 1, 1)), F.substr(second, F.lit(2)), tail).alias("right"))
+        return let(F.array_min(fits), lambda x: F.when(x.isNotNull(), halves(x)))
 
-@F.pandas_udf(StringType())
-def split_long_sentence(s: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """Sentence of more than 20 words without quotes -> shorter sentences (recursive, so a pandas UDF)."""
-    for part in s:
-        yield part.map(lambda t: _split(t) if isinstance(t, str) else t)
+    body = F.regexp_replace(sentence, r"\s+\z", "")
+    long_plain = (count_words(body) > 20) & ~sentence.rlike("[\"“”]")
+    return F.when(long_plain, let(body, places))
 
 
 def easy_text(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, text) with long sentences split. Sentences travel as rows of one column, not whole texts per Python call."""
+    """(key, text) with long sentences split until none has a place to cut. Sentences are rows, all of them are cut at
+    once, and the halves of a round are the sentences of the next; the path of halves keeps their order."""
     from gristmill.functions.text import collapse, sentences_safe
-    s = df.select(key, F.posexplode(sentences_safe(text)).alias("no", "s")).withColumn("s", split_long_sentence("s"))
-    return s.groupBy(key).agg(collapse(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("no", "s"))), lambda x: x["s"]), "")).alias(text))
+    live = df.select(key, F.posexplode(sentences_safe(text)).alias("no", "s")).select(key, F.array("no").alias("path"), "s")
+    done = None
+    while True:
+        live = cut_lineage(live.withColumn("c", best_cut(F.col("s"))))
+        whole = live.filter("c IS NULL").drop("c")
+        done = whole if done is None else done.unionByName(whole)
+        live = live.filter("c IS NOT NULL").select(key, "path", F.posexplode(F.array("c.left", "c.right")).alias("half", "s"))
+        if live.isEmpty():
+            break
+        live = live.select(key, F.concat("path", F.array("half")).alias("path"), "s")
+    ordered = F.array_sort(F.collect_list(F.struct("path", "s")))
+    return done.groupBy(key).agg(collapse(F.array_join(F.transform(ordered, lambda x: x["s"]), "")).alias(text))
 
 
 def split_paragraph(text: Column, words: int = 110, least: int = 4) -> Column:

@@ -396,8 +396,8 @@ def change_counts(spark, sf):
 
 
 # ---- scalars ----------------------------------------------------------------------------------------------------
-query("slug", f"SELECT doc_id, {Q.slug('substring(text, 1, 200)')} AS slug FROM documents")(
-    lambda spark, sf: T.table(spark, sf, "documents").select("doc_id", slug(F.substring("text", 1, 200)).alias("slug")))
+query("slug", f"SELECT doc_id, {Q.slug('text')} AS slug FROM documents")(
+    lambda spark, sf: T.table(spark, sf, "documents").select("doc_id", slug("text").alias("slug")))
 query("price_parse", f"{C} SELECT file_id, row_no, {Q.price_value('price')} AS value, ({Q.price_value('price')}) IS NOT NULL AS parseable, {Q.comma_decimal('price')} AS comma_decimal, "
       f"regexp_matches(price, '[$€£¥]') AS has_currency, {Q.price_text('price')} AS normalized FROM c")(
     lambda spark, sf: catalog(spark, sf).select("file_id", "row_no", price_parse("Variant Price").alias("p")).select("file_id", "row_no", "p.*"))

@@ -116,7 +116,7 @@ CORP = f"ok AS (SELECT digest_id, section_id, ord, story_id, source, {Q.clean_ti
 query("source_corpus", f"{B}, {CORP} SELECT * FROM corp")(lambda s, sf: D.source_corpus(DT.section_stories(s, sf), T.stories(s, sf), articles(s, sf)))
 query("thin_section", f"{B}, {CORP} SELECT digest_id, section_id, chars, chars < 1100 AS thin FROM corp")(
     lambda s, sf: D.thin_section(D.source_corpus(DT.section_stories(s, sf), T.stories(s, sf), articles(s, sf))))
-_read = "substring(regexp_replace(w.text, '\\s+', ' ', 'g'), 1, 400)"
+_read = "regexp_replace(w.text, '\\s+', ' ', 'g')"
 query("draft_word_total", f"{B}, p AS (SELECT w.digest_id, {_words} + {Q.words(_read)} AS n FROM drafts w WHERE w.included UNION ALL SELECT digest_id, {Q.words('summary')} + {Q.words('opening')} + {Q.words('array_to_string(watch, chr(32))')} FROM frames) SELECT digest_id, CAST(sum(n) AS BIGINT) AS words FROM p GROUP BY 1")(
     on(lambda x: D.draft_word_total(x["se"], x["dr"], x["fr"])))
 query("source_count", f"{B} SELECT w.digest_id, count(DISTINCT st.url) AS sources FROM drafts w JOIN section_stories z ON z.digest_id = w.digest_id AND z.section_id = w.section_id JOIN st USING (story_id) WHERE w.included GROUP BY 1")(

@@ -20,7 +20,7 @@ PROFILE = [
     ("Gamma", 0.2, ["eriner", "die der", "absent word"]),
 ]
 TERMS = ["attion", "elle", "éou", "the that", "absent"]
-ST = f"st AS (SELECT *, substring(summary, 1, 300) AS description FROM ({T.SQL_STORIES}))"
+ST = f"st AS (SELECT *, summary AS description FROM ({T.SQL_STORIES}))"
 S = f"WITH {ST}"
 
 
@@ -31,7 +31,7 @@ def stories(spark, sf):
 def items(spark, sf):
     """Feed items: stories under their item names."""
     return stories(spark, sf).select(
-        "story_id", "title", F.col("url").alias("link"), F.col("source").alias("author"), F.substring("summary", 1, 300).alias("description"),
+        "story_id", "title", F.col("url").alias("link"), F.col("source").alias("author"), F.col("summary").alias("description"),
         F.when(F.col("story_id") % 5 != 0, F.col("published_at")).alias("pub_date"), "redirect", "readable", F.col("source").alias("feed"), "lane")
 
 
@@ -109,7 +109,7 @@ HITS = f"low AS (SELECT *, lower(title || ' ' || description) AS low FROM st), h
 
 
 def hits(s, sf):
-    df = stories(s, sf).withColumn("description", F.substring("summary", 1, 300))
+    df = stories(s, sf).withColumn("description", F.col("summary"))
     return FE.term_filter(df, TERMS)
 
 
@@ -122,9 +122,9 @@ query("term_list_parse", f"{S}, q AS (SELECT story_id, regexp_replace(title, ' '
 query("recency_filter", f"{S} SELECT story_id FROM st WHERE published_at >= {AT} - INTERVAL 5 DAY")(lambda s, sf: FE.recency_filter(stories(s, sf), AS_OF).select("story_id"))
 query("breaking_filter", f"{S} SELECT story_id, lane FROM st WHERE lane <> 'breaking' OR {_h} <= 40")(lambda s, sf: FE.breaking_filter(stories(s, sf), AS_OF).select("story_id", "lane"))
 query("paywall_filter", f"SELECT page_id, regexp_matches({Q.host('url')}, '(^|\\.)(wsj\\.com|ft\\.com|bloomberg\\.com|economist\\.com|barrons\\.com)$') OR (length(html) < 1500 AND regexp_matches(html, '{U.PAYWALL_TEXT_RE}')) AS paywalled FROM pages_x".replace(
-      "FROM pages_x", "FROM (SELECT page_id, CASE WHEN page_id % 6 = 0 THEN 'https://www.ft.com/a' ELSE url END AS url, CASE WHEN page_id % 5 = 0 THEN substring(html, 1, 900) || 'Already a subscriber?' ELSE html END AS html FROM pages)"))(
+      "FROM pages_x", "FROM (SELECT page_id, CASE WHEN page_id % 6 = 0 THEN 'https://www.ft.com/a' ELSE url END AS url, CASE WHEN page_id % 5 = 0 THEN html || 'Already a subscriber?' ELSE html END AS html FROM pages)"))(
     lambda s, sf: T.table(s, sf, "pages").select("page_id", F.when(F.col("page_id") % 6 == 0, "https://www.ft.com/a").otherwise(F.col("url")).alias("url"),
-                                                   F.when(F.col("page_id") % 5 == 0, F.concat(F.substring("html", 1, 900), F.lit("Already a subscriber?"))).otherwise(F.col("html")).alias("html"))
+                                                   F.when(F.col("page_id") % 5 == 0, F.concat("html", F.lit("Already a subscriber?"))).otherwise(F.col("html")).alias("html"))
     .select("page_id", U.is_paywalled("url", "html").alias("paywalled")))
 MARKS = f"marks AS (SELECT coalesce(nullif({Q.clean_url('url')}, ''), title) AS story_key, {AT} - to_hours(CAST(story_id % 48 AS BIGINT)) AS t FROM st WHERE story_id % 10 = 3)"
 

@@ -148,7 +148,7 @@ query("feed_registry", f"WITH st AS ({T.SQL_STORIES}) SELECT source AS feed, cou
 _names = "CASE doc_id % 6 WHEN 0 THEN 'a.HTML' WHEN 1 THEN 'b.md' WHEN 2 THEN 'c.txt' WHEN 3 THEN 'd.csv' WHEN 4 THEN 'e.exe' ELSE 'f.markdown' END"
 query("doc_scan", "SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'html' WHEN 1 THEN 'md' WHEN 2 THEN 'txt' WHEN 3 THEN 'csv' ELSE 'md' END AS kind FROM documents WHERE doc_id % 6 <> 4")(
     lambda s, sf: T.table(s, sf, "documents").selectExpr("doc_id", f"{_names} AS name").select("doc_id", FP.doc_kind("name").alias("kind")).filter("kind is not null"))
-_json = "concat('Sure:\\n```json\\n{\"id\": ', doc_id, ', \"text\": \"', regexp_replace(substring(text, 1, 120), '[\"\\\\\\\\]', ''), CASE WHEN doc_id % 3 = 0 THEN '\\n tail' ELSE '' END, '\"', CASE WHEN doc_id % 4 = 0 THEN ',' ELSE '' END, CASE WHEN doc_id % 10 = 9 THEN '' ELSE '}' END, '\\n```')"
+_json = "concat('Sure:\\n```json\\n{\"id\": ', doc_id, ', \"text\": \"', regexp_replace(text, '[\"\\\\\\\\]', ''), CASE WHEN doc_id % 3 = 0 THEN '\\n tail' ELSE '' END, '\"', CASE WHEN doc_id % 4 = 0 THEN ',' ELSE '' END, CASE WHEN doc_id % 10 = 9 THEN '' ELSE '}' END, '\\n```')"
 query("json_repair_parse", "SELECT doc_id, CASE WHEN doc_id % 10 = 9 THEN -1 ELSE doc_id END AS id FROM documents")(
     lambda s, sf: FP.json_repair_parse(T.table(s, sf, "documents").selectExpr("doc_id", f"{_json} AS j"), "j", "id bigint, text string").select("doc_id", F.coalesce("parsed.id", F.lit(-1)).alias("id")))
 query("strip_breadcrumb_nodes", "SELECT page_id, '{\"@graph\": [{\"@type\": \"WebPage\", \"url\": \"p' || CAST(page_id AS VARCHAR) || '\"}]}' AS ld FROM pages")(
@@ -195,7 +195,7 @@ def story_stream(s, sf):
     flat = F.trim(F.regexp_replace("text", "[ \\n\\r\\t]+", " "))
     start = F.unix_seconds(F.to_timestamp(F.lit(T.AS_OF)))
     return stream_of(s, sf, "documents").select(
-        F.col("doc_id").alias("story_id"), F.substring(flat, 1, 72).alias("title"), "source", (start - F.col("doc_id") % 2400 * 60).cast("timestamp").alias("published_at"))
+        F.col("doc_id").alias("story_id"), F.regexp_extract(flat, "^[^.!?]*[.!?]*", 0).alias("title"), "source", (start - F.col("doc_id") % 2400 * 60).cast("timestamp").alias("published_at"))
 
 
 @query("stream_coverage")
@@ -206,4 +206,4 @@ def stream_coverage(s, sf):
 
 
 query("stream_carry_expiry")(lambda s, sf: ST.drain(ST.carry_expiry(
-    story_stream(s, sf).filter("story_id % 10 = 0").select(F.col("story_id").alias("section_id"), "title", (F.col("published_at") - F.expr("INTERVAL 1 HOUR")).alias("at")), story_stream(s, sf).select("story_id", "title", "published_at"), hours=2), "carry"))
+    story_stream(s, sf).select(F.col("story_id").alias("section_id"), "title", (F.col("published_at") - F.expr("INTERVAL 1 HOUR")).alias("at")), story_stream(s, sf).select("story_id", "title", "published_at"), hours=2), "carry"))

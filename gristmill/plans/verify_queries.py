@@ -188,7 +188,7 @@ _POST = "text || CASE WHEN turn % 2 = 0 THEN ' {link} https://example.com/a/b' E
 query("post_length_ok", f"WITH p AS (SELECT conv_id, turn, {_NET} AS net, {_POST} AS t FROM conversations), l AS (SELECT *, CASE net WHEN 'x' THEN 280 WHEN 'instagram' THEN 2200 WHEN 'linkedin' THEN 3000 WHEN 'telegram' THEN 4096 ELSE 63206 END AS lim FROM p) "
       "SELECT conv_id, turn, CASE WHEN lim = 280 THEN length(regexp_replace(replace(t, '{link}', repeat('x', 23)), '(?i)https?://\\S+', repeat('x', 23), 'g')) ELSE length(t) END <= lim AS ok FROM l")(
     lambda s, sf: T.table(s, sf, "conversations").selectExpr("conv_id", "turn", f"{_NET} AS net", f"{_POST} AS t").select("conv_id", "turn", C.post_length_ok(F.col("t"), F.col("net")).alias("ok")))
-query("post_issues")(lambda s, sf: drafts(s, sf).select("doc_id", F.array_join(C.post_issues(F.concat(F.substring("draft", -400, 400), F.lit(" “a quote that is nowhere at all” 77 #Tag")), "corpus"), " | ").alias("issues")))
+query("post_issues")(lambda s, sf: drafts(s, sf).select("doc_id", F.array_join(C.post_issues(F.concat("draft", F.lit(" “a quote that is nowhere at all” 77 #Tag")), "corpus"), " | ").alias("issues")))
 _ht = "list_transform(list_filter(regexp_split_to_array(title, '[^A-Za-z0-9]+'), lambda w: w <> ''), lambda w: upper(substring(w, 1, 1)) || substring(w, 2))"
 query("hashtags", f"WITH st AS ({T.SQL_STORIES}), t AS (SELECT story_id, '#' || array_to_string(list_slice({_ht}, 1, 3), '') AS tag FROM st) SELECT story_id, CASE WHEN length(tag) BETWEEN 4 AND 26 THEN tag ELSE '' END AS tags FROM t")(
     lambda s, sf: T.stories(s, sf).select("story_id", F.array_join(C.hashtags(F.array(F.array_join(F.slice(F.filter(F.split("title", "[^A-Za-z0-9]+", -1), lambda w: w != ""), 1, 3), " ")), 5), " ").alias("tags")))

@@ -90,7 +90,7 @@ def drafts(spark: SparkSession, sf: str) -> DataFrame:
     fill = lambda n, w: F.slice(F.array(*[F.lit(f"{w}{i}") for i in range(4)]), F.lit(1), F.col(n).cast("int"))
     return x.select(
         "digest_id", "section_id", F.col("_status").alias("status"), paras.alias("paragraphs"),
-        F.substring(F.regexp_replace("text", r"\s+", " "), 1, 400).alias("reading"),
+        F.regexp_replace("text", r"\s+", " ").alias("reading"),
         F.when(F.col("_stale"), "old").otherwise(F.concat_ws("|", "ids", "lens", "title")).alias("signature"),
         (F.length("text") < 1100).alias("thin"), "sources", fill("_n_numbers", "1").alias("bad_numbers"),
         fill("_n_phrases", "p").alias("phrases"), fill("_n_audit", "a").alias("audit"))

@@ -66,10 +66,6 @@ COPY_OFFSET = 1_000_000_000_000
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     df = spark.read.parquet(f"{sf}/{name}.parquet")
-    if name in ("documents", "pages"):
-        # long texts in fewer files than cores would keep most cores idle; many files are left as they are
-        cores = spark.sparkContext.defaultParallelism
-        df = df.repartition(cores) if len(df.inputFiles()) < cores else df
     # zone-less times are read in the session's zone, so that they can carry watermarks and be compared
     plain = [f.name for f in df.schema.fields if f.dataType.typeName() == "timestamp_ntz"]
     return df.withColumns({n: F.col(n).cast("timestamp") for n in plain}) if plain else df
@@ -117,11 +113,11 @@ SQL_UPDATE = f"SELECT {_ansi(UPDATE, 'p_partkey + 2')} FROM part"
 
 # ---- stories ------------------------------------------------------------------------------------------------
 AS_OF = "2024-01-10 00:00:00"
-# column -> expression over documents joined with pages; {F} is the text with single spaces
+# column -> expression over documents joined with pages; {F} is the whole text with single spaces, {T} its first sentence
 STORY = {
     "story_id": "doc_id",
-    "title": "CASE WHEN doc_id % 4 = 1 THEN substring({F}, 1, 72) || ' - Outlet ' || source ELSE substring({F}, 1, 72) END",
-    "summary": "substring({F}, 73, 400)",
+    "title": "CASE WHEN doc_id % 4 = 1 THEN {T} || ' - Outlet ' || source ELSE {T} END",
+    "summary": "trim(substring({F}, length({T}) + 1))",
     "source": "source",
     "readable": "CASE doc_id % 7 WHEN 0 THEN 'paywalled' WHEN 1 THEN 'metered' WHEN 2 THEN 'thin' ELSE 'open' END",
     "redirect": "doc_id % 13 = 0",
@@ -131,18 +127,25 @@ STORY = {
 }
 
 
+_FIRST = "regexp_extract({F}, '^[^.!?]*[.!?]*', 0)"
+
+
+def _of_story(expression: str, flat: str, first: str) -> str:
+    return expression.replace("{T}", first).replace("{F}", flat)
+
+
 def stories(spark: SparkSession, sf: str) -> DataFrame:
     """News stories from documents; the address comes from pages where the ids meet."""
     d, p = table(spark, sf, "documents"), table(spark, sf, "pages").select("page_id", "url")
     flat = F.trim(F.regexp_replace("text", "[ \\n\\r\\t]+", " "))
-    j = d.withColumn("_flat", F.substring(flat, 1, 500)).join(p, d.doc_id == p.page_id, "left")
+    j = d.withColumn("_flat", flat).withColumn("_first", F.expr(_of_story(_FIRST, "_flat", ""))).join(p, d.doc_id == p.page_id, "left")
     minutes = F.col("doc_id") * 7919 % 10000
     published = (F.unix_seconds(F.to_timestamp(F.lit(AS_OF))) - minutes * 60).cast("timestamp")
-    return j.withColumn("_pub", published).selectExpr(*[f"{e.replace('{F}', '_flat')} AS {n}" for n, e in STORY.items()], "_pub AS published_at")
+    return j.withColumn("_pub", published).selectExpr(*[f"{_of_story(e, '_flat', '_first')} AS {n}" for n, e in STORY.items()], "_pub AS published_at")
 
 
 _SQL_FLAT = "trim(regexp_replace(text, '[ \\n\\r\\t]+', ' ', 'g'))"
-SQL_STORIES = "SELECT " + ", ".join(f"{e.replace('{F}', _SQL_FLAT)} AS {n}" for n, e in STORY.items()) + (
+SQL_STORIES = "SELECT " + ", ".join(f"{_of_story(e, _SQL_FLAT, _of_story(_FIRST, _SQL_FLAT, ''))} AS {n}" for n, e in STORY.items()) + (
     f", TIMESTAMP '{AS_OF}' - to_minutes(CAST(doc_id * 7919 % 10000 AS BIGINT)) AS published_at FROM documents LEFT JOIN pages ON doc_id = page_id")
 
 
