@@ -83,12 +83,12 @@ def related_fresh(fresh: DataFrame, sections: DataFrame, members: DataFrame, sto
     return keyed.select("story_id", F.col("key").alias("a")).join(pairs, "a").select("b.digest_id", "b.section_id", "story_id")
 
 
-def carry_candidates(members, stories, sections, drafts, digests, fresh: DataFrame, current: int, as_of: str, free: int = 16, owned: int = 14, rounds: int = 100) -> DataFrame:
+def carry_candidates(members, stories, sections, drafts, digests, fresh: DataFrame, current: int, as_of: str, free: int = 16, owned: int = 14) -> DataFrame:
     """Sections of earlier digests worth reusing: free ones first, then those another digest owns.
 
     "Already offered by a newer candidate" depends on which newer candidates were kept, so it is settled in rounds:
     a candidate is kept once even all undecided newer ones could not reach half of its stories, and dropped once the
-    kept ones do. The newest undecided candidate is always decidable.
+    kept ones do. The newest undecided candidate is always decidable, so the rounds end.
     """
     here = members.filter(F.col("digest_id") == current).select("story_id").distinct().withColumn("_cur", F.lit(True))
     known = members.filter(F.col("digest_id") != current).join(here, "story_id", "left")
@@ -107,7 +107,7 @@ def carry_candidates(members, stories, sections, drafts, digests, fresh: DataFra
     order = F.struct((-F.unix_seconds("created")).alias("c"), "digest_id", "section_id")
     todo = cut_lineage(km.join(base.filter("NOT already").select(*SECTION, "stories", order.alias("o")), SECTION).select(*SECTION, "story_id", "key", "stories", "o"))
     kept = None
-    for _ in range(rounds):
+    while True:
         pool = todo.select("key", "o", F.lit(False).alias("sure"))
         if kept is not None:
             pool = pool.unionByName(kept.select("key", "o", F.lit(True).alias("sure")))
@@ -121,8 +121,6 @@ def carry_candidates(members, stories, sections, drafts, digests, fresh: DataFra
         todo = cut_lineage(todo.join(vote.filter("keep OR drop"), SECTION, "left_anti"))
         if not todo.limit(1).count():
             break
-    else:
-        raise RuntimeError("carry candidates did not settle")
     ok = base.filter("already").unionByName(base.join(kept.select(*SECTION).distinct(), SECTION, "left_semi").filter("NOT already"))
     by = [F.desc("related"), F.desc("created"), "digest_id", "section_id"]
     first = ok.filter("NOT already").orderBy(*by).limit(free)
@@ -252,13 +250,13 @@ def commentary_window(digests, stats: DataFrame, as_of: str, days: int = 5, top:
     """The latest written daily digests since the last commentary (at most ``days`` back); none when fewer than two."""
     last = digests.filter((F.col("kind") == "commentary") & ~F.col("pool")).agg(F.max("created").alias("_last"))
     floor = F.to_timestamp(F.lit(as_of)) - F.expr(f"INTERVAL '{days}' DAY")
-    since = last.select(F.greatest(F.coalesce("_last", floor), floor).alias("since"), F.lit(1).alias("_one"))
+    since = last.select(F.greatest(F.coalesce("_last", floor), floor).alias("since"))
     d = digests.filter((F.col("kind") != "commentary") & ~F.col("pool")).join(stats.filter("written > 0").select("digest_id"), "digest_id", "left_semi")
-    # the lower bound is one row, so the equi-join on a constant is a broadcast of one row
-    d = d.withColumn("_one", F.lit(1)).join(since, "_one").filter(F.col("created") > F.col("since"))
+    # the lower bound is one row
+    d = d.crossJoin(F.broadcast(since)).filter(F.col("created") > F.col("since"))
     best = d.orderBy(F.desc("created"), "digest_id").limit(top).select("digest_id", "created")
-    n = best.agg(F.count(F.lit(1)).alias("n"), F.lit(1).alias("_one"))
-    return best.withColumn("_one", F.lit(1)).join(n, "_one").filter(F.col("n") >= least).select("digest_id", "created")
+    n = best.agg(F.count(F.lit(1)).alias("n"))
+    return best.crossJoin(F.broadcast(n)).filter(F.col("n") >= least).select("digest_id", "created")
 
 
 # ---- planning ----------------------------------------------------------------------------------------------------------------

@@ -133,28 +133,28 @@ def soft_story(title) -> Column:
 
 
 # ---- order-dependent de-duplication -------------------------------------------------------------------------------
-def first_wins_dedupe(df: DataFrame, order: str, title: str = "title", url: str = "url", rounds: int = 100) -> DataFrame:
+def first_wins_dedupe(df: DataFrame, order: str, title: str = "title", url: str = "url") -> DataFrame:
     """Walk items in ``order`` (unique) and drop those whose title key or clean address was kept before.
 
     A dropped item does not block later ones, so one pass per key would not be exact. Each round keeps the items that
     are first in both of their groups and drops everything that collides with them; rounds repeat until no item is left.
+    The first item left is always kept, so every round shrinks them. An empty title key, as an empty address, is no key.
     Groups are reduced by ``min`` with map-side combine, so a headline on a third of all items is one row per task.
     """
-    keys = cut_lineage(df.select(F.col(order).alias("o"), title_key(title).alias("t"), F.nullif(U.clean_url(url), F.lit("")).alias("u")))
+    keys = cut_lineage(df.select(F.col(order).alias("o"), F.nullif(title_key(title), F.lit("")).alias("t"), F.nullif(U.clean_url(url), F.lit("")).alias("u")))
     left, kept = keys, None
-    for _ in range(rounds):
-        t_first = left.groupBy("t").agg(F.min("o").alias("o"))
+    while True:
+        t_first = left.filter("t is not null").groupBy("t").agg(F.min("o").alias("o"))
         u_first = left.filter("u is not null").groupBy("u").agg(F.min("o").alias("o"))
-        no_url = left.filter("u is null").select("o")
-        win = left.join(t_first.select("o"), "o", "left_semi").join(u_first.select("o").unionByName(no_url), "o", "left_semi")
+        no_url, no_title = left.filter("u is null").select("o"), left.filter("t is null").select("o")
+        win = left.join(t_first.select("o").unionByName(no_title), "o", "left_semi").join(u_first.select("o").unionByName(no_url), "o", "left_semi")
         win = cut_lineage(win)
         kept = win if kept is None else kept.unionByName(win)
-        rest = left.join(win.select("t"), "t", "left_anti")
+        rest = left.join(win.select("o"), "o", "left_anti").join(win.filter("t is not null").select("t"), "t", "left_anti")
         rest = rest.join(win.filter("u is not null").select("u"), "u", "left_anti")
         left = cut_lineage(rest)
         if not left.limit(1).count():
             return df.join(kept.select(F.col("o").alias(order)), order, "left_semi")
-    raise RuntimeError(f"de-duplication did not settle in {rounds} rounds")
 
 
 def per_feed_cap(df: DataFrame, n: int = 40, feed: str = "feed", order: str = "story_id") -> DataFrame:
@@ -275,7 +275,7 @@ def feed_overview(df: DataFrame, profile: Profile, as_of: str, outlets: int = 10
     rows += [row("topic", t, f"t{i}", F.col(f"t{i}") <= 1) for i, (t, _, _) in enumerate(profile)]
     totals = tot.select(F.inline(F.array(*rows)))
     per = base.groupBy("outlet").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "outlet").limit(outlets)
-    ranked = per.withColumn("_r", F.row_number().over(W.orderBy(F.desc("n"), "outlet"))).withColumn("_one", F.lit(1)).join(tot.select("stories", F.lit(1).alias("_one")), "_one")
+    ranked = per.withColumn("_r", F.row_number().over(W.orderBy(F.desc("n"), "outlet"))).crossJoin(F.broadcast(tot.select("stories")))  # one row of totals
     sh = F.round(F.col("n") / F.col("stories"), 6)
     top = ranked.select(F.lit("outlet").alias("section"), F.col("outlet").alias("name"), "n", sh.alias("share"), ((F.col("_r") == 1) & (sh > 0.4)).alias("advice"))
     return totals.unionByName(top)

@@ -92,25 +92,37 @@ def both_ways(pairs: DataFrame) -> DataFrame:
     return pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "shared"))
 
 
-def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, label): connected components, label = smallest node of the component.
 
-    Each round takes the smallest label among neighbours and then follows the label's own label, so chains halve.
-    Lineage is cut by a reliable checkpoint each round. Not converging is an error, never a silent stop.
+    Every node picks its smallest neighbour; of two that picked each other the smaller is a root, and pointer jumping
+    takes each node to its root. Edges between roots are the next round's graph. A round halves the nodes with edges at
+    least, so the rounds are logarithmic and the loop ends by itself. Lineage is cut by a reliable checkpoint each step;
+    all groupings are minima and each join has one row per key on one side, so a hub is no hot task.
     """
-    e = edges.select(F.col("a").alias("x"), F.col("b").alias("y"))
-    e = cut_lineage(e.unionByName(e.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct())
-    # nodes without an edge are their own component and take no part in the rounds
-    ends = e.select(F.col("x").alias("node")).distinct()
-    alone = nodes.select("node").join(ends, "node", "left_anti").select("node", F.col("node").alias("label"))
-    labels = cut_lineage(ends.select("node", F.col("node").alias("label")))
-    for _ in range(max_rounds):
-        seen = e.join(labels.withColumnsRenamed({"node": "y"}), "y").groupBy("x").agg(F.min("label").alias("low"))
-        step = labels.join(seen, labels.node == seen.x, "left").select("node", "label", F.least("label", F.coalesce("low", "label")).alias("new"))
-        up = labels.select(F.col("node").alias("new"), F.col("label").alias("up"))
-        nxt = cut_lineage(step.join(up, "new", "left").select("node", F.col("label").alias("old"), F.least("new", F.coalesce("up", "new")).alias("label")))
-        moved = nxt.filter("old <> label").limit(1).count()
-        labels = nxt.drop("old")
-        if not moved:
-            return labels.unionByName(alone)
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+    live = cut_lineage(edges.filter("a <> b").select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).distinct())
+    tree = None
+    while not live.isEmpty():
+        pick = cut_lineage(live.unionByName(live.select(F.col("y").alias("x"), F.col("x").alias("y"))).groupBy(F.col("x").alias("node")).agg(F.min("y").alias("up")))
+        picked = pick.select(F.col("node").alias("up"), F.col("up").alias("back"))
+        up = pick.join(picked, "up").select("node", F.when((F.col("back") == F.col("node")) & (F.col("node") < F.col("up")), F.col("node")).otherwise(F.col("up")).alias("up"))
+        while True:
+            up = cut_lineage(_jump(up, up).withColumn("moved", F.col("up") != F.col("was")))
+            settled = up.filter("moved").isEmpty()
+            up = up.select("node", "up")
+            if settled:
+                break
+        tree = up if tree is None else cut_lineage(_jump(tree, up).select("node", "up"))
+        rx, ry = up.select(F.col("node").alias("x"), F.col("up").alias("rx")), up.select(F.col("node").alias("y"), F.col("up").alias("ry"))
+        live = cut_lineage(live.join(rx, "x").join(ry, "y").filter("rx <> ry").select(F.least("rx", "ry").alias("x"), F.greatest("rx", "ry").alias("y")).distinct())
+    if tree is None:
+        return nodes.select("node", F.col("node").alias("label"))
+    least = tree.groupBy("up").agg(F.min("node").alias("label"))
+    labels = tree.join(least, "up").select("node", "label")
+    return nodes.select("node").join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
+
+
+def _jump(tree: DataFrame, up: DataFrame) -> DataFrame:
+    """Each node's parent's parent; a parent without one stays."""
+    above = up.select(F.col("node").alias("up"), F.col("up").alias("above"))
+    return tree.join(above, "up", "left").select("node", F.coalesce("above", "up").alias("up"), F.col("up").alias("was"))

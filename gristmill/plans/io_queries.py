@@ -184,11 +184,14 @@ def stream_of(s, sf, name: str):
 
 query("stream_item_dedupe", "SELECT user_id % 40 AS link_key, count(DISTINCT user_id % 40) AS n FROM events GROUP BY 1")(
     lambda s, sf: ST.drain(ST.item_dedupe(stream_of(s, sf, "events").select((F.col("user_id") % 40).alias("link_key"), F.col("ts").alias("pub_ts"))), "dedupe").groupBy("link_key").agg(F.count(F.lit(1)).alias("n")))
-query("stream_unusable_ttl")(lambda s, sf: ST.drain(ST.unusable_ttl(stream_of(s, sf, "events").select(F.col("user_id").alias("story_key"), F.col("ts").alias("t"))), "ttl"))
-query("stream_rate_audit")(lambda s, sf: ST.drain(ST.rate_audit(stream_of(s, sf, "events").select(F.col("user_id").alias("key"), "ts"), limit=3, gap_seconds=86400), "rate"))
+query("stream_unusable_ttl", "WITH e AS (SELECT user_id AS story_key, epoch_us(ts) // 1000 AS t FROM events), g AS (SELECT *, CASE WHEN t < lag(t) OVER w + 86400000 THEN 0 ELSE 1 END AS first FROM e WINDOW w AS (PARTITION BY story_key ORDER BY t)), "
+      "i AS (SELECT *, sum(first) OVER (PARTITION BY story_key ORDER BY t ROWS UNBOUNDED PRECEDING) AS no FROM g) SELECT story_key, min(t) AS hidden_from, max(t) + 86400000 AS hidden_until, CAST(count(*) AS INTEGER) AS marks FROM i GROUP BY story_key, no")(
+    lambda s, sf: ST.drain_updates(ST.unusable_ttl(stream_of(s, sf, "events").select(F.col("user_id").alias("story_key"), F.col("ts").alias("t")), "1 hour"), "ttl", ["story_key", "hidden_from"]))
+query("stream_rate_audit")(lambda s, sf: ST.drain(ST.rate_audit(stream_of(s, sf, "events").select(F.col("user_id").alias("key"), "ts"), "1 hour", limit=3, gap_seconds=86400), "rate"))
 query("usage_last_minute", "SELECT event_id, CAST(sum(CAST(floor(value) AS BIGINT)) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL '86399.999999 seconds' PRECEDING AND CURRENT ROW) AS BIGINT) AS used FROM events")(
     lambda s, sf: ST.usage_last_minute(T.table(s, sf, "events").select("event_id", F.col("user_id").alias("key"), "ts", F.floor("value").alias("tokens")), span_seconds=86400).select("event_id", "used"))
-query("stream_usage_windows")(lambda s, sf: ST.drain(ST.usage_windows(stream_of(s, sf, "events").select(F.col("user_id").alias("key"), "ts", F.floor("value").alias("tokens"))), "usage"))
+query("stream_usage_windows", "SELECT user_id AS key, to_timestamp((CAST(floor(epoch(ts) / 10) AS BIGINT) - k) * 10)::TIMESTAMP AS from_ts, to_timestamp((CAST(floor(epoch(ts) / 10) AS BIGINT) - k) * 10 + 60)::TIMESTAMP AS to_ts, CAST(sum(CAST(floor(value) AS BIGINT)) AS BIGINT) AS tokens FROM events, range(6) r(k) GROUP BY ALL")(
+    lambda s, sf: ST.drain_updates(ST.usage_windows(stream_of(s, sf, "events").select(F.col("user_id").alias("key"), "ts", F.floor("value").alias("tokens")), "60 seconds"), "usage", ["key", "from_ts", "to_ts"]))
 
 
 def story_stream(s, sf):

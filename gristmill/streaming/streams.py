@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import LongType, StructField, StructType
 
 from gristmill.functions.text import clean_title, token_set
 from gristmill.operators import feeds as FE
@@ -29,15 +30,33 @@ def drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     return spark.read.schema(stream.schema).parquet(out)
 
 
+def drain_updates(stream: DataFrame, name: str, keys: list[str]) -> DataFrame:
+    """Like ``drain`` for results that change: every batch writes the rows it changed under its number, and a row of
+    ``keys`` is read as the last batch left it. A repeated batch overwrites its own folder."""
+    spark = stream.sparkSession
+    out, ckpt = scratch_path(spark, name), scratch_path(spark, f"{name}-ckpt")
+    columns = [c for c in stream.columns if c not in keys]
+
+    def step(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{out}/_batch={batch}")
+
+    stream.writeStream.outputMode("update").option("checkpointLocation", ckpt).trigger(availableNow=True).foreachBatch(step).start().awaitTermination()
+    log = spark.read.schema(StructType([*stream.schema.fields, StructField("_batch", LongType())])).parquet(out)
+    last = log.groupBy(*keys).agg(F.max_by(F.struct(*columns), "_batch").alias("_last"))
+    return last.select(*keys, "_last.*").select(*stream.columns)
+
+
 def item_dedupe(items: DataFrame, when: str = "pub_ts", key: str = "link_key", days: int = 5) -> DataFrame:
     """First item per link key inside the watermark; items later than the watermark are dropped."""
     return items.withWatermark(when, f"{days} days").dropDuplicatesWithinWatermark([key])
 
 
-def unusable_ttl(marks: DataFrame, key: str = "story_key", when: str = "t", hours: int = 24) -> DataFrame:
-    """Intervals in which a story is hidden: (key, hidden_from, hidden_until, marks).
+def unusable_ttl(marks: DataFrame, delay: str, key: str = "story_key", when: str = "t", hours: int = 24) -> DataFrame:
+    """Intervals in which a story is hidden, in milliseconds: (key, hidden_from, hidden_until, marks), in update mode.
 
-    A mark hides its story for 24 hours; marking it again renews the time. The interval is emitted when it ends.
+    A mark hides its story for 24 hours; marking it again renews the time. An interval is emitted when it opens and again
+    whenever it is renewed, so open ones are known too; ``drain_updates`` keeps the last state of (key, hidden_from).
+    Marks that come later than ``delay`` are dropped.
     """
     span = hours * 3600 * 1000
     kind = dict(marks.dtypes)[key]
@@ -47,7 +66,6 @@ def unusable_ttl(marks: DataFrame, key: str = "story_key", when: str = "t", hour
         start, last, n = state.get if state.exists else (None, None, 0)
         if state.hasTimedOut:
             state.remove()
-            done.append((k[0], start, last + span, n))
         else:
             times = sorted(int(t) for b in batches for t in b["_ms"])
             for t in times:
@@ -55,17 +73,18 @@ def unusable_ttl(marks: DataFrame, key: str = "story_key", when: str = "t", hour
                     done.append((k[0], start, last + span, n))
                     start, n = None, 0
                 start, last, n = (t if start is None else start), t, n + 1
+            done.append((k[0], start, last + span, n))
             state.update((start, last, n))
             state.setTimeoutTimestamp(max(last + span, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(done, columns=[key, "hidden_from", "hidden_until", "marks"])
 
-    x = marks.withWatermark(when, "0 seconds").withColumn("_ms", F.unix_millis(when)).select(key, when, "_ms")
+    x = marks.withWatermark(when, delay).withColumn("_ms", F.unix_millis(when)).select(key, when, "_ms")
     return x.groupBy(key).applyInPandasWithState(
-        run, f"{key} {kind}, hidden_from bigint, hidden_until bigint, marks int", "start bigint, last bigint, n int", "append", GroupStateTimeout.EventTimeTimeout)
+        run, f"{key} {kind}, hidden_from bigint, hidden_until bigint, marks int", "start bigint, last bigint, n int", "update", GroupStateTimeout.EventTimeTimeout)
 
 
-def rate_audit(hits: DataFrame, key: str = "key", when: str = "ts", limit: int = 3, gap_seconds: int = 600, delay: str = "0 seconds") -> DataFrame:
-    """(key, ts, accepted) per hit. A counter lives until ``gap_seconds`` pass without an accepted hit; at the limit hits are refused."""
+def rate_audit(hits: DataFrame, delay: str, key: str = "key", when: str = "ts", limit: int = 3, gap_seconds: int = 600) -> DataFrame:
+    """(key, ts, accepted) per hit that is not later than ``delay``. A counter lives until ``gap_seconds`` pass without an accepted hit; at the limit hits are refused."""
     kind, gap = dict(hits.dtypes)[key], gap_seconds * 1_000_000
 
     def run(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -92,8 +111,8 @@ def rate_audit(hits: DataFrame, key: str = "key", when: str = "ts", limit: int =
     return out.select(key, F.timestamp_micros("us").alias("ts"), "accepted")
 
 
-def usage_windows(hits: DataFrame, key: str = "key", when: str = "ts", tokens: str = "tokens", size: str = "60 seconds", step: str = "10 seconds", delay: str = "60 seconds") -> DataFrame:
-    """Tokens per key in sliding windows."""
+def usage_windows(hits: DataFrame, delay: str, key: str = "key", when: str = "ts", tokens: str = "tokens", size: str = "60 seconds", step: str = "10 seconds") -> DataFrame:
+    """Tokens per key in sliding windows; in update mode (``drain_updates``) windows that are still open count too."""
     g = hits.withWatermark(when, delay).groupBy(F.window(when, size, step).alias("w"), key).agg(F.sum(tokens).alias("tokens"))
     return g.select(key, F.col("w.start").alias("from_ts"), F.col("w.end").alias("to_ts"), "tokens")
 
@@ -125,8 +144,8 @@ def coverage_job(stories: DataFrame, name: str, when: str = "published_at", hour
         # writing under the batch number makes a repeated batch overwrite itself
         new.select("story_id", "title", "source", F.col(when).alias("published_at")).write.mode("overwrite").parquet(f"{past}/_batch={batch}")
         seen = spark.read.schema(schema).parquet(past).filter(F.col("_batch") <= batch)
-        newest = seen.agg(F.max("published_at").alias("_m")).withColumn("_one", F.lit(1))
-        live = seen.withColumn("_one", F.lit(1)).join(newest, "_one").filter(F.col("published_at") > F.col("_m") - F.expr(f"INTERVAL '{hours}' HOUR"))
+        newest = seen.agg(F.max("published_at").alias("_m"))
+        live = seen.crossJoin(F.broadcast(newest)).filter(F.col("published_at") > F.col("_m") - F.expr(f"INTERVAL '{hours}' HOUR"))
         FE.coverage(live.select("story_id", "title", "source")).select("story_id", "coverage").write.mode("overwrite").parquet(f"{out}/_batch={batch}")
 
     return stories.writeStream.foreachBatch(step).option("checkpointLocation", ckpt).trigger(availableNow=True).start(), out

@@ -18,7 +18,7 @@ def event_folder(spark, tmp_path, rows):
 def test_rate_audit_against_a_counter(spark, tmp_path):
     rnd = random.Random(1)
     rows = [(rnd.choice("ab"), 1_700_000_000 + rnd.randint(0, 6000)) for _ in range(80)]
-    got = ST.drain(ST.rate_audit(event_folder(spark, tmp_path, rows), limit=3, gap_seconds=600), "t").collect()
+    got = ST.drain(ST.rate_audit(event_folder(spark, tmp_path, rows), "1 hour", limit=3, gap_seconds=600), "t").collect()
     want, state = [], {}
     for k, t in sorted(rows, key=lambda r: (r[0], r[1])):
         n, last = state.get(k, (0, None))
@@ -33,6 +33,16 @@ def test_rate_audit_against_a_counter(spark, tmp_path):
     assert sorted((r.key, r.accepted) for r in got) == sorted(want)
 
 
+def test_hidden_intervals_over_several_batches(spark, tmp_path):
+    day = 86400
+    schema = "story_key string, t timestamp"
+    for i, rows in enumerate([[("a", 0), ("b", 10)], [("a", day - 1)], [("a", 3 * day), ("b", day + 10)], [("c", 3 * day)]]):
+        spark.createDataFrame([(k, 1_700_000_000 + t) for k, t in rows], "k string, s bigint").select(F.col("k").alias("story_key"), F.timestamp_seconds("s").alias("t")).coalesce(1).write.parquet(str(tmp_path / "in" / f"{i}"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+    got = {(r.story_key, r.hidden_from // 1000 - 1_700_000_000, r.hidden_until // 1000 - 1_700_000_000, r.marks) for r in ST.drain_updates(ST.unusable_ttl(stream, "10 days"), "h", ["story_key", "hidden_from"]).collect()}
+    assert got == {("a", 0, 2 * day - 1, 2), ("a", 3 * day, 4 * day, 1), ("b", 10, day + 10, 1), ("b", day + 10, 2 * day + 10, 1), ("c", 3 * day, 4 * day, 1)}
+
+
 def test_dedupe_and_usage(spark, tmp_path):
     rows = [("a", 1_700_000_000), ("a", 1_700_000_030), ("b", 1_700_000_059), ("a", 1_700_000_060), ("a", 1_700_000_061)]
     s = event_folder(spark, tmp_path, rows).withColumnsRenamed({"key": "link_key", "ts": "pub_ts"})
@@ -47,5 +57,5 @@ def test_stream_coverage_equals_batch(spark):
     from gristmill.plans.io_queries import story_stream
     got = {r.story_id: r.coverage for r in QUERIES["stream_coverage"](spark, SF).collect()}
     flat = F.trim(F.regexp_replace("text", "[ \\n\\r\\t]+", " "))
-    docs = spark.read.parquet(f"{SF}/documents.parquet").select(F.col("doc_id").alias("story_id"), F.substring(flat, 1, 72).alias("title"), "source")
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select(F.col("doc_id").alias("story_id"), F.regexp_extract(flat, "^[^.!?]*[.!?]*", 0).alias("title"), "source")
     assert got == {r.story_id: r.coverage for r in FE.coverage(docs).collect()}
