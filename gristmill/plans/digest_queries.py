@@ -78,7 +78,13 @@ query("digest_quality_relative", f"{B}, {QUAL}, {OVER}, hit AS (SELECT a AS dige
     on(lambda x: D.digest_quality_relative(x["di"], quality(x, True), x["m"], x["st"])))
 query("weak_digest_filter", f"{B}, {QUAL} SELECT digest_id, score, grade FROM ql JOIN digests USING (digest_id) WHERE grade IN ('weak', 'none') AND NOT exported AND digest_id <> {CUR}")(
     on(lambda x: D.weak_digest_filter(x["di"], quality(x), CUR)))
-query("digest_dup_groups")(on(lambda x: D.digest_dup_groups(x["m"], x["st"], x["di"], quality(x))))
+_RB = B.replace("WITH ", "WITH RECURSIVE ", 1)
+query("digest_dup_groups", f"{_RB}, {QUAL}, {OVER}, q AS (SELECT ql.digest_id, score, created, exported FROM ql JOIN digests USING (digest_id) WHERE grade <> 'none' AND NOT pool), "
+      "lk AS (SELECT a, b FROM ds JOIN dn p ON p.digest_id = a JOIN dn r ON r.digest_id = b WHERE a IN (SELECT digest_id FROM q) AND b IN (SELECT digest_id FROM q) AND shared / least(p.n, r.n) >= 0.35), "
+      "reach(x, y) AS (SELECT digest_id, digest_id FROM q UNION SELECT x, b FROM reach JOIN lk ON a = y), gr AS (SELECT x AS digest_id, min(y) AS group_id FROM reach GROUP BY x), j AS (SELECT * FROM q JOIN gr USING (digest_id)), "
+      "best AS (SELECT group_id, arg_max(digest_id, (exported, score, created, -digest_id)) AS keep_id, count(*) AS n FROM j GROUP BY 1) "
+      "SELECT digest_id, group_id, digest_id = keep_id AS keep, digest_id <> keep_id AND NOT exported AS \"drop\" FROM j JOIN best USING (group_id) WHERE n > 1")(
+    on(lambda x: D.digest_dup_groups(x["m"], x["st"], x["di"], quality(x))))
 STATS = "ss AS (SELECT digest_id, count(*) AS sections, count(*) FILTER (WHERE included) AS planned, count(*) FILTER (WHERE included AND w.status = 'done') AS written FROM sections s LEFT JOIN (SELECT digest_id, section_id, status FROM drafts) w USING (digest_id, section_id) GROUP BY 1), sn AS (SELECT digest_id, count(DISTINCT story_id) AS stories FROM section_stories GROUP BY 1), stats AS (SELECT ss.*, stories, sections - planned AS \"left\" FROM ss JOIN sn USING (digest_id))"
 query("digest_stats", f"{B}, {STATS} SELECT * FROM stats")(on(lambda x: D.digest_stats(x["m"], x["se"], x["dr"])))
 query("commentary_window", f"{B}, {STATS}, since AS (SELECT greatest(coalesce((SELECT max(created) FROM digests WHERE kind = 'commentary' AND NOT pool), TIMESTAMP '{AS_OF}' - INTERVAL 5 DAY), TIMESTAMP '{AS_OF}' - INTERVAL 5 DAY) AS t), "

@@ -54,7 +54,12 @@ scalar("shorten", lambda: TX.shorten("summary", 60), Q.shorten("summary", 60))
 scalar("thin_url_filter", lambda: U.is_thin_url("url"), f"regexp_matches(url, '{U.THIN_URL_RE}')")
 scalar("soft_story_filter", lambda: FE.soft_story(F.concat("title", F.when(F.col("story_id") % 9 == 0, F.lit(" Film Festival")).otherwise(""))),
        f"regexp_matches(title || CASE WHEN story_id % 9 = 0 THEN ' Film Festival' ELSE '' END, '{FE.SOFT_RE}')")
-scalar("meta_fit", lambda: TX.meta_fit("summary"), None)
+_mf = Q.collapse("coalesce(summary, '')")
+_cut = f"substring({_mf}, 1, 150)"
+_at = lambda sep: f"CASE WHEN contains({_cut}, '{sep}') THEN length({_cut}) - instr(reverse({_cut}), '{sep[::-1]}') - {len(sep) - 1} ELSE -1 END"
+_word = f"CASE WHEN {_at(' ')} > 90 THEN substring({_cut}, 1, {_at(' ')}) ELSE {_cut} END"
+scalar("meta_fit", lambda: TX.meta_fit("summary"), f"CASE WHEN length({_mf}) <= 150 THEN {_mf} WHEN greatest({_at('. ')}, {_at('; ')}) > 90 THEN substring({_cut}, 1, greatest({_at('. ')}, {_at('; ')}) + 1) "
+       f"ELSE regexp_replace({_word}, '[,;:\\s]+$', '') || '…' END")
 _h = f"(epoch_us({AT}) - epoch_us(published_at)) / 3.6e9"
 scalar("age_hours", lambda: F.round(FE.age_hours("published_at", AS_OF), 6), f"round({_h}, 6)")
 
@@ -237,7 +242,11 @@ query("resolve_source", f"{S}, {REL}, sec AS (WITH {SEC} SELECT x AS story_id, y
       "ev AS (SELECT story_id, story_id AS sid, 0 AS p, 'direct' AS via FROM st WHERE readable NOT IN ('paywalled', 'thin') UNION ALL SELECT story_id, sid, 1, 'alternative' FROM al UNION ALL SELECT story_id, sid, rank + 1, 'alternative' FROM sec WHERE rank <= 3) "
       "SELECT story_id, arg_min(via, p) AS via, arg_min(sid, p) AS source_story_id FROM ev WHERE sid % 3 <> 1 GROUP BY story_id")(
     lambda s, sf: FE.resolve_source(stories(s, sf), stories(s, sf).filter(_art).select("story_id")))
-query("event_groups")(lambda s, sf: FE.event_groups(stories(s, sf)))
+query("event_groups", f"{S.replace('WITH ', 'WITH RECURSIVE ', 1)}, u AS (SELECT * FROM (SELECT story_id, coalesce(nullif(source, ''), CAST(story_id AS VARCHAR)) AS outlet, list_distinct({Q.tokens(Q.clean_title('title'))}) AS t FROM st) WHERE len(t) >= 2), "
+      "e AS (SELECT story_id, len(t) AS n, unnest(t) AS w FROM u), p AS (SELECT a.story_id AS a, b.story_id AS b FROM e a JOIN e b ON a.w = b.w AND a.story_id <> b.story_id GROUP BY a.story_id, b.story_id, a.n, b.n HAVING 5 * count(*) >= 2 * greatest(3, least(a.n, b.n))), "
+      "reach(x, y) AS (SELECT story_id, story_id FROM u UNION SELECT x, b FROM reach JOIN p ON a = y), g AS (SELECT x AS story_id, min(y) AS group_id FROM reach GROUP BY x), "
+      "z AS (SELECT group_id, count(*) AS stories, count(DISTINCT outlet) AS outlets FROM g JOIN u USING (story_id) GROUP BY 1) SELECT story_id, group_id, stories, outlets FROM g JOIN z USING (group_id) WHERE stories >= 2 AND outlets >= 2")(
+    lambda s, sf: FE.event_groups(stories(s, sf)))
 query("site_sample", f"WITH p AS (SELECT page_id, {Q.host('url')} AS site, substring({Q.collapse('regexp_extract(html, chr(60) || ' + chr(39) + '(?is)title[^>]*>(.*?)</title>' + chr(39) + ', 1)')}, 1, 120) AS title FROM pages), r AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY page_id) AS n FROM p) SELECT site, page_id, title FROM r WHERE n <= 15"
       .replace("regexp_extract(html, chr(60) || '(?is)title[^>]*>(.*?)</title>', 1)", "regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)"))(
     lambda s, sf: FE.site_sample(T.table(s, sf, "pages")).select("site", "page_id", "title"))
