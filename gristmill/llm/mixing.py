@@ -5,7 +5,8 @@ is shared again by weight among the others (water filling, so the result is the
 
 Selection inside a source (Efraimidis-Spirakis): every document draws an exponential key, ``-ln(u) / quality``, from a
 hash of its id. The target is first served by complete epochs of the source; the rest goes to the documents in key
-order, each as long as the running sum of words stays nearest to the rest (a document enters if half of it still fits).
+order as long as the running sum of words fits. What is then left, less than the next document, goes to the one document
+whose size comes nearest to it, if taking it brings the source nearer to its target (the first by key of equals).
 
 A hot source is never sorted in one task: its keys are dealt to buckets by an estimate of their rank, a running sum of the
 bucket totals is one small row per ``BUCKET_DOCS`` documents, and only inside a bucket are documents sorted.
@@ -66,7 +67,7 @@ def mix(docs: DataFrame, weight: Column, budget_share: float = 1.5, cap: float =
     ``weight`` is the weight of a source, computed over the table of sources, where ``rank`` counts them from 1 by code
     point, null last. ``copies`` says how often the mix repeats the document, ``taken`` how many words that makes.
     """
-    return _draw(docs, weight, budget_share, cap).drop("_key", "epochs")
+    return _draw(docs, weight, budget_share, cap).drop("_key", "epochs", "_fits", "_closes")
 
 
 def mixed_documents(docs: DataFrame, weight: Column, budget_share: float = 1.5, cap: float = 2.0) -> DataFrame:
@@ -76,12 +77,14 @@ def mixed_documents(docs: DataFrame, weight: Column, budget_share: float = 1.5,
     the last one taken are all taken.
     """
     drawn = _draw(docs, weight, budget_share, cap)
-    last = F.max(F.when(F.col("copies") > F.col("epochs"), F.struct("_key", "doc_id", "size")))
-    ends = cut(drawn.groupBy("source").agg(last.alias("_last"), F.max("epochs").alias("_epochs")).withColumnRenamed("source", "_s"))
+    place = F.struct("_key", "doc_id", "size")
+    ends = cut(drawn.groupBy("source").agg(
+        F.max(F.when(F.col("_fits"), place)).alias("_last"), F.max(F.when(F.col("_closes"), place)).alias("_close"), F.max("epochs").alias("_epochs")).withColumnRenamed("source", "_s"))
     size = words(F.col("text"))
     key = -F.log(unit(F.col("doc_id"))) / marks_quality(F.col("text"), size)
     rows = _per_source(docs, ends)
-    more = F.coalesce(F.struct(key.alias("_key"), F.col("doc_id"), size.alias("size")) <= F.col("_last"), F.lit(False)).cast("long")
+    place = F.struct(key.alias("_key"), F.col("doc_id"), size.alias("size"))
+    more = (F.coalesce(place <= F.col("_last"), F.lit(False)) | F.coalesce(place.eqNullSafe(F.col("_close")), F.lit(False))).cast("long")
     # a generator, so that the words are counted once and not again to filter on them
     taken = F.filter(F.array(F.when(size > 0, F.col("_epochs") + more).otherwise(F.lit(0))), lambda c: c > 0)
     return rows.select(*[c for c in docs.columns if c != "copies"], F.explode(taken).alias("copies"))
@@ -119,6 +122,14 @@ def _draw(docs: DataFrame, weight: Column, budget_share: float, cap: float) -> D
     rows = rows.join(sums, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_bucket") == F.col("_b")))
     inside = W.partitionBy("source", "_bucket").orderBy("_key", "doc_id", "size").rowsBetween(W.unboundedPreceding, W.currentRow)
     reached = F.col("_before") + F.sum("size").over(inside)
-    rows = rows.withColumn("copies", F.col("epochs") + (reached - F.col("size") / 2 <= F.col("rest")).cast("long"))
-    copies = F.when(F.col("size") > 0, F.col("copies")).otherwise(F.lit(0).cast("long"))
-    return rows.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), "_key", "epochs")
+    rows = rows.withColumn("_reached", reached).withColumn("_fits", (F.col("size") > 0) & (F.col("_reached") <= F.col("rest")))
+    rows = cut(rows.select("doc_id", "source", "size", "source_size", "target", "epochs", "rest", "_key", "_reached", "_fits"))
+    gap = F.max("rest") - F.coalesce(F.max(F.when(F.col("_fits"), F.col("_reached"))), F.lit(0))
+    gaps = cut(rows.groupBy("source").agg(gap.alias("_gap")).withColumnRenamed("source", "_s"))
+    rows = _per_source(rows, gaps)
+    near = rows.filter(~F.col("_fits") & (F.col("size") > 0) & (F.col("size") < 2 * F.col("_gap")))
+    close = near.groupBy("source").agg(F.min(F.struct(F.abs(F.col("size") - F.col("_gap")).alias("off"), "_key", "doc_id", "size")).alias("c"))
+    close = cut(gaps.join(close, F.col("_s").eqNullSafe(F.col("source")), "left").select("_s", F.struct("c._key", "c.doc_id", "c.size").alias("_close")))
+    rows = _per_source(rows, close).withColumn("_closes", ~F.col("_fits") & F.struct("_key", "doc_id", "size").eqNullSafe(F.col("_close")))
+    copies = F.when(F.col("size") > 0, F.col("epochs") + (F.col("_fits") | F.col("_closes")).cast("long")).otherwise(F.lit(0).cast("long"))
+    return rows.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), "_key", "epochs", "_fits", "_closes")

@@ -42,9 +42,11 @@ lv AS (
   SELECT d.*, g.s, g.t, CASE WHEN g.s > 0 THEN floor(g.t / g.s) ELSE 0 END AS e,
     sum(d.size) OVER (PARTITION BY d.source ORDER BY d.k, d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS r
   FROM drawn d JOIN goal g ON d.source IS NOT DISTINCT FROM g.source
-)
+), fit AS (SELECT *, size > 0 AND r <= t - e * s AS fits FROM run),
+gap AS (SELECT *, t - e * s - coalesce(max(CASE WHEN fits THEN r END) OVER (PARTITION BY source), 0) AS g FROM fit),
+near AS (SELECT *, CASE WHEN NOT fits AND size > 0 AND size < 2 * g THEN row_number() OVER (PARTITION BY source, NOT fits AND size > 0 AND size < 2 * g ORDER BY abs(size - g), k, doc_id) END AS n FROM gap)
 SELECT doc_id, CAST(size AS BIGINT) AS size, s AS source_size, t AS target,
-  CAST(size * (e + CASE WHEN r - size / 2.0 <= t - e * s THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM run
+  CAST(size * (e + CASE WHEN fits OR n = 1 THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM near
 """
 
 URL_FILTER = r"""
