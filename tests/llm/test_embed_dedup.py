@@ -59,3 +59,19 @@ def test_recall_with_narrow_windows(spark):
     want = brute(rows)
     got = embed_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), window=8).collect()
     assert sum(r.n_links for r in got) >= 0.98 * sum(w[1] for w in want) > 0
+
+
+def test_recall_of_vectors_with_a_common_mean(spark):
+    rng = np.random.default_rng(3)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    common = unit(rng.standard_normal((1, 64)))
+    base = unit(3 * common + unit(rng.standard_normal((6000, 64))))
+    side = rng.standard_normal((300, 64))
+    side = unit(side - (side * base[:300]).sum(axis=1, keepdims=True) * base[:300])
+    cosine = rng.uniform(0.981, 0.99, (300, 1))
+    x = np.vstack([base, cosine * base[:300] + np.sqrt(1 - cosine * cosine) * side])
+    assert 0.85 < (base[:500] @ base[500:1000].T).mean() < 0.95
+    want = (x @ x.T >= 0.98).sum(axis=1) - 1
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(x)]
+    got = embed_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert sum(r.n_links for r in got) >= 0.998 * want.sum() >= 500
