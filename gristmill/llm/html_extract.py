@@ -19,6 +19,7 @@ import html as entities
 import math
 import re
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -37,6 +38,8 @@ BLOCKS = {
 INLINE = {"a", "abbr", "b", "cite", "code", "em", "i", "img", "mark", "q", "s", "small", "span", "strong", "sub", "sup", "time", "u"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 NEVER = {"head", "title", "nav", "footer", "aside", "form", "button", "label", "dialog", "menu", "object", "canvas", "audio", "video", "fieldset"}
+#: Of these, what may also be wrapped around the whole page.
+WRAPPERS = {"form", "fieldset", "object"}
 #: Words in class, id and role that name what is not content.
 NOT_CONTENT = {
     "ad", "ads", "advert", "adverts", "advertisement", "advertisements", "advertising", "adsense", "adslot", "sponsor", "sponsored", "promo", "promotion", "banner", "cookie", "cookies",
@@ -101,6 +104,9 @@ def without_furniture(seq: list[tuple], ends: list[int], marks: list[tuple[int,
     keep, i, depth_end = [], 0, -1
     starts = {a: b for a, b in marks}
     titles = [k for k, t in enumerate(seq) if t[0] == "h1" and t[1] is False]
+    words = [0]
+    if any(t[0] in WRAPPERS for t in seq):
+        words += accumulate(0 if name else len(text.split()) for name, text, _ in seq)
     while i < len(seq):
         name, closing, attributes = seq[i]
         if i in starts:
@@ -108,11 +114,14 @@ def without_furniture(seq: list[tuple], ends: list[int], marks: list[tuple[int,
         if name and closing is False:
             end = ends[i]
             drop = name in NEVER or (name == "header" and i > depth_end)
-            if not drop and "=" in attributes or "hidden" in attributes:
+            # a form around the content, or around most of the page, goes on as a block; its controls are dropped one by one
+            if name in WRAPPERS and end >= 0:
+                drop = not any(i < a < end for a in starts) and not any(i < t < end for t in titles) and 2 * (words[end] - words[i]) <= words[-1]
+            if not drop and ("=" in attributes or "hidden" in attributes):
                 names, hidden, _ = _attributes(attributes)
                 drop = hidden or bool(names & NOT_CONTENT) or ("header" in names and i > depth_end)
                 # a wrapper named after one of its parts still holds the content
-                if drop and name not in NEVER and end >= 0:
+                if drop and (name in WRAPPERS or name not in NEVER) and end >= 0:
                     drop = name not in ("html", "body", "main") and not any(i < a < end for a in starts) and not any(i < t < end for t in titles)
             if drop:
                 if name == "p":

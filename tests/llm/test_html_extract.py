@@ -29,6 +29,20 @@ def test_templates():
     assert H.main_text(page(links + f"<div>{BODY}</div>" + links), W) == TEXT
 
 
+def test_forms_around_the_page_and_hidden_menus():
+    controls = "<input name=v value=x><label>Find words here</label><button>Go there now</button><select><option>One of many</option></select>"
+    for wrapper in ("form id=aspnetForm", "object", "fieldset class=search"):
+        tag = wrapper.split()[0]
+        for inner in (f"<article>{BODY}</article>", f"<main>{BODY}</main>"):
+            assert H.main_text(page(f"<{wrapper}>{controls}{inner}{controls}</{tag}>"), W) == TEXT
+        assert H.main_text(page(f"<{wrapper}><h1>Head line</h1><div>{BODY}</div>{controls}</{tag}>"), W) == "Head line\n" + TEXT
+    assert H.main_text(page(f"<form action=/>{controls}<div>{BODY}</div></form>"), W) == TEXT
+    menu = '<nav class="visually-hidden">Menu words menu words menu words</nav>'
+    foot = '<footer class="hidden-print">Footer words footer words footer words</footer>'
+    form = "<form class=hidden-print><p>Write to us with some words</p></form>"
+    assert H.main_text(page(f"<div>{menu}{BODY}{form}{foot}</div>"), W) == TEXT
+
+
 def test_odd_input():
     assert [H.main_text(x, W) for x in (None, "", "<p></p>", "<", "<!-- never closed", "<script>x")] == ["", "", "", "<", "", ""]
     assert H.main_text("plain &lt;text&gt; &#233; &#x1F600;", W) == "plain <text> é \U0001f600"
