@@ -1,7 +1,8 @@
 """Resolving not-modified revisits of a web archive: as-of join by canonical URL to the latest earlier full response.
 
 Records are (record_id, url, ts, kind, status, headers, payload): ``kind`` is ``response`` or ``revisit``, headers a map
-with any case of names. A revisit belongs to the latest response of its canonical URL with an earlier time (of several
+with any case of names. Only full responses count: those of status 200, or without a status where it is null or the
+column is missing. A revisit belongs to the latest full response of its canonical URL with an earlier time (of several
 at that time, the one with the largest record_id). It is *resolved* if the validators agree: an ETag that both have must be
 equal (weak comparison), else a Last-Modified that both have must be; a revisit without any common validator is
 *unverified*, one with a differing validator is *stale*, one without earlier response is an *orphan*. Only resolved
@@ -53,12 +54,18 @@ def _tag(headers: Column) -> Column:
     return F.regexp_replace(F.trim(F.element_at(headers, "etag")), "^W/", "")
 
 
+def _full(records: DataFrame) -> Column:
+    """Is the record a response with the whole payload?"""
+    status = F.expr("try_cast(status AS int)") if "status" in records.columns else F.lit(None).cast("int")
+    return (F.col("kind") == "response") & (F.coalesce(status, F.lit(200)) == 200)
+
+
 def resolve(records: DataFrame, chunk_seconds: int = CHUNK_SECONDS) -> DataFrame:
     """One row for each revisit: (record_id, canonical, ts, state, refers_to, headers); see the module's text."""
-    r = records.select("record_id", canonical_url(F.col("url")).alias("canonical"), F.col("ts").cast("timestamp").alias("ts"), "kind", lowered(F.col("headers")).alias("h"))
+    r = records.select("record_id", canonical_url(F.col("url")).alias("canonical"), F.col("ts").cast("timestamp").alias("ts"), "kind", _full(records).alias("_full"), lowered(F.col("headers")).alias("h"))
     keyed = F.col("canonical").isNotNull() & F.col("ts").isNotNull() & F.col("record_id").isNotNull()
     r = cut(r.withColumn("_chunk", F.when(keyed, F.floor(F.unix_seconds("ts") / chunk_seconds))))
-    response = F.when((F.col("kind") == "response") & keyed, F.struct("ts", "record_id", "h"))
+    response = F.when(F.col("_full") & keyed, F.struct("ts", "record_id", "h"))
     lost = r.filter((F.col("kind") == "revisit") & F.col("_chunk").isNull())
     r = r.filter("_chunk IS NOT NULL").withColumn("_response", response)
     lasts = r.filter("_response IS NOT NULL").groupBy("canonical", "_chunk").agg(F.max_by("_response", F.struct("ts", "record_id")).alias("_last"))
@@ -85,6 +92,6 @@ def resolve(records: DataFrame, chunk_seconds: int = CHUNK_SECONDS) -> DataFrame
 
 def with_payload(resolved: DataFrame, records: DataFrame) -> DataFrame:
     """The resolved revisits with the payload of the response they refer to; the others with null."""
-    full = records.filter("kind = 'response' AND record_id IS NOT NULL").select(F.col("record_id").alias("_id"), "payload").dropDuplicates(["_id"])
+    full = records.filter(_full(records) & F.col("record_id").isNotNull()).select(F.col("record_id").alias("_id"), "payload").dropDuplicates(["_id"])
     wanted = F.when(F.col("state") == "resolved", F.col("refers_to"))
     return resolved.withColumn("_wanted", wanted).join(full, F.col("_wanted") == F.col("_id"), "left").drop("_wanted", "_id")

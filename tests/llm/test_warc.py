@@ -55,3 +55,17 @@ def test_canonical(spark):
     urls = ["HTTP://www.Example.com:80/a/?b=2&a=1&utm_source=x#f", "https://example.com/a?a=1&b=2", "example.com/a/?a=1&b=2&ref=z", None, "", "http://u:p@x.org/é?"]
     got = [r[0] for r in spark.createDataFrame([(u,) for u in urls], "u string").select(warc.canonical_url(F.col("u"))).collect()]
     assert got == ["example.com/a?a=1&b=2"] * 3 + [None, "", "x.org/é"]
+
+
+def test_only_full_responses_are_referred_to(spark):
+    tag = {"ETag": '"1"'}
+    other = {"ETag": '"2"'}
+    rows = [(1, "http://a.com/x", T0, "response", 200, tag, "whole"), (9, "http://a.com/x", T0 + timedelta(hours=9), "revisit", 304, tag, None)]
+    rows += [(i + 2, "http://a.com/x", T0 + timedelta(hours=i + 1), "response", status, tag if status == 206 else other, "part") for i, status in enumerate((404, 301, 304, 503, 206))]
+    rows += [(20, "http://b.com/x", T0, "response", None, tag, "unknown"), (21, "http://b.com/x", T0 + timedelta(hours=1), "revisit", 304, tag, None)]
+    rows += [(30, "http://c.com/x", T0, "response", 206, tag, "part"), (31, "http://c.com/x", T0 + timedelta(hours=1), "revisit", 304, tag, None)]
+    df = spark.createDataFrame(rows, "record_id long, url string, ts timestamp, kind string, status int, headers map<string,string>, payload string")
+    for records in (df, df.withColumn("status", F.col("status").cast("string"))):
+        for seconds in (warc.CHUNK_SECONDS, 120):
+            got = {r.record_id: (r.state, r.refers_to, r.payload) for r in warc.with_payload(warc.resolve(records, seconds), records).collect()}
+            assert got == {9: ("resolved", 1, "whole"), 21: ("resolved", 20, "unknown"), 31: ("orphan", None, None)}
