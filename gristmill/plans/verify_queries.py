@@ -225,7 +225,7 @@ def seo_checks(s, sf):
 
 @query("watch_bad_count")
 def watch_bad_count(s, sf):
-    corp = D.source_corpus(DT.section_stories(s, sf), T.stories(s, sf), articles(s, sf)).groupBy("digest_id").agg(F.array_join(F.collect_list("corpus"), " ").alias("corpus"))
+    corp = D.source_corpus(DT.section_stories(s, sf), T.stories(s, sf), articles(s, sf), top=None).groupBy("digest_id").agg(F.array_join(F.collect_list("corpus"), " ").alias("corpus"))
     return V.watch_bad_count(DT.frames(s, sf), corp, "digest_id")
 
 

@@ -133,8 +133,8 @@ def _article_body(blocks: list[str]) -> str:
     return re.sub(r"[ \t]+", " ", re.sub(r"<[^>]*>", "", html.unescape(best))).strip()
 
 
-def parse_page(markup: str | None) -> tuple[str, str | None, str]:
-    """(title, article text or None when under the minimum, body text)."""
+def parse_page(markup: str | None, text_max: int | None = TEXT_MAX) -> tuple[str, str | None, str]:
+    """(title, article text or None when under the minimum, body text); the article is cut at ``text_max`` if that is given."""
     page = _Page()
     page.feed(markup or "")
     page.close()
@@ -151,16 +151,16 @@ def parse_page(markup: str | None) -> tuple[str, str | None, str]:
         loose = "\n".join(dict.fromkeys(t for t in map(_flat, page.loose) if len(t) >= LOOSE_MIN))
         text = max(text, loose, key=len)
     seen = re.sub(r"[ \t]*\n\s*", "\n", re.sub(r"[ \t]+", " ", "".join(page.visible))).strip()
-    return title, (text[:TEXT_MAX] if len(text) >= TEXT_MIN else None), seen
+    return title, (text[:text_max] if len(text) >= TEXT_MIN else None), seen
 
 
-def read_pages(pages: DataFrame, key: str = "page_id", markup: str = "html") -> DataFrame:
+def read_pages(pages: DataFrame, key: str = "page_id", markup: str = "html", text_max: int | None = None) -> DataFrame:
     """(key, title, article_text, article_length, body_text) per page; pages without an article keep a null text."""
     kind = dict(pages.dtypes)[key]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            got = [parse_page(m) for m in pdf[markup]]
+            got = [parse_page(m, text_max) for m in pdf[markup]]
             yield pd.DataFrame({
                 key: pdf[key], "title": [g[0] for g in got], "article_text": [g[1] for g in got],
                 "article_length": pd.array([len(g[1]) if g[1] else None for g in got], dtype="Int64"), "body_text": [g[2] for g in got]})

@@ -69,3 +69,12 @@ def test_html_is_mended(spark):
     rows = ["<p>a</div>", "<b>x", "a</span> b", "<P><b>q</B>", "<br/>x<i>y</b>", "<p>a</p><p>b", None, ""]
     got = [r[0] for r in spark.createDataFrame([(x,) for x in rows], "h string").select(CR.mend_html("h")).collect()]
     assert got == ["<p>a</p>", "<b>x</b>", "a b", "<P><b>q</b></p>", "<br/>x<i>y</i>", "<p>a</p><p>b</p>", None, ""]
+
+
+def test_corpus_of_all_sources(spark):
+    members = spark.createDataFrame([(1, 1, i, i) for i in range(8)], "digest_id int, section_id int, ord int, story_id int")
+    stories = spark.createDataFrame([(i, "full", "src", f"Title {i}") for i in range(8)], "story_id int, readable string, source string, title string")
+    articles = spark.createDataFrame([(i, f"text {100 + i}") for i in range(8)], "story_id int, text string")
+    assert D.source_corpus(members, stories, articles).first().sources == 6
+    whole = D.source_corpus(members, stories, articles, top=None).first()
+    assert whole.sources == 8 and "107" in whole.corpus

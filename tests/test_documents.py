@@ -43,6 +43,13 @@ def test_page_parsing():
     assert len(H.parse_page("<p>" + "x" * 7000 + "</p>")[1]) == 6000
 
 
+def test_long_articles_are_whole(spark):
+    pages = spark.createDataFrame([(1, "<article><p>" + "x" * 7000 + "</p></article>")], "page_id long, html string")
+    row = H.html_article_text(pages).first()
+    assert len(row.article_text) == row.article_length == 7000
+    assert H.read_pages(pages, text_max=6000).first().article_length == 6000
+
+
 def test_feed_formats(spark):
     rss = "<rss><channel><item><title>A</title><link>https://a.com</link><pubDate>Tue, 02 Jan 2024 03:04:05 GMT</pubDate></item><item><title></title><link>https://b.com</link></item></channel></rss>"
     rdf = "<rdf:RDF xmlns:rdf='r' xmlns='http://purl.org/rss/1.0/' xmlns:dc='d'><item><title>B</title><link>https://b.com</link><dc:date>2024-01-02T03:04:05Z</dc:date></item></rdf:RDF>"
