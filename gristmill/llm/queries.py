@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gristmill.llm.common import cut
-from gristmill.llm import embed_dedup, html_extract, licenses, mixing, ngram_join, oracles, pii, quality, tiling, url_filter, warc
+from gristmill.llm import embed_dedup, html_extract, licenses, mixing, ngram_join, oracles, pieces, pii, quality, tiling, url_filter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -137,3 +138,11 @@ def op10_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = warc.with_payload(warc.resolve(records), records)
     headers = F.array_join(F.transform(F.array_sort(F.map_entries("headers")), lambda e: F.concat(e["key"], F.lit(": "), e["value"])), "\n")
     return out.select("record_id", "canonical", "state", "refers_to", headers.alias("headers"), F.length("payload").cast("long").alias("payload_chars"), F.md5("payload").alias("payload_md5"))
+
+
+@query("op13_sentencepiece")
+def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every whole text and the text they decode to, as digests; ``agrees`` compares both with the library."""
+    out = pieces.tokenize(read(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("piece_bpe_32k.model"))
+    listed = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(listed, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), "agrees")
