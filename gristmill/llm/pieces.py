@@ -5,9 +5,9 @@ pair whose concatenation is a piece, best score first and leftmost first among e
 its new neighbours enter the agenda, until nothing is left. Pieces marked unused are taken apart again, and what is no
 piece becomes its bytes or the unknown id.
 
-No merge can cross a place where a character is followed by U+2581 if no piece holds that sequence, so texts are cut
-there into words whose ids are remembered in a bounded table of each worker. Vocabularies without that property, and
-those with user-defined pieces, are encoded with one agenda for the whole text.
+No merge can cross two neighbouring characters that no piece holds side by side. Texts are cut into words at such places
+(before U+2581, between letters and marks), and the ids of words are remembered in a bounded table of each worker.
+Vocabularies with user-defined pieces are encoded with one agenda for the whole text.
 
 ``tokenize`` runs in Arrow batches and compares ids and decoded texts with the library in the same batch.
 
@@ -20,7 +20,7 @@ from __future__ import annotations
 import heapq
 import re
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import chain
 
 import pyarrow as pa
@@ -31,8 +31,8 @@ from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, S
 from gristmill.llm.common import SLICE_BYTES, small_batches
 
 SPACE = "▁"
-#: Words that a worker remembers, and the length up to which it does.
-REMEMBERED, REMEMBERED_CHARS = 500_000, 64
+#: Words of each of the two generations that a worker remembers, and the length up to which it does.
+REMEMBERED, REMEMBERED_CHARS = 400_000, 64
 #: Symbols up to which the agenda is a list that is searched, which is faster than a heap for words.
 LISTED = 40
 
@@ -68,6 +68,25 @@ def _fields(message: bytes) -> Iterator[tuple[int, int | bytes]]:
             yield key >> 3, message[at - size:at]
 
 
+class _Remembered(dict):
+    """Ids of words in two generations: a full table becomes the older one, whose words return when they are met."""
+
+    def __init__(self, find: Callable[[str], tuple[int, ...]]):
+        super().__init__()
+        self.find, self.before = find, {}
+
+    def __missing__(self, word: str) -> tuple[int, ...]:
+        ids = self.before.get(word)
+        if ids is None:
+            ids = self.find(word)
+        if len(word) <= REMEMBERED_CHARS:
+            if len(self) >= REMEMBERED:
+                self.before = dict(self)
+                self.clear()
+            self[word] = ids
+        return ids
+
+
 class Vocabulary:
     """Pieces, scores and kinds of a merge-type model, read from its file; encodes and decodes like the library."""
 
@@ -101,16 +120,41 @@ class Vocabulary:
         self.strip_all = bool(spec.get(4, 1))
         self.bytes = {int(p[3:5], 16): i for i, p in enumerate(self.pieces) if self.kinds[i] == BYTE} if trainer.get(35) else {}
         self.byte_of = {i: b for b, i in self.bytes.items()}
-        #: ids that are no plain pieces, and the text of those that are
-        self.special = frozenset(i for i, k in enumerate(self.kinds) if k in (UNKNOWN, CONTROL, BYTE))
-        self.plain = [p.replace(SPACE, " ") for p in self.pieces]
+        #: the text of every id whose text does not depend on its neighbours, an ASCII byte included
+        self.plain = [None if k in (UNKNOWN, CONTROL) or self.byte_of.get(i, 0) > 127 else p.replace(SPACE, " ") if k != BYTE else chr(int(p[3:5], 16))
+                      for i, (p, k) in enumerate(zip(self.pieces, self.kinds))]
         own = sorted((p for p, k in zip(self.pieces, self.kinds) if k == USER_DEFINED), key=len, reverse=True)
         self.own = frozenset(own)
         self.unused = frozenset(p for p, k in zip(self.pieces, self.kinds) if k == UNUSED)
         self.symbols = re.compile("|".join([*map(re.escape, own), "."]), re.DOTALL)
-        words = not own and not any(re.search(f"[^{SPACE}]{SPACE}", p) for p in self.ids)
-        self.words = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+" if words else ".+", re.DOTALL)
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.words = re.compile(".+" if own else self._chunks(), re.DOTALL)
+        self.known = _Remembered(self._word)
+
+    def _chunks(self) -> str:
+        """A pattern of the stretches of text that merges cannot leave.
+
+        Two characters that stand side by side in some piece belong to one family, and so do those that a chain of such
+        pairs ties; no piece spans two families. U+2581 would tie all of them, but where it only ever opens a piece it
+        is taken out of the families and put in front of them.
+        """
+        up: dict[str, str] = {}
+
+        def family(c: str) -> str:
+            while up.setdefault(c, c) != c:
+                up[c] = c = up[up[c]]
+            return c
+
+        pairs = {pair for piece in self.ids for pair in zip(piece, piece[1:])}
+        opens = not any(y == SPACE and x != SPACE for x, y in pairs)
+        for x, y in sorted(pairs):
+            if not (opens and x == SPACE):
+                up[family(x)] = family(y)
+        families: dict[str, list[str]] = {}
+        for c in sorted(up):
+            families.setdefault(family(c), []).append(c)
+        runs = [f"[{''.join(map(re.escape, members))}]+" for members in sorted(families.values(), key=len, reverse=True)]
+        one = "|".join([*runs, f"[^{SPACE}]" if opens else "."])
+        return f"{SPACE}*(?:{one})|{SPACE}+" if opens else one
 
     def merge(self, text: str) -> list[str]:
         """The pieces of ``text`` by merging adjacent symbols, best score first."""
@@ -187,26 +231,24 @@ class Vocabulary:
                 ids += [self.bytes[b] for b in s.encode("utf-8", "replace")]
             else:
                 ids.append(self.unknown)
-        out = tuple(ids)
-        if len(word) <= REMEMBERED_CHARS:
-            if len(self.known) >= REMEMBERED:
-                self.known.clear()
-            self.known[word] = out
-        return out
+        return tuple(ids)
 
     def encode(self, text: str) -> list[int]:
         """Ids of ``text`` without begin or end ids."""
-        known, word = self.known, self._word
-        ids = list(chain.from_iterable([known.get(w) or word(w) for w in self.words.findall(self.library.normalize(text))]))
+        ids = list(chain.from_iterable(map(self.known.__getitem__, self.words.findall(self.library.normalize(text)))))
         if self.bytes or self.unknown not in ids:
             return ids
         return [i for k, i in enumerate(ids) if i != self.unknown or not k or ids[k - 1] != i]
 
     def decode(self, ids: list[int]) -> str:
         """The text of ``ids``: control ids vanish, bytes that are no UTF-8 become U+FFFD, the leading space goes."""
-        if self.special.isdisjoint(ids):
-            text = "".join(map(self.plain.__getitem__, ids))
-            return text.lstrip(" ") if self.strip_all else text[1:] if self.strip and text.startswith(" ") else text
+        if ids and not self.strip_all:
+            try:
+                text = "".join(map(self.plain.__getitem__, ids))
+            except TypeError:  # an id without a text of its own
+                pass
+            else:
+                return text[1:] if self.strip and self.pieces[ids[0]].startswith(SPACE) else text
         out: list[str] = []
         run = bytearray()
         start = self.strip
