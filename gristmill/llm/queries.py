@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gristmill.llm.common import cut
-from gristmill.llm import embed_dedup, html_extract, licenses, mixing, ngram_join, oracles, pieces, pii, quality, tiling, url_filter, warc
+from gristmill.llm import embed_dedup, html_extract, licenses, mixing, ngram_join, oracles, pieces, pii, quality, resampling, tiling, url_filter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -140,6 +140,12 @@ def op10_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("record_id", "canonical", "state", "refers_to", headers.alias("headers"), F.length("payload").cast("long").alias("payload_chars"), F.md5("payload").alias("payload_md5"))
 
 
+@query("op11_importance_resampling")
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents against the benchmark's distribution, and the ranks of the 5 % that are drawn."""
+    return resampling.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 @query("op13_sentencepiece")
 def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every whole text and the text they decode to, as digests; ``agrees`` compares both with the library."""
