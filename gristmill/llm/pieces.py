@@ -118,6 +118,8 @@ class Vocabulary:
         self.unknown_text = trainer.get(44, b" \xe2\x81\x87 ").decode()
         self.strip = bool(spec.get(3, 1) or spec.get(4, 1))
         self.strip_all = bool(spec.get(4, 1))
+        #: the normaliser only adds the leading space and writes spaces as U+2581
+        self.simple = not spec.get(2) and bool(spec.get(3, 1)) and not spec.get(4, 1) and bool(spec.get(5, 1)) and not trainer.get(24)
         self.bytes = {int(p[3:5], 16): i for i, p in enumerate(self.pieces) if self.kinds[i] == BYTE} if trainer.get(35) else {}
         self.byte_of = {i: b for b, i in self.bytes.items()}
         #: the text of every id whose text does not depend on its neighbours, an ASCII byte included
@@ -166,14 +168,10 @@ class Vocabulary:
         """The agenda as one score a pair, in text order; the first of the best scores is merged."""
         rank, never = self.rank.get, float("inf")
         agenda = [rank(x + y, never) for x, y in zip(symbols, symbols[1:])]
-        while agenda:
-            best = min(agenda)
-            if best == never:
-                break
+        while agenda and (best := min(agenda)) < never:
             i = agenda.index(best)
-            joined = symbols[i] + symbols.pop(i + 1)
-            symbols[i] = joined
             del agenda[i]
+            symbols[i] = joined = symbols[i] + symbols.pop(i + 1)
             if i:
                 agenda[i - 1] = rank(symbols[i - 1] + joined, never)
             if i < len(agenda):
@@ -222,11 +220,15 @@ class Vocabulary:
         return out
 
     def _word(self, word: str) -> tuple[int, ...]:
+        symbols = self.merge(word)
+        try:
+            return tuple(map(self.ids.__getitem__, symbols))
+        except KeyError:  # a symbol that is no piece
+            pass
         ids: list[int] = []
-        for s in self.merge(word):
-            i = self.ids.get(s)
-            if i is not None:
-                ids.append(i)
+        for s in symbols:
+            if s in self.ids:
+                ids.append(self.ids[s])
             elif self.bytes:
                 ids += [self.bytes[b] for b in s.encode("utf-8", "replace")]
             else:
@@ -235,7 +237,8 @@ class Vocabulary:
 
     def encode(self, text: str) -> list[int]:
         """Ids of ``text`` without begin or end ids."""
-        ids = list(chain.from_iterable(map(self.known.__getitem__, self.words.findall(self.library.normalize(text)))))
+        text = (text and SPACE + text.replace(" ", SPACE)) if self.simple else self.library.normalize(text)
+        ids = list(chain.from_iterable(map(self.known.__getitem__, self.words.findall(text))))
         if self.bytes or self.unknown not in ids:
             return ids
         return [i for k, i in enumerate(ids) if i != self.unknown or not k or ids[k - 1] != i]
