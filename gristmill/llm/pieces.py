@@ -20,9 +20,10 @@ from __future__ import annotations
 import heapq
 import re
 import struct
+from array import array
 from collections.abc import Callable, Iterator
-from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
@@ -68,17 +69,18 @@ def _fields(message: bytes) -> Iterator[tuple[int, int | bytes]]:
             yield key >> 3, message[at - size:at]
 
 
-class _Remembered(dict):
-    """Ids of words in two generations: a full table becomes the older one, whose words return when they are met."""
+class Remembered(dict):
+    """Ids of words, packed as 32-bit integers, in two generations: a full table becomes the older one."""
 
-    def __init__(self, find: Callable[[str], tuple[int, ...]]):
+    def __init__(self, find: Callable[[str], bytes]):
         super().__init__()
         self.find, self.before = find, {}
 
-    def __missing__(self, word: str) -> tuple[int, ...]:
+    def __missing__(self, word: str) -> bytes:
         ids = self.before.get(word)
-        if ids is None:
-            ids = self.find(word)
+        return self.remember(word, self.find(word) if ids is None else ids)
+
+    def remember(self, word: str, ids: bytes) -> bytes:
         if len(word) <= REMEMBERED_CHARS:
             if len(self) >= REMEMBERED:
                 self.before = dict(self)
@@ -130,7 +132,7 @@ class Vocabulary:
         self.unused = frozenset(p for p, k in zip(self.pieces, self.kinds) if k == UNUSED)
         self.symbols = re.compile("|".join([*map(re.escape, own), "."]), re.DOTALL)
         self.words = re.compile(".+" if own else self._chunks(), re.DOTALL)
-        self.known = _Remembered(self._word)
+        self.known = Remembered(self._word)
 
     def _chunks(self) -> str:
         """A pattern of the stretches of text that merges cannot leave.
@@ -219,10 +221,10 @@ class Vocabulary:
                 out.append(s)
         return out
 
-    def _word(self, word: str) -> tuple[int, ...]:
+    def _word(self, word: str) -> bytes:
         symbols = self.merge(word)
         try:
-            return tuple(map(self.ids.__getitem__, symbols))
+            return array("i", map(self.ids.__getitem__, symbols)).tobytes()
         except KeyError:  # a symbol that is no piece
             pass
         ids: list[int] = []
@@ -233,15 +235,21 @@ class Vocabulary:
                 ids += [self.bytes[b] for b in s.encode("utf-8", "replace")]
             else:
                 ids.append(self.unknown)
-        return tuple(ids)
+        return array("i", ids).tobytes()
 
-    def encode(self, text: str) -> list[int]:
+    def normalize(self, text: str) -> str:
+        return (text and SPACE + text.replace(" ", SPACE)) if self.simple else self.library.normalize(text)
+
+    def encode_array(self, text: str) -> np.ndarray:
         """Ids of ``text`` without begin or end ids."""
-        text = (text and SPACE + text.replace(" ", SPACE)) if self.simple else self.library.normalize(text)
-        ids = list(chain.from_iterable(map(self.known.__getitem__, self.words.findall(text))))
-        if self.bytes or self.unknown not in ids:
+        ids = np.frombuffer(b"".join(map(self.known.__getitem__, self.words.findall(self.normalize(text)))), np.int32)
+        if self.bytes or not len(ids):
             return ids
-        return [i for k, i in enumerate(ids) if i != self.unknown or not k or ids[k - 1] != i]
+        unknown = ids == self.unknown
+        return ids[~unknown | ~np.concatenate(([False], unknown[:-1]))]
+
+    def encode(self, text: str) -> list[int]:
+        return self.encode_array(text).tolist()
 
     def decode(self, ids: list[int]) -> str:
         """The text of ``ids``: control ids vanish, bytes that are no UTF-8 become U+FFFD, the leading space goes."""
@@ -340,13 +348,16 @@ def tokenize(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
         for batch in batches:
             at = 0
             for texts in text_slices([t or "" for t in batch.column(text).to_pylist()]):
-                ids = [words.encode(t) for t in texts]
+                arrays = [words.encode_array(t) for t in texts]
+                ends = np.cumsum([0, *map(len, arrays)], dtype=np.int32)
+                column = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(arrays)), type=pa.list_(pa.field("element", pa.int32(), False)))
+                ids = [a.tolist() for a in arrays]
                 decoded = [words.decode(i) for i in ids]
                 theirs = words.library.encode(texts, num_threads=1)
                 back = words.library.decode(theirs, num_threads=1)
                 agrees = [a == b and c == d for a, b, c, d in zip(ids, theirs, decoded, back)]
                 columns = [batch.column(f.name).slice(at, len(texts)) for f in kept]
-                columns += [pa.array(ids, pa.list_(pa.field("element", pa.int32(), False))), pa.array(decoded, pa.string()), pa.array(agrees, pa.bool_())]
+                columns += [column, pa.array(decoded, pa.string()), pa.array(agrees, pa.bool_())]
                 at += len(texts)
                 yield pa.RecordBatch.from_arrays(columns, [f.name for f in schema.fields])
 
