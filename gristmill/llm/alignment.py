@@ -35,9 +35,11 @@ from pyspark.sql import functions as F
 from gristmill.llm.common import cut, shared_folder, small_batches
 from gristmill.llm.hashing import mix
 from gristmill.llm.perfect_hash import PerfectHash
-from gristmill.llm.pieces import BYTE, SPACE, Remembered, text_slices, vocabulary
+from gristmill.llm.pieces import BYTE, SPACE, Remembered, Vocabulary, text_slices
 
 SHARDS = 64
+#: Words of each generation that a worker remembers for either vocabulary.
+REMEMBERED = 400_000
 #: Vectors or key lists that one task adds up.
 FAN_IN = 64
 #: Pairs up to which the table is broadcast; 12 bytes a pair and 4 bits of hash keep it under 100 MB.
@@ -84,7 +86,7 @@ class ByteVocabulary:
         before, model = spec.get("pre_tokenizer") or {}, spec.get("model") or {}
         # words can be told by the pattern only if the file asks for just that
         self.by_words = not spec.get("normalizer") and before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space") and not model.get("dropout")
-        self.known = Remembered(self._word)
+        self.known = Remembered(self._word, REMEMBERED)
 
     def _ids(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, np.int32).tobytes()
@@ -105,7 +107,8 @@ class Tokenizers:
     """Both vocabularies and the byte lengths of their ids."""
 
     def __init__(self, first: str, second: str):
-        self.a, self.b = ByteVocabulary(first), vocabulary(second)
+        self.a, self.b = ByteVocabulary(first), Vocabulary(second)
+        self.b.known.limit = REMEMBERED
         self.b_token = [bytes([self.b.byte_of[i]]) if k == BYTE else p.replace(SPACE, " ").encode() for i, (p, k) in enumerate(zip(self.b.pieces, self.b.kinds))]
         self.b_lengths = np.array([len(t) for t in self.b_token], np.int64)
 

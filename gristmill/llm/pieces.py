@@ -33,7 +33,7 @@ from gristmill.llm.common import SLICE_BYTES, small_batches
 
 SPACE = "▁"
 #: Words of each of the two generations that a worker remembers, and the length up to which it does.
-REMEMBERED, REMEMBERED_CHARS = 400_000, 64
+REMEMBERED, REMEMBERED_CHARS = 700_000, 64
 #: Symbols up to which the agenda is a list that is searched, which is faster than a heap for words.
 LISTED = 40
 
@@ -72,9 +72,9 @@ def _fields(message: bytes) -> Iterator[tuple[int, int | bytes]]:
 class Remembered(dict):
     """Ids of words, packed as 32-bit integers, in two generations: a full table becomes the older one."""
 
-    def __init__(self, find: Callable[[str], bytes]):
+    def __init__(self, find: Callable[[str], bytes], limit: int = REMEMBERED):
         super().__init__()
-        self.find, self.before = find, {}
+        self.find, self.limit, self.before = find, limit, {}
 
     def __missing__(self, word: str) -> bytes:
         ids = self.before.get(word)
@@ -82,7 +82,7 @@ class Remembered(dict):
 
     def remember(self, word: str, ids: bytes) -> bytes:
         if len(word) <= REMEMBERED_CHARS:
-            if len(self) >= REMEMBERED:
+            if len(self) >= self.limit:
                 self.before = dict(self)
                 self.clear()
             self[word] = ids
