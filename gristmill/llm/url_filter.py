@@ -48,8 +48,9 @@ class Trie:
             for segment in whole:
                 node = node.setdefault(segment + "/", {})
             ends = node.setdefault("", {})
-            if ends.get(last, ("", "allow"))[1] == "allow":
-                ends[last] = (host + path, verdict)
+            by_length = ends.setdefault(len(last), {})
+            if by_length.get(last, ("", "allow"))[1] == "allow":
+                by_length[last] = (host + path, verdict)
 
     def find(self, host: str, path: str) -> tuple[str, str] | None:
         """(entry, verdict) of the longest entry that fits."""
@@ -66,10 +67,11 @@ class Trie:
         for i, segment in enumerate(segments):
             if node is None:
                 break
-            ends = node.get("", {})
-            if ends:
-                fits = (ends.get(segment[:n]) for n in range(len(segment), -1, -1))
-                best = next((f for f in fits if f), None) or best
+            # only lengths at which an entry of this node ends are tried, the longest first
+            for n, ends in sorted(node.get("", {}).items(), reverse=True):
+                if n <= len(segment) and segment[:n] in ends:
+                    best = ends[segment[:n]]
+                    break
             node = node.get(segment + "/") if i < len(segments) - 1 else None
         return best
 

@@ -1,4 +1,5 @@
 import random
+import time
 
 from pyspark.sql import functions as F
 
@@ -33,3 +34,12 @@ def test_equals_brute_force(spark, monkeypatch):
         assert sorted(out.columns) == ["host", "page_id", "path", "rule", "url", "verdict"]
     assert url_filter.judge(df.limit(0), rules).count() == 0
     assert {r.verdict for r in url_filter.judge(df, []).collect()} == {"allow"}
+
+
+def test_long_segments_are_tried_at_the_lengths_of_entries_only():
+    trie = url_filter.Trie([("com", "/", "allow"), ("com", "/aa", "block"), ("com", "/aaaa", "allow"), ("com", "/b/", "block"), ("com", "/b/c", "allow")])
+    start = time.perf_counter()
+    assert trie.find("x.com", "/" + "a" * 1_000_000) == ("com/aaaa", "allow")
+    assert trie.find("x.com", "/aaa" + "b" * 1_000_000) == ("com/aa", "block")
+    assert trie.find("x.com", "/b/" + "d" * 1_000_000 + "/e") == ("com/b/", "block")
+    assert time.perf_counter() - start < 0.5
