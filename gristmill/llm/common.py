@@ -63,6 +63,15 @@ def by_ids(docs: DataFrame, ids: DataFrame, key: str, how: str) -> DataFrame:
     return docs.join(F.broadcast(ids) if few else ids, key, how)
 
 
+#: Rows of ids that one task handles in the rounds of ``components``.
+TASK_ROWS = 200_000
+
+
+def cut_small(df: DataFrame, rows: int) -> DataFrame:
+    """``cut`` in as few tasks as ``rows``, an upper bound, are worth: rounds over small tables cost little."""
+    return cut(df.coalesce(max(1, -(-rows // TASK_ROWS))))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): for each node with an edge in ``edges(a, b)``, the smallest node of its component.
 
@@ -73,21 +82,25 @@ def components(edges: DataFrame) -> DataFrame:
     """
     live = cut(edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     trees = None
-    while not live.isEmpty():
+    while (rows := live.count()) > 0:
         both = live.unionByName(live.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        pick = cut(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("up")))
+        pick = cut_small(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("up")), 2 * rows)
+        nodes = pick.count()
         # two nodes that picked each other: the smaller one is the root
         hook = pick.join(pick.select(F.col("node").alias("up"), F.col("up").alias("back")), "up").select(
             "node", F.when((F.col("back") == F.col("node")) & (F.col("node") < F.col("up")), F.col("node")).otherwise(F.col("up")).alias("up"))
         moved = True
         while moved:
-            hook = cut(_follow(hook, hook, keep=True))
+            hook = cut_small(_follow(hook, hook, keep=True), nodes)
             moved = not hook.filter("up <> was").isEmpty()
             hook = hook.drop("was")
-        trees = hook if trees is None else cut(_follow(trees, hook))
+        if trees is None:
+            trees, first = hook, nodes
+        else:
+            trees = cut_small(_follow(trees, hook), first)
         ends = [hook.select(F.col("node").alias(c), F.col("up").alias(f"up_{c}")) for c in "ab"]
-        live = cut(live.join(ends[0], "a").join(ends[1], "b").filter("up_a <> up_b")
-                   .select(F.least("up_a", "up_b").alias("a"), F.greatest("up_a", "up_b").alias("b")).distinct())
+        live = cut_small(live.join(ends[0], "a").join(ends[1], "b").filter("up_a <> up_b")
+                         .select(F.least("up_a", "up_b").alias("a"), F.greatest("up_a", "up_b").alias("b")).distinct(), rows)
     if trees is None:
         return live.select(F.col("a").alias("node"), F.col("b").alias("root"))
     least = trees.groupBy("up").agg(F.min("node").alias("root"))

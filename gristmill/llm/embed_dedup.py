@@ -180,7 +180,7 @@ def _families(classes: DataFrame, threshold: float, recall: float, window: int,
     while True:
         coded = (rows + n_probes) * passes
         parts = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), coded // PART_ROWS[0]), coded // PART_ROWS[1])
-        ranged = _codes(spread, done, passes, seed).repartitionByRange(parts, *order).sortWithinPartitions(*order)
+        ranged = _codes(spread, done, passes, seed).repartitionByRange(parts, *order).coalesce(parts).sortWithinPartitions(*order)
         found = cut(_window_edges(ranged, reach, threshold))
         edges, done = found if edges is None else edges.unionByName(found), done + passes
         family = components(edges.filter("NOT probe").select("a", "b")).select("node", F.col("root").alias("family"))
