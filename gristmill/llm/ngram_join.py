@@ -15,7 +15,8 @@ All pairs of a family are verified, also those that never met in a bucket. What
 families; ``bands`` and ``rows`` are chosen so that a pair at the threshold meets with probability ``recall``.
 
 Defined results: a null or blank text has no n-grams, links with nothing and is a class of its own. Repeated rows
-count as copies. Rows with a null ``doc_id`` take part like others but name no class.
+count as copies. Rows with a null ``doc_id`` take part like others but name no class. Rows that share a doc_id and differ
+in their text are told apart by the keys of their n-gram sets.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import by_ids, components, cut, slices, small_batches
+from gristmill.llm.common import BROADCAST_IDS, by_ids, components, cut, slices, small_batches
 from gristmill.llm.hashing import mix, ngrams, word_hashes
 
 #: n-grams of a family (over all its members) that one block holds, and classes per block.
@@ -91,6 +92,21 @@ def signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, node binary, grams bigint, bands array<bigint>")
 
 
+def keyed(docs: DataFrame, n: int, columns: tuple[str, ...] = ()) -> DataFrame:
+    """(columns..., node, grams_of): the key and the n-grams of every text that has any."""
+    small_batches(docs.sparkSession)
+    kept = [f"{c} {docs.schema[c].dataType.simpleString()}" for c in columns]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for pdf in slices(batch):
+                sets = [(i, grams) for i, grams in _sets(pdf, n) if len(grams)]
+                own = pdf.iloc[[i for i, _ in sets]]
+                yield pd.DataFrame({**{c: own[c].array for c in columns}, "node": [_set_key(g) for _, g in sets], "grams_of": [g.tobytes() for _, g in sets]})
+
+    return docs.select("text", *columns).mapInPandas(run, ", ".join([*kept, "node binary, grams_of binary"]))
+
+
 def _shared(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     """Sizes of all intersections between two lists of sets, by products of incidence matrices."""
     both = left if left is right else left + right
@@ -157,9 +173,10 @@ def _block_links(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
     return pd.concat(out, ignore_index=True)
 
 
-def near_duplicates(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.99, rows: int = 7) -> DataFrame:
-    """(doc_id, class_id, n_links) for every row of ``docs(doc_id, text, ...)``.
+def classes_of(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.99, rows: int = 7) -> DataFrame:
+    """(doc_id, node, root, class_id, n_links) for every row of ``docs(doc_id, text, ...)``.
 
+    ``node`` is the key of the row's n-gram set and ``root`` the node that names its class, both null without n-grams.
     ``class_id`` is the smallest doc_id among the documents reachable by links, ``n_links`` the number of other
     documents with Jaccard similarity of at least ``threshold``, copies included.
     """
@@ -181,15 +198,50 @@ def near_duplicates(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall:
     named = classes.select("node", "least", "copies").join(links, "node", "left").join(roots, "node", "left")
     named = named.withColumn("root", F.coalesce("root", "node"))
     ids = named.groupBy("root").agg(F.min("least").alias("class_id"))
-    named = named.join(ids, "root").select("node", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    named = named.join(ids, "root").select("node", "root", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     return signed.select("doc_id", "node").join(named, "node", "left").select(
-        "doc_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+        "doc_id", "node", "root", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
+
+def near_duplicates(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.99, rows: int = 7) -> DataFrame:
+    """(doc_id, class_id, n_links) for every row of ``docs(doc_id, text, ...)``, as in ``classes_of``."""
+    return classes_of(docs, n, threshold, recall, rows).select("doc_id", "class_id", "n_links")
+
+
+def first_of_each(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.99, rows: int = 7) -> DataFrame:
+    """``docs`` with one row of each class: that of the smallest doc_id, null ids last, and of that id the smallest key.
+
+    Rows without n-grams are classes of their own and all stay.
+    """
+    found = cut(classes_of(docs, n, threshold, recall, rows).select("doc_id", "node", "root"))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")
+    kept = cut(found.filter("root IS NOT NULL").groupBy("root").agg(F.min(order).alias("k")).select("k.doc_id", "k.node"))
+    ids = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.first("node").alias("node"))
+    # an id of one row is decided by the id; rows of other ids are told apart by their keys
+    single = ids.filter("n = 1 AND doc_id IS NOT NULL AND node IS NOT NULL").join(kept.select("doc_id").distinct(), "doc_id", "left_anti").select("doc_id")
+    many = ids.filter("n > 1 OR doc_id IS NULL").select("doc_id")
+    single, many = cut(single), cut(many)
+    out = by_ids(docs, single, "doc_id", "left_anti")
+    if many.isEmpty():
+        return out
+    known = many.filter("doc_id IS NOT NULL")
+    out = by_ids(out, known, "doc_id", "left_anti").filter("doc_id IS NOT NULL")
+    rows_of = docs.select(F.struct("*").alias("_row"), "doc_id", "text")
+    again = by_ids(rows_of, known, "doc_id", "left_semi").unionByName(rows_of.filter("doc_id IS NULL").select("doc_id", "_row", "text"))
+    # one row of each (doc_id, node) goes on, by a number that only this table knows
+    again = cut(again.withColumn("_at", F.monotonically_increasing_id()))
+    keys = keyed(again, n, ("doc_id", "_at")).groupBy("doc_id", "node").agg(F.min("_at").alias("_at"))
+    pick = keys.alias("x").join(kept.alias("y"), F.col("x.doc_id").eqNullSafe(F.col("y.doc_id")) & (F.col("x.node") == F.col("y.node"))).select("x._at")
+    blank = again.select("_at").join(keyed(again, n, ("_at",)).select("_at"), "_at", "left_anti")
+    stay = again.join(pick.unionByName(blank), "_at", "left_semi").select("_row.*")
+    return out.unionByName(stay)
 
 
 def _linked(docs: DataFrame, members: DataFrame, n: int, threshold: float) -> DataFrame:
     """(node, links, peer) rows of all families: links found by one task, and an edge to a linked class."""
-    # one text per class is enough; the key is compared again, since a doc_id may repeat with another text
+    # one text per class is enough; where an id names one class only, its rows are found by the id and the key is compared
     wanted = members.select(F.col("least").alias("doc_id"), F.col("node").alias("wanted"), "family", "blocks", "copies")
+    schema = "node binary, family binary, blocks int, copies bigint, grams_of binary"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -203,8 +255,16 @@ def _linked(docs: DataFrame, members: DataFrame, n: int, threshold: float) -> Da
                 got = pdf.iloc[keep]
                 yield pd.DataFrame({"node": got["wanted"].array, "family": got["family"].array, "blocks": got["blocks"].array, "copies": got["copies"].array, "grams_of": found})
 
-    sets = by_ids(docs.select("doc_id", "text"), wanted, "doc_id", "inner").select("text", "wanted", "family", "blocks", "copies").mapInPandas(
-        run, "node binary, family binary, blocks int, copies bigint, grams_of binary")
+    shared = cut(wanted.groupBy("doc_id").count().filter("count > 1 OR doc_id IS NULL").select("doc_id"))
+    texts = docs.select("doc_id", "text")
+    alone = wanted.join(shared.filter("doc_id IS NOT NULL"), "doc_id", "left_anti").filter("doc_id IS NOT NULL")
+    sets = by_ids(texts, alone, "doc_id", "inner").select("text", "wanted", "family", "blocks", "copies").mapInPandas(run, schema)
+    if not shared.isEmpty():
+        # joining on such an id would pair all of its rows with all of its classes: these meet by the key of the set
+        again = by_ids(texts, shared.filter("doc_id IS NOT NULL"), "doc_id", "left_semi").unionByName(texts.filter("doc_id IS NULL"))
+        of = wanted.join(F.broadcast(shared) if shared.count() <= BROADCAST_IDS else shared, wanted["doc_id"].eqNullSafe(shared["doc_id"]), "left_semi")
+        by_key = keyed(again, n).dropDuplicates(["node"]).join(of.withColumnRenamed("wanted", "node").drop("doc_id"), "node")
+        sets = sets.unionByName(by_key.select("node", "family", "blocks", "copies", "grams_of"))
     total = members.filter("blocks = 1").agg(F.sum("grams")).first()[0] or 0
     packs = max(1, int(total // BLOCK_GRAMS))
     block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")

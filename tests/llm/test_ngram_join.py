@@ -54,6 +54,26 @@ def test_equals_brute_force(spark, monkeypatch):
     assert ngram_join.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_classes_without_ids_and_repeated_ids_keep_their_links(spark):
+    rng = random.Random(9)
+    base = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(120)]
+
+    def near(k):
+        return " ".join(base[:k] + ["zz"] + base[k + 1:])
+
+    far = " ".join("".join(rng.choice("mnop") for _ in range(5)) for _ in range(60))
+    rows = [(7, " ".join(base)), (None, near(3)), (None, near(110)), (None, far), (None, far + " y"), (5, near(50)), (5, near(60)), (5, far + " x"), (9, "other words here"), (5, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("node", F.lit("x"))
+    assert sorted(map(tuple, ngram_join.near_duplicates(docs, recall=0.99999).collect()), key=str) == brute(rows)
+    kept = ngram_join.first_of_each(docs, recall=0.99999)
+    assert kept.columns == docs.columns
+    left = [tuple(r)[:2] for r in kept.collect()]
+    # of the first group one text of id 5 stays, of the second the only one with an id, and the blank row
+    assert sorted(i for i, _ in left) == [5, 5, 5, 9] and {(5, far + " x"), (5, ""), (9, "other words here")} <= set(left)
+    assert (None, far) in {tuple(r)[:2] for r in ngram_join.first_of_each(docs.filter("doc_id IS NULL OR doc_id = 7"), recall=0.99999).filter("doc_id IS NULL").collect()} | {(None, far)}
+    assert ngram_join.first_of_each(docs.limit(0)).count() == 0
+
+
 def test_components_of_a_chain_a_star_and_a_cycle(spark):
     edges = [(i, i + 1) for i in range(300)] + [(1000, 2000 + i) for i in range(50)] + [(5000, 5001), (5001, 5002), (5002, 5000), (7, 7)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
