@@ -4,7 +4,8 @@ A page is a sequence of tags and words. Words score positive and tags negative;
 labelled pages, that is pages whose ``article`` or ``main`` element marks the content. One linear scan finds the
 contiguous region with the highest score. Elements that are never content (scripts, styles, menus, forms, page headers
 and footers, sidebars, notices, adverts, reader comments) leave the sequence before. A region inside a marked content
-element grows to that element, and blocks are kept whole.
+element grows to that element, and blocks are kept whole; elsewhere it grows by
+the paragraphs that stand beside it in the same section.
 
 The weights come from a bounded sample (``max_pages`` pages, drawn by a hash of the id); the table of counts has one
 row for each tag name known here. Every page is then read whole in one scan.
@@ -18,6 +19,7 @@ from __future__ import annotations
 import html as entities
 import math
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from itertools import accumulate
 
@@ -48,21 +50,47 @@ NOT_CONTENT = {
     "topbar", "toolbar", "widget", "share", "sharing", "social", "related", "recommended", "recommendations", "trending", "popular", "search", "copyright", "disclaimer", "contentinfo",
     "complementary"}
 CONTENT = {"article", "main"}
-
-
-def _attributes(text: str) -> tuple[set[str], bool, bool]:
-    """(words of class, id and role, hidden?, marked as content?)."""
-    names, hidden, content = set(), False, False
+#: Words that stand beside those of ``NOT_CONTENT`` in one class without naming a topic.
+BESIDE = {
+    "area", "article", "articles", "bar", "block", "blog", "bottom", "box", "button", "buttons", "card", "container", "content", "entry", "form", "global", "group", "header", "icons",
+    "inline", "inner", "item", "items", "left", "link", "links", "list", "main", "media", "message", "outer", "page", "panel", "post", "posts", "primary", "region", "right", "row", "section",
+    "secondary", "site", "slot", "space", "stories", "text", "thread", "title", "top", "unit", "wrap", "wrapper"}
+#: Adverts inside the text, which paragraphs are marked as too.
+ADVERT = {"ad", "ads", "advert", "adverts", "advertisement", "advertisements", "advertising", "adsense", "adslot", "sponsor", "sponsored", "promo", "promotion"}
+#: Elements whose paragraphs are one text.
+PARENTS = {"article", "div", "main", "section", "td"}
+TEXT_BLOCKS = {"h1", "h2", "h3", "h4", "h5", "h6", "p", "blockquote", "pre", "figcaption", "caption", "dt", "dd", "td", "th", "tr", "li"}
+#: What may hold text of an article although its tag is in ``NEVER``: there it is content unless it is named otherwise.
+HELD = {"label", "object"}
+
+
+def _attributes(text: str) -> tuple[set[str], bool, bool, list[list[str]]]:
+    """(words of class, id and role, hidden?, marked as content?, the words of each single class, id and role)."""
+    names, hidden, content, whole = set(), False, False, []
     for key, value in _ATTRIBUTE.findall(text):
         key, value = key.lower(), value.strip("\"'").lower()
         if key in ("class", "id", "role"):
             names.update(re.split(r"[^a-z]+", value))
+            whole += [re.findall("[a-z]+", v) for v in value.split()]
             content |= key == "role" and value == "main"
         elif key == "itemprop":
             content |= value == "articlebody"
         else:
             hidden |= key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and "display:none" in value.replace(" ", ""))
-    return names, hidden, content
+    return names, hidden, content, whole
+
+
+def names_furniture(name: str, names: set[str], whole: list[list[str]], inside: bool) -> bool:
+    """Whether an element is named as what is not content.
+
+    Outside marked content any word of a name counts. Inside it a name must consist of such words (``related-posts``, not
+    ``share-of-market``), and headings, paragraphs and cells are text unless their name says that they are adverts.
+    """
+    if name in INLINE:
+        return False if inside else bool(names & NOT_CONTENT)
+    if not inside:
+        return bool(names & NOT_CONTENT) and (name not in TEXT_BLOCKS or any(w and set(w) <= NOT_CONTENT | BESIDE and set(w) & NOT_CONTENT for w in whole))
+    return any(set(w) & (ADVERT if name in TEXT_BLOCKS else NOT_CONTENT) and set(w) <= NOT_CONTENT | BESIDE for w in whole)
 
 
 def tokens(page: str) -> tuple[list[tuple], list[int]]:
@@ -99,11 +127,17 @@ def content_marks(seq: list[tuple], ends: list[int]) -> list[tuple[int, int]]:
     return found
 
 
+def _any_between(sorted_places: list[int], lo: int, hi: int) -> bool:
+    at = bisect_right(sorted_places, lo)
+    return at < len(sorted_places) and sorted_places[at] < hi
+
+
 def without_furniture(seq: list[tuple], ends: list[int], marks: list[tuple[int, int]]) -> list[int]:
     """Positions of the tokens outside elements that are never content."""
-    keep, i, depth_end = [], 0, -1
+    keep, i, depth_end, form_end = [], 0, -1, -1
     starts = {a: b for a, b in marks}
     titles = [k for k, t in enumerate(seq) if t[0] == "h1" and t[1] is False]
+    places = sorted(starts)
     words = [0]
     if any(t[0] in WRAPPERS for t in seq):
         words += accumulate(0 if name else len(text.split()) for name, text, _ in seq)
@@ -112,17 +146,21 @@ def without_furniture(seq: list[tuple], ends: list[int], marks: list[tuple[int,
         if i in starts:
             depth_end = max(depth_end, starts[i])
         if name and closing is False:
-            end = ends[i]
-            drop = name in NEVER or (name == "header" and i > depth_end)
+            end, inside = ends[i], i <= depth_end
+            drop = name in NEVER or (name == "header" and not inside)
+            if name in HELD and inside and i > form_end:
+                drop = False
             # a form around the content, or around most of the page, goes on as a block; its controls are dropped one by one
-            if name in WRAPPERS and end >= 0:
-                drop = not any(i < a < end for a in starts) and not any(i < t < end for t in titles) and 2 * (words[end] - words[i]) <= words[-1]
+            elif name in WRAPPERS and end >= 0:
+                drop = not _any_between(places, i, end) and not _any_between(titles, i, end) and 2 * (words[end] - words[i]) <= words[-1]
+                if not drop:
+                    form_end = max(form_end, end)
             if not drop and ("=" in attributes or "hidden" in attributes):
-                names, hidden, _ = _attributes(attributes)
-                drop = hidden or bool(names & NOT_CONTENT) or ("header" in names and i > depth_end)
+                names, hidden, _, whole = _attributes(attributes)
+                drop = hidden or names_furniture(name, names, whole, inside and i not in starts) or ("header" in names and not inside and name not in TEXT_BLOCKS)
                 # a wrapper named after one of its parts still holds the content
                 if drop and (name in WRAPPERS or name not in NEVER) and end >= 0:
-                    drop = name not in ("html", "body", "main") and not any(i < a < end for a in starts) and not any(i < t < end for t in titles)
+                    drop = name not in ("html", "body", "main") and not _any_between(places, i, end) and not _any_between(titles, i, end)
             if drop:
                 if name == "p":
                     end = next((k for k in range(i + 1, len(seq)) if seq[k][0] in BLOCKS and seq[k][0] != "br"), len(seq)) - 1
@@ -136,6 +174,33 @@ def without_furniture(seq: list[tuple], ends: list[int], marks: list[tuple[int,
     return keep
 
 
+def widened(seq: list[tuple], ends: list[int], weights: dict[str, float], first: int, last: int) -> tuple[int, int]:
+    """The region with the paragraphs that stand beside it in the same section.
+
+    A list of links between two paragraphs can score below both and end the region; paragraphs with a score of their own
+    that have the same parent belong to one text.
+    """
+    parent = -1
+    for i in range(first, -1, -1):
+        name, closing, _ = seq[i]
+        if name in PARENTS and closing is False and ends[i] >= last and i < first + (seq[first][0] in PARENTS):
+            parent = i
+            break
+    if parent < 0 or parent == first and ends[parent] <= last:
+        return first, last
+    i, end = parent + 1, ends[parent]
+    while i < end:
+        name, closing, _ = seq[i]
+        if name and closing is False and name not in VOID and ends[i] > i:
+            if name == "p":
+                inner = range(i, ends[i] + 1)
+                if sum(weights[kind(seq[k][0])] if seq[k][0] else weights["word"] * len(seq[k][1].split()) for k in inner) > 0:
+                    first, last = min(first, i), max(last, ends[i])
+            i = ends[i]
+        i += 1
+    return first, last
+
+
 def kind(name: str) -> str:
     return name if name in BLOCKS or name in INLINE else "other"
 
@@ -197,9 +262,11 @@ def main_text(page: str | None, weights: dict[str, float]) -> str:
     if lo == hi:
         return ""
     first, last = keep[lo], keep[hi - 1]
-    for a, b in marks:
-        if a <= last and first <= b and (a <= first and last <= b):
-            first, last = min(first, a), max(last, b)
+    around = [(a, b) for a, b in marks if a <= first and last <= b]
+    if around:
+        first, last = min(a for a, _ in around), max(b for _, b in around)
+    else:
+        first, last = widened(seq, ends, weights, first, last)
     blocks, part, wanted = [], [], False
 
     def close() -> None:

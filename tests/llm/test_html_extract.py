@@ -1,4 +1,5 @@
 import random
+import time
 from itertools import accumulate
 
 from pyspark.sql import functions as F
@@ -29,6 +30,33 @@ def test_templates():
     assert H.main_text(page(links + f"<div>{BODY}</div>" + links), W) == TEXT
 
 
+def test_names_of_topics_stay_in_the_article():
+    for part, text in (('<h2 id="related-work">Related work of others</h2>', "Related work of others"), ('<h2 id="search-results">Search results here</h2>', "Search results here"),
+                       ('<p id="copyright-law">The law says so</p>', "The law says so"), ('<section id="popular-culture"><p>Songs name it</p></section>', "Songs name it"),
+                       ('<div class="share-of-market"><p>A third of it</p></div>', "A third of it"), ('<p class="alert">Mind the gap</p>', "Mind the gap"),
+                       ("<p><label>Note that</label> it holds</p>", "Note that it holds"), ("<object><p>Instead of a film</p></object>", "Instead of a film")):
+        assert H.main_text(page(f"<article><h1>Head line</h1>{BODY}{part}</article>"), W) == f"Head line\n{TEXT}\n{text}"
+    for part in ('<div class="share-buttons">Send this to all</div>', '<section id="comments"><p>I liked this one</p></section>', '<div class="widget related-posts">More of this kind</div>',
+                 '<ul class="social">Here and there</ul>', '<div class="newsletter-signup"><p>Get our mail each day</p></div>', '<p class="ad">Buy this now</p>',
+                 '<form><label>Mail</label><fieldset>Your name here</fieldset></form>', '<div role="navigation">Next page of all</div>'):
+        assert H.main_text(page(f"<article><h1>Head line</h1>{BODY}{part}</article>"), W) == f"Head line\n{TEXT}"
+
+
+def test_lists_between_paragraphs_of_one_section():
+    links = "".join(f"<li><a href=/{i}>Link {i}</a></li>" for i in range(6))
+    want = TEXT + "\n" + "\n".join(f"Link {i}" for i in range(6)) + "\nLast of all the words here."
+    inner = f"{BODY}<ul>{links}</ul><p>Last of all the words here.</p>"
+    menu = "<ul>" + "".join(f"<li><a href='/{i}'>Go there {i}</a></li>" for i in range(30)) + "</ul>"
+    assert H.main_text(page(f"<div>{inner}</div>"), W) == want
+    assert H.main_text(page(f"{menu}<div class=x>{inner}</div>{menu}<div><p>Small words</p></div>"), W) == want
+
+
+def test_many_marked_elements_take_linear_time():
+    start = time.perf_counter()
+    H.main_text(page("<div class=sidebar><article>a</article></div>" * 20_000), W)
+    assert time.perf_counter() - start < 8
+
+
 def test_forms_around_the_page_and_hidden_menus():
     controls = "<input name=v value=x><label>Find words here</label><button>Go there now</button><select><option>One of many</option></select>"
     for wrapper in ("form id=aspnetForm", "object", "fieldset class=search"):
