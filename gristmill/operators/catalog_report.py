@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from gristmill.functions import catalog_fields as K
 from gristmill.functions.text import is_blank, not_blank
 from gristmill.operators.catalog_rows import data_columns
+from gristmill.sources.ordered_files import write_ordered
 
 
 def issues(found: DataFrame) -> DataFrame:
@@ -140,3 +141,8 @@ def result_json(found: DataFrame, df: DataFrame, mode: str) -> DataFrame:
         "issues", "passed_checks",
         F.struct("matching_handles", "changed_prices", "changed_inventory", "blank_included_values").alias("potential_impact"))
     return out.select("file_id", F.to_json(doc).alias("result"))
+
+
+def write_results(results: DataFrame, path: str) -> None:
+    """The JSON documents of ``result_json``, one file each."""
+    write_ordered(results, path, F.col("file_id"), ["file_id"], F.col("result"), extension="json")

@@ -15,7 +15,7 @@ from gristmill.operators.catalog_rows import data_columns
 
 def quoted_line(names: list[str]) -> Column:
     """The CSV line of a row with every field quoted."""
-    q = [F.concat(F.lit('"'), F.replace(F.coalesce(F.col(n), F.lit("")), F.lit('"'), F.lit('""')), F.lit('"')) for n in names]
+    q = [F.concat(F.lit('"'), F.replace(F.coalesce(F.col(n).cast("string"), F.lit("")), F.lit('"'), F.lit('""')), F.lit('"')) for n in names]
     return F.concat_ws(",", *q)
 
 

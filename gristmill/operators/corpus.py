@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gristmill.functions import lines as L
 from gristmill.functions.text import count_words, estimate_tokens
+from gristmill.sources.ordered_files import write_ordered
 
 
 def clean_document(
@@ -127,3 +128,12 @@ def merged(df: DataFrame, block, doc: str = "doc_id", name: str = "name", text:
     """(doc, block). The merged file is these blocks in document order; writing it sorts by range, so the text
     of the whole corpus never meets in one task."""
     return df.select(doc, block(F.col(name), F.col(text)).alias("block"))
+
+
+#: What stands between two documents of a merged file.
+BETWEEN = {"md": "\n\n---\n\n", "html": "\n\n", "txt": "\n\n\n"}
+
+
+def write_merged(df: DataFrame, path: str, block, extension: str, doc: str = "doc_id", name: str = "name", text: str = "text") -> None:
+    """All documents as one merged file in document order, in numbered parts where it outgrows a task."""
+    write_ordered(merged(df, block, doc, name, text), path, F.lit("merged"), [doc], F.col("block"), separator=BETWEEN[extension], extension=extension)

@@ -16,8 +16,11 @@ from gristmill.operators import catalog_report as RP
 from gristmill.operators import catalog_rows as R
 from gristmill.operators import catalog_rules as CK
 from gristmill.plans import sqltext as Q
-from gristmill.plans.registry import query, register
+from gristmill.plans.registry import ORACLES, query, register
+from gristmill.session import scratch_path
+from gristmill.sources import csv_files as CS
 from gristmill.sources import tables as T
+from gristmill.sources.ordered_files import read_ordered
 
 SHORT = {
     "Handle": "h", "Title": "t", "Body (HTML)": "body", "Vendor": "vendor", "Product Category": "cat", "Type": "typ", "Tags": "tags",
@@ -242,9 +245,17 @@ def repair_outcome(spark, sf):
     return RP.repair_outcome(report_findings(spark, sf), log.select("file_id", "code"))
 
 
-query("write_issues", FOUND + ", r AS (SELECT *, row_number() OVER (PARTITION BY file_id, code, scope ORDER BY row_no) AS n FROM found) "
-      "SELECT file_id, severity, code, scope, string_agg(CAST(row_no AS VARCHAR), ' ' ORDER BY row_no) AS first_rows FROM r WHERE n <= 20 GROUP BY ALL")(
-    lambda spark, sf: RP.write_issues_table(report_findings(spark, sf)))
+_issue_columns = ["severity", "code", "scope", "first_rows"]
+
+
+@query("write_issues", FOUND + ", r AS (SELECT *, row_number() OVER (PARTITION BY file_id, code, scope ORDER BY row_no) AS n FROM found) "
+       "SELECT file_id, severity, code, coalesce(scope, '') AS scope, string_agg(CAST(row_no AS VARCHAR), ' ' ORDER BY row_no) AS first_rows FROM r WHERE n <= 20 GROUP BY ALL")
+def write_issues(spark, sf):
+    path = scratch_path(spark, "issues")
+    CS.write_lines(RP.write_issues_table(report_findings(spark, sf)), path, F.col("file_id"), ["severity", "code", "scope"], _issue_columns)
+    return CS.read_lines(spark, path, _issue_columns).select(F.col("file").alias("file_id"), *_issue_columns)
+
+
 query("issue_row_context", FOUND + ", hits AS (SELECT DISTINCT file_id, code, scope, row_no FROM found WHERE row_no IS NOT NULL QUALIFY dense_rank() OVER (PARTITION BY file_id, code, scope ORDER BY row_no) <= 10), "
       "f AS (SELECT *, CASE WHEN row_no - (lag(row_no) OVER w + 2) > 1 OR lag(row_no) OVER w IS NULL THEN 1 ELSE 0 END AS fresh FROM hits WINDOW w AS (PARTITION BY file_id, code, scope ORDER BY row_no)), "
       "s AS (SELECT *, sum(fresh) OVER (PARTITION BY file_id, code, scope ORDER BY row_no) AS span FROM f), "
@@ -257,7 +268,29 @@ query("catalog_impact", f"{C}, g AS (SELECT file_id, h, count(DISTINCT CASE WHEN
       f"b AS (SELECT file_id, CAST(sum({_blank_sum}) AS BIGINT) AS blank_included_values FROM c GROUP BY 1) "
       "SELECT file_id, count(*) AS matching_handles, count(*) FILTER (WHERE p > 1) AS changed_prices, count(*) FILTER (WHERE q > 1) AS changed_inventory, blank_included_values FROM g JOIN b USING (file_id) GROUP BY file_id, blank_included_values")(
     lambda spark, sf: RP.catalog_impact(catalog(spark, sf)))
-query("write_result_json")(lambda spark, sf: RP.result_json(report_findings(spark, sf), catalog(spark, sf), "existing_products"))
+_impact = ["matching_handles", "changed_prices", "changed_inventory", "blank_included_values"]
+
+
+@query("write_result_json", FOUND + f", ids AS (SELECT file_id, count(*) AS rows_scanned FROM ({T.SQL_CATALOG}) GROUP BY 1), sv AS (SELECT file_id, count(*) FILTER (WHERE severity = 'critical') AS critical, count(*) FILTER (WHERE severity = 'warning') AS warning, count(*) FILTER (WHERE severity = 'info') AS info FROM iss GROUP BY 1), "
+       "sev AS (SELECT ids.file_id, rows_scanned, coalesce(critical, 0) AS critical, coalesce(warning, 0) AS warning, coalesce(info, 0) AS info FROM ids LEFT JOIN sv USING (file_id)), "
+       "n(code, check_name) AS (VALUES " + ", ".join(f"('{c}', '{n}')" for c, n in _named) + "), "
+       "ok AS (SELECT file_id, count(*) AS passed, string_agg(check_name, '; ' ORDER BY check_name) AS checks FROM ids, n WHERE NOT EXISTS (SELECT 1 FROM found f WHERE f.file_id = ids.file_id AND f.code = n.code) GROUP BY 1), "
+       "r AS (SELECT *, row_number() OVER (PARTITION BY file_id, code, scope ORDER BY row_no) AS n FROM found), li AS (SELECT file_id, code, scope, severity, string_agg(CAST(row_no AS VARCHAR), ' ' ORDER BY row_no) AS first_rows FROM r WHERE n <= 10 GROUP BY ALL), "
+       "listed AS (SELECT file_id, string_agg(concat_ws(':', code, scope, severity, first_rows), '; ' ORDER BY code, scope) AS issues FROM li GROUP BY 1), "
+       f"impact AS ({ORACLES['catalog_impact']}) SELECT file_id, {_verdict} AS status, 'existing_products' AS mode, critical, warning AS warnings, info, coalesce(passed, 0) AS passed, rows_scanned, {len(T.CATALOG)} AS columns_detected, "
+       "coalesce(issues, '') AS issues, coalesce(checks, '') AS checks, " + ", ".join(_impact) + " FROM sev LEFT JOIN ok USING (file_id) LEFT JOIN listed USING (file_id) LEFT JOIN impact USING (file_id)")
+def write_result_json(spark, sf):
+    """One JSON document a file, written and read back."""
+    path = scratch_path(spark, "results")
+    RP.write_results(RP.result_json(report_findings(spark, sf), catalog(spark, sf), "existing_products"), path)
+    counts = "critical bigint, warnings bigint, info bigint, passed bigint, rows_scanned bigint, columns_detected bigint"
+    schema = (f"status string, mode string, summary struct<{counts.replace(' ', ': ').replace(',:', ',')}>, issues array<struct<code: string, scope: string, severity: string, first_rows: string>>, "
+              f"passed_checks array<string>, potential_impact struct<{', '.join(c + ': bigint' for c in _impact)}>")
+    back = read_ordered(spark, path).select(F.col("file").alias("file_id"), F.from_json("piece", schema).alias("r")).select("file_id", "r.*")
+    issues = F.array_join(F.transform("issues", lambda i: F.concat_ws(":", i["code"], i["scope"], i["severity"], i["first_rows"])), "; ")
+    return back.select("file_id", "status", "mode", "summary.*", F.coalesce(issues, F.lit("")).alias("issues"), F.coalesce(F.array_join("passed_checks", "; "), F.lit("")).alias("checks"), "potential_impact.*")
+
+
 
 # ---- mapping ----------------------------------------------------------------------------------------------------
 FOREIGN = {"Handle": "URL Handle", "Title": "product name", "Vendor": "Brand", "Variant Price": "Retail Price", "Cost per item": "Cost", "Type": "Product type"}
@@ -321,8 +354,16 @@ query("field_change_counts", f"{DIFF}, k(field, category, label) AS (VALUES {_ca
 query("blank_overwrite_report", f"{DIFF} SELECT count(*) FILTER (WHERE is_blank_overwrite) AS cleared_fields, count(DISTINCT handle) FILTER (WHERE change = 'CHANGE') AS changed_products, count(*) FILTER (WHERE change = 'NEW') AS new_products, "
       "CASE WHEN count(*) FILTER (WHERE is_blank_overwrite) > 0 THEN 'critical' WHEN count(*) FILTER (WHERE change = 'CHANGE') > 0 THEN 'warning' ELSE 'pass' END AS verdict FROM d")(
     lambda spark, sf: CC.blank_overwrite_report(diff(spark, sf)))
-query("write_compare_diff", f'{DIFF} SELECT handle AS "Handle", title AS "Title", change AS "Change", field AS "Field", before AS "Before", after AS "After" FROM d')(
-    lambda spark, sf: CC.compare_diff_table(diff(spark, sf)))
+_diff_columns = ["Handle", "Title", "Change", "Field", "Before", "After"]
+
+
+@query("write_compare_diff", f'{DIFF} SELECT handle AS "Handle", title AS "Title", change AS "Change", field AS "Field", before AS "Before", after AS "After" FROM d')
+def write_compare_diff(spark, sf):
+    path = scratch_path(spark, "diff")
+    CS.write_lines(CC.compare_diff_table(diff(spark, sf)), path, F.lit("compare"), ["Change", "Handle", "Field"], _diff_columns)
+    return CS.read_lines(spark, path, _diff_columns).select(*_diff_columns)
+
+
 _heads_u = ", ".join(f"({i}, '{n}')" for i, n in enumerate(T.UPDATE))
 _heads_s = ", ".join(f"('{n}')" for n in T.CATALOG)
 query("common_columns", f"SELECT u.header FROM (VALUES {_heads_u}) AS u(pos, header) JOIN (VALUES {_heads_s}) AS s(header) USING (header) WHERE EXISTS (SELECT 1 FROM part)")(

@@ -10,8 +10,10 @@ from gristmill.functions import text as TX
 from gristmill.operators import corpus as CO
 from gristmill.plans import sqltext as Q
 from gristmill.plans.registry import query
+from gristmill.session import scratch_path
 from gristmill.sources import html_pages as H
 from gristmill.sources import tables as T
+from gristmill.sources.ordered_files import read_ordered
 
 NL = "chr(10)"
 # a document view with page numbers, running headers, hyphen breaks, lists and odd characters planted by id
@@ -101,8 +103,22 @@ query("corpus_stats", f"WITH {CLEAN} SELECT count(*) AS docs, sum(length(raw))::
       f"greatest(0, CAST(floor(100 * (1 - sum({_est('clean_text')}) / sum({_est('raw')})) + 0.5) AS BIGINT)) AS saved_percent FROM cleaned")(
     lambda s, sf: CO.corpus_stats(CO.clean_document(docs(s, sf))))
 _bar = "repeat('=', 59)"
-query("merge_plain", f"WITH {DOCS} SELECT doc_id, {_bar} || {NL} || 'DOCUMENT: ' || name || {NL} || {_bar} || {NL} || {NL} || text AS block FROM docs")(
-    lambda s, sf: CO.merged(docs(s, sf), CO.plain_block))
+
+
+def merged_file(block, extension: str):
+    """The merged file as it was written: its blocks by position."""
+    def run(s: SparkSession, sf: str) -> DataFrame:
+        path = scratch_path(s, f"merged-{extension}")
+        CO.write_merged(docs(s, sf), path, block, extension)
+        return read_ordered(s, path).select("file", "position", F.col("piece").alias("block"))
+    return run
+
+
+def merged_sql(block: str, source: str) -> str:
+    return f"SELECT 'merged' AS file, row_number() OVER (ORDER BY doc_id) - 1 AS position, {block} AS block FROM {source}"
+
+
+query("merge_plain", f"WITH {DOCS} " + merged_sql(f"{_bar} || {NL} || 'DOCUMENT: ' || name || {NL} || {_bar} || {NL} || {NL} || text", "docs"))(merged_file(CO.plain_block, "txt"))
 query("merge_chats", f"WITH chats AS (SELECT conv_id AS doc_id, 'chat-' || CAST(conv_id AS VARCHAR) AS name, string_agg(role || ': ' || text, {NL} ORDER BY turn) AS text FROM conversations GROUP BY conv_id) "
       f"SELECT doc_id, {_bar} || {NL} || 'DOCUMENT: ' || name || {NL} || {_bar} || {NL} || {NL} || text AS block FROM chats")(
     lambda s, sf: CO.merged(T.chats(s, sf), CO.plain_block))
@@ -110,8 +126,21 @@ _mk = (f"mk AS (SELECT doc_id, line_no, {lt('line')} AS t, CASE WHEN {lt('line')
        "mk2 AS (SELECT *, lead(k) OVER (PARTITION BY doc_id ORDER BY line_no) AS nk FROM mk), "
        f"body AS (SELECT doc_id, string_agg(CASE k WHEN 'b' THEN '' WHEN 'h' THEN '## ' || t || {NL} || {NL} WHEN 'l' THEN '- ' || regexp_replace(t, '{LIST}', '') || {NL} ELSE t || CASE WHEN nk = 'p' THEN ' ' ELSE {NL} || {NL} END END, '' ORDER BY line_no) AS b FROM mk2 GROUP BY 1)")
 _md = f"'# ' || name || {NL} || {NL} || b"
-query("merge_markdown", f"WITH {DOCS}, {lines_sql()}, {_mk} SELECT doc_id, " + lt(f"regexp_replace({_md}, '\\n{{3,}}', {NL} || {NL}, 'g')") + " AS block FROM docs JOIN body USING (doc_id)")(
-    lambda s, sf: CO.merged(docs(s, sf), CO.markdown_block))
-query("merge_html")(lambda s, sf: CO.merged(docs(s, sf), CO.html_block))
+query("merge_markdown", f"WITH {DOCS}, {lines_sql()}, {_mk} " + merged_sql(lt(f"regexp_replace({_md}, '\\n{{3,}}', {NL} || {NL}, 'g')"), "docs JOIN body USING (doc_id)"))(merged_file(CO.markdown_block, "md"))
+
+
+def _escaped(x: str) -> str:
+    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("''", "&#39;")):
+        x = f"replace({x}, '{a}', '{b}')"
+    return x
+
+
+_item = "'  <li>' || " + _escaped(f"regexp_replace(x, '{LIST}', '')") + " || '</li>'"
+_all_list = f"(len(list_filter(string_split(b, {NL}), lambda x: NOT ({lt('x')} = '' OR {is_list('x')}))) = 0 AND len(list_filter(string_split(b, {NL}), lambda x: {is_list('x')})) > 0)"
+_html = (
+    f"raw AS (SELECT doc_id, unnest(regexp_split_to_array(text, '\\n{{2,}}')) AS r, generate_subscripts(regexp_split_to_array(text, '\\n{{2,}}'), 1) AS i FROM docs), blk AS (SELECT doc_id, i, {lt('r')} AS b FROM raw), "
+    f"tags AS (SELECT doc_id, i, CASE WHEN NOT contains(b, {NL}) AND {is_head('b')} THEN '<h2>' || {_escaped('b')} || '</h2>' WHEN {_all_list} THEN '<ul>' || {NL} || array_to_string(list_transform(string_split(b, {NL}), lambda x: {_item}), {NL}) || {NL} || '</ul>' "
+    f"ELSE '<p>' || replace({_escaped('b')}, {NL}, ' ') || '</p>' END AS t FROM blk WHERE b <> ''), inner_ AS (SELECT doc_id, string_agg(t, {NL} ORDER BY i) AS t FROM tags GROUP BY 1)")
+query("merge_html", f"WITH {DOCS}, {_html} " + merged_sql(f"'<section data-document=\"' || {_escaped('name')} || '\">' || {NL} || '<h1>' || {_escaped('name')} || '</h1>' || {NL} || CASE WHEN t IS NULL THEN '' ELSE t || {NL} END || '</section>'", "docs LEFT JOIN inner_ USING (doc_id)"))(merged_file(CO.html_block, "html"))
 query("html_article_text")(lambda s, sf: H.html_article_text(T.table(s, sf, "pages")))
 query("html_body_text")(lambda s, sf: H.html_body_text(T.table(s, sf, "pages")))

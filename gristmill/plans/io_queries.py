@@ -17,6 +17,7 @@ from gristmill.session import scratch_path
 from gristmill.sources import csv_files as CS
 from gristmill.sources import feed_payloads as FP
 from gristmill.sources import tables as T
+from gristmill.sources.ordered_files import committed, file_of, read_ordered, write_ordered
 from gristmill.streaming import streams as ST
 
 # ---- files of the catalog ------------------------------------------------------------------------------------------
@@ -44,8 +45,20 @@ def payloads(s, sf):
 PROBE = f"WITH f AS (SELECT DISTINCT CAST(floor(p_partkey / 100) AS INT) AS n, 'file-' || CAST(CAST(floor(p_partkey / 100) AS BIGINT) AS VARCHAR) AS file_id FROM part)"
 query("csv_probe")(lambda s, sf: CS.csv_probe(payloads(s, sf)))
 query("csv_misfit_rows", f"{PROBE} SELECT file_id, CASE WHEN n % 5 = 0 THEN 1 ELSE 0 END AS misfit_rows FROM f")(lambda s, sf: CS.csv_misfit_rows(payloads(s, sf)))
-query("csv_recode", f"{CQ.C} SELECT file_id, row_no, concat_ws(',', " + ", ".join("'\"' || replace(coalesce(" + c + ", ''), '\"', '\"\"') || '\"'" for c in CQ.SHORT.values()) + ") AS line FROM c")(
-    lambda s, sf: CQ.catalog(s, sf).select("file_id", "row_no", SP.quoted_line(list(CQ.SHORT)).alias("line")))
+_latin = lambda x: f"CASE WHEN CAST(substring(file_id, 6) AS INT) % 7 = 3 THEN regexp_replace({x}, '[^\\x{{00}}-\\x{{7F}}]', 'é', 'g') ELSE {x} END"
+_line = "concat_ws(',', " + ", ".join("'\"' || replace(coalesce(" + c + ", ''), '\"', '\"\"') || '\"'" for c in CQ.SHORT.values()) + ")"
+_odd_line = ",".join(['"only"', '"two"'] + ['""'] * (len(CQ.SHORT) - 2))
+
+
+@query("csv_recode", f"{CQ.C}, l AS (SELECT file_id, row_number() OVER (PARTITION BY file_id ORDER BY row_no) - 1 AS position, {_line} AS line FROM c) SELECT file_id, position, {_latin('line')} AS line FROM l "
+       f"UNION ALL SELECT file_id, count(*) AS position, '{_odd_line}' AS line FROM l WHERE CAST(substring(file_id, 6) AS INT) % 5 = 0 GROUP BY 1")
+def csv_recode(s, sf):
+    """All payloads as files of their own, read in groups of one layout and written as comma-separated UTF-8."""
+    raw, path = scratch_path(s, "payloads"), scratch_path(s, "recoded")
+    write_ordered(payloads(s, sf), raw, F.col("file_id"), ["file_id"], F.col("content"), end="", extension="csv")
+    rows = CS.csv_recode(s, committed(raw) + "/*")
+    CS.write_lines(rows.withColumn("file_id", file_of(F.col("file_id"))), path, F.col("file_id"), ["row_no"], list(CQ.SHORT))
+    return read_ordered(s, path).select(F.col("file").alias("file_id"), "position", F.col("piece").alias("line"))
 
 
 def files_table(s, sf):
@@ -89,22 +102,25 @@ def csv_scan(s, sf):
     return df.agg(F.count(F.lit(1)).alias("n"), F.count_distinct(F.coalesce("Handle", F.lit(""))).alias("handles"), F.sum(F.length(F.coalesce("Body (HTML)", F.lit("")))).alias("chars"))
 
 
-query("csv_batch_scan", f"{CQ.C} SELECT file_id, row_no, coalesce(h, '') AS handle, coalesce(price, '') AS price, legacy FROM c WHERE row_no < {T.COPY_OFFSET} AND CAST(substring(file_id, 6) AS INT) % 7 <> 3")(
-    lambda s, sf: batch_rows(s, sf))
+_filled_h, _filled_price = "coalesce(h, '')", "coalesce(price, '')"
+query("csv_batch_scan", f"{CQ.C}, l AS (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY row_no) + 1 AS place FROM c) SELECT file_id, place AS row_no, {_latin(_filled_h)} AS handle, {_latin(_filled_price)} AS price, legacy FROM l "
+      "UNION ALL SELECT file_id, max(place) + 1 AS row_no, 'only' AS handle, '' AS price, NULL AS legacy FROM l WHERE CAST(substring(file_id, 6) AS INT) % 5 = 0 GROUP BY 1")(
+    lambda s, sf: CS.csv_batch_scan(payloads(s, sf), ["Handle", "Title", "Variant Price", "Status"]).select(
+        "file_id", "row_no", F.col("Handle").alias("handle"), F.col("Variant Price").alias("price"), F.col("extra")["Legacy Code"].alias("legacy")))
+
 
+_https = "regexp_matches(img, '(?i)^http://')"
+_log_columns = ["Row", "Column", "Before", "After", "Reason"]
 
-def batch_rows(s, sf):
-    """Rows of the payloads without the misfit line and without the ISO-8859-1 files (whose symbols were replaced)."""
-    rows = CS.csv_batch_scan(payloads(s, sf).filter("cast(substring(file_id, 6) as int) % 7 <> 3"), ["Handle", "Title", "Variant Price", "Status"])
-    # row_no is the position in the file, the catalog's own row number continues over files
-    first = F.substring("file_id", 6, 20).cast("bigint") * 100
-    keep = (F.col("row_no") <= 101) & (F.col("Handle") != "only")
-    return rows.filter(keep).select("file_id", (F.col("row_no") + first).alias("row_no"), F.col("Handle").alias("handle"), F.col("Variant Price").alias("price"), F.col("extra")["Legacy Code"].alias("legacy"))
+
+@query("write_change_log", f"{CQ.C} SELECT file_id, row_no AS \"Row\", 'Image Src' AS \"Column\", img AS \"Before\", regexp_replace(img, '(?i)^http://', 'https://') AS \"After\", 'Upgraded to HTTPS' AS \"Reason\" FROM c WHERE {_https}")
+def write_change_log(s, sf):
+    path = scratch_path(s, "log")
+    CS.write_change_log(CR.changes(CR.fix_https(CR.start(CQ.catalog(s, sf)))), path)
+    back = CS.read_lines(s, path, _log_columns)
+    return back.select(F.col("file").alias("file_id"), F.col("Row").cast("bigint").alias("Row"), *_log_columns[1:])
 
 
-_https = "regexp_matches(img, '(?i)^http://')"
-query("write_change_log", f"{CQ.C} SELECT file_id, row_no AS \"Row\", 'Image Src' AS \"Column\", img AS \"Before\", regexp_replace(img, '(?i)^http://', 'https://') AS \"After\", 'Upgraded to HTTPS' AS \"Reason\" FROM c WHERE {_https}")(
-    lambda s, sf: CS.change_log_table(CR.changes(CR.fix_https(CR.start(CQ.catalog(s, sf))))))
 query("split_by_bytes")(lambda s, sf: SP.split_by_bytes(CQ.catalog(s, sf).withColumn("file_id", F.lit("all")), 20_000).groupBy("file_id", "part").agg(F.count(F.lit(1)).alias("rows"), F.min("row_no").alias("first_row")))
 query("fix_delimiter", f"{PROBE} SELECT file_id, '(file)' AS column_name, CASE n % 4 WHEN 1 THEN ';' WHEN 2 THEN chr(9) ELSE '|' END || '-separated' AS before, 'comma-separated' AS after, 'Converted delimiter to comma' AS reason FROM f WHERE n % 4 <> 0")(
     lambda s, sf: CS.delimiter_log(CS.csv_probe(payloads(s, sf))))

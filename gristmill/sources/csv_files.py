@@ -14,7 +14,9 @@ from pyspark.sql import types as T
 
 from gristmill.functions.text import jstrim, let, not_blank
 from gristmill.operators.catalog_rows import data_columns
+from gristmill.operators.catalog_split import quoted_line
 from gristmill.operators.ordered import running_count
+from gristmill.sources.ordered_files import read_ordered, write_ordered
 
 # Delimiters in order of preference on a tie.
 DELIMITERS = [",", ";", "\t", "|"]
@@ -93,6 +95,40 @@ def csv_scan(spark: SparkSession, paths, headers: list[str], sep: str = ",", enc
     return counted.select("file_id", (F.col("_place") + 1).alias("row_no"), *headers)
 
 
+def csv_groups(spark: SparkSession, path: str) -> DataFrame:
+    """(delimiter, encoding, header, paths): the files under ``path`` that one scan can read together.
+
+    Files are probed where they lie; a group is as many paths as a reader is given anyway.
+    """
+    files = with_text(binary_files(spark, path))
+    first = F.regexp_extract("text", r'^\s*((?:[^"\r\n]|"(?:[^"]|"")*+")*)', 1)
+    probed = files.select("file_id", delimiter_of(F.col("text")).alias("delimiter"), file_encoding(F.col("content")).alias("encoding"), first.alias("header"))
+    return probed.groupBy("delimiter", "encoding", "header").agg(F.sort_array(F.collect_list("file_id")).alias("paths"))
+
+
+def header_names(header: str, delimiter: str) -> list[str]:
+    """Trimmed names of a header line; a repeated name gets a number."""
+    names, seen = [], {}
+    for name in next(csv.reader([header], delimiter=delimiter), []):
+        name = name.strip()
+        seen[name.lower()] = seen.get(name.lower(), 0) + 1
+        names.append(name if seen[name.lower()] == 1 else f"{name} ({seen[name.lower()]})")
+    return names
+
+
+def csv_recode(spark: SparkSession, path: str) -> DataFrame:
+    """(file_id, row_no, all columns by name) of the files under ``path``, whatever delimiters, encodings and headers they have.
+
+    The files are probed first; files that agree in all three are read by one scan of Spark's own reader, and the scans
+    are united by name. Written by ``write_lines``, the rows are comma-separated UTF-8 without byte-order marks.
+    """
+    out = None
+    for group in csv_groups(spark, path).collect():
+        rows = csv_scan(spark, group["paths"], header_names(group["header"], group["delimiter"]), group["delimiter"], group["encoding"])
+        out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
+    return spark.createDataFrame([], "file_id string, row_no bigint") if out is None else out
+
+
 def csv_batch_scan(files: DataFrame, columns: list[str], batch_rows: int = 10_000) -> DataFrame:
     """Rows of many files, each with its own delimiter, encoding and header, in one job.
 
@@ -141,8 +177,23 @@ def write_corrected_csv(df: DataFrame, path: str) -> None:
         path, header=True, quoteAll=True, escape='"', emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
+def write_lines(table: DataFrame, path: str, file: Column, order: list[str], columns: list[str]) -> None:
+    """A table as ordered CSV files: comma, UTF-8, every field quoted, a header in each part."""
+    head = ",".join('"' + c.replace('"', '""') + '"' for c in columns)
+    write_ordered(table, path, file, order, quoted_line([f"`{c}`" for c in columns]), header=head + "\n", extension="csv")
+
+
+def read_lines(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
+    """(file, part, position, the columns as text) of ``write_lines``; lines are parsed by the CSV reader's own rules."""
+    schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(columns))])
+    parsed = F.from_csv("piece", schema.simpleString()[len("struct<"):-1].replace(":", " ").replace(",", ", "), {"escape": '"', "multiLine": "true", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false", "emptyValue": ""})
+    rows = read_ordered(spark, path).withColumn("_cells", parsed)
+    return rows.select("file", "part", "position", *[F.coalesce(F.col(f"_cells.c{i}"), F.lit("")).alias(c) for i, c in enumerate(columns)])
+
+
 def write_change_log(changes: DataFrame, path: str) -> None:
-    change_log_table(changes).write.mode("overwrite").csv(path, header=True, quoteAll=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    """The change log of each catalog file, by row and column."""
+    write_lines(change_log_table(changes), path, F.col("file_id"), ["Row", "Column", "Before", "After", "Reason"], ["Row", "Column", "Before", "After", "Reason"])
 
 
 def change_log_table(changes: DataFrame) -> DataFrame:
