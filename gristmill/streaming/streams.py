@@ -8,11 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 from pyspark.sql.types import LongType, StructField, StructType
 
 from gristmill.functions.text import clean_title, token_set
@@ -51,64 +53,134 @@ def item_dedupe(items: DataFrame, when: str = "pub_ts", key: str = "link_key", d
     return items.withWatermark(when, f"{days} days").dropDuplicatesWithinWatermark([key])
 
 
+def _ordered_store(spark: SparkSession) -> None:
+    """State with timers lives in the RocksDB store."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+class HiddenIntervals(StatefulProcessor):
+    """The open intervals of a story: start to (last mark, number of marks); marks may come in any order.
+
+    A mark joins the intervals whose marks are less than a span away, and may join two of them to one. An interval that
+    the watermark has left by a span can meet no further mark; a timer removes it.
+    """
+
+    def __init__(self, span: int):
+        self.span = span
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.open = handle.getMapState("open", "start bigint", "last bigint, marks bigint")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        before = {k[0]: (v[0], v[1]) for k, v in self.open.iterator()}
+        now = dict(before)
+        for pdf in filter(len, rows):
+            times = np.sort(pdf["millis"].to_numpy(np.int64))
+            cuts = np.flatnonzero(np.diff(times) >= self.span) + 1
+            for run in np.split(times, cuts):
+                lo, hi, n = int(run[0]), int(run[-1]), len(run)
+                for start, (last, marks) in list(now.items()):
+                    if lo < last + self.span and start < hi + self.span:
+                        lo, hi, n = min(lo, start), max(hi, last), n + marks
+                        del now[start]
+                now[lo] = hi, n
+        out = []
+        for start in before.keys() - now.keys():
+            # it is part of an interval with another start from here on
+            self.open.removeKey((start,))
+            out.append((key[0], start, None, 0))
+        for start, (last, marks) in now.items():
+            if before.get(start) != (last, marks):
+                self.open.updateValue((start,), (last, marks))
+                self.handle.registerTimer(last + self.span)
+                out.append((key[0], start, last + self.span, marks))
+        return iter([pd.DataFrame(out, columns=["key", "hidden_from", "hidden_until", "marks"]).astype({"hidden_until": "Int64"})] if out else ())
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        for start, (last, _) in [(k[0], v) for k, v in self.open.iterator()]:
+            if last + self.span <= expiredTimerInfo.getExpiryTimeInMs():
+                self.open.removeKey((start,))
+        return iter(())
+
+
 def unusable_ttl(marks: DataFrame, delay: str, key: str = "story_key", when: str = "t", hours: int = 24) -> DataFrame:
     """Intervals in which a story is hidden, in milliseconds: (key, hidden_from, hidden_until, marks), in update mode.
 
     A mark hides its story for 24 hours; marking it again renews the time. An interval is emitted when it opens and again
-    whenever it is renewed, so open ones are known too; ``drain_updates`` keeps the last state of (key, hidden_from).
-    Marks that come later than ``delay`` are dropped.
+    whenever it changes, so open ones are known too; ``drain_updates`` keeps the last state of (key, hidden_from). A mark
+    that comes late but within ``delay`` can move a start or join two intervals: the row of the start that is gone is
+    emitted with no marks (``marks = 0``). Marks that come later than ``delay`` are dropped.
     """
-    span = hours * 3600 * 1000
+    _ordered_store(marks.sparkSession)
     kind = dict(marks.dtypes)[key]
+    x = marks.withWatermark(when, delay).withColumn("millis", F.unix_millis(when)).select(key, when, "millis")
+    out = x.groupBy(key).transformWithStateInPandas(
+        HiddenIntervals(hours * 3600 * 1000), f"key {kind}, hidden_from bigint, hidden_until bigint, marks bigint", "update", "EventTime")
+    return out.select(F.col("key").alias(key), "hidden_from", "hidden_until", F.col("marks").cast("int").alias("marks"))
+
+
+class RateCounter(StatefulProcessor):
+    """Hits wait in slots of event time until the watermark has passed their slot, then they are decided in order.
 
-    def run(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        done = []
-        start, last, n = state.get if state.exists else (None, None, 0)
-        if state.hasTimedOut:
-            state.remove()
-        else:
-            times = sorted(int(t) for b in batches for t in b["_ms"])
-            for t in times:
-                if last is not None and t >= last + span:
-                    done.append((k[0], start, last + span, n))
-                    start, n = None, 0
-                start, last, n = (t if start is None else start), t, n + 1
-            done.append((k[0], start, last + span, n))
-            state.update((start, last, n))
-            state.setTimeoutTimestamp(max(last + span, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(done, columns=[key, "hidden_from", "hidden_until", "marks"])
-
-    x = marks.withWatermark(when, delay).withColumn("_ms", F.unix_millis(when)).select(key, when, "_ms")
-    return x.groupBy(key).applyInPandasWithState(
-        run, f"{key} {kind}, hidden_from bigint, hidden_until bigint, marks int", "start bigint, last bigint, n int", "update", GroupStateTimeout.EventTimeTimeout)
-
-
-def rate_audit(hits: DataFrame, delay: str, key: str = "key", when: str = "ts", limit: int = 3, gap_seconds: int = 600) -> DataFrame:
-    """(key, ts, accepted) per hit that is not later than ``delay``. A counter lives until ``gap_seconds`` pass without an accepted hit; at the limit hits are refused."""
-    kind, gap = dict(hits.dtypes)[key], gap_seconds * 1_000_000
-
-    def run(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        n, last = state.get if state.exists else (0, None)
-        times = sorted(int(t) for b in batches for t in b["_us"])
-        rows = []
-        for t in times:
-            if last is not None and t - last >= gap:
-                n = 0
-            ok = n < limit
-            if ok:
-                n, last = n + 1, t
-            rows.append((k[0], t, ok))
-        state.update((n, last))
-        state.setTimeoutTimestamp(max((last + gap) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(rows, columns=[key, "us", "accepted"])
-
-    x = hits.withWatermark(when, delay).withColumn("_us", F.unix_micros(when)).select(key, when, "_us")
-    out = x.groupBy(key).applyInPandasWithState(
-        run, f"{key} {kind}, us bigint, accepted boolean", "n int, last bigint", "append", GroupStateTimeout.EventTimeTimeout)
-    return out.select(key, F.timestamp_micros("us").alias("ts"), "accepted")
+    State of a key: the hits of the slots that are still open, and (accepted so far, last accepted hit). A timer ends each
+    slot; timers of a key fire in the order of their times.
+    """
+
+    def __init__(self, limit: int, gap: int, slot: int):
+        self.limit, self.gap, self.slot = limit, gap, slot
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getMapState("waiting", "ends bigint", "hits array<bigint>")
+        self.counter = handle.getValueState("counter", "n bigint, last bigint")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        for pdf in filter(len, rows):
+            times = pdf["micros"].to_numpy(np.int64)
+            ends = (times // 1000 // self.slot + 1) * self.slot
+            for end in np.unique(ends).tolist():
+                fresh = times[ends == end].tolist()
+                known = self.waiting.getValue((end,)) if self.waiting.containsKey((end,)) else None
+                self.waiting.updateValue((end,), ((list(known[0]) if known else []) + fresh,))
+                if not known:
+                    self.handle.registerTimer(end)
+        return iter(())
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        end, out = expiredTimerInfo.getExpiryTimeInMs(), []
+        if self.waiting.containsKey((end,)):
+            n, last = self.counter.get() if self.counter.exists() else (0, None)
+            for t in np.sort(np.array(self.waiting.getValue((end,))[0], np.int64)).tolist():
+                if last is not None and t - last >= self.gap:
+                    n = 0
+                ok = n < self.limit
+                if ok:
+                    n, last = n + 1, t
+                out.append((key[0], t, ok))
+            self.waiting.removeKey((end,))
+            self.counter.update((n, last))
+            # the counter is forgotten once no later hit can be inside its gap
+            self.handle.registerTimer((last + self.gap) // 1000 // self.slot * self.slot + 2 * self.slot + 1)
+        elif self.counter.exists():
+            n, last = self.counter.get()
+            if last + self.gap <= end * 1000 and not any(True for _ in self.waiting.keys()):
+                self.counter.clear()
+        return iter([pd.DataFrame(out, columns=["key", "us", "accepted"])] if out else ())
+
+
+def rate_audit(hits: DataFrame, delay: str, key: str = "key", when: str = "ts", limit: int = 3, gap_seconds: int = 600, slot_seconds: int = 60) -> DataFrame:
+    """(key, ts, accepted) per hit that is not later than ``delay``, in append mode.
+
+    A counter lives until ``gap_seconds`` pass without an accepted hit; at the limit hits are refused. Hits are decided in
+    the order of their times, whatever order they come in: those of a slot when the watermark has passed it.
+    """
+    _ordered_store(hits.sparkSession)
+    kind = dict(hits.dtypes)[key]
+    x = hits.withWatermark(when, delay).withColumn("micros", F.unix_micros(when)).select(key, when, "micros")
+    out = x.groupBy(key).transformWithStateInPandas(
+        RateCounter(limit, gap_seconds * 1_000_000, slot_seconds * 1000), f"key {kind}, us bigint, accepted boolean", "append", "EventTime")
+    return out.select(F.col("key").alias(key), F.timestamp_micros("us").alias("ts"), "accepted")
 
 
 def usage_windows(hits: DataFrame, delay: str, key: str = "key", when: str = "ts", tokens: str = "tokens", size: str = "60 seconds", step: str = "10 seconds") -> DataFrame:

@@ -9,43 +9,72 @@ from gristmill.streaming import streams as ST
 SF = "/root/testdata/sf0.001"
 
 
-def event_folder(spark, tmp_path, rows):
-    df = spark.createDataFrame(rows, "key string, sec bigint").select("key", F.timestamp_seconds("sec").alias("ts"))
-    df.coalesce(1).write.parquet(str(tmp_path / "in"))
-    return spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
+T0 = 1_700_000_000
 
 
-def test_rate_audit_against_a_counter(spark, tmp_path):
+def event_stream(spark, folder, batches):
+    """Each list of (key, second) is one more file of the folder, and one micro-batch."""
+    first = len(list(folder.glob("*"))) if folder.exists() else 0
+    for i, rows in enumerate(batches):
+        df = spark.createDataFrame([(k, T0 + t) for k, t in rows], "key string, sec bigint").select("key", F.timestamp_seconds("sec").alias("ts"))
+        df.coalesce(1).write.parquet(str(folder / f"{first + i:03d}"))
+    return spark.readStream.schema("key string, ts timestamp").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(folder))
+
+
+def shuffled_batches(rnd, rows, n, spread):
+    """Rows in batches that overlap by up to ``spread`` seconds, and a last row that moves the watermark past all."""
+    late = sorted(rows, key=lambda r: r[1] + rnd.randint(0, spread))
+    size = -(-len(late) // n)
+    return [late[i:i + size] for i in range(0, len(late), size)] + [[("end", 10**7)]]
+
+
+def test_rate_audit_of_late_hits_over_several_batches(spark, tmp_path):
     rnd = random.Random(1)
-    rows = [(rnd.choice("ab"), 1_700_000_000 + rnd.randint(0, 6000)) for _ in range(80)]
-    got = ST.drain(ST.rate_audit(event_folder(spark, tmp_path, rows), "1 hour", limit=3, gap_seconds=600), "t").collect()
+    rows = [(rnd.choice("ab"), rnd.randint(0, 20_000)) for _ in range(150)]
+    stream = event_stream(spark, tmp_path / "in", shuffled_batches(rnd, rows, 4, 1500))
+    got = ST.drain(ST.rate_audit(stream, "30 minutes", limit=3, gap_seconds=600), "t").collect()
     want, state = [], {}
     for k, t in sorted(rows, key=lambda r: (r[0], r[1])):
         n, last = state.get(k, (0, None))
         if last is not None and t - last >= 600:
             n = 0
         ok = n < 3
-        if ok:
-            state[k] = (n + 1, t)
+        state[k] = (n + 1, t) if ok else (n, last)
+        want.append((k, t, ok))
+    assert sorted((r.key, round(r.ts.timestamp()) - T0, r.accepted) for r in got) == sorted(want)
+
+
+def intervals(rows, span):
+    out, last = {}, {}
+    for k, t in sorted(rows, key=lambda r: (r[0], r[1])):
+        if k in last and t < last[k][1] + span:
+            out[k, last[k][0]] = (t + span, out[k, last[k][0]][1] + 1)
+            last[k] = (last[k][0], t)
         else:
-            state[k] = (n, last)
-        want.append((k, ok))
-    assert sorted((r.key, r.accepted) for r in got) == sorted(want)
+            out[k, t], last[k] = (t + span, 1), (t, t)
+    return {(k, a, b, n) for (k, a), (b, n) in out.items()}
 
 
-def test_hidden_intervals_over_several_batches(spark, tmp_path):
-    day = 86400
-    schema = "story_key string, t timestamp"
-    for i, rows in enumerate([[("a", 0), ("b", 10)], [("a", day - 1)], [("a", 3 * day), ("b", day + 10)], [("c", 3 * day)]]):
-        spark.createDataFrame([(k, 1_700_000_000 + t) for k, t in rows], "k string, s bigint").select(F.col("k").alias("story_key"), F.timestamp_seconds("s").alias("t")).coalesce(1).write.parquet(str(tmp_path / "in" / f"{i}"))
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
-    got = {(r.story_key, r.hidden_from // 1000 - 1_700_000_000, r.hidden_until // 1000 - 1_700_000_000, r.marks) for r in ST.drain_updates(ST.unusable_ttl(stream, "10 days"), "h", ["story_key", "hidden_from"]).collect()}
-    assert got == {("a", 0, 2 * day - 1, 2), ("a", 3 * day, 4 * day, 1), ("b", 10, day + 10, 1), ("b", day + 10, 2 * day + 10, 1), ("c", 3 * day, 4 * day, 1)}
+def test_hidden_intervals_of_late_marks_with_a_restart(spark, tmp_path):
+    rnd = random.Random(2)
+    rows = [(rnd.choice("abc"), rnd.randint(0, 40 * 3600)) for _ in range(60)]
+    batches = shuffled_batches(rnd, rows, 6, 5 * 3600)
+    out, ckpt = str(tmp_path / "out"), str(tmp_path / "ckpt")
+    for part in (batches[:3], batches[3:]):
+        # the second round starts again from the checkpoint and meets the new files only
+        stream = event_stream(spark, tmp_path / "in", part)
+        marks = ST.unusable_ttl(stream.withColumnsRenamed({"key": "story_key", "ts": "t"}), "6 hours", hours=2)
+        marks.writeStream.outputMode("update").option("checkpointLocation", ckpt).trigger(availableNow=True).foreachBatch(
+            lambda df, i: df.write.mode("overwrite").parquet(f"{out}/_batch={i}")).start().awaitTermination()
+    log = spark.read.option("recursiveFileLookup", "false").parquet(out)
+    last = log.groupBy("story_key", "hidden_from").agg(F.max_by(F.struct("hidden_until", "marks"), "_batch").alias("x")).select("story_key", "hidden_from", "x.*").filter("marks > 0")
+    got = {(r.story_key, r.hidden_from // 1000 - T0, r.hidden_until // 1000 - T0, r.marks) for r in last.collect() if r.story_key != "end"}
+    assert got == intervals(rows, 2 * 3600)
 
 
 def test_dedupe_and_usage(spark, tmp_path):
     rows = [("a", 1_700_000_000), ("a", 1_700_000_030), ("b", 1_700_000_059), ("a", 1_700_000_060), ("a", 1_700_000_061)]
-    s = event_folder(spark, tmp_path, rows).withColumnsRenamed({"key": "link_key", "ts": "pub_ts"})
+    s = event_stream(spark, tmp_path / "in", [[(k, t - T0) for k, t in rows]]).withColumnsRenamed({"key": "link_key", "ts": "pub_ts"})
     assert ST.drain(ST.item_dedupe(s), "d").count() == 2
     df = spark.createDataFrame([(k, t, 1) for k, t in rows], "key string, sec bigint, tokens int").withColumn("ts", F.timestamp_seconds("sec"))
     used = {(r.key, r.sec): r.used for r in ST.usage_last_minute(df).collect()}
