@@ -42,8 +42,17 @@ def payloads(s, sf):
     return g.select("file_id", F.explode(F.array(content)).alias("content"))
 
 
+_cells_text = "concat_ws(' ', " + ", ".join(CQ.SHORT.values()) + ")"
+_head_text = ",".join(CQ.SHORT)
 PROBE = f"WITH f AS (SELECT DISTINCT CAST(floor(p_partkey / 100) AS INT) AS n, 'file-' || CAST(CAST(floor(p_partkey / 100) AS BIGINT) AS VARCHAR) AS file_id FROM part)"
-query("csv_probe")(lambda s, sf: CS.csv_probe(payloads(s, sf)))
+_latin_odd = f"EXISTS (SELECT 1 FROM c WHERE c.file_id = f.file_id AND regexp_matches({_cells_text}, '[^\\x{{00}}-\\x{{7F}}]'))"
+_encoding = f"CASE n % 7 WHEN 1 THEN 'UTF-8' WHEN 2 THEN 'UTF-16LE' WHEN 3 THEN CASE WHEN {_latin_odd} THEN 'ISO-8859-1' ELSE 'UTF-8' END ELSE 'UTF-8' END"
+_sep_sql = "CASE n % 4 WHEN 0 THEN ',' WHEN 1 THEN ';' WHEN 2 THEN chr(9) ELSE '|' END"
+_file_numbers = "f AS (SELECT DISTINCT CAST(substring(file_id, 6) AS INT) AS n, file_id FROM c)"
+_quoted = lambda c: f"'\"' || replace(coalesce({c}, ''), '\"', '\"\"') || '\"'"
+_payload = (f"t AS (SELECT c.file_id, n, replace('{_head_text}', ',', SEP) || string_agg(chr(10) || " + f" || {'SEP'} || ".join(_quoted(c) for c in CQ.SHORT.values()) + ", '' ORDER BY row_no) || CASE WHEN n % 5 = 0 THEN chr(10) || 'only' || SEP || 'two' ELSE '' END AS text FROM c JOIN f USING (file_id) GROUP BY c.file_id, n)").replace("SEP", f"({_sep_sql})")
+_size = (f"CASE n % 7 WHEN 1 THEN strlen(text) + 3 WHEN 2 THEN 2 * length(text) + 2 WHEN 3 THEN length(text) ELSE strlen(text) END")
+query("csv_probe", f"{CQ.C}, {_file_numbers}, {_payload} SELECT file_id, {_encoding} AS encoding, n % 7 IN (1, 2) AS has_bom, {_sep_sql} AS delimiter, CAST({_size} AS BIGINT) AS byte_size FROM t AS f")(lambda s, sf: CS.csv_probe(payloads(s, sf)))
 query("csv_misfit_rows", f"{PROBE} SELECT file_id, CASE WHEN n % 5 = 0 THEN 1 ELSE 0 END AS misfit_rows FROM f")(lambda s, sf: CS.csv_misfit_rows(payloads(s, sf)))
 _latin = lambda x: f"CASE WHEN CAST(substring(file_id, 6) AS INT) % 7 = 3 THEN regexp_replace({x}, '[^\\x{{00}}-\\x{{7F}}]', 'é', 'g') ELSE {x} END"
 _line = "concat_ws(',', " + ", ".join("'\"' || replace(coalesce(" + c + ", ''), '\"', '\"\"') || '\"'" for c in CQ.SHORT.values()) + ")"
@@ -71,10 +80,11 @@ _kind = {
     "DELIMITER_NOT_COMMA": ("n % 4 <> 0", "CASE n % 4 WHEN 1 THEN ';' WHEN 2 THEN chr(9) ELSE '|' END"),
     "FILE_SIZE_APPROACHING_LIMIT": ("n % 10 = 9", f"'{K.SIZE_WARN_BYTES}'"), "FILE_SIZE_OVER_LIMIT": ("n % 10 = 8", f"'{K.SIZE_LIMIT_BYTES}'"),
     "ENCODING_BOM_PRESENT": ("n % 7 IN (1, 2)", "CASE n % 7 WHEN 1 THEN 'UTF-8' ELSE 'UTF-16LE' END"),
+    "ENCODING_NOT_UTF8": (f"({_encoding}) <> 'UTF-8'", _encoding),
     "FIELD_COUNT_MISMATCH": ("n % 5 = 0", "'1'"),
 }
 for _code in ("DELIMITER_NOT_COMMA", "FILE_SIZE_APPROACHING_LIMIT", "FILE_SIZE_OVER_LIMIT", "ENCODING_BOM_PRESENT", "ENCODING_NOT_UTF8", "FIELD_COUNT_MISMATCH"):
-    _sql = f"{PROBE} SELECT file_id, {_kind[_code][1]} AS value FROM f WHERE {_kind[_code][0]}" if _code in _kind else None
+    _sql = f"{CQ.C}, {_file_numbers} SELECT file_id, {_kind[_code][1]} AS value FROM f WHERE {_kind[_code][0]}" if _code == "ENCODING_NOT_UTF8" else f"{PROBE} SELECT file_id, {_kind[_code][1]} AS value FROM f WHERE {_kind[_code][0]}" if _code in _kind else None
     register(_code, lambda s, sf, c=_code: CK.file_rules(files_table(s, sf), [c]).select("file_id", "value"), _sql)
 
 
@@ -198,12 +208,28 @@ def stream_of(s, sf, name: str):
     return s.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
 
 
-query("stream_item_dedupe", "SELECT user_id % 40 AS link_key, count(DISTINCT user_id % 40) AS n FROM events GROUP BY 1")(
-    lambda s, sf: ST.drain(ST.item_dedupe(stream_of(s, sf, "events").select((F.col("user_id") % 40).alias("link_key"), F.col("ts").alias("pub_ts"))), "dedupe").groupBy("link_key").agg(F.count(F.lit(1)).alias("n")))
+query("stream_item_dedupe", "SELECT DISTINCT user_id AS link_key, strftime(ts, '%Y-%m-%d') AS day FROM events")(
+    lambda s, sf: ST.drain(ST.item_dedupe(stream_of(s, sf, "events").select("user_id", F.date_format("ts", "yyyy-MM-dd").alias("day"), F.concat_ws("/", "user_id", F.to_date("ts")).alias("link_key"), F.col("ts").alias("pub_ts"))), "dedupe")
+    .select(F.col("user_id").alias("link_key"), "day"))
 query("stream_unusable_ttl", "WITH e AS (SELECT user_id AS story_key, epoch_us(ts) // 1000 AS t FROM events), g AS (SELECT *, CASE WHEN t < lag(t) OVER w + 86400000 THEN 0 ELSE 1 END AS first FROM e WINDOW w AS (PARTITION BY story_key ORDER BY t)), "
       "i AS (SELECT *, sum(first) OVER (PARTITION BY story_key ORDER BY t ROWS UNBOUNDED PRECEDING) AS no FROM g) SELECT story_key, min(t) AS hidden_from, max(t) + 86400000 AS hidden_until, CAST(count(*) AS INTEGER) AS marks FROM i GROUP BY story_key, no")(
-    lambda s, sf: ST.drain_updates(ST.unusable_ttl(stream_of(s, sf, "events").select(F.col("user_id").alias("story_key"), F.col("ts").alias("t")), "1 hour"), "ttl", ["story_key", "hidden_from"]))
-query("stream_rate_audit")(lambda s, sf: ST.drain(ST.rate_audit(stream_of(s, sf, "events").select(F.col("user_id").alias("key"), "ts"), "1 hour", limit=3, gap_seconds=86400), "rate"))
+    lambda s, sf: ST.drain_updates(ST.unusable_ttl(stream_of(s, sf, "events").select(F.col("user_id").alias("story_key"), F.col("ts").alias("t")), "1 hour"), "ttl", ["story_key", "hidden_from"]).filter("marks > 0"))
+
+
+def with_end(stream, when: str, key: str, first):
+    """The stream and one more row, far ahead of all others, that moves the watermark past them."""
+    return stream.unionByName(stream.filter(first).withColumns({when: F.col(when) + F.expr("INTERVAL 90 DAYS"), key: F.lit(-1).cast("bigint")}))
+
+
+def hits_with_end(s, sf):
+    return with_end(stream_of(s, sf, "events"), "ts", "user_id", F.col("event_id") == 0).select(F.col("user_id").alias("key"), "ts")
+
+
+query("stream_rate_audit", "WITH RECURSIVE e AS (SELECT user_id AS key, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS n FROM events), "
+      "d AS (SELECT key, ts, n, 1 AS used, ts AS last, true AS accepted FROM e WHERE n = 1 UNION ALL SELECT key, ts, n, CASE WHEN accepted THEN had + 1 ELSE had END, CASE WHEN accepted THEN ts ELSE last END, accepted FROM "
+      "(SELECT e.key, e.ts, e.n, d.last, CASE WHEN e.ts - d.last >= INTERVAL '1 day' THEN 0 ELSE d.used END AS had, (e.ts - d.last >= INTERVAL '1 day' OR d.used < 3) AS accepted FROM d JOIN e ON e.key = d.key AND e.n = d.n + 1)) "
+      "SELECT key, ts, accepted FROM d")(
+    lambda s, sf: ST.drain(ST.rate_audit(hits_with_end(s, sf), "1 hour", limit=3, gap_seconds=86400, slot_seconds=3600), "rate"))
 query("usage_last_minute", "SELECT event_id, CAST(sum(CAST(floor(value) AS BIGINT)) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL '86399.999999 seconds' PRECEDING AND CURRENT ROW) AS BIGINT) AS used FROM events")(
     lambda s, sf: ST.usage_last_minute(T.table(s, sf, "events").select("event_id", F.col("user_id").alias("key"), "ts", F.floor("value").alias("tokens")), span_seconds=86400).select("event_id", "used"))
 query("stream_usage_windows", "SELECT user_id AS key, to_timestamp((CAST(floor(epoch(ts) / 10) AS BIGINT) - k) * 10)::TIMESTAMP AS from_ts, to_timestamp((CAST(floor(epoch(ts) / 10) AS BIGINT) - k) * 10 + 60)::TIMESTAMP AS to_ts, CAST(sum(CAST(floor(value) AS BIGINT)) AS BIGINT) AS tokens FROM events, range(6) r(k) GROUP BY ALL")(
@@ -224,5 +250,15 @@ def stream_coverage(s, sf):
     return ST.read_coverage(s, out)
 
 
-query("stream_carry_expiry")(lambda s, sf: ST.drain(ST.carry_expiry(
-    story_stream(s, sf).select(F.col("story_id").alias("section_id"), "title", (F.col("published_at") - F.expr("INTERVAL 1 HOUR")).alias("at")), story_stream(s, sf).select("story_id", "title", "published_at"), hours=2), "carry"))
+def stories_with_end(s, sf):
+    return with_end(story_stream(s, sf), "published_at", "story_id", F.col("story_id") == 0)
+
+
+_first_sentence = "regexp_extract(trim(regexp_replace(text, '[ \\n\\r\\t]+', ' ', 'g')), '^[^.!?]*[.!?]*', 0)"
+query("stream_carry_expiry", f"WITH st AS (SELECT doc_id AS id, {_first_sentence} AS title, doc_id % 2400 AS ago FROM documents), tk AS (SELECT DISTINCT id, ago, unnest({Q.tokens(Q.clean_title('title'))}) AS w FROM st), sz AS (SELECT id, count(*) AS n FROM tk GROUP BY 1), "
+      "p AS (SELECT a.id AS section_id, b.id AS story_id, count(*) AS shared FROM tk a JOIN tk b ON a.w = b.w AND b.ago BETWEEN a.ago - 60 AND a.ago + 60 GROUP BY 1, 2), "
+      "m AS (SELECT section_id, story_id, shared FROM p JOIN sz ON sz.id = p.story_id WHERE shared >= least(3, greatest(2, CAST(ceil(n * 0.5) AS BIGINT)))) "
+      "SELECT st.id AS section_id, story_id, shared FROM st LEFT JOIN m ON m.section_id = st.id")(
+    lambda s, sf: ST.drain(ST.carry_expiry(
+        stories_with_end(s, sf).select(F.col("story_id").alias("section_id"), "title", (F.col("published_at") - F.expr("INTERVAL 1 HOUR")).alias("at")),
+        stories_with_end(s, sf).select("story_id", "title", "published_at"), hours=2), "carry").filter("section_id >= 0"))

@@ -230,15 +230,20 @@ def read_coverage(spark: SparkSession, out: str) -> DataFrame:
 
 
 def carry_expiry(sections: DataFrame, stories: DataFrame, hours: int = 72, delay: str = "1 hour") -> DataFrame:
-    """Waiting sections met by a related story inside their 72 hours: (section_id, story_id, shared).
+    """Waiting sections met by a related story inside their 72 hours, and those that expire: (section_id, story_id, shared).
 
     ``sections(section_id, title, at)`` and ``stories(story_id, title, published_at)`` are streams. They meet on title
-    tokens inside the interval; the watermark on both sides lets the state of expired sections go.
+    tokens inside the interval, and every section is joined to its stories by an outer join: a section that no story has met
+    when the watermark passes the end of its interval is emitted with a null ``story_id``, and its state goes.
     """
+    inside = lambda t: (F.col(t) >= F.col("at")) & (F.col(t) <= F.col("at") + F.expr(f"INTERVAL '{hours}' HOUR"))
     s = sections.withWatermark("at", delay).select("section_id", "at", F.explode(token_set(clean_title("title"))).alias("token"))
     toks = token_set(clean_title("title"))
     t = stories.withWatermark("published_at", delay).select("story_id", "published_at", F.size(toks).alias("n"), F.explode(toks).alias("token2"))
-    inside = (F.col("published_at") >= F.col("at")) & (F.col("published_at") <= F.col("at") + F.expr(f"INTERVAL '{hours}' HOUR"))
-    j = s.join(t, (F.col("token") == F.col("token2")) & inside)
+    j = s.join(t, (F.col("token") == F.col("token2")) & inside("published_at"))
     g = j.groupBy(F.window("published_at", "1 second").alias("w"), "section_id", "story_id", "n").agg(F.count(F.lit(1)).alias("shared"))
-    return g.filter(F.col("shared") >= RL.RELATED(F.greatest(F.col("n"), F.lit(1)))).select("section_id", "story_id", "shared")
+    met = g.filter(F.col("shared") >= RL.RELATED(F.greatest(F.col("n"), F.lit(1)))).select(F.col("section_id").alias("met_id"), "story_id", "shared", F.window_time("w").alias("met"))
+    waiting = sections.withWatermark("at", delay).select("section_id", "at")
+    # a story stands for the second it was published in, so its time is up to a second later than it was
+    joined = (F.col("section_id") == F.col("met_id")) & (F.col("met") >= F.col("at")) & (F.col("met") <= F.col("at") + F.expr(f"INTERVAL '{hours * 3600 + 1}' SECOND"))
+    return waiting.join(met, joined, "left").select("section_id", "story_id", "shared")
