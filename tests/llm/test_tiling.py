@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -60,3 +61,32 @@ def test_documents(spark, monkeypatch):
         assert rest.columns == d.columns and sorted(r.doc_id for r in rest.collect()) == [3, 4, 5, 6]
     assert tiling.contaminated(d.limit(0), b).count() == 0 and tiling.decontaminate(d, b.limit(0)).count() == len(docs)
     assert np.isclose(tiling.contaminated(d, b).agg(F.min("coverage")).first()[0], 40 / 60)
+
+
+def test_long_repetitive_documents_take_bounded_memory():
+    item = "one two three four five " * 200
+    seeds = tiling.Seeds([(1, item)], 5)
+    words, _ = tiling.words_of([item * 1000])
+    tracemalloc.start()
+    assert list(tiling.matches(seeds, words, 0.6)) == [(1, 1000, 1, 1000)]
+    # all pairs of places would be 200 million
+    assert len(words) == 1_000_000 and tracemalloc.get_traced_memory()[1] < 700 << 20
+    tracemalloc.stop()
+    rng = random.Random(7)
+    letters = " ".join(rng.choice("ab") for _ in range(400))
+    found = list(tiling.matches(tiling.Seeds([(1, letters)], 5), tiling.words_of([" ".join(rng.choice("ab") for _ in range(60_000))])[0], 0.6))
+    assert found[0][3] > 380
+
+
+def test_classes_of_length_give_the_tiles_of_a_global_search():
+    rng = random.Random(8)
+    for _ in range(60):
+        item = [rng.choice("abc") for _ in range(rng.randint(20, 60))]
+        doc = []
+        for _ in range(rng.randint(1, 6)):
+            at = rng.randrange(len(item))
+            doc += item[at:at + rng.randint(1, 40)] + [rng.choice("abcd") for _ in range(rng.randint(0, 4))]
+        a, b = tiling.words_of([" ".join(doc)])[0], tiling.words_of([" ".join(item)])[0]
+        tiles = tiling.tile(a, b, 3)
+        assert sum(t[0] for t in tiles) == brute_covered(doc, item, 3)
+        assert [t[0] for t in tiles] == sorted((t[0] for t in tiles), reverse=True)
