@@ -206,14 +206,23 @@ def distinct_sets(keyed: DataFrame) -> DataFrame:
     return keyed.groupBy("key").agg(F.any_value("tokens").alias("tokens"))
 
 
-def coverage(df: DataFrame) -> DataFrame:
+def coverage(df: DataFrame, changed: DataFrame | None = None) -> DataFrame:
     """Add ``coverage``: distinct outlets, own one included, that carry the same story.
 
-    Works on distinct title sets, so a wire story copied by a third of all rows is one node, not a clique.
+    Works on distinct title sets, so a wire story copied by a third of all rows is one node, not a clique. With
+    ``changed(title)``, the stories that came or went, only the stories whose coverage they can change are returned.
     """
     keyed = story_sets(df).withColumn("_outlet", F.lower(F.coalesce("source", F.lit(""))))
     big = keyed.filter(F.size("tokens") >= 3)
-    pairs = RL.similar_pairs(distinct_sets(big), RL.COVERAGE, least_size=3)
+    sets, touched = distinct_sets(big), None
+    if changed is not None:
+        moved = distinct_sets(story_sets(changed.select("title")).filter(F.size("tokens") >= 1))
+        met = RL.similar_pairs(distinct_sets(sets.unionByName(moved.filter(F.size("tokens") >= 3))), RL.COVERAGE, least_size=3, touched=moved)
+        touched = cut_lineage(moved.select("key").unionByName(met.select(F.col("a").alias("key"))).unionByName(met.select(F.col("b").alias("key"))).distinct())
+        # stories without a token have the empty key, which every story without one shares
+        touched = touched.unionByName(df.sparkSession.createDataFrame([("",)], "key string"))
+        keyed = keyed.join(touched, "key", "left_semi")
+    pairs = RL.similar_pairs(sets, RL.COVERAGE, least_size=3, touched=touched)
     outlets = big.select("key", "_outlet").distinct()
     near = RL.both_ways(pairs).select("a", F.col("b").alias("key")).join(outlets, "key").select(F.col("a").alias("key"), "_outlet")
     counted = near.unionByName(outlets).distinct().groupBy("key").agg(F.count(F.lit(1)).alias("_cov"))

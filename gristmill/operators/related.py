@@ -53,20 +53,30 @@ def ordered_sets(sets: DataFrame) -> DataFrame:
         .select("key", F.transform("_o", lambda x: x["token"]).alias("tokens"), F.size("_o").alias("n")))
 
 
-def similar_pairs(sets: DataFrame, required: Required, least_size: int = 1) -> DataFrame:
+def similar_pairs(sets: DataFrame, required: Required, least_size: int = 1, touched: DataFrame | None = None) -> DataFrame:
     """(a, b, shared) for different keys that meet the rule, each pair once (a is the smaller set).
 
-    ``sets`` has one row per distinct ``key`` with an array ``tokens`` of distinct texts.
+    ``sets`` has one row per distinct ``key`` with an array ``tokens`` of distinct texts. With ``touched(key)`` only pairs
+    with at least one touched key are looked for, so a small change of a large collection costs a small join.
     """
     o = ordered_sets(sets).filter(F.col("n") >= least_size)
+    flags = []
+    if touched is not None:
+        o = o.join(touched.select("key").distinct().withColumn("_hit", F.lit(True)), "key", "left").withColumn("_hit", F.coalesce("_hit", F.lit(False)))
+        flags = ["_hit"]
     small = o.withColumn("t", required(F.col("n"))).filter(F.col("t") <= F.col("n"))
-    small = small.select(F.col("key").alias("a"), F.col("tokens").alias("ta"), F.col("n").alias("na"), "t",
+    small = small.select(F.col("key").alias("a"), F.col("tokens").alias("ta"), F.col("n").alias("na"), "t", *flags,
                          F.explode(F.slice("tokens", F.lit(1), F.col("n") - F.col("t") + 1)).alias("token"))
     classes = F.array_distinct(F.transform(F.sequence(F.lit(least_size), F.col("n")), required))
-    large = o.select(F.col("key").alias("b"), F.col("tokens").alias("tb"), F.col("n").alias("nb"), F.explode(classes).alias("t"))
+    large = o.select(F.col("key").alias("b"), F.col("tokens").alias("tb"), F.col("n").alias("nb"), *flags, F.explode(classes).alias("t"))
     large = large.filter(F.col("t") <= F.col("nb")).select(
-        "b", "tb", "nb", "t", F.explode(F.slice("tb", F.lit(1), F.col("nb") - F.col("t") + 1)).alias("token"))
-    j = small.join(large, ["t", "token"]).filter((F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b"))))
+        "b", "tb", "nb", "t", *flags, F.explode(F.slice("tb", F.lit(1), F.col("nb") - F.col("t") + 1)).alias("token"))
+    if touched is None:
+        j = small.join(large, ["t", "token"])
+    else:
+        near = small.filter("_hit").drop("_hit").join(large.drop("_hit"), ["t", "token"])
+        j = near.unionByName(small.filter("NOT _hit").drop("_hit").join(large.filter("_hit").drop("_hit"), ["t", "token"]))
+    j = j.filter((F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b"))))
     common = F.array_intersect("ta", "tb")
     j = j.withColumn("_c", common).withColumn("shared", F.size("_c"))
     # a pair may meet on several prefix tokens; it is kept on its first common token only

@@ -12,6 +12,7 @@ from gristmill.operators import catalog_split as SP
 from gristmill.operators import layout as LY
 from gristmill.plans import catalog_queries as CQ
 from gristmill.plans import sqltext as Q
+from gristmill.plans.feed_queries import COV
 from gristmill.plans.registry import query, register
 from gristmill.session import scratch_path
 from gristmill.sources import csv_files as CS
@@ -243,7 +244,10 @@ def story_stream(s, sf):
         F.col("doc_id").alias("story_id"), F.regexp_extract(flat, "^[^.!?]*[.!?]*", 0).alias("title"), "source", (start - F.col("doc_id") % 2400 * 60).cast("timestamp").alias("published_at"))
 
 
-@query("stream_coverage")
+_first_sentence = "regexp_extract(trim(regexp_replace(text, '[ \\n\\r\\t]+', ' ', 'g')), '^[^.!?]*[.!?]*', 0)"
+
+
+@query("stream_coverage", f"WITH st AS (SELECT doc_id AS story_id, {_first_sentence} AS title, coalesce(source, '') AS source FROM documents), {COV} SELECT story_id, coverage FROM cov")
 def stream_coverage(s, sf):
     q, out = ST.coverage_job(story_stream(s, sf), "coverage")
     q.awaitTermination()
@@ -254,7 +258,6 @@ def stories_with_end(s, sf):
     return with_end(story_stream(s, sf), "published_at", "story_id", F.col("story_id") == 0)
 
 
-_first_sentence = "regexp_extract(trim(regexp_replace(text, '[ \\n\\r\\t]+', ' ', 'g')), '^[^.!?]*[.!?]*', 0)"
 query("stream_carry_expiry", f"WITH st AS (SELECT doc_id AS id, {_first_sentence} AS title, doc_id % 2400 AS ago FROM documents), tk AS (SELECT DISTINCT id, ago, unnest({Q.tokens(Q.clean_title('title'))}) AS w FROM st), sz AS (SELECT id, count(*) AS n FROM tk GROUP BY 1), "
       "p AS (SELECT a.id AS section_id, b.id AS story_id, count(*) AS shared FROM tk a JOIN tk b ON a.w = b.w AND b.ago BETWEEN a.ago - 60 AND a.ago + 60 GROUP BY 1, 2), "
       "m AS (SELECT section_id, story_id, shared FROM p JOIN sz ON sz.id = p.story_id WHERE shared >= least(3, greatest(2, CAST(ceil(n * 0.5) AS BIGINT)))) "

@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -202,23 +203,47 @@ def usage_last_minute(hits: DataFrame, key: str = "key", when: str = "ts", token
     return x.withColumn("used", F.sum(tokens).over(w)).filter("_slice = _own").drop("_us", "_own", "_slice")
 
 
-def coverage_job(stories: DataFrame, name: str, when: str = "published_at", hours: int = 40):
+def coverage_job(stories: DataFrame, name: str, when: str = "published_at", hours: int = 40, ckpt: str | None = None, folder: str | None = None):
     """Coverage kept over a trailing table: each batch joins its new stories to those of the last 40 hours.
 
-    Returns (streaming query, path of the coverage table). The table holds one row per story and batch; the row of the
-    highest batch number is current.
+    The trailing table is partitioned by hour of publication, so a batch lists and reads the partitions of the last 40
+    hours only, however long the history is. Only stories near one that came or fell out of the 40 hours are counted
+    again. Returns (streaming query, path of the coverage table): one row for each story and batch that changed it; the row
+    of the highest batch number is current. A repeated batch overwrites its own partitions.
     """
     spark = stories.sparkSession
-    past, out, ckpt = scratch_path(spark, f"{name}-past"), scratch_path(spark, f"{name}-out"), scratch_path(spark, f"{name}-ckpt")
-    schema = "story_id bigint, title string, source string, published_at timestamp, _batch bigint"
+    folder = folder or scratch_path(spark, name)
+    past, out, marks, ckpt = f"{folder}/past", f"{folder}/out", f"{folder}/newest", ckpt or f"{folder}/ckpt"
+    schema = "story_id bigint, title string, source string, published_at timestamp, hour bigint, _batch bigint"
+    span = hours * 3600
+
+    def newest_until(batch: int) -> float | None:
+        """The newest time, in seconds, of the batches before this one."""
+        try:
+            return spark.read.parquet(f"{marks}/_batch={batch - 1}").first()[0]
+        except AnalysisException:
+            return None
+
+    def between(batch: int, low: float | None, high: float) -> DataFrame:
+        """Stories of the trailing table with low < time <= high, from the partitions of these hours."""
+        rows = spark.read.schema(schema).parquet(past).filter((F.col("hour") <= int(high // 3600)) & (F.col("_batch") <= batch))
+        rows = rows if low is None else rows.filter(F.col("hour") >= int(low // 3600))
+        seconds = F.unix_micros("published_at") / 1e6
+        return rows.filter(seconds <= high) if low is None else rows.filter((seconds > low) & (seconds <= high))
 
     def step(new: DataFrame, batch: int) -> None:
-        # writing under the batch number makes a repeated batch overwrite itself
-        new.select("story_id", "title", "source", F.col(when).alias("published_at")).write.mode("overwrite").parquet(f"{past}/_batch={batch}")
-        seen = spark.read.schema(schema).parquet(past).filter(F.col("_batch") <= batch)
-        newest = seen.agg(F.max("published_at").alias("_m"))
-        live = seen.crossJoin(F.broadcast(newest)).filter(F.col("published_at") > F.col("_m") - F.expr(f"INTERVAL '{hours}' HOUR"))
-        FE.coverage(live.select("story_id", "title", "source")).select("story_id", "coverage").write.mode("overwrite").parquet(f"{out}/_batch={batch}")
+        rows = new.select("story_id", "title", "source", F.col(when).alias("published_at"))
+        rows = rows.withColumns({"hour": F.floor(F.unix_seconds("published_at") / 3600), "_batch": F.lit(batch).cast("bigint")})
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("hour", "_batch").parquet(past)
+        before, latest = newest_until(batch), rows.agg(F.max(F.unix_micros("published_at") / 1e6)).first()[0]
+        newest = max(t for t in (before, latest, 0.0) if t is not None)
+        spark.createDataFrame([(newest,)], "newest double").coalesce(1).write.mode("overwrite").parquet(f"{marks}/_batch={batch}")
+        live = between(batch, newest - span, newest)
+        changed = rows.select("title")
+        if before is not None and newest > before:
+            changed = changed.unionByName(between(batch - 1, before - span, newest - span).select("title"))
+        counted = FE.coverage(live.select("story_id", "title", "source"), changed)
+        counted.select("story_id", "coverage").write.mode("overwrite").parquet(f"{out}/_batch={batch}")
 
     return stories.writeStream.foreachBatch(step).option("checkpointLocation", ckpt).trigger(availableNow=True).start(), out
 

@@ -88,3 +88,43 @@ def test_stream_coverage_equals_batch(spark):
     flat = F.trim(F.regexp_replace("text", "[ \\n\\r\\t]+", " "))
     docs = spark.read.parquet(f"{SF}/documents.parquet").select(F.col("doc_id").alias("story_id"), F.regexp_extract(flat, "^[^.!?]*[.!?]*", 0).alias("title"), "source")
     assert got == {r.story_id: r.coverage for r in FE.coverage(docs).collect()}
+
+
+def test_coverage_of_several_batches_equals_counting_again(spark, tmp_path):
+    rnd = random.Random(4)
+    words = "alpha bravo charlie delta echo foxtrot golf hotel india juliet".split()
+    stories = []
+    for i in range(60):
+        known = [s[1].split(" ") for s in stories if " " in s[1]]
+        base = rnd.choice(known) if known and i % 3 else rnd.sample(words, 5)
+        title = " ".join(rnd.sample(base, 4) + rnd.sample(words, 1)) if i % 7 else "of"
+        stories.append((i, title, rnd.choice(["a", "b", "c", None]), T0 + i * 3000 + rnd.randint(-2500, 2500)))
+    schema = "story_id bigint, title string, source string, published_at timestamp"
+    folder, current = tmp_path / "in", {}
+    for n in range(0, 60, 12):
+        part = stories[n:n + 12]
+        spark.createDataFrame(part, "story_id bigint, title string, source string, s bigint").select("story_id", "title", "source", F.timestamp_seconds("s").alias("published_at")).coalesce(1).write.parquet(str(folder / f"{n:03d}"))
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(folder))
+        q, out = ST.coverage_job(stream, "c", hours=20, folder=str(tmp_path / "job"))
+        q.awaitTermination()
+        seen = stories[:n + 12]
+        newest = max(s[3] for s in seen)
+        live = [s for s in seen if s[3] > newest - 20 * 3600]
+        frame = spark.createDataFrame([s[:3] for s in live], "story_id bigint, title string, source string")
+        want = {r.story_id: r.coverage for r in FE.coverage(frame).collect()}
+        got = {r.story_id: r.coverage for r in ST.read_coverage(spark, out).collect()}
+        assert {i: got[i] for i in want} == want
+        current = got
+    assert set(current) == set(range(60))
+
+
+def test_waiting_sections_are_met_or_expire(spark, tmp_path):
+    hour = 3600
+    sections = [(1, "alpha bravo charlie", 0), (2, "delta echo foxtrot", 0), (3, "golf hotel india", 5 * hour), (9, "the end", 10**7)]
+    stories = [(11, "alpha bravo zulu", hour), (12, "alpha bravo charlie", 2 * hour), (13, "delta echo foxtrot", 4 * hour), (14, "golf hotel", 8 * hour), (19, "the end", 10**7)]
+    for name, rows in (("se", sections), ("st", stories)):
+        for i, r in enumerate(rows):
+            spark.createDataFrame([(r[0], r[1], T0 + r[2])], "id bigint, title string, s bigint").select("id", "title", F.timestamp_seconds("s").alias("t")).coalesce(1).write.parquet(str(tmp_path / name / f"{i}"))
+    read = lambda name: spark.readStream.schema("id bigint, title string, t timestamp").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / name))
+    out = ST.drain(ST.carry_expiry(read("se").withColumnsRenamed({"id": "section_id", "t": "at"}), read("st").withColumnsRenamed({"id": "story_id", "t": "published_at"}), hours=3, delay="30 minutes"), "e")
+    assert {(r.section_id, r.story_id) for r in out.collect() if r.section_id < 9} == {(1, 11), (1, 12), (2, None), (3, 14)}
