@@ -16,7 +16,7 @@ from gristmill.functions import catalog_fields as K
 from gristmill.functions import prices as P
 from gristmill.functions.text import is_blank, jstrim, let, not_blank, or_text, slug
 from gristmill.operators import catalog_rows as R
-from gristmill.operators.catalog_rules import html_open_tags
+from gristmill.operators.catalog_rules import Rule, html_open_tags
 from gristmill.operators.ordered import running_count
 from gristmill.session import cut_lineage
 
@@ -261,13 +261,23 @@ AUTOMATIC = {
 }
 
 
-def repair(df: DataFrame, approved: list[str] = (), automatic: bool = True) -> DataFrame:
-    """All rows after repair, with ``_log`` and ``_gone``. Use ``corrected`` and ``changes`` on the result."""
+def rewrite(df: DataFrame, code: str, reason: str, cells: dict[str, tuple[Column, Column]]) -> DataFrame:
+    """The repair of a rule that rewrites cells: column -> (condition, new value), each selected cell logged."""
+    return _apply(df, cells, reason, code)
+
+
+def repair(df: DataFrame, approved: list[str] = (), automatic: bool = True, extra_rules: list[Rule] = ()) -> DataFrame:
+    """All rows after repair, with ``_log`` and ``_gone``. Use ``corrected`` and ``changes`` on the result.
+
+    The repairs of ``extra_rules`` run after the built-in ones of their class.
+    """
     out = start(df)
     if automatic:
         for fix in AUTOMATIC.values():
             out = fix(out)
         out = fix_dup_images(out, df)
+        for rule in extra_rules:
+            out = rule.repair(out) if rule.repair and rule.auto_fix == "auto" else out
     keyed = 0
     for code, fix in REVIEWED.items():
         if code in approved:
@@ -276,6 +286,8 @@ def repair(df: DataFrame, approved: list[str] = (), automatic: bool = True) -> D
                 out = cut_lineage(out) if keyed else out
                 keyed += 1
             out = fix(out)
+    for rule in extra_rules:
+        out = rule.repair(out) if rule.repair and rule.auto_fix != "auto" and rule.code in approved else out
     return out
 
 

@@ -379,13 +379,18 @@ def _union(parts: list[DataFrame]) -> DataFrame | None:
 
 @dataclass
 class Rule:
-    """Extension point: a user rule is a code, its class, and a detector returning finding rows."""
+    """Extension point: a user rule is a code, its class, a detector returning finding rows, and its repair.
+
+    ``repair`` takes the table of ``catalog_repair.start`` and returns it changed and logged, usually by
+    ``catalog_repair.rewrite``. It runs with the automatic repairs if ``auto_fix`` is "auto", else when its code is approved.
+    """
 
     code: str
     severity: str
     auto_fix: str
     detect: Callable[[Context], DataFrame]
     passed: str | None = None
+    repair: Callable[[DataFrame], DataFrame] | None = None
 
 
 def findings(

@@ -143,3 +143,28 @@ def test_csv_files(spark, tmp_path):
     (tmp_path / "blank.csv").write_bytes(b"Handle,Title\na,1\n,\nb,2\nc,3\n")
     kept = CS.csv_scan(spark, [str(tmp_path / "blank.csv")], ["Handle", "Title"]).orderBy("row_no").collect()
     assert [(r.row_no, r.Handle) for r in kept] == [(2, "a"), (3, "b"), (4, "c")]
+
+
+def test_a_rule_of_the_user_is_found_repaired_and_logged(spark):
+    rows = [("f", 2, "lamp", "Ann Ltd."), ("f", 3, "desk", "Bob"), ("g", 2, "rug", "Eve Ltd.")]
+    df = spark.createDataFrame(rows, "file_id string, row_no bigint, Handle string, Vendor string")
+    company = F.col("Vendor").endswith(" Ltd.")
+
+    def detect(x):
+        return x.df.filter(company).select(
+            "file_id", "row_no", F.col("Handle").alias("handle"), F.lit("VENDOR_COMPANY").alias("code"), F.lit("").alias("scope"), F.lit("Vendor").alias("column_name"),
+            F.col("Vendor").alias("value"), F.lit(None).cast("string").alias("detail"))
+
+    def mend(state):
+        return CR.rewrite(state, "VENDOR_COMPANY", "Removed company form", {"Vendor": (company, F.regexp_replace("Vendor", " Ltd\\.$", ""))})
+
+    for kind, approved in (("auto", ()), ("review", ("VENDOR_COMPANY",))):
+        rule = CK.Rule("VENDOR_COMPANY", "warning", kind, detect, "Vendors are names", mend)
+        found = CK.findings(df, codes=[], extra_rules=[rule])
+        assert {(r.file_id, r.row_no, r.severity, r.auto_fix) for r in found.collect()} == {("f", 2, "warning", kind), ("g", 2, "warning", kind)}
+        mended = CR.repair(df, list(approved), automatic=kind == "auto", extra_rules=[rule])
+        log = {(r.file_id, r.row_no, r.column_name, r.before, r.after, r.reason) for r in CR.changes(mended).filter("code = 'VENDOR_COMPANY'").collect()}
+        assert log == {("f", 2, "Vendor", "Ann Ltd.", "Ann", "Removed company form"), ("g", 2, "Vendor", "Eve Ltd.", "Eve", "Removed company form")}
+        assert sorted(r.Vendor for r in CR.corrected(mended).collect()) == ["Ann", "Bob", "Eve"]
+    rule = CK.Rule("VENDOR_COMPANY", "warning", "review", detect, repair=mend)
+    assert CR.changes(CR.repair(df, (), automatic=False, extra_rules=[rule])).count() == 0
