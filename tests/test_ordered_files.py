@@ -4,6 +4,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from gristmill.sources import csv_files as CS
 from gristmill.sources import ordered_files as O
 
 
@@ -71,3 +72,23 @@ def test_empty_tables_and_bytes(spark, tmp_path):
     path = str(tmp_path / "raw")
     O.write_ordered(table(spark, 3), path, F.col("f"), ["id"], F.encode(F.col("t"), "UTF-16LE"), end="", extension="csv")
     assert sorted(open(f, "rb").read().decode("utf-16le") for f in files(path)) == [f"row\n,{i}" for i in range(3)]
+
+
+def test_files_of_different_layouts_are_recoded_by_groups(spark, tmp_path):
+    folder, out = tmp_path / "in", str(tmp_path / "out")
+    folder.mkdir()
+    (folder / "a.csv").write_bytes('Handle;Title;Title\n"x;1";"é ""q"""\n\n;;\ny;"two\nlines";z\n'.encode("iso-8859-1"))
+    (folder / "b.csv").write_bytes("﻿Title,Vendor\nplain,Ann\nshort\n".encode())
+    (folder / "c.csv").write_bytes("﻿Title,Vendor\nwide,Bob\n".encode("utf-16le"))
+    (folder / "d.csv").write_bytes(b"Title,Vendor\nlast,Eve")
+    (folder / "e.csv").write_bytes(b"Title,Vendor\n")
+    rows = CS.csv_recode(spark, str(folder))
+    assert set(rows.columns) == {"file_id", "row_no", "Handle", "Title", "Title (2)", "Vendor"}
+    got = {(r.file_id[-5:], r.row_no, r.Handle, r.Title, r["Title (2)"], r.Vendor) for r in rows.collect()}
+    assert got == {
+        ("a.csv", 2, "x;1", 'é "q"', None, None), ("a.csv", 3, "y", "two\nlines", "z", None), ("b.csv", 2, None, "plain", None, "Ann"), ("b.csv", 3, None, "short", None, None),
+        ("c.csv", 2, None, "wide", None, "Bob"), ("d.csv", 2, None, "last", None, "Eve")}
+    CS.write_lines(rows, out, F.substring("file_id", -5, 5), ["row_no"], ["Title", "Vendor"])
+    back = {(r.file, r.position, r.Title, r.Vendor) for r in CS.read_lines(spark, out, ["Title", "Vendor"]).collect()}
+    assert back == {("a.csv", 0, 'é "q"', ""), ("a.csv", 1, "two\nlines", ""), ("b.csv", 0, "plain", "Ann"), ("b.csv", 1, "short", ""), ("c.csv", 0, "wide", "Bob"), ("d.csv", 0, "last", "Eve")}
+    assert all(open(f, "rb").read().startswith(b'"Title","Vendor"\n') for f in files(out))
