@@ -42,6 +42,14 @@ def is_bare_image_row(df: DataFrame) -> Column:
     return ~is_sellable(df) & not_blank(cell(df, "Image Src")) & is_blank(cell(df, "Title"))
 
 
+def is_lone_image(df: DataFrame) -> Column:
+    """Keyed row with an image and neither SKU, price nor title."""
+    return (
+        not_blank(cell(df, "Handle")) & not_blank(cell(df, "Image Src")) & is_blank(cell(df, "Variant SKU"))
+        & is_blank(cell(df, "Variant Price")) & is_blank(cell(df, "Title"))
+    )
+
+
 def classify_rows(df: DataFrame) -> DataFrame:
     """Add ``is_image``, ``is_primary`` and ``is_variant``."""
     keyed, sellable, titled = not_blank(cell(df, "Handle")), is_sellable(df), not_blank(cell(df, "Title"))
@@ -74,10 +82,7 @@ def image_parents(df: DataFrame) -> DataFrame:
 
 def dup_image_rows(df: DataFrame) -> DataFrame:
     """Image-only rows that repeat the image of an earlier image-only row of the same handle."""
-    rows = df.filter(
-        not_blank("Handle") & not_blank(cell(df, "Image Src")) & is_blank(cell(df, "Variant SKU"))
-        & is_blank(cell(df, "Variant Price")) & is_blank(cell(df, "Title"))
-    ).select("file_id", "row_no", F.col("Handle").alias("handle"), jstrim("Image Src").alias("url"))
+    rows = df.filter(is_lone_image(df)).select("file_id", "row_no", F.col("Handle").alias("handle"), jstrim("Image Src").alias("url"))
     first = rows.groupBy("file_id", "handle", "url").agg(
         F.min("row_no").alias("first_row"), F.count(F.lit(1)).alias("_n")
     ).filter("_n > 1").drop("_n")

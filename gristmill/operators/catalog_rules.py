@@ -3,9 +3,10 @@
 Rules are grouped by the data movement they need:
 
 * row-local rules are evaluated together in one projection over one scan (no shuffle);
-* handle rules share one hash aggregate per handle;
-* option, SKU, image and signature rules have one aggregate each;
-* blank-column rules are one aggregate per file over classified rows.
+* handle, option, SKU, image and signature rules have a key each; asked for alone, a family is one aggregate;
+* together (``joint_rules``) all of them read whole rows twice, whatever their number: one aggregate over one exploded table
+  of keys, joined with the rows' own keys. Row order adds a read of the handles;
+* blank-column rules are an aggregate per handle, then per file.
 
 ``scope`` names the issue inside a code: hits with the same ``(file_id, code, scope)`` are one issue.
 """
@@ -23,6 +24,7 @@ from gristmill.functions import prices as P
 from gristmill.functions import urls as U
 from gristmill.functions.text import is_blank, jstrim, not_blank, or_text
 from gristmill.operators import catalog_rows as R
+from gristmill.operators.ordered import value_changes
 
 SCHEMA = "file_id string, code string, severity string, auto_fix string, scope string, row_no bigint, handle string, column_name string, value string, detail string"
 OUT = ["file_id", "code", "severity", "auto_fix", "scope", "row_no", "handle", "column_name", "value", "detail"]
@@ -183,48 +185,54 @@ def row_rules(x: Context, codes: list[str]) -> DataFrame:
     return rows
 
 
+HIT_ARRAY = "array<struct<row_no bigint, code string, scope string, column_name string, value string, detail string>>"
 HANDLE_CODES = [
     "TITLE_MISSING", "HANDLE_DUPLICATE_IN_FILE", "VARIANT_OPTION_NAME_INCONSISTENT",
     "VARIANT_COLUMN_INCONSISTENCY", "SINGLE_VARIANT_MULTIPLE_IMAGES", "COMPARE_AT_PRICE_LOWER_THAN_PRICE",
 ]
 
 
-def handle_rules(x: Context, codes: list[str]) -> DataFrame:
-    """One hash aggregate per handle feeds six rules. "More than one distinct value" is min <> max."""
+def _handle_facts(x: Context) -> Column:
+    """What the handle rules need of a row."""
     c = x.cell
-    img, sell = R.is_image_row(x.df), R.is_sellable(x.df)
-    nonempty = lambda n: F.when(c(n).isNotNull() & (c(n) != ""), c(n))
-    named = F.when(not_blank(c("Option1 Name")), c("Option1 Name"))
+    sell = R.is_sellable(x.df)
+    live = ~R.is_image_row(x.df)
+    return F.struct(
+        c("Title").alias("title"), c("Variant Price").alias("price"), c("Variant Compare At Price").alias("compare"),
+        F.when(not_blank(c("Option1 Name")), c("Option1 Name")).alias("named"), live.alias("live"), sell.alias("sell"),
+        is_blank(c("Option1 Name")).alias("bare_name"), is_blank(c("Option1 Value")).alias("bare_value"),
+        *[(live & not_blank(n)).alias(f"f{i}") for i, n in enumerate(n for n in K.OPTION_COLUMNS if x.has(n))])
+
+
+def _handle_aggregates(x: Context) -> list[Column]:
+    """Aggregates over ``h``, the facts of ``_handle_facts``. "More than one distinct value" is min <> max."""
+    h = lambda n: F.col(f"h.{n}")
+    keyed = F.when(F.col("h").isNotNull(), F.col("row_no"))
+    title = F.when(h("title") != "", h("title"))
+    return [
+        F.min_by(F.struct(h("title").alias("title"), h("price").alias("price"), h("compare").alias("compare")), keyed).alias("first"),
+        F.min(title).alias("t_min"), F.max(title).alias("t_max"), F.min(h("named")).alias("o_min"), F.max(h("named")).alias("o_max"),
+        F.count_if(h("live")).alias("live"), F.count_if(h("sell")).alias("sell"), F.count_if(~h("live")).alias("img"),
+        F.min_by(F.struct(F.col("row_no"), h("bare_name").alias("n"), h("bare_value").alias("v")), F.when(h("sell"), F.col("row_no"))).alias("parent"),
+    ] + [F.count_if(h(f"f{i}")).alias(f"f{i}") for i, _ in enumerate(n for n in K.OPTION_COLUMNS if x.has(n))]
+
+
+def _handle_hits(x: Context, codes: list[str], h: Column) -> Column:
+    """The hits of a handle ``h`` from its aggregates, ``first_row`` and ``rows``."""
     opts = [n for n in K.OPTION_COLUMNS if x.has(n)]
-    first = F.min_by(
-        F.struct(c("Title").alias("title"), c("Variant Price").alias("price"), c("Variant Compare At Price").alias("compare")),
-        F.col("row_no"),
-    )
-    parent = F.min_by(
-        F.struct(F.col("row_no").alias("row_no"), is_blank(c("Option1 Name")).alias("n"), is_blank(c("Option1 Value")).alias("v")),
-        F.when(sell, F.col("row_no")),
-    )
-    aggs = [
-        F.min("row_no").alias("first_row"), F.count(F.lit(1)).alias("rows"), first.alias("first"),
-        F.min(nonempty("Title")).alias("t_min"), F.max(nonempty("Title")).alias("t_max"),
-        F.min(named).alias("o_min"), F.max(named).alias("o_max"),
-        F.count_if(~img).alias("live"), F.count_if(sell).alias("sell"), F.count_if(img).alias("img"),
-        parent.alias("parent"),
-    ] + [F.count_if(~img & not_blank(n)).alias(f"f{i}") for i, n in enumerate(opts)]
-    g = x.df.filter(not_blank(c("Handle"))).groupBy("file_id", F.col("Handle").alias("handle")).agg(*aggs)
     partial = F.array_join(
         F.array(*[
             F.when((F.col(f"f{i}") > 0) & (F.col(f"f{i}") != F.col("live")),
                    F.concat(F.lit(f"{n} ("), F.col(f"f{i}").cast("string"), F.lit("/"), F.col("live").cast("string"), F.lit(")")))
             for i, n in enumerate(opts)]), ", ") if opts else F.lit("")
     price, compare = P.price_value(F.col("first.price")), P.price_value(F.col("first.compare"))
-    row = F.col("first_row")
-    def hit(code, cond, column, value, at=row, scope="", detail=None):
+
+    def hit(code, cond, column, value, at="first_row", scope="", detail=None):
         lit = lambda v: v if isinstance(v, Column) else F.lit(v)
         return code, F.when(cond, F.struct(
-            at.alias("row_no"), F.lit(code).alias("code"), lit(scope).alias("scope"), F.lit(column).alias("column_name"),
+            F.col(at).alias("row_no"), F.lit(code).alias("code"), lit(scope).alias("scope"), F.lit(column).alias("column_name"),
             lit(value).cast("string").alias("value"), lit(detail).cast("string").alias("detail")))
-    h = F.col("handle")
+
     rules = [
         hit("TITLE_MISSING", is_blank(F.col("first.title")), "Title", h),
         hit("HANDLE_DUPLICATE_IN_FILE", (F.col("rows") > 1) & (F.col("t_min") != F.col("t_max")), "Handle", h, scope=h),
@@ -232,13 +240,20 @@ def handle_rules(x: Context, codes: list[str]) -> DataFrame:
         hit("VARIANT_COLUMN_INCONSISTENCY", (F.col("live") >= 2) & (partial != ""), "Option1 Name", partial),
         hit("SINGLE_VARIANT_MULTIPLE_IMAGES",
             (F.col("img") > 0) & (F.col("sell") == 1) & F.col("parent.n") & F.col("parent.v"),
-            "Option1 Name", F.col("img"), at=F.col("parent.row_no")),
+            "Option1 Name", F.col("img"), at="parent.row_no"),
     ]
     if x.has("Variant Price") and x.has("Variant Compare At Price"):
         rules.append(hit("COMPARE_AT_PRICE_LOWER_THAN_PRICE", price.isNotNull() & (compare > 0) & (compare <= price),
                          "Variant Compare At Price", F.col("first.compare"), detail=F.col("first.price")))
-    structs = [s for code, s in rules if code in codes]
-    return g.select("file_id", "handle", F.inline(F.filter(F.array(*structs), lambda s: s.isNotNull())))
+    wanted = [s for code, s in rules if code in codes]
+    return F.array_compact(F.array(*wanted)) if wanted else F.from_json(F.lit("[]"), HIT_ARRAY)
+
+
+def handle_rules(x: Context, codes: list[str]) -> DataFrame:
+    """One aggregate per handle feeds six rules."""
+    rows = x.df.filter(not_blank(x.cell("Handle"))).select("file_id", "row_no", F.col("Handle").alias("handle"), _handle_facts(x).alias("h"))
+    g = rows.groupBy("file_id", "handle").agg(F.min("row_no").alias("first_row"), F.count(F.lit(1)).alias("rows"), *_handle_aggregates(x))
+    return g.select("file_id", "handle", F.inline(_handle_hits(x, codes, F.col("handle"))))
 
 
 def _rows(df: DataFrame, code: str, scope, row_no, handle, column, value, detail=None) -> DataFrame:
@@ -292,21 +307,122 @@ def row_order(x: Context) -> DataFrame:
 
 
 def blank_columns(df: DataFrame) -> DataFrame:
-    """Per file and sensitive column: cells that count and how many of them are blank."""
-    k = R.classify_rows(df)
+    """Per file and sensitive column: cells that count and how many of them are blank.
+
+    A product-level cell counts in the leading row of its handle, any other in all rows of a handle but image rows.
+    """
     cols = [n for n in K.SENSITIVE if n in df.columns]
-    def counts(n):
-        keep = F.col("is_primary") if n in K.PRODUCT_LEVEL else (F.col("is_variant") | F.col("is_primary"))
-        return ~F.col("is_image") & keep
-    aggs = []
-    for i, n in enumerate(cols):
-        aggs += [F.count_if(counts(n)).alias(f"c{i}"), F.count_if(counts(n) & is_blank(n)).alias(f"b{i}")]
-    g = k.groupBy("file_id").agg(*aggs)
-    return g.select("file_id", F.inline(F.array(*[
-        F.struct(F.lit(n).alias("column_name"), F.col(f"c{i}").alias("considered"), F.col(f"b{i}").alias("blank"))
+    img, sell = R.is_image_row(df), R.is_sellable(df)
+    lead = sell | (not_blank(R.cell(df, "Title")) & ~img)
+    blank = F.struct(*[is_blank(n).alias(f"b{i}") for i, n in enumerate(cols)])
+    handle = R.cell(df, "Handle")
+    rows = df.filter(not_blank(handle)).select("file_id", "row_no", handle.alias("handle"), img.alias("img"), lead.alias("lead"), blank.alias("blank"))
+    g = rows.groupBy("file_id", "handle").agg(
+        F.count_if(~F.col("img")).alias("rows"), F.min_by("blank", F.when(F.col("lead"), F.col("row_no"))).alias("top"),
+        *[F.count_if(~F.col("img") & F.col(f"blank.b{i}")).alias(f"n{i}") for i, _ in enumerate(cols)])
+    has_top = F.col("top").isNotNull()
+    f = g.groupBy("file_id").agg(
+        F.sum("rows").alias("rows"), F.count_if(has_top).alias("tops"),
+        *[(F.count_if(F.col(f"top.b{i}")) if n in K.PRODUCT_LEVEL else F.sum(f"n{i}")).alias(f"n{i}") for i, n in enumerate(cols)])
+    return f.select("file_id", F.inline(F.array(*[
+        F.struct(F.lit(n).alias("column_name"), F.col("tops" if n in K.PRODUCT_LEVEL else "rows").alias("considered"), F.col(f"n{i}").alias("blank"))
         for i, n in enumerate(cols)])))
 
 
+KEYED_CODES = {
+    "option": "VARIANT_DUPLICATE_OPTION_COMBINATION", "sku": "SKU_DUPLICATE_IN_FILE", "signature": "DUPLICATE_IDENTICAL_ROWS",
+    "image": "DUPLICATE_IMAGE_ROWS", "handle": "ROW_ORDER_WARNING",
+}
+
+
+def _keys(x: Context, codes: list[str]) -> list[tuple[str, Column, list[Column], Column]]:
+    """Keys of a row for the wanted rules but those of handles: (kind, condition, key, text that a finding quotes)."""
+    c = x.cell
+    o = [F.coalesce(c(f"Option{i} Value"), F.lit("")) for i in (1, 2, 3)]
+    some = not_blank(c("Option1 Value")) | not_blank(c("Option2 Value")) | not_blank(c("Option3 Value"))
+    sku, url = jstrim(c("Variant SKU")), jstrim(c("Image Src"))
+    keys = [
+        ("option", not_blank(c("Handle")) & some, [c("Handle"), *o], F.regexp_replace(F.array_join(F.array(*o), " / "), r"( / )+$", "")),
+        ("sku", not_blank(c("Variant SKU")), [sku], sku),
+        ("signature", R.any_cell(x.df), [R.row_signature(x.df)], or_text(c("Title"), "(no title)")),
+        ("image", R.is_lone_image(x.df), [c("Handle"), url], url),
+    ]
+    return [k for k in keys if KEYED_CODES[k[0]] in codes]
+
+
+def _groups(x: Context, codes: list[str], keys: list) -> DataFrame:
+    """One row per (file, kind, key) that has something to report, from one aggregate over all kinds.
+
+    ``h`` is null for all kinds but handles, so the handle aggregates pass over the other keys.
+    """
+    handles = any(c in codes for c in (*HANDLE_CODES, "ROW_ORDER_WARNING"))
+    facts = _handle_facts(x)
+    owner = or_text(x.cell("Handle"), "(no handle)")
+    entry = lambda kind, cond, key, who, h: F.when(cond, F.struct(F.lit(kind).alias("kind"), F.array(*key).alias("key"), who.alias("owner"), h.alias("h")))
+    none = F.when(F.lit(False), facts)
+    entries = [entry(kind, cond, key, owner if kind == "sku" else F.lit(None).cast("string"), none) for kind, cond, key, _ in keys]
+    if handles:
+        entries.append(entry("handle", not_blank(x.cell("Handle")), [x.cell("Handle")], F.lit(None).cast("string"), facts))
+    rows = x.df.select("file_id", "row_no", F.inline(F.array_compact(F.array(*entries))))
+    g = rows.groupBy("file_id", "kind", "key").agg(
+        F.min("row_no").alias("first_row"), F.count(F.lit(1)).alias("rows"), F.min("owner").alias("first_owner"), F.max("owner").alias("last_owner"),
+        *(_handle_aggregates(x) if handles else []))
+    hits = _handle_hits(x, codes, F.col("key")[0]) if handles else F.from_json(F.lit("[]"), HIT_ARRAY)
+    hits = F.when(F.col("kind") == "handle", hits)
+    g = g.select("file_id", "kind", "key", "first_row", "rows", "first_owner", "last_owner", hits.alias("hits"))
+    shared = F.when(F.col("kind") == "sku", F.col("first_owner") != F.col("last_owner")).otherwise(F.col("rows") > 1)
+    return g.filter(shared | (F.size("hits") > 0))
+
+
+def joint_rules(x: Context, codes: list[str]) -> DataFrame:
+    """Row rules and all keyed rules together, in two reads of whole rows.
+
+    The rows' own hits and keys are exploded once and joined with the groups that have something to report, which are one row a
+    key: adaptive execution broadcasts them if they are few and splits hot keys if not. A hit of the whole group is reported at its
+    first row. Rows enter for their handle only where the handle changes, since its first row is always among those.
+    """
+    keys = _keys(x, codes)
+    null = F.lit(None).cast("string")
+    parts = [
+        F.when(cond, F.struct(null.alias("code"), F.lit("").alias("scope"), null.alias("column_name"), text.alias("value"), null.alias("detail"),
+                              F.lit(kind).alias("kind"), F.array(*key).alias("key")))
+        for kind, cond, key, text in keys]
+    # a hit of the row itself has a key that spreads it over the tasks and meets no group
+    own = F.array(F.col("row_no").cast("string"))
+    parts += [F.when(s.isNotNull(), F.struct(s["code"].alias("code"), s["scope"].alias("scope"), s["column_name"].alias("column_name"), s["value"].alias("value"),
+                                             s["detail"].alias("detail"), F.lit("").alias("kind"), own.alias("key"))) for _, s in _row_hits(x, codes)]
+    found = []
+    if parts:
+        found.append(x.df.select("file_id", "row_no", or_text(x.cell("Handle"), "(no handle)").alias("handle"), F.inline(F.array_compact(F.array(*parts)))))
+    if any(c in codes for c in (*HANDLE_CODES, "ROW_ORDER_WARNING")) and x.has("Handle"):
+        named = x.df.filter(not_blank("Handle")).select("file_id", "row_no", F.col("Handle").alias("handle"))
+        runs = value_changes(named, ["file_id"], "row_no", "handle", "value")
+        found.append(runs.select("file_id", "row_no", "handle", null.alias("code"), F.lit("").alias("scope"), null.alias("column_name"), "value", null.alias("detail"),
+                                 F.lit("handle").alias("kind"), F.array("handle").alias("key")))
+    j = _union(found).join(_groups(x, codes, keys), ["file_id", "kind", "key"], "left")
+    kind, first, later = F.col("kind"), F.col("row_no") == F.col("first_row"), F.col("row_no") > F.col("first_row")
+
+    def hit(code, column, detail, handle="handle", scope=""):
+        return F.array(F.struct(
+            F.col("row_no"), F.col(handle).alias("handle"), F.lit(code).alias("code"), (F.col(scope) if scope else F.lit("")).alias("scope"), F.lit(column).alias("column_name"),
+            F.col("value"), detail.cast("string").alias("detail")))
+
+    same = F.array(F.struct("row_no", "handle", "code", "scope", "column_name", "value", "detail"))
+    of_handle = F.transform("hits", lambda s: F.struct(
+        s["row_no"].alias("row_no"), F.col("handle"), s["code"].alias("code"), s["scope"].alias("scope"), s["column_name"].alias("column_name"), s["value"].alias("value"),
+        s["detail"].alias("detail")))
+    out = (
+        F.when(kind == "", same)
+        .when((kind == "option") & first, hit(KEYED_CODES["option"], "Option1 Name", F.col("rows")))
+        .when((kind == "sku") & first, hit(KEYED_CODES["sku"], "Variant SKU", F.col("rows"), "first_owner", "value"))
+        .when((kind == "signature") & later, hit(KEYED_CODES["signature"], "(row)", F.col("first_row")))
+        .when((kind == "image") & later, hit(KEYED_CODES["image"], "Image Src", F.col("first_row")))
+        .when((kind == "handle") & first, of_handle))
+    if "ROW_ORDER_WARNING" in codes:
+        out = out.when((kind == "handle") & later, hit(KEYED_CODES["handle"], "Handle", F.lit(None)))
+    return j.select("file_id", F.inline(out))
+
+
 def destructive_blanks(x: Context, codes: list[str]) -> DataFrame:
     if x.mode != "existing_products":
         return None
@@ -406,15 +522,20 @@ def findings(
     x = Context(df, mode)
     want = lambda group: [c for c in group if c in codes]
     parts = []
-    if want(ROW_CODES):
-        parts.append(row_rules(x, codes))
-    if want(HANDLE_CODES):
-        parts.append(handle_rules(x, codes))
     single = {
         "VARIANT_DUPLICATE_OPTION_COMBINATION": option_combinations, "SKU_DUPLICATE_IN_FILE": shared_skus,
         "DUPLICATE_IDENTICAL_ROWS": identical_rows, "DUPLICATE_IMAGE_ROWS": repeated_images, "ROW_ORDER_WARNING": row_order,
     }
-    parts += [fn(x) for code, fn in single.items() if code in codes]
+    keyed = want(single)
+    if len(keyed) + bool(want(HANDLE_CODES)) + bool(want(ROW_CODES)) > 1 and (keyed or want(HANDLE_CODES)):
+        parts.append(joint_rules(x, codes))
+    else:
+        # one family alone needs no join with the rows
+        if want(ROW_CODES):
+            parts.append(row_rules(x, codes))
+        if want(HANDLE_CODES):
+            parts.append(handle_rules(x, codes))
+        parts += [single[code](x) for code in keyed]
     if want(["DESTRUCTIVE_BLANK_ALL_ROWS", "DESTRUCTIVE_BLANK_INCLUDED_COLUMN"]):
         blanks = destructive_blanks(x, codes)
         if blanks is not None and files is not None:

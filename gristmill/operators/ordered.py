@@ -47,3 +47,23 @@ def running_count(
         .withColumn(out, F.col("_run") + F.col("_off"))
         .drop("_chunk", "_w", "_run", "_off")
     )
+
+
+def value_changes(df: DataFrame, part: list[str], order: str, value: str, out: str, chunk: int = CHUNK_ROWS) -> DataFrame:
+    """Rows whose ``value`` differs from that of the row before over (part, order), with that value as ``out``.
+
+    The first row of a part counts as a change. The input is read once: chunks find their inner changes, then only
+    changes and the two ends of every chunk are shuffled again, the ends of a part together.
+    """
+    inside = W.partitionBy(*part, "_chunk").orderBy(order)
+    rows = df.withColumn("_chunk", F.floor(F.col(order) / chunk)).withColumns({
+        "_before": F.lag(value).over(inside),
+        "_head": F.row_number().over(inside) == 1,
+        "_tail": F.lead(order).over(inside).isNull(),
+    })
+    rows = rows.filter(F.col("_head") | F.col("_tail") | ~F.col("_before").eqNullSafe(F.col(value)))
+    ends = W.partitionBy(*part, F.when(~F.col("_head") & ~F.col("_tail"), F.col("_chunk"))).orderBy(order)
+    rows = rows.withColumns({"_end": F.lag(value).over(ends), "_start": F.row_number().over(ends) == 1})
+    rows = rows.withColumn(out, F.when(F.col("_head"), F.col("_end")).otherwise(F.col("_before")))
+    changed = (F.col("_head") & F.col("_start")) | ~F.col(out).eqNullSafe(F.col(value))
+    return rows.filter(changed).drop("_chunk", "_before", "_head", "_tail", "_end", "_start")

@@ -8,7 +8,7 @@ from gristmill.operators import catalog_report as RP
 from gristmill.operators import catalog_rows as R
 from gristmill.operators import catalog_rules as CK
 from gristmill.operators import catalog_split as SP
-from gristmill.operators.ordered import previous_value, running_count
+from gristmill.operators.ordered import previous_value, running_count, value_changes
 from gristmill.sources import csv_files as CS
 
 COLS = ["Handle", "Title", "Body (HTML)", "Vendor", "Published", "Option1 Name", "Option1 Value", "Variant SKU", "Variant Price",
@@ -168,3 +168,54 @@ def test_a_rule_of_the_user_is_found_repaired_and_logged(spark):
         assert sorted(r.Vendor for r in CR.corrected(mended).collect()) == ["Ann", "Bob", "Eve"]
     rule = CK.Rule("VENDOR_COMPANY", "warning", "review", detect, repair=mend)
     assert CR.changes(CR.repair(df, (), automatic=False, extra_rules=[rule])).count() == 0
+
+
+def random_rows(rnd, n):
+    pick = lambda *v: rnd.choice(v)
+    out = []
+    for _ in range(n):
+        row = (pick("a", "b", "c", "", " ", None, "A b"), pick("", "", "T", "U", None, " T "), pick("", "<p>x</p>", "<b>"), pick("", "Ann"), pick("TRUE", "maybe", ""), pick("Size", "", "Colour"),
+               pick("S", "M", "", None), pick("1", "2", " 2", "", "", None), pick("5", "$5", "", "x", ""), pick("", "4", "9"), pick("", "t"), pick("", "3", "-1"), pick("", "https://x.com/a.png", "https://x.com/b.png "), pick("active", "Live", ""))
+        out.append(row)
+        if rnd.random() < 0.2:
+            out.append(rnd.choice(out))
+        if rnd.random() < 0.1:
+            out.append(("",) * len(COLS))
+    return out
+
+
+def test_joint_rules_equal_the_rules_one_by_one(spark):
+    rnd = random.Random(11)
+    df = frame(spark, ROWS + random_rows(rnd, 120)).unionByName(frame(spark, random_rows(rnd, 60)).withColumn("file_id", F.lit("g")))
+    groups = [CK.ROW_CODES, CK.HANDLE_CODES, *[[c] for c in CK.KEYED_CODES.values()]]
+    df.cache()
+    joint = sorted(repr(tuple(r)) for r in CK.findings(df, codes=sum(groups, [])).collect())
+    single = sorted(repr(tuple(r)) for g in groups for r in CK.findings(df, codes=list(g)).collect())
+    assert joint == single and len(joint) > 300
+    assert set(CK.KEYED_CODES.values()) | set(CK.HANDLE_CODES) <= {eval(r)[1] for r in joint}
+    df.unpersist()
+
+
+def test_joint_rules_read_whole_rows_twice(spark, tmp_path):
+    frame(spark).write.parquet(str(tmp_path / "t"))
+    plan = lambda codes: CK.findings(spark.read.parquet(str(tmp_path / "t")), codes=codes)._jdf.queryExecution().executedPlan().toString()
+    few = plan(["PRICE_NEGATIVE", "SKU_DUPLICATE_IN_FILE"])
+    every = plan(CK.ROW_CODES + CK.HANDLE_CODES + list(CK.KEYED_CODES.values()))
+    assert few.count("FileScan") == 2 and every.count("FileScan") == 3  # the third reads the handles for row order
+
+
+def test_joint_rules_on_an_empty_table_and_a_narrow_one(spark):
+    assert CK.findings(frame(spark).limit(0)).count() == 0
+    narrow = frame(spark).select("file_id", "row_no", "Handle", "Title")
+    assert {r.code for r in CK.findings(narrow, codes=["TITLE_MISSING", "ROW_ORDER_WARNING", "DUPLICATE_IDENTICAL_ROWS", "SKU_DUPLICATE_IN_FILE"]).collect()} == {
+        "TITLE_MISSING", "ROW_ORDER_WARNING", "DUPLICATE_IDENTICAL_ROWS"}
+
+
+def test_value_changes_over_chunks(spark):
+    rnd = random.Random(2)
+    rows = [(p, o, rnd.choice("xyz")) for p in "pq" for o in sorted(rnd.sample(range(400), 90))]
+    want = [(p, o, v, before) for (p, o, v), (q, _, w) in zip(rows, [(None, None, None), *rows]) for before in [w if p == q else None] if v != before]
+    df = spark.createDataFrame(rows, "p string, o bigint, v string")
+    for chunk in (1, 2, 10, 1000):
+        got = [tuple(r) for r in value_changes(df, ["p"], "o", "v", "before", chunk=chunk).select("p", "o", "v", "before").orderBy("p", "o").collect()]
+        assert got == want, chunk
