@@ -20,6 +20,8 @@ def local_session(app: str = "gristmill", cores: str = "*", partitions: int = 8)
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # rule sets are thousands of columns; noting the Python line of each doubles the time to build a plan
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
