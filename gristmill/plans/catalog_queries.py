@@ -89,6 +89,11 @@ _whole = f"coalesce(({_num}) = floor({_num}), false)"
 _scheme = f"regexp_matches({Q.trim('img')}, '^[a-zA-Z][a-zA-Z0-9+.-]*:')"
 _imghost = f"regexp_extract({Q.trim('img')}, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#:]+)', 1)"
 _imgpath = f"regexp_extract({Q.trim('img')}, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]+([^?#]*)', 1)"
+_tag_name = "lower(regexp_extract(t[1], '^</?([a-zA-Z][a-zA-Z0-9]*)', 1))"
+_open_tags = (
+    "list_reduce(list_transform(regexp_extract_all(body, '</?[a-zA-Z][a-zA-Z0-9]*\\b[^>]*>'), lambda x: [x]), lambda s, t: "
+    f"CASE WHEN t[1] LIKE '</%' THEN CASE WHEN len(s) > 0 AND s[-1] = {_tag_name} THEN s[1:len(s) - 1] ELSE s END "
+    f"WHEN t[1] LIKE '%/>' THEN s ELSE s || [{_tag_name}] END, []::VARCHAR[])")
 
 ROW_SQL = {
     "SMART_QUOTES_DETECTED": rows_sql(_first(list(SHORT), _smart, lambda x: f"substring({x}, 1, 60)")),
@@ -122,7 +127,7 @@ ROW_SQL = {
     "IMAGE_URL_PRIVATE_CDN": rows_sql((f"{Q.filled('img')} AND {_scheme} AND regexp_matches({_imghost}, '{PRIVATE_HOST_RE}')", "'Image Src'", Q.trim("img"))),
     "IMAGE_URL_NO_EXTENSION": rows_sql((f"{Q.filled('img')} AND {_scheme} AND NOT regexp_matches({_imgpath}, '{IMAGE_EXT_RE}')", "'Image Src'", Q.trim("img"))),
     "STATUS_INVALID_VALUE": rows_sql((f"NOT image AND {Q.filled('status')} AND lower({Q.trim('status')}) NOT IN ('active', 'draft', 'archived')", "'Status'", "status")),
-    "HTML_UNCLOSED_TAG": None,
+    "HTML_UNCLOSED_TAG": rows_sql((f"{Q.filled('body')} AND len({_open_tags}) > 0", "'Body (HTML)'", f"{_open_tags}[-1]")),
 }
 for _code, _sql in ROW_SQL.items():
     register(_code, rule_query(_code, "new_products" if _code == "HANDLE_MISSING_NEW" else "existing_products"), _sql)
