@@ -34,26 +34,40 @@ def quote_verify(facts: DataFrame, articles: DataFrame) -> DataFrame:
 
 
 def quote_lookup(quotes: DataFrame, articles: DataFrame, k: int = 5) -> DataFrame:
-    """(quote_id, story_id) for every article that holds the quote, when the article is not known.
+    """(quote_id, story_id) once for every article that holds the quote, when the article is not known.
 
-    If a quote is inside an article, its inner words stand there as whole words, so the article has the word run made
-    of the quote's words 2..k+1. That run is the join key; the containment test then decides. Quotes need k + 2 words;
-    shorter ones are matched on a shorter run of their own length class, so none is skipped from three words on.
+    If a quote is inside an article, its inner words stand there as whole words. A quote of ``k + 2`` words or more is
+    looked up by the run of its words 2 to k + 1, one of three words or more by its longest inner word. The first or only
+    word of a shorter quote may be the end or any part of a word, so those quotes are first met with the distinct words of
+    all articles, by three letters, and looked up by the words found. The containment test then decides.
+    Quotes without words are in no article; repeated quotes and articles give one row.
     """
-    q = quotes.select("quote_id", plain_words("quote").alias("q")).withColumn("_w", F.split("q", " ", -1))
-    q = q.withColumn("n", F.least(F.lit(k), F.size("_w") - 2)).filter("n >= 1")
-    q = q.select("quote_id", "q", "n", F.xxhash64(F.array_join(F.slice("_w", F.lit(2), F.col("n")), " ")).alias("run"))
-    used = sorted(r["n"] for r in q.select("n").distinct().collect())  # at most k values
+    q = quotes.select("quote_id", plain_words("quote").alias("q")).withColumn("_w", F.split("q", " ", -1)).filter("q <> ''")
+    size = F.size("_w")
+    inner = F.array_max(F.transform(F.slice("_w", F.lit(2), size - 2), lambda w: F.struct(F.length(w).alias("len"), w.alias("word"))))["word"]
+    key = F.when(size >= k + 2, F.struct(F.lit(k).alias("n"), F.array_join(F.slice("_w", 2, k), " ").alias("run"))).otherwise(F.struct(F.lit(1).alias("n"), inner.alias("run")))
+    long = q.filter(size > 2).select("quote_id", "q", key.alias("key")).select("quote_id", "q", "key.n", F.xxhash64("key.run").alias("run"))
+
     a = articles.select("story_id", plain_words("text").alias("a")).withColumn("_w", F.split("a", " ", -1))
-    run = lambda n: F.transform(F.sequence(F.lit(1), F.size("_w") - n + 1), lambda i: F.xxhash64(F.array_join(F.slice("_w", i, n), " ")))
-    # each article lists its distinct run hashes once per length class in use
-    runs = [a.filter(F.size("_w") >= n).select("story_id", F.lit(n).alias("n"), F.explode(F.array_distinct(run(F.lit(n)))).alias("run")).join(
-        q.filter(F.col("n") == n).select("run").distinct(), "run", "left_semi") for n in used or [k]]
-    hits = runs[0]
-    for r in runs[1:]:
-        hits = hits.unionByName(r)
-    pairs = hits.join(q, ["n", "run"]).select("quote_id", "q", "story_id")
-    return pairs.join(a.select("story_id", "a"), "story_id").filter(F.contains("a", F.col("q"))).select("quote_id", "story_id")
+    head = F.col("_w")[0]
+    short = q.filter(size <= 2).select(
+        "quote_id", "q", head.alias("head"), (size == 2).alias("at_end"), F.when(size == 2, F.right(head, F.lit(3))).otherwise(F.left(head, F.lit(3))).alias("letters"))
+    words = a.select(F.explode(F.array_distinct("_w")).alias("word")).distinct()
+    few = F.sequence(F.lit(1), F.lit(3))
+    ends = F.transform(few, lambda n: F.right("word", n))
+    inside = F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(F.length("word"), F.lit(1))), lambda i: F.transform(few, lambda n: F.substring("word", i, n))))
+    places = F.concat(*[F.transform(F.array_distinct(x), lambda t: F.struct(F.lit(at_end).alias("at_end"), t.alias("letters"))) for at_end, x in ((True, ends), (False, inside))])
+    holds = F.when(F.col("at_end"), F.endswith("word", "head")).otherwise(F.contains("word", "head"))
+    met = words.select("word", F.inline(places)).join(short, ["at_end", "letters"]).filter(holds)
+    keys = long.unionByName(met.select("quote_id", "q", F.lit(1).alias("n"), F.xxhash64("word").alias("run")))
+
+    # hashes are made distinct before they become structs: sets of structs are compared pair by pair
+    of = lambda n, runs: F.transform(F.array_distinct(runs), lambda r: F.struct(F.lit(n).alias("n"), r.alias("run")))
+    starts = F.sequence(F.lit(1), F.greatest(F.size("_w") - k + 1, F.lit(1)))
+    many = F.transform(starts, lambda i: F.xxhash64(F.array_join(F.slice("_w", i, k), " ")))
+    hits = a.select("story_id", F.inline(F.concat(of(1, F.transform("_w", lambda w: F.xxhash64(w))), of(k, many))))
+    pairs = hits.join(keys, ["n", "run"]).select("quote_id", "q", "story_id")
+    return pairs.join(a.select("story_id", "a"), "story_id").filter(F.contains("a", F.col("q"))).select("quote_id", "story_id").distinct()
 
 
 def chart_verify(charts: DataFrame, sources: DataFrame, keep: int = 8) -> DataFrame:

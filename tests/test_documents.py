@@ -78,6 +78,17 @@ def test_quote_lookup_against_containment(spark):
     assert {(r.quote_id, r.story_id) for r in got.collect()} == want
 
 
+def test_quote_lookup_finds_short_quotes_and_parts_of_words(spark):
+    rnd = random.Random(4)
+    docs = [(i, " ".join("".join(rnd.choice("abé") for _ in range(rnd.randint(1, 6))) for _ in range(rnd.randint(0, 12)))) for i in range(40)] + [(90, None), (91, ""), (92, "x" * 5000 + " end")]
+    quotes = [(k, (docs[k % 40][1])[k % 5: k % 5 + rnd.randint(1, 25)]) for k in range(80)] + [(200, None), (201, " , "), (202, "xxx end"), (203, "x"), (203, "x")]
+    got = V.quote_lookup(spark.createDataFrame(quotes, "quote_id int, quote string"), spark.createDataFrame(docs, "story_id int, text string")).collect()
+    norm = lambda t: " ".join((t or "").replace(",", " ").split())
+    want = {(k, i) for k, q in quotes for i, t in docs if norm(q) and norm(q) in norm(t)}
+    assert len(got) == len(want) and {(r.quote_id, r.story_id) for r in got} == want
+    assert {len(norm(q).split()) for _, q in quotes} >= {0, 1, 2, 3, 4}
+
+
 def test_layout(spark):
     def line(page, no, xs, texts):
         return [(page, t, float(x), float(x + 20), no * 12.0, no * 12.0 + 10) for x, t in zip(xs, texts)]
