@@ -14,7 +14,7 @@ from pyspark.sql.types import StringType
 from gristmill.functions import urls as U
 from gristmill.functions.claims import ascii_bounds
 from gristmill.functions.text import (
-    STOPWORDS, clean_title, collapse, col_of, has_word, has_word_unicode, jstrim, raw_tokens, strip_tags, title_key, token_set,
+    STOPWORDS, clean_title, collapse, col_of, has_word, has_word_unicode, jstrim, let, raw_tokens, strip_tags, title_key, token_set,
 )
 from gristmill.operators import related as RL
 from gristmill.session import cut_lineage
@@ -83,13 +83,13 @@ def term_list(q: Column, limit: int = 6) -> Column:
 
 def term_hits(text: Column, terms: list[str]) -> Column:
     """How many of the terms occur as whole words."""
-    low = F.lower(text)
-    return sum((F.coalesce(has_word_unicode(low, F.lit(t.lower())), F.lit(False)).cast("int") for t in terms), F.lit(0))
+    return let(F.lower(text), lambda low: sum((F.coalesce(has_word_unicode(low, F.lit(t.lower())), F.lit(False)).cast("int") for t in terms), F.lit(0)))
 
 
 def term_filter(df: DataFrame, terms: list[str], text: Column | None = None) -> DataFrame:
     t = F.concat_ws(" ", "title", "description") if text is None else text
-    return df.withColumn("hits", term_hits(t, terms)).filter("hits > 0")
+    # a generated column: the filter would otherwise search the text, and build it, a second time
+    return df.withColumn("hits", F.explode(F.array(term_hits(t, terms)))).filter("hits > 0")
 
 
 def recency_filter(df: DataFrame, as_of: str, when: str = "published_at", days: int = 5) -> DataFrame:
@@ -356,27 +356,18 @@ def fetch_error_reason(code) -> Column:
 
 
 # ---- related stories ------------------------------------------------------------------------------------------------
-def related_sets(keyed: DataFrame) -> DataFrame:
-    """(a, b, shared) in both directions between title sets under the related rule, equal sets included."""
-    sets = distinct_sets(keyed.filter(F.size("tokens") >= 2))
-    pairs = RL.both_ways(RL.similar_pairs(sets, RL.RELATED, least_size=2))
-    same = sets.select(F.col("key").alias("a"), F.col("key").alias("b"), F.size("tokens").alias("shared"))
-    return pairs.unionByName(same)
-
-
 def related_stories(df: DataFrame, top: int = 8) -> DataFrame:
     """Per story the ``top`` others sharing most title tokens: (story_id, other_id, shared, rank).
 
     A title set needs only its ``top + 1`` first stories, and one list per title set serves all its copies.
     """
-    keyed = story_sets(df.select("story_id", "title"))
+    keyed = cut_lineage(story_sets(df.select("story_id", "title")).filter(F.size("tokens") >= 2).select("story_id", "key", "tokens"))
+    sets = cut_lineage(distinct_sets(keyed).withColumn("id", F.monotonically_increasing_id()))
     w = W.partitionBy("key").orderBy("story_id")
-    members = keyed.select("key", "story_id").withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= top + 1).drop("_n")
-    cand = related_sets(keyed).join(members.select(F.col("key").alias("b"), F.col("story_id").alias("other_id")), "b")
-    wa = W.partitionBy("a").orderBy(F.desc("shared"), "other_id")
-    lists = cand.withColumn("_n", F.row_number().over(wa)).filter(F.col("_n") <= top + 1).groupBy("a").agg(
-        F.array_sort(F.collect_list(F.struct((-F.col("shared")).alias("s"), "other_id"))).alias("_l"))
-    j = keyed.select("key", "story_id").join(lists.withColumnRenamed("a", "key"), "key")
+    members = keyed.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= top + 1).select(F.col("story_id").alias("id"), "tokens")
+    best = RL.best_matches(RL.coded(sets, RL.RELATED), RL.coded(members, RL.RELATED), top + 1)
+    lists = best.groupBy(F.col("left_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct((-F.col("shared")).alias("s"), "other_id"))).alias("_l"))
+    j = keyed.select("key", "story_id").join(sets.select("key", "id").join(lists, "id"), "key")
     mine = F.slice(F.filter("_l", lambda x: x["other_id"] != F.col("story_id")), 1, top)
     return j.select("story_id", F.posexplode(mine).alias("_p", "_x")).select(
         "story_id", F.col("_x.other_id").alias("other_id"), (-F.col("_x.s")).alias("shared"), (F.col("_p") + 1).alias("rank"))
@@ -390,23 +381,20 @@ def second_outlet(df: DataFrame, top: int = 3, per_outlet: int | None = None) ->
     ``per_outlet=1`` keeps one candidate per outlet (used when asking for corroboration).
     """
     from gristmill.functions.text import sig_tokens
-    base = story_sets(df.select("story_id", "title", "url", "source", "readable"), sig_tokens(clean_title("title")))
+    base = story_sets(df.select("story_id", "title", "url", "source", "readable"), sig_tokens(clean_title("title"))).filter(F.size("tokens") >= 2)
     base = base.withColumns({"host": U.root_host(U.host_of("url")), "outlet": F.lower(F.coalesce("source", F.lit("")))})
+    base = cut_lineage(base.filter("host IS NOT NULL"))
+    place = ["key", "host", "outlet"]
     anchors = base.filter(F.size("tokens") >= 3)
     open_ = base.filter((F.col("readable") == "open") & ~U.is_thin_url("url") & (F.col("url") != ""))
-    w = W.partitionBy("key", "host", "outlet").orderBy("story_id")
-    cand = open_.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= top).select(
-        F.col("key").alias("b"), F.col("host").alias("o_host"), F.col("outlet").alias("o_outlet"), F.col("story_id").alias("other_id"))
-    groups = anchors.select("key", "host", "outlet").distinct()
-    rel = related_sets(base).join(cand, "b")
-    j = groups.join(rel, groups.key == rel.a).filter((F.col("host") != F.col("o_host")) & (F.col("outlet") != F.col("o_outlet")))
-    order = [F.desc("shared"), F.asc("other_id")]
-    if per_outlet:
-        wo = W.partitionBy("key", "host", "outlet", "o_outlet").orderBy(*order)
-        j = j.withColumn("_k", F.row_number().over(wo)).filter(F.col("_k") <= per_outlet).drop("_k")
-    wg = W.partitionBy("key", "host", "outlet").orderBy(*order)
-    best = j.withColumn("rank", F.row_number().over(wg)).filter(F.col("rank") <= top).select("key", "host", "outlet", "other_id", "shared", "rank")
-    return anchors.select("story_id", "key", "host", "outlet").join(best, ["key", "host", "outlet"]).select("story_id", "other_id", "shared", "rank")
+    w = W.partitionBy(*place).orderBy("story_id")
+    cand = open_.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= top).select(F.col("story_id").alias("id"), "tokens", "host", "outlet")
+    groups = cut_lineage(anchors.groupBy(*place).agg(F.any_value("tokens").alias("tokens")).withColumn("id", F.monotonically_increasing_id()))
+    sides = [RL.coded(x, RL.RELATED, "host", "outlet") for x in (groups, cand)]
+    best = RL.best_matches(*sides, top, apart=True, each=per_outlet)
+    rank = F.row_number().over(W.partitionBy("left_id").orderBy(F.desc("shared"), "other_id"))
+    best = groups.select(*place, F.col("id").alias("left_id")).join(best.withColumn("rank", rank), "left_id")
+    return anchors.select("story_id", *place).join(best, place).select("story_id", "other_id", "shared", "rank")
 
 
 def resolve_source(df: DataFrame, articles: DataFrame) -> DataFrame:
@@ -414,6 +402,7 @@ def resolve_source(df: DataFrame, articles: DataFrame) -> DataFrame:
 
     ``articles(story_id)`` lists stories whose text could be read. Result: (story_id, via, source_story_id).
     """
+    df = cut_lineage(df.select("story_id", "title", "url", "source", "readable", "redirect"))
     have = articles.select(F.col("story_id").alias("source_story_id")).distinct()
     own = df.filter(~F.col("readable").isin("paywalled", "thin")).select("story_id", F.col("story_id").alias("source_story_id"), F.lit(0).alias("priority"), F.lit("direct").alias("via"))
     rel = related_stories(df, 8).join(
@@ -426,11 +415,10 @@ def resolve_source(df: DataFrame, articles: DataFrame) -> DataFrame:
 
 def event_groups(df: DataFrame) -> DataFrame:
     """Stories of the same event reported by two outlets or more: (story_id, group_id, stories, outlets)."""
-    keyed = story_sets(df.select("story_id", "title", "source")).filter(F.size("tokens") >= 2)
-    sets = distinct_sets(keyed)
-    pairs = RL.similar_pairs(sets, RL.event_rule, least_size=2)
-    labels = RL.components(sets.select(F.col("key").alias("node")), pairs)
-    j = keyed.join(labels.withColumnsRenamed({"node": "key"}), "key")
+    keyed = cut_lineage(story_sets(df.select("story_id", "title", "source")).filter(F.size("tokens") >= 2))
+    sets = cut_lineage(distinct_sets(keyed).withColumn("id", F.monotonically_increasing_id()))
+    labels = RL.components(sets.select(F.col("id").alias("node")), RL.match_forest(RL.coded(sets, RL.event_rule)))
+    j = keyed.join(sets.select("key", F.col("id").alias("node")).join(labels, "node").select("key", "label"), "key")
     outlet = F.coalesce(F.nullif("source", F.lit("")), F.col("story_id").cast("string"))
     g = j.groupBy("label").agg(F.min("story_id").alias("group_id"), F.count(F.lit(1)).alias("stories"), F.count_distinct(outlet).alias("outlets"))
     g = g.filter("stories >= 2 and outlets >= 2")

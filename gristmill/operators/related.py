@@ -4,12 +4,19 @@ The naive form compares every pair. Here equal sets are collapsed first, tokens
 two sets are compared only when they share a token inside a short prefix: if two sets have at least ``t`` tokens
 in common, the first ``n - t + 1`` tokens of each must overlap. No candidate is dropped, so the result is exact,
 and frequent tokens, which sit at the end of the order, almost never create candidates.
+
+Where two or three common tokens are enough, prefixes leave most pairs in and the pairs themselves grow with the square of
+the sets. ``best_matches``, ``all_matches``, ``match_counts`` and ``match_forest`` therefore meet the sets in blocks: a task
+holds one block of left sets, the right sets stream past it, and only what is asked for (the best few, counts, a spanning
+forest) leaves it. Every pair is counted; tokens are compared by their 64-bit hashes.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +24,9 @@ from gristmill.session import cut_lineage
 
 Required = Callable[[Column], Column]
 
+#: Left sets that a task holds, the least worth a task of their own, and common tokens counted at a time.
+BLOCK_SETS, LEAST_SETS, HITS = 50_000, 2_000, 2_000_000
+
 
 def share_rule(percent: int, least: int, most: int | None = None) -> Required:
     """Tokens that must be shared when the smaller set has ``m``: ``percent`` of m, at least ``least``.
@@ -136,3 +146,212 @@ def _jump(tree: DataFrame, up: DataFrame) -> DataFrame:
     """Each node's parent's parent; a parent without one stays."""
     above = up.select(F.col("node").alias("up"), F.col("up").alias("above"))
     return tree.join(above, "up", "left").select("node", F.coalesce("above", "up").alias("up"), F.col("up").alias("was"))
+
+
+# ---- sets met in blocks -------------------------------------------------------------------------------------------------
+class _Block:
+    """The left sets of one task: their token hashes in order, each with the sets that hold it."""
+
+    def __init__(self, batches: list[pa.RecordBatch]):
+        table = pa.Table.from_batches(batches).combine_chunks()
+        self.id, self.t = (table.column(c).to_numpy() for c in ("id", "t"))
+        self.columns = table
+        codes, owner = _tokens(table.column("codes").combine_chunks())
+        order = np.argsort(codes, kind="stable")
+        codes, self.owner = codes[order], owner[order]
+        self.codes, self.start = np.unique(codes, return_index=True)
+        self.held = np.diff(np.append(self.start, len(codes)))
+
+    def meet(self, right: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(left position, right position, tokens shared) of the pairs that meet the rule, right positions ascending."""
+        codes, column = _tokens(right.column("codes"))
+        need = right.column("t").to_numpy()
+        at = np.minimum(np.searchsorted(self.codes, codes), len(self.codes) - 1)
+        known = self.codes[at] == codes
+        at, column = at[known], column[known]
+        hits = np.cumsum(self.held[at])
+        lo = 0
+        while lo < len(at):
+            # whole right sets, so that every pair is counted at one time
+            hi = int(np.searchsorted(hits, (hits[lo - 1] if lo else 0) + HITS, "right"))
+            if hi < len(at):
+                hi = int(np.searchsorted(column, column[hi])) if column[hi] > column[lo] else int(np.searchsorted(column, column[lo], "right"))
+            size, first = self.held[at[lo:hi]], self.start[at[lo:hi]]
+            base = np.cumsum(size) - size
+            place = np.arange(int(size.sum())) + np.repeat(first - base, size)
+            cell = np.repeat((column[lo:hi] - column[lo]) * len(self.id), size) + self.owner[place]
+            cell.sort()
+            edge = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1])))
+            shared = np.diff(np.append(edge, len(cell)))
+            cell = cell[edge]
+            l, r = cell % len(self.id), cell // len(self.id) + column[lo]
+            met = shared >= np.minimum(self.t[l], need[r])
+            yield l[met], r[met], shared[met]
+            lo = hi
+
+
+def _tokens(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All token hashes of an array of sets, and the position of the set of each."""
+    size = lists.value_lengths().to_numpy(zero_copy_only=False)
+    return lists.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(len(lists)), size)
+
+
+def coded(sets: DataFrame, required: Required, *columns) -> DataFrame:
+    """Rows as blocks take them: (id, t, codes, columns...) from ``sets(id, tokens, ...)``, written once."""
+    codes = F.transform("tokens", lambda x: F.xxhash64(x))
+    return cut_lineage(sets.select("id", required(F.size("tokens")).cast("int").alias("t"), codes.alias("codes"), *columns))
+
+
+def _in_blocks(left: DataFrame, right: DataFrame, run: Callable[[_Block, Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``run`` for every block of ``left`` with all rows of ``right``, ids ascending."""
+    n = left.count()
+    blocks = max(1, -(-n // BLOCK_SETS), min(left.sparkSession.sparkContext.defaultParallelism, -(-n // LEAST_SETS)))
+    own = left.select(F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"), F.lit(0).alias("side"), "*")
+    other = right.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(1).alias("side"), "*")
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                cut = int(np.searchsorted(batch.column("side").to_numpy(), 1))
+                if cut:
+                    held.append(batch.slice(0, cut))
+                if cut < batch.num_rows:
+                    yield batch.slice(cut)
+
+        stream = rest(batches)
+        first = next(stream, None)
+        if held and first is not None:
+            yield from run(_Block(held), (b for part in ((first,), stream) for b in part))
+
+    dealt = own.unionByName(other, allowMissingColumns=True).repartitionById(blocks, F.col("block")).sortWithinPartitions("side", "id")
+    return dealt.mapInArrow(task, schema)
+
+
+def _batch(**columns: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({n: pa.array(v) for n, v in columns.items()})
+
+
+def all_matches(left: DataFrame, right: DataFrame, counts: bool = False) -> DataFrame:
+    """(left_id, p, q, shared) of all pairs; with ``counts`` the left sets that each right row matches, (p, q, n).
+
+    Both sides are ``coded``; ``right`` has the longs ``p`` and ``q``.
+    """
+    def pairs(block: _Block, stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in stream:
+            p, q = (batch.column(c).to_numpy(zero_copy_only=False) for c in "pq")
+            for l, r, shared in block.meet(batch):
+                for at in range(0, len(l), 100_000):
+                    some = slice(at, at + 100_000)
+                    yield _batch(left_id=block.id[l[some]], p=p[r[some]], q=q[r[some]], shared=shared[some].astype(np.int32))
+
+    def counted(block: _Block, stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in stream:
+            n = np.zeros(batch.num_rows, np.int64)
+            for _, r, _ in block.meet(batch):
+                n += np.bincount(r, minlength=len(n))
+            met = np.flatnonzero(n)
+            yield _batch(p=batch.column("p").to_numpy(zero_copy_only=False)[met], q=batch.column("q").to_numpy(zero_copy_only=False)[met], n=n[met])
+
+    if counts:
+        return _in_blocks(left, right, counted, "p bigint, q bigint, n bigint").groupBy("p", "q").agg(F.sum("n").alias("n"))
+    return _in_blocks(left, right, pairs, "left_id bigint, p bigint, q bigint, shared int")
+
+
+def best_matches(left: DataFrame, right: DataFrame, top: int, apart: bool = False, each: int | None = None) -> DataFrame:
+    """(left_id, other_id, shared): the ``top`` right rows of each left row by shared tokens, then by their id.
+
+    Both sides are ``coded``. With ``apart`` both have the texts ``host`` and ``outlet``, and only rows that differ in both
+    match; ``each`` then keeps that many rows of an outlet. A task keeps the best of each left row while the right rows
+    pass by in the order of their ids: a later one must share more tokens than the last one kept.
+    """
+    def run(block: _Block, stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, names = len(block.id), {}
+        number = lambda texts: np.array([names.setdefault(x, len(names)) for x in texts.to_pylist()], np.int64)
+        host, outlet = (number(block.columns.column(c)) if apart else None for c in ("host", "outlet"))
+        best, ids, outs = np.zeros((n, top), np.int64), np.zeros((n, top), np.int64), np.zeros((n, top), np.int64)
+        for batch in stream:
+            other = batch.column("id").to_numpy()
+            o_host, o_outlet = (number(batch.column(c)) if apart else None for c in ("host", "outlet"))
+            for l, r, shared in block.meet(batch):
+                good = shared > best[l, -1]
+                if apart:
+                    good &= (host[l] != o_host[r]) & (outlet[l] != o_outlet[r])
+                l, r, shared = l[good], r[good], shared[good]
+                if not len(l):
+                    continue
+                rows, old = np.unique(l), None
+                old = np.repeat(rows, top)
+                kept = best[rows].ravel() > 0
+                a = np.concatenate([old[kept], l])
+                s = np.concatenate([best[rows].ravel()[kept], shared])
+                i = np.concatenate([ids[rows].ravel()[kept], other[r]])
+                o = np.concatenate([outs[rows].ravel()[kept], o_outlet[r] if apart else np.zeros(len(r), np.int64)])
+                if each:
+                    order = np.lexsort((i, -s, o, a))
+                    order = order[_rank(a[order], o[order]) < each]
+                    a, s, i, o = a[order], s[order], i[order], o[order]
+                order = np.lexsort((i, -s, a))
+                a, s, i, o = a[order], s[order], i[order], o[order]
+                rank = _rank(a)
+                a, s, i, o, rank = (x[rank < top] for x in (a, s, i, o, rank))
+                best[rows] = 0
+                best[a, rank], ids[a, rank], outs[a, rank] = s, i, o
+        for at in range(0, n, 10_000):
+            l, k = np.nonzero(best[at:at + 10_000])
+            yield _batch(left_id=block.id[l + at], other_id=ids[l + at, k], shared=best[l + at, k].astype(np.int32))
+
+    return _in_blocks(left, right, run, "left_id bigint, other_id bigint, shared int")
+
+
+def _rank(*keys: np.ndarray) -> np.ndarray:
+    """Place of each entry among its neighbours with equal keys."""
+    new = np.ones(len(keys[0]), bool)
+    if len(new):
+        new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+    starts = np.flatnonzero(new)
+    return np.arange(len(new)) - np.repeat(starts, np.diff(np.append(starts, len(new))))
+
+
+def match_forest(sets: DataFrame) -> DataFrame:
+    """(a, b): pairs of ``coded`` sets that meet the rule, enough of them to connect all that are connected by such pairs.
+
+    A task joins the left sets that one right set meets; a right set gives one pair for each group of them that was not yet
+    one. So a task returns fewer pairs than there are sets, however many pairs meet the rule.
+    """
+    def run(block: _Block, stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        up = np.arange(len(block.id))
+
+        def root(x: int) -> int:
+            while up[x] != x:
+                up[x] = up[up[x]]
+                x = up[x]
+            return int(x)
+
+        for batch in stream:
+            other = batch.column("id").to_numpy()
+            for l, r, _ in block.meet(batch):
+                half = block.id[l] < other[r]
+                l, r = l[half], r[half]
+                a, b = [], []
+                # a few pairs at a time: what they join is one group for those that follow
+                for at in range(0, len(l), 4096):
+                    pair = np.unique(r[at:at + 4096] * len(up) + up[l[at:at + 4096]])
+                    last, head, grew = -1, 0, False
+                    for y, x in zip((pair // len(up)).tolist(), (pair % len(up)).tolist()):
+                        x = root(x)
+                        if y != last:
+                            last, head = y, x
+                        elif x != (head := root(head)):
+                            up[max(x, head)], grew = min(x, head), True
+                        else:
+                            continue
+                        a.append(x)
+                        b.append(y)
+                    while grew and (above := up[up]).tobytes() != up.tobytes():
+                        up[:] = above
+                if a:
+                    yield _batch(a=block.id[a], b=other[b])
+
+    return _in_blocks(sets, sets, run, "a bigint, b bigint")

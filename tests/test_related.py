@@ -112,3 +112,41 @@ def test_no_nested_loop_in_pair_joins(spark):
     for out in (FE.coverage(df), FE.related_stories(df)):
         plan = out._jdf.queryExecution().executedPlan().toString()
         assert "NestedLoop" not in plan and "CartesianProduct" not in plan
+
+
+def pairs_of(rows, rule):
+    sets = {i: set(t.split()) for i, t, *_ in rows}
+    return {(i, j, len(sets[i] & sets[j])) for i in sets for j in sets if i != j and len(sets[i] & sets[j]) >= rule(min(len(sets[i]), len(sets[j])))}
+
+
+def test_blocks_and_small_steps_give_the_same_pairs(spark, monkeypatch):
+    monkeypatch.setattr(RL, "BLOCK_SETS", 9)
+    monkeypatch.setattr(RL, "HITS", 7)
+    rows, df = stories(spark, seed=8)
+    own = F.split("title", " ").alias("tokens")
+    left = RL.coded(df.select(F.col("story_id").alias("id"), own), RL.event_rule)
+    right = RL.coded(df.select(F.col("story_id").alias("id"), own, F.col("story_id").alias("p"), (F.col("story_id") * 2).alias("q")), RL.event_rule, "p", "q")
+    want = pairs_of(rows, lambda m: -(-max(3, m) * 2 // 5))
+    got = {(r.left_id, r.p, r.shared) for r in RL.all_matches(left, right).collect() if r.left_id != r.p}
+    assert got == want
+    counts = {(r.p, r.q): r.n for r in RL.all_matches(left, right, counts=True).collect()}
+    hits = {i: sum(1 for a, b, _ in want if b == i) + (len(set(t.split())) >= -(-max(3, len(set(t.split()))) * 2 // 5)) for i, t, *_ in rows}
+    assert counts == {(i, 2 * i): n for i, n in hits.items() if n}
+    best = {}
+    for r in RL.best_matches(left, right, 3).collect():
+        best.setdefault(r.left_id, set()).add((r.other_id, r.shared))
+    every = want | {(i, i, len(set(t.split()))) for i, t, *_ in rows if len(set(t.split())) >= -(-max(3, len(set(t.split()))) * 2 // 5)}
+    for i in {a for a, _, _ in every}:
+        assert best[i] == {(b, n) for n, b in sorted(((n, b) for a, b, n in every if a == i), key=lambda x: (-x[0], x[1]))[:3]}
+
+
+def test_forest_of_a_dense_group_is_small(spark, monkeypatch):
+    monkeypatch.setattr(RL, "BLOCK_SETS", 100)
+    rows = [(i, [f"w{i}", "alpha", "beta", "gamma"]) for i in range(300)] + [(300 + i, [f"v{i}", "delta", f"u{i}"]) for i in range(20)]
+    sets = RL.coded(spark.createDataFrame(rows, "id bigint, tokens array<string>"), RL.event_rule)
+    edges = RL.match_forest(sets)
+    # four tasks, each fewer pairs than its left and all right sets; 44,850 pairs meet the rule
+    assert edges.count() < 4 * (320 + 100)
+    nodes = spark.range(320).select(F.col("id").alias("node"))
+    labels = {r.node: r.label for r in RL.components(nodes, edges).collect()}
+    assert all(labels[i] == 0 for i in range(300)) and all(labels[i] == i for i in range(300, 320))
