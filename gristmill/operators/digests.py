@@ -8,7 +8,10 @@ thread, theme, lens, included, off_theme, ids)``, ``section_stories(digest_id, s
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -73,14 +76,18 @@ def claim_map(members: DataFrame, stories: DataFrame, sections: DataFrame, draft
     return j.groupBy("key").agg(F.min_by(F.struct(F.col("digest_id").alias("claimed_by"), "written"), order).alias("c")).select("key", "c.*")
 
 
-def related_fresh(fresh: DataFrame, sections: DataFrame, members: DataFrame, stories: DataFrame) -> DataFrame:
-    """(digest_id, section_id, story_id): fresh stories sharing tokens with a section's title, thread and headlines."""
+def related_fresh(fresh: DataFrame, sections: DataFrame, members: DataFrame, stories: DataFrame, counts: bool = False) -> DataFrame:
+    """(digest_id, section_id, story_id): fresh stories sharing tokens with a section's title, thread and headlines.
+
+    With ``counts`` only how many they are: (digest_id, section_id, related). A story's own title decides how much it must share.
+    """
     heads = members.join(stories.select("story_id", TX.clean_title("title").alias("h")), "story_id").groupBy(*SECTION).agg(F.array_join(F.collect_list("h"), " ").alias("h"))
     bag = TX.token_set(F.concat_ws(" ", "title", "thread", "h"))
-    right = sections.select(*SECTION, "title", "thread").join(heads, SECTION).select(F.struct(*SECTION).alias("key"), bag.alias("tokens"))
-    keyed = FE.story_sets(fresh.select("story_id", "title")).filter(F.size("tokens") >= 2)
-    pairs = RL.sharing_pairs(FE.distinct_sets(keyed), right, RL.RELATED)
-    return keyed.select("story_id", F.col("key").alias("a")).join(pairs, "a").select("b.digest_id", "b.section_id", "story_id")
+    right = sections.select(*SECTION, "title", "thread").join(heads, SECTION).select(F.col("digest_id").alias("id"), *[F.col(c).cast("long").alias(n) for c, n in zip(SECTION, "pq")], bag.alias("tokens"))
+    left = FE.story_sets(fresh.select("story_id", "title")).filter(F.size("tokens") >= 2).select(F.col("story_id").alias("id"), "tokens")
+    found = RL.all_matches(RL.coded(left, RL.RELATED), RL.coded(right, lambda n: F.lit(2**30), "p", "q"), counts)
+    named = [F.col(n).cast(sections.schema[c].dataType).alias(c) for c, n in zip(SECTION, "pq")]
+    return found.select(*named, F.col("n").alias("related")) if counts else found.select(*named, F.col("left_id").alias("story_id"))
 
 
 def carry_candidates(members, stories, sections, drafts, digests, fresh: DataFrame, current: int, as_of: str, free: int = 16, owned: int = 14) -> DataFrame:
@@ -96,7 +103,7 @@ def carry_candidates(members, stories, sections, drafts, digests, fresh: DataFra
     claims = claim_map(members, stories, sections, drafts, digests, current)
     km = keyed_members(known, stories)
     held = km.join(claims, "key").filter(F.col("claimed_by") != F.col("digest_id")).select(*SECTION, "story_id").distinct().groupBy(*SECTION).agg(F.count(F.lit(1)).alias("_held"))
-    rel = related_fresh(fresh, sections, members, stories).groupBy(*SECTION).agg(F.count(F.lit(1)).alias("related"))
+    rel = related_fresh(fresh, sections, members, stories, counts=True)
     base = (
         sections.select(*SECTION, "title", "included").join(size.select(*SECTION, "stories"), SECTION).join(digests.select("digest_id", "created", "pool"), "digest_id")
         .join(held, SECTION, "left").join(rel, SECTION, "left").fillna(0, ["_held", "related"]))
@@ -305,36 +312,60 @@ def section_clusters(df: DataFrame, scan: str = "scan_id") -> DataFrame:
 
     Words of a title weigh 2, other words of the first 300 characters of the summary 1. Two groups are as similar as
     their common weight over the size of the smaller vocabulary (2 at least), less a hundredth for each story in them.
-    The most similar pair joins until ``section_count`` groups are left. A scan is a top list, so the groups of one scan
-    stand in one row, and each join is a step of a fold over it; scans run in parallel.
+    The most similar pair joins until ``section_count`` groups are left. A scan is a top list, so the stories of one scan
+    stand in one row; a join compares only the group that grew again. Scans run in parallel.
     """
     title, rest = TX.raw_tokens(F.col("title")), TX.raw_tokens(F.substring(F.coalesce("summary", F.lit("")), 1, 300))
-    bag = F.map_from_entries(F.concat(
-        F.transform(F.array_distinct(title), lambda w: F.struct(w.alias("key"), F.lit(2).cast("long").alias("value"))),
-        F.transform(F.array_except(rest, title), lambda w: F.struct(w.alias("key"), F.lit(1).cast("long").alias("value")))))
-    group = F.struct("story_id", F.array("story_id").alias("ids"), bag.alias("bag"))
-    rows = df.select(scan, group.alias("g")).groupBy(scan).agg(F.collect_list("g").alias("g"))
-    rows = rows.select(scan, F.transform(F.array_sort("g", lambda x, y: F.when(x["story_id"] < y["story_id"], -1).otherwise(1)), lambda x: F.struct(x["ids"].alias("ids"), x["bag"].alias("bag"))).alias("g"))
-
-    def alike(x: Column, y: Column) -> Column:
-        shared = F.aggregate(F.map_keys(x["bag"]), F.lit(0).cast("long"), lambda a, w: a + F.least(F.element_at(x["bag"], w), F.coalesce(F.try_element_at(y["bag"], w), F.lit(0).cast("long"))))
-        return shared / F.greatest(F.lit(2), F.least(F.size(x["bag"]), F.size(y["bag"]))) - (F.size(x["ids"]) + F.size(y["ids"])) * 0.01
-
-    def join(gs: Column, _: Column) -> Column:
-        places = F.sequence(F.lit(1), F.size(gs))
-        pairs = F.flatten(F.transform(places, lambda i: F.transform(F.slice(places, i + 1, F.size(gs)), lambda j: F.struct(alike(F.element_at(gs, i), F.element_at(gs, j)).alias("sim"), (-i).alias("i"), (-j).alias("j")))))
-        both = lambda x, y: F.struct(F.concat(x["ids"], y["ids"]).alias("ids"), F.map_zip_with(x["bag"], y["bag"], lambda _, m, n: F.coalesce(m, F.lit(0).cast("long")) + F.coalesce(n, F.lit(0).cast("long"))).alias("bag"))
-        new = lambda best: F.transform(F.filter(places, lambda k: k != -best["j"]), lambda k: F.when(k == -best["i"], both(F.element_at(gs, k), F.element_at(gs, -best["j"]))).otherwise(F.element_at(gs, k)))
-        return TX.let(F.array_max(pairs), new)
-
-    goal = section_count(F.size("g"))
-    joined = F.aggregate(F.when(F.size("g") > goal, F.sequence(F.lit(1), F.size("g") - goal)).otherwise(F.array().cast("array<int>")), F.col("g"), join)
-    heaviest = lambda m: F.slice(F.array_sort(F.transform(F.map_entries(m), lambda e: F.struct(-e["value"], e["key"].alias("word")))), 1, 3)
+    story = F.struct("story_id", F.array_distinct(title).alias("title"), F.array_except(rest, title).alias("rest"))
+    rows = df.select(scan, story.alias("g")).groupBy(scan).agg(F.collect_list("g").alias("g"))
+    rows = rows.select(scan, section_count(F.size("g")).alias("goal"), F.array_sort("g", lambda x, y: F.when(x["story_id"] < y["story_id"], -1).otherwise(1)).alias("g"))
+    kinds = {c: dict(df.dtypes)[c] for c in (scan, "story_id")}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            story_id = batch.schema.field("g").type.value_type.field("story_id").type
+            types = [batch.schema.field(0).type, pa.int32(), pa.list_(story_id), pa.list_(pa.string())]
+            for at in range(0, batch.num_rows, 50):
+                out = []
+                for key, goal, stories in zip(*(c.to_pylist() for c in batch.slice(at, 50).columns)):
+                    groups = _joined([x["story_id"] for x in stories], [dict.fromkeys(x["title"], 2) | dict.fromkeys(x["rest"], 1) for x in stories], goal)
+                    out += [(key, no, ids, words) for no, (ids, words) in enumerate(groups)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=[scan, "cluster", "ids", "words"])
+
+    schema = f"{scan} {kinds[scan]}, cluster int, ids array<{kinds['story_id']}>, words array<string>"
+    found = rows.mapInArrow(run, schema)
     capital = lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substr(w, F.lit(2)))
-    name = lambda m: F.array_join(F.transform(heaviest(m), lambda x: capital(x["word"])), " · ")
-    ordered = F.array_sort(F.transform(joined, lambda x, i: F.struct((-F.size(x["ids"])).alias("n"), i.alias("i"), x["ids"].alias("ids"), name(x["bag"]).alias("name"))))
-    out = rows.select(scan, F.posexplode(ordered).alias("cluster", "x"))
-    return out.select(scan, F.explode("x.ids").alias("story_id"), "cluster", F.coalesce(F.nullif("x.name", F.lit("")), F.lit("Section")).alias("name"))
+    name = F.array_join(F.transform("words", capital), " · ")
+    return found.select(scan, F.explode("ids").alias("story_id"), "cluster", F.coalesce(F.nullif(name, F.lit("")), F.lit("Section")).alias("name"))
+
+
+def _joined(ids: list, bags: list[dict[str, int]], goal: int) -> list[tuple[list, list[str]]]:
+    """The groups of one scan, largest first: (ids, three heaviest words)."""
+    groups = [[i] for i in ids]
+
+    def alike(x: int, y: int) -> float:
+        a, b = bags[x], bags[y]
+        if len(b) < len(a):
+            a, b = b, a
+        return sum(min(n, b[w]) for w, n in a.items() if w in b) / max(2, len(a)) - (len(groups[x]) + len(groups[y])) * 0.01
+
+    left = list(range(len(ids)))
+    sim = np.full((len(ids), len(ids)), -np.inf)
+    for x in left:
+        for y in range(x + 1, len(ids)):
+            sim[x, y] = alike(x, y)
+    while len(left) > goal:
+        # the first of equally similar pairs, by its first group and then its second
+        x, y = divmod(int(np.argmax(sim)), len(ids))
+        groups[x] = groups[x] + groups[y]
+        bags[x] = {w: bags[x].get(w, 0) + bags[y].get(w, 0) for w in bags[x] | bags[y]}
+        left.remove(y)
+        sim[y, :], sim[:, y] = -np.inf, -np.inf
+        for z in left:
+            if z != x:
+                sim[min(x, z), max(x, z)] = alike(min(x, z), max(x, z))
+    heaviest = lambda m: [w for w, _ in sorted(m.items(), key=lambda e: (-e[1], e[0]))[:3]]
+    return [(groups[x], heaviest(bags[x])) for x in sorted(left, key=lambda x: (-len(groups[x]), x))]
 
 
 def fold_thin_themes(sections: DataFrame, members: DataFrame) -> DataFrame:

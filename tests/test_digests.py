@@ -78,3 +78,18 @@ def test_corpus_of_all_sources(spark):
     assert D.source_corpus(members, stories, articles).first().sources == 6
     whole = D.source_corpus(members, stories, articles, top=None).first()
     assert whole.sources == 8 and "107" in whole.corpus
+
+
+def test_clusters_of_one_scan_compare_only_what_grew():
+    # a joined group is compared with the others again, other pairs keep their likeness
+    calls = []
+
+    class Bag(dict):
+        def items(self):
+            calls.append(1)
+            return super().items()
+
+    n = 40
+    got = D._joined(list(range(n)), [Bag({f"w{i}": 2, f"w{i // 2}": 1}) for i in range(n)], 6)
+    assert sorted(i for ids, _ in got for i in ids) == list(range(n)) and len(got) == 6
+    assert len(calls) <= n * (n - 1) // 2 + n * n
