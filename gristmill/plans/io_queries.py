@@ -206,7 +206,8 @@ query("layout_blocks")(lambda s, sf: LY.layout_blocks(LY.layout_lines(words(s, s
 def stream_of(s, sf, name: str):
     """A table of the folder as a stream."""
     schema = T.table(s, sf, name).schema
-    return s.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+    # the pattern stands for this one name: it may be a file, which a stream takes by pattern only, or a folder of parts
+    return s.readStream.schema(schema).parquet(f"{sf}/[{name[0]}]{name[1:]}.parquet")
 
 
 query("stream_item_dedupe", "SELECT DISTINCT user_id AS link_key, strftime(ts, '%Y-%m-%d') AS day FROM events")(

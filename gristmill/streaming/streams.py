@@ -122,10 +122,11 @@ def unusable_ttl(marks: DataFrame, delay: str, key: str = "story_key", when: str
 
 
 class RateCounter(StatefulProcessor):
-    """Hits wait in slots of event time until the watermark has passed their slot, then they are decided in order.
+    """Hits wait until the watermark has passed their slot of event time, then they are decided in order.
 
-    State of a key: the hits of the slots that are still open, and (accepted so far, last accepted hit). A timer ends each
-    slot; timers of a key fire in the order of their times.
+    State of a key: the hits that wait, in one list, and (accepted so far, last accepted hit, next timer). One timer stands
+    at the end of the earliest slot that has hits; when it fires, the hits of all slots that the watermark has passed are
+    decided at once, so a batch costs a key a few calls to the store, however many of its slots end.
     """
 
     def __init__(self, limit: int, gap: int, slot: int):
@@ -133,40 +134,56 @@ class RateCounter(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getMapState("waiting", "ends bigint", "hits array<bigint>")
-        self.counter = handle.getValueState("counter", "n bigint, last bigint")
+        self.waiting = handle.getListState("waiting", "micros bigint")
+        self.counter = handle.getValueState("counter", "n bigint, last bigint, timer bigint")
+
+    def _ends(self, times: np.ndarray) -> np.ndarray:
+        return (times // 1000 // self.slot + 1) * self.slot
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
-        for pdf in filter(len, rows):
-            times = pdf["micros"].to_numpy(np.int64)
-            ends = (times // 1000 // self.slot + 1) * self.slot
-            for end in np.unique(ends).tolist():
-                fresh = times[ends == end].tolist()
-                known = self.waiting.getValue((end,)) if self.waiting.containsKey((end,)) else None
-                self.waiting.updateValue((end,), ((list(known[0]) if known else []) + fresh,))
-                if not known:
-                    self.handle.registerTimer(end)
+        times = np.concatenate([pdf["micros"].to_numpy(np.int64) for pdf in rows] or [np.empty(0, np.int64)])
+        if len(times):
+            self.waiting.appendList([(t,) for t in times.tolist()])
+            n, last, timer = self.counter.get() or (0, None, None)
+            first = int(self._ends(times).min())
+            if timer is None or first < timer:
+                self.handle.registerTimer(first)
+                self.counter.update((n, last, first))
         return iter(())
 
     def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
-        end, out = expiredTimerInfo.getExpiryTimeInMs(), []
-        if self.waiting.containsKey((end,)):
-            n, last = self.counter.get() if self.counter.exists() else (0, None)
-            for t in np.sort(np.array(self.waiting.getValue((end,))[0], np.int64)).tolist():
-                if last is not None and t - last >= self.gap:
-                    n = 0
-                ok = n < self.limit
-                if ok:
-                    n, last = n + 1, t
-                out.append((key[0], t, ok))
-            self.waiting.removeKey((end,))
-            self.counter.update((n, last))
+        now, out = timerValues.getCurrentWatermarkInMs(), []
+        n, last, timer = self.counter.get() or (0, None, None)
+        if timer is None or timer > now:
+            # an earlier timer of this key has done the work
+            return iter(())
+        times = np.sort(np.array([r[0] for r in self.waiting.get()], np.int64))
+        passed = self._ends(times) <= now
+        for t in times[passed].tolist():
+            if last is not None and t - last >= self.gap:
+                n = 0
+            ok = n < self.limit
+            if ok:
+                n, last = n + 1, t
+            out.append((key[0], t, ok))
+        rest = times[~passed]
+        if out:
+            if len(rest):
+                self.waiting.put([(t,) for t in rest.tolist()])
+            else:
+                self.waiting.clear()
+        if len(rest):
+            timer = int(self._ends(rest[:1])[0])
+        elif last is not None and last + self.gap > now * 1000:
             # the counter is forgotten once no later hit can be inside its gap
-            self.handle.registerTimer((last + self.gap) // 1000 // self.slot * self.slot + 2 * self.slot + 1)
-        elif self.counter.exists():
-            n, last = self.counter.get()
-            if last + self.gap <= end * 1000 and not any(True for _ in self.waiting.keys()):
-                self.counter.clear()
+            timer = (last + self.gap) // 1000 // self.slot * self.slot + 2 * self.slot + 1
+        else:
+            timer = None
+        if timer is None:
+            self.counter.clear()
+        else:
+            self.handle.registerTimer(timer)
+            self.counter.update((n, last, timer))
         return iter([pd.DataFrame(out, columns=["key", "us", "accepted"])] if out else ())
 
 

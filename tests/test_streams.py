@@ -128,3 +128,56 @@ def test_waiting_sections_are_met_or_expire(spark, tmp_path):
     read = lambda name: spark.readStream.schema("id bigint, title string, t timestamp").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / name))
     out = ST.drain(ST.carry_expiry(read("se").withColumnsRenamed({"id": "section_id", "t": "at"}), read("st").withColumnsRenamed({"id": "story_id", "t": "published_at"}), hours=3, delay="30 minutes"), "e")
     assert {(r.section_id, r.story_id) for r in out.collect() if r.section_id < 9} == {(1, 11), (1, 12), (2, None), (3, 14)}
+
+
+def test_a_table_in_a_folder_of_parts_is_streamed(spark, tmp_path):
+    from gristmill.plans import io_queries as IO
+    words = ["harbour", "bridge", "opens", "traffic", "early"]
+    rows = [(i, " ".join(words[:3 + i % 3]) + ". Rest.", f"s{i % 2}") for i in range(8)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    df.repartition(3).write.parquet(str(tmp_path / "parts" / "documents.parquet"))
+    got = {r.story_id: r.coverage for r in IO.stream_coverage(spark, str(tmp_path / "parts")).collect()}
+    assert got == {i: 2 for i in range(8)}
+
+
+def test_rate_audit_needs_few_calls_to_the_store_a_key():
+    calls = []
+
+    class State:
+        def __init__(self):
+            self.v = None
+
+        def __getattr__(self, name):
+            def call(*a):
+                calls.append(name)
+                if name in ("put", "update"):
+                    self.v = a[0]
+                elif name == "appendList":
+                    self.v = [*(self.v or []), *a[0]]
+                elif name == "clear":
+                    self.v = None
+                elif name == "get":
+                    return iter(self.v or []) if isinstance(self.v, list) else self.v
+            return call
+
+    class Handle:
+        def __init__(self):
+            self.s = {}
+
+        def getListState(self, n, _):
+            return self.s.setdefault(n, State())
+
+        getValueState = getListState
+
+        def registerTimer(self, t):
+            calls.append("timer")
+
+    class At:
+        getCurrentWatermarkInMs = getExpiryTimeInMs = staticmethod(lambda: 10**9)
+
+    import pandas as pd
+    c = ST.RateCounter(3, 600 * 10**6, 60_000)
+    c.init(Handle())
+    c.handleInputRows(("a",), iter([pd.DataFrame({"micros": [i * 30 * 10**6 for i in range(1000)]})]), At)
+    out = pd.concat(c.handleExpiredTimer(("a",), At, At))
+    assert len(out) == 1000 and out["us"].is_monotonic_increasing and len(calls) < 15
