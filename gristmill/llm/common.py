@@ -10,8 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows up to which a table of ids is broadcast; 16 bytes a row keep it far below an executor's memory.
-BROADCAST_IDS = 1_000_000
+#: Rows up to which a table of ids is broadcast. The driver holds such a table several times while it builds and sends it.
+BROADCAST_IDS = 200_000
 #: Bytes of text that a Python task works on at a time.
 SLICE_BYTES = 4 << 20
 

@@ -258,7 +258,10 @@ def _linked(docs: DataFrame, members: DataFrame, n: int, threshold: float) -> Da
     shared = cut(wanted.groupBy("doc_id").count().filter("count > 1 OR doc_id IS NULL").select("doc_id"))
     texts = docs.select("doc_id", "text")
     alone = wanted.join(shared.filter("doc_id IS NOT NULL"), "doc_id", "left_anti").filter("doc_id IS NOT NULL")
-    sets = by_ids(texts, alone, "doc_id", "inner").select("text", "wanted", "family", "blocks", "copies").mapInPandas(run, schema)
+    alone = cut(alone)
+    # the ids alone choose the texts; only chosen texts travel to their keys and families, which are wide and never broadcast
+    chosen = by_ids(texts, alone.select("doc_id"), "doc_id", "left_semi")
+    sets = chosen.join(alone.hint("merge"), "doc_id").select("text", "wanted", "family", "blocks", "copies").mapInPandas(run, schema)
     if not shared.isEmpty():
         # joining on such an id would pair all of its rows with all of its classes: these meet by the key of the set
         again = by_ids(texts, shared.filter("doc_id IS NOT NULL"), "doc_id", "left_semi").unionByName(texts.filter("doc_id IS NULL"))
