@@ -7,6 +7,7 @@ over one scan, and both outputs (corrected rows, change log) come from it.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -209,23 +210,26 @@ def unique_sku_suffix(df: DataFrame) -> DataFrame:
         "file_id", "row_no", "sku",
         F.when(F.col("use") == 1, F.col("sku")).otherwise(F.concat("sku", F.lit("-"), F.col("use").cast("string"))).alias("new_sku"))
 
-    def replay(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("row_no")
-        taken: set[str] = set()
-        following: dict[str, int] = {}
-        out = []
-        for sku in pdf["sku"]:
-            name, n = sku, following.get(sku, 2)
-            if sku in taken:
-                while f"{sku}-{n}" in taken:
-                    n += 1
-                name = f"{sku}-{n}"
-                following[sku] = n + 1
-            taken.add(name)
-            out.append(name)
-        return pdf[["file_id", "row_no", "sku"]].assign(new_sku=out)
-
-    clashing = ranked.join(clash, ["file_id", "root"], "left_semi").groupBy("file_id", "root").applyInPandas(
+    def replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        family, taken, following = None, set(), {}
+        for pdf in batches:
+            out = []
+            for file, root, sku in zip(pdf["file_id"], pdf["root"], pdf["sku"]):
+                if (file, root) != family:
+                    family, taken, following = (file, root), set(), {}
+                name, n = sku, following.get(sku, 2)
+                if sku in taken:
+                    while f"{sku}-{n}" in taken:
+                        n += 1
+                    name = f"{sku}-{n}"
+                    following[sku] = n + 1
+                taken.add(name)
+                out.append(name)
+            yield pdf[["file_id", "row_no", "sku"]].assign(new_sku=out)
+
+    # the families stand together in sorted partitions and are streamed; a call for each would cost more than its rows
+    family = ranked.join(clash, ["file_id", "root"], "left_semi").select("file_id", "root", "row_no", "sku")
+    clashing = family.repartition("file_id", "root").sortWithinPartitions("file_id", "root", "row_no").mapInPandas(
         replay, "file_id string, row_no bigint, sku string, new_sku string")
     return plain.unionByName(clashing)
 
@@ -271,6 +275,8 @@ def repair(df: DataFrame, approved: list[str] = (), automatic: bool = True, extr
 
     The repairs of ``extra_rules`` run after the built-in ones of their class.
     """
+    # dealt out before the work on the cells, not after it, since a catalog may come from few tasks; the first join needs this deal
+    df = df.repartition("file_id", "row_no") if automatic else df
     out = start(df)
     if automatic:
         for fix in AUTOMATIC.values():
