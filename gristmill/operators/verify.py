@@ -33,6 +33,16 @@ def quote_verify(facts: DataFrame, articles: DataFrame) -> DataFrame:
     return j.select("fact_id", (reason == "").alias("verified"), reason.alias("reason"))
 
 
+#: Rows up to which the keys of quotes and the pairs to look at go to every task; the articles are shuffled beyond that.
+FEW = 50_000
+
+
+def _few(rows: DataFrame) -> DataFrame:
+    """``rows`` written once, and broadcast in joins while they are few by count."""
+    rows = cut_lineage(rows)
+    return F.broadcast(rows) if rows.count() <= FEW else rows
+
+
 def quote_lookup(quotes: DataFrame, articles: DataFrame, k: int = 5) -> DataFrame:
     """(quote_id, story_id) once for every article that holds the quote, when the article is not known.
 
@@ -48,7 +58,8 @@ def quote_lookup(quotes: DataFrame, articles: DataFrame, k: int = 5) -> DataFram
     key = F.when(size >= k + 2, F.struct(F.lit(k).alias("n"), F.array_join(F.slice("_w", 2, k), " ").alias("run"))).otherwise(F.struct(F.lit(1).alias("n"), inner.alias("run")))
     long = q.filter(size > 2).select("quote_id", "q", key.alias("key")).select("quote_id", "q", "key.n", F.xxhash64("key.run").alias("run"))
 
-    a = articles.select("story_id", plain_words("text").alias("a")).withColumn("_w", F.split("a", " ", -1))
+    # the plain words are read three times
+    a = cut_lineage(articles.select("story_id", plain_words("text").alias("a"))).withColumn("_w", F.split("a", " ", -1))
     head = F.col("_w")[0]
     short = q.filter(size <= 2).select(
         "quote_id", "q", head.alias("head"), (size == 2).alias("at_end"), F.when(size == 2, F.right(head, F.lit(3))).otherwise(F.left(head, F.lit(3))).alias("letters"))
@@ -59,14 +70,14 @@ def quote_lookup(quotes: DataFrame, articles: DataFrame, k: int = 5) -> DataFram
     places = F.concat(*[F.transform(F.array_distinct(x), lambda t: F.struct(F.lit(at_end).alias("at_end"), t.alias("letters"))) for at_end, x in ((True, ends), (False, inside))])
     holds = F.when(F.col("at_end"), F.endswith("word", "head")).otherwise(F.contains("word", "head"))
     met = words.select("word", F.inline(places)).join(short, ["at_end", "letters"]).filter(holds)
-    keys = long.unionByName(met.select("quote_id", "q", F.lit(1).alias("n"), F.xxhash64("word").alias("run")))
+    keys = _few(long.unionByName(met.select("quote_id", "q", F.lit(1).alias("n"), F.xxhash64("word").alias("run"))))
 
     # hashes are made distinct before they become structs: sets of structs are compared pair by pair
     of = lambda n, runs: F.transform(F.array_distinct(runs), lambda r: F.struct(F.lit(n).alias("n"), r.alias("run")))
     starts = F.sequence(F.lit(1), F.greatest(F.size("_w") - k + 1, F.lit(1)))
     many = F.transform(starts, lambda i: F.xxhash64(F.array_join(F.slice("_w", i, k), " ")))
     hits = a.select("story_id", F.inline(F.concat(of(1, F.transform("_w", lambda w: F.xxhash64(w))), of(k, many))))
-    pairs = hits.join(keys, ["n", "run"]).select("quote_id", "q", "story_id")
+    pairs = _few(hits.join(keys, ["n", "run"]).select("quote_id", "q", "story_id").distinct())
     return pairs.join(a.select("story_id", "a"), "story_id").filter(F.contains("a", F.col("q"))).select("quote_id", "story_id").distinct()
 
 
@@ -221,7 +232,7 @@ def best_cut(sentence: Column) -> Column:
         return let(F.array_min(fits), lambda x: F.when(x.isNotNull(), halves(x)))
 
     body = F.regexp_replace(sentence, r"\s+\z", "")
-    long_plain = (count_words(body) > 20) & ~sentence.rlike("[\"“”]")
+    long_plain = (count_words(sentence) > 20) & ~sentence.rlike("[\"“”]")
     return F.when(long_plain, let(body, places))
 
 
