@@ -51,3 +51,8 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A new sub-folder name next to the checkpoints, on storage that every executor sees."""
     ensure_checkpoint_dir(spark)
     return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def byte_batches(spark: SparkSession, size: str = "4m") -> None:
+    """Arrow batches of at most ``size`` (one row at least): rows of whole texts would fill a worker's memory by their number."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)

@@ -13,10 +13,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from gristmill.functions.text import col_of
+from gristmill.session import byte_batches
 
 # Element names that carry each item field, and the item cap of one feed.
 DESC_NAMES, DATE_NAMES, FEED_CAP = ("description", "summary", "content"), ("pubDate", "date", "published", "updated"), 40
 
+#: Payloads whose items a task holds at a time.
+PAYLOADS = 20
+
 
 def _local(tag: str) -> str:
     return tag.rsplit("}", 1)[-1]
@@ -50,18 +54,20 @@ def feed_scan(payloads: DataFrame, cap: int = FEED_CAP) -> DataFrame:
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for feed, body in zip(pdf["feed"], pdf["body"]):
-                try:
-                    root = ET.fromstring(body)
-                except (ET.ParseError, TypeError, ValueError):
-                    continue
-                items = (_item(n) for n in root.iter() if isinstance(n.tag, str) and _local(n.tag) in ("item", "entry"))
-                good = [i for i in items if i["title"] and re.match(r"https?://", i["link"], re.I)][:cap]
-                rows += [(feed, pos, i["title"], i["link"], i["description"], i["pub_text"]) for pos, i in enumerate(good)]
-            yield pd.DataFrame(rows, columns=["feed", "pos", "title", "link", "description", "pub_text"])
-
+        for batch in batches:
+            for at in range(0, len(batch), PAYLOADS):
+                pdf, rows = batch.iloc[at:at + PAYLOADS], []
+                for feed, body in zip(pdf["feed"], pdf["body"]):
+                    try:
+                        root = ET.fromstring(body)
+                    except (ET.ParseError, TypeError, ValueError):
+                        continue
+                    items = (_item(n) for n in root.iter() if isinstance(n.tag, str) and _local(n.tag) in ("item", "entry"))
+                    good = [i for i in items if i["title"] and re.match(r"https?://", i["link"], re.I)][:cap]
+                    rows += [(feed, pos, i["title"], i["link"], i["description"], i["pub_text"]) for pos, i in enumerate(good)]
+                yield pd.DataFrame(rows, columns=["feed", "pos", "title", "link", "description", "pub_text"])
+
+    byte_batches(payloads.sparkSession)
     out = payloads.select("feed", "body").mapInPandas(run, "feed string, pos int, title string, link string, description string, pub_text string")
     zoned = F.regexp_replace("pub_text", r"\s*(GMT|UTC|UT|Z)$", " +0000")
     when = F.coalesce(

@@ -28,11 +28,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
+from gristmill.session import byte_batches
+
 FORMAT = "ordered_files"
 MANIFEST = "_manifest.json"
 SCHEMA = "file string, part int, position bigint, piece string"
 #: Bytes of parts that one reading task takes on.
 READ_BYTES = 64 << 20
+#: Pieces that a writing task holds as text at a time, and bytes of pieces that a reading task hands over at a time.
+PIECES, HAND_BYTES = 100, 4 << 20
 
 
 def opened(path: str) -> tuple[stores.FileSystem, str]:
@@ -110,7 +114,7 @@ class Writer(DataSourceArrowWriter):
                 parts.append({"file": name, "pieces": len(ends), "bytes": size + len(self.end)})
 
         try:
-            for batch in batches:
+            for batch in (b.slice(at, PIECES) for b in batches for at in range(0, b.num_rows, PIECES)):
                 for file, piece in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                     if file != name or out is None:
                         close()
@@ -182,7 +186,18 @@ class Reader(DataSourceReader):
                     run, size = [], 0
         return [*out, Parts(run)] if run else out
 
-    def read(self, partition: Parts) -> Iterator[tuple]:
+    def read(self, partition: Parts) -> Iterator[pa.RecordBatch]:
+        rows, size = [], 0
+        for row in self._pieces(partition):
+            rows.append(row)
+            size += len(row[3])
+            if size >= HAND_BYTES or len(rows) >= 10_000:
+                yield _rows(rows)
+                rows, size = [], 0
+        if rows:
+            yield _rows(rows)
+
+    def _pieces(self, partition: Parts) -> Iterator[tuple]:
         store, root = opened(self.path)
         for file, number, at, path in partition.parts if partition else []:
             folder, name = path.rsplit("/", 1)
@@ -195,8 +210,14 @@ class Reader(DataSourceReader):
                     done = hi
 
 
+def _rows(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.string(), pa.int32(), pa.int64(), pa.string())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["file", "part", "position", "piece"])
+
+
 def write_ordered(rows: DataFrame, path: str, file: Column, order: list[str], piece: Column, separator: str = "\n", header: str = "", end: str = "\n", extension: str = "txt") -> None:
     """Write ``piece`` of every row to the file named by ``file`` (null: ``_none``), in the order of ``order``."""
+    byte_batches(rows.sparkSession)
     rows.sparkSession.dataSource.register(OrderedFiles)
     named = rows.select(file.cast("string").alias("_file"), piece.alias("_piece"), *[F.col(c).alias(f"_order{i}") for i, c in enumerate(order)])
     keys = ["_file", *[f"_order{i}" for i in range(len(order))]]
