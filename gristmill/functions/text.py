@@ -157,10 +157,10 @@ def count_words(c) -> Column:
     return F.when(t == "", F.lit(0)).otherwise(F.size(F.split(t, SPACES_RE, -1)))
 
 
-def estimate_tokens(c) -> Column:
-    """Mean of chars/4 and words/0.75, rounded, at least 1; 0 for empty text."""
+def estimate_tokens(c, words: Column | None = None) -> Column:
+    """Mean of chars/4 and words/0.75, rounded, at least 1; 0 for empty text. ``words`` is the word count where it is known."""
     t = F.coalesce(col_of(c), F.lit(""))
-    est = F.floor((F.length(t) / 4 + count_words(t) / 0.75) / 2 + 0.5)
+    est = F.floor((F.length(t) / 4 + (count_words(t) if words is None else words) / 0.75) / 2 + 0.5)
     return F.when(t == "", F.lit(0)).otherwise(F.greatest(F.lit(1), est)).cast("bigint")
 
 
@@ -190,8 +190,7 @@ SENTENCE_RE = r"[^.!?]+[.!?]+[\"”’')\]]*[\s]*|[^.!?]+\z"
 def sentences(c) -> Column:
     """Split into sentences, trailing space kept, so that joining them gives the text back."""
     t = F.coalesce(col_of(c), F.lit(""))
-    found = F.regexp_extract_all(t, F.lit(f"({SENTENCE_RE})"), F.lit(1))
-    return F.when(F.size(found) == 0, F.array(t)).otherwise(found)
+    return let(t, lambda x: let(F.regexp_extract_all(x, F.lit(f"({SENTENCE_RE})"), F.lit(1)), lambda found: F.when(F.size(found) == 0, F.array(x)).otherwise(found)))
 
 
 # Abbreviations whose full stop does not end a sentence.

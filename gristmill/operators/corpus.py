@@ -77,12 +77,13 @@ def strip_cross_doc(df: DataFrame, doc: str = "doc_id", text: str = "text") -> D
 
 def corpus_stats(df: DataFrame, before: str = "text", after: str = "clean_text") -> DataFrame:
     """Totals before and after cleaning, with the share of tokens saved."""
-    # a generated row holds both texts, so the cleaning is not repeated for every figure
+    # generated rows hold both texts and their words, so neither the cleaning nor the counting is repeated for every figure
     df = df.select(F.inline(F.array(F.struct(F.col(before), F.col(after), F.col("lines_removed")))))
+    df = df.select("*", F.inline(F.array(F.struct(count_words(before).alias("_before"), count_words(after).alias("_after")))))
     g = df.agg(
         F.count(F.lit(1)).alias("docs"), F.sum(F.length(before)).alias("chars_before"), F.sum(F.length(after)).alias("chars_after"),
-        F.sum(count_words(before)).alias("words_before"), F.sum(count_words(after)).alias("words_after"),
-        F.sum(estimate_tokens(before)).alias("tokens_before"), F.sum(estimate_tokens(after)).alias("tokens_after"),
+        F.sum("_before").alias("words_before"), F.sum("_after").alias("words_after"),
+        F.sum(estimate_tokens(before, F.col("_before"))).alias("tokens_before"), F.sum(estimate_tokens(after, F.col("_after"))).alias("tokens_after"),
         F.sum("lines_removed").alias("lines_removed"))
     saved = F.when(F.col("tokens_before") > 0, F.floor(100 * (1 - F.col("tokens_after") / F.col("tokens_before")) + 0.5)).otherwise(0)
     return g.withColumn("saved_percent", F.greatest(F.lit(0), saved).cast("bigint"))
