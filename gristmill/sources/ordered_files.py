@@ -83,7 +83,7 @@ class OrderedFiles(DataSource):
         return SCHEMA
 
     def reader(self, schema: StructType) -> DataSourceReader:
-        return Reader(self.options["path"])
+        return Batches(self.options["path"])
 
     def writer(self, schema: StructType, overwrite: bool) -> DataSourceArrowWriter:
         return Writer(dict(self.options))
@@ -186,18 +186,7 @@ class Reader(DataSourceReader):
                     run, size = [], 0
         return [*out, Parts(run)] if run else out
 
-    def read(self, partition: Parts) -> Iterator[pa.RecordBatch]:
-        rows, size = [], 0
-        for row in self._pieces(partition):
-            rows.append(row)
-            size += len(row[3])
-            if size >= HAND_BYTES or len(rows) >= 10_000:
-                yield _rows(rows)
-                rows, size = [], 0
-        if rows:
-            yield _rows(rows)
-
-    def _pieces(self, partition: Parts) -> Iterator[tuple]:
+    def read(self, partition: Parts) -> Iterator[tuple]:
         store, root = opened(self.path)
         for file, number, at, path in partition.parts if partition else []:
             folder, name = path.rsplit("/", 1)
@@ -210,6 +199,21 @@ class Reader(DataSourceReader):
                     done = hi
 
 
+class Batches(Reader):
+    """The same pieces as Spark takes them: in batches bounded by bytes."""
+
+    def read(self, partition: Parts) -> Iterator[pa.RecordBatch]:
+        rows, size = [], 0
+        for row in super().read(partition):
+            rows.append(row)
+            size += len(row[3])
+            if size >= HAND_BYTES or len(rows) >= 10_000:
+                yield _rows(rows)
+                rows, size = [], 0
+        if rows:
+            yield _rows(rows)
+
+
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
     kinds = (pa.string(), pa.int32(), pa.int64(), pa.string())
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["file", "part", "position", "piece"])
