@@ -1,51 +1,114 @@
 """Word boxes of scanned or text-layer pages to lines, cells, tables and blocks.
 
 ``words(page_id, text, x0, x1, y0, y1)``. A page holds a bounded number of boxes, so windows and groups by page stay
-small; pages are spread over the cluster by their key.
+small; pages are spread over the cluster by their key. Words become one row a line as early as possible: cells, table
+rows and texts are array functions of that row, so no step looks at the words a second time.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gristmill.functions import lines as L
-from gristmill.functions.text import collapse, count_words
+from gristmill.functions.text import collapse, count_words, let
+
+
+def _page_starts(page: pa.Array | None, ids: pa.Array) -> np.ndarray:
+    """Where the page differs from that of the word before; words whose page is a null number share no page."""
+    v = pa.concat_arrays([pa.nulls(1, ids.type) if page is None else page, ids])
+    if pa.types.is_nested(ids.type):
+        v = v.to_pylist()
+        return np.array([a != b for a, b in zip(v, v[1:])])
+    null = v.is_null().to_numpy(zero_copy_only=False)
+    differs = pc.fill_null(pc.not_equal(v[1:], v[:-1]), False).to_numpy(zero_copy_only=False) | (null[1:] != null[:-1])
+    if pa.types.is_integer(ids.type) or pa.types.is_floating(ids.type) or pa.types.is_timestamp(ids.type):
+        differs |= null[1:]
+    return differs
+
+
+def _word_order(t: pa.Table, line: np.ndarray) -> np.ndarray:
+    """Order of words by line, left edge (null first, NaN last) and text."""
+    x, known = t["x0"].to_numpy(), t["x0"].is_valid().to_numpy()
+    order = np.lexsort((x, known, line))
+    a, b = order[1:], order[:-1]
+    if ((line[a] == line[b]) & (known[a] == known[b]) & ~((x[a] < x[b]) | (x[a] > x[b]))).any():
+        text = t["text"].combine_chunks()
+        rank = pc.rank(text, sort_keys="ascending", null_placement="at_start", tiebreaker="dense").to_numpy()
+        order = np.lexsort((rank, np.where(known, x, 0.0), known, line))
+    return order
 
 
 def layout_lines(words: DataFrame, tolerance: float = 8.0) -> DataFrame:
     """Add ``line_no`` (0-based) and ``word_no`` (order by x inside the line).
 
     A word joins the running line while its centre is within ``tolerance`` of the mean centre of the line so far. The
-    mean moves with every word, which no window function can express, so sorted partitions are streamed with three
-    numbers of state; no page is ever held as a group.
+    mean moves with every word, which no window function can express, so sorted partitions are streamed with four
+    values of state and the words of the last line; no page is ever held as a group. Words further apart than the
+    tolerance are always parted, and a run of words no higher than the tolerance is always one line, so the mean is
+    followed word by word only in runs that are neither.
     """
     kind = dict(words.dtypes)["page_id"]
 
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        page, line, mean, n = None, 0, 0.0, 0
-        for pdf in batches:
-            out = []
-            for p, c in zip(pdf["page_id"].tolist(), pdf["_c"].tolist()):
-                if p != page:
-                    page, line, mean, n = p, 0, c, 1
-                elif abs(c - mean) <= tolerance:
-                    n += 1
-                    mean = (mean * (n - 1) + c) / n
-                else:
-                    line, mean, n = line + 1, c, 1
-                out.append(line)
-            yield pdf.drop(columns="_c").assign(line_no=pd.array(out, dtype="int32"))
-
-    x = words.select("page_id", "text", "x0", "x1", "y0", "y1", ((F.col("y0") + F.col("y1")) / 2).alias("_c"))
-    x = x.repartition("page_id").sortWithinPartitions("page_id", "_c", "x0", "text")
-    x = x.mapInPandas(scan, f"page_id {kind}, text string, x0 double, x1 double, y0 double, y1 double, line_no int")
-    no = F.row_number().over(W.partitionBy("page_id", "line_no").orderBy("x0", "text")) - 1
-    return x.select("page_id", "line_no", no.cast("int").alias("word_no"), "text", "x0", "x1", "y0", "y1")
+    def finished(t: pa.Table, start: np.ndarray) -> Iterator[pa.RecordBatch]:
+        order = _word_order(t, np.cumsum(start))
+        at = np.flatnonzero(start)
+        no = np.arange(len(start)) - np.repeat(at, np.diff(np.append(at, len(start))))
+        t = t.take(pa.array(order)).add_column(2, "word_no", pa.array(no, pa.int32()))
+        yield from t.combine_chunks().to_batches()
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        page, line, last, mean, n = None, 0, 0.0, 0.0, 0
+        held: list[pa.Table] = []
+        for b in batches:
+            if not b.num_rows:
+                continue
+            c = b["_c"].to_numpy(zero_copy_only=False)
+            new = _page_starts(page, b["page_id"])
+            with np.errstate(invalid="ignore"):  # differences of infinite centres
+                slack = 1e-6 * (np.abs(c) + tolerance)  # far more than the mean is ever rounded by
+                start = new | ~(np.diff(c, prepend=last) <= tolerance + slack)
+                first = np.flatnonzero(start) if start[0] else np.append(0, np.flatnonzero(start))
+                end = np.append(first[1:], len(c))
+                follow = ~(c[end - 1] - c[first] <= tolerance - slack[first] - slack[end - 1])
+            follow[0] |= not start[0]
+            follow[-1] = True
+            for i, j in zip(first[follow].tolist(), end[follow].tolist()):
+                if start[i]:
+                    mean, n, i = float(c[i]), 1, i + 1
+                for k, x in enumerate(c[i:j].tolist(), i):
+                    if abs(x - mean) <= tolerance:
+                        n += 1
+                        mean = (mean * (n - 1) + x) / n
+                    else:
+                        start[k], mean, n = True, x, 1
+            more = np.cumsum(start & ~new)
+            at = np.maximum.accumulate(np.where(new, np.arange(len(c)), -1))
+            no = np.where(at >= 0, more - more[at], more + line)
+            page, line, last = b["page_id"].slice(len(c) - 1), int(no[-1]), float(c[-1])
+            t = pa.Table.from_batches([b]).drop_columns("_c").add_column(1, "line_no", pa.array(no, pa.int32()))
+            starts = np.flatnonzero(start)
+            if len(starts):  # the last line may go on in the next batch
+                before = sum(x.num_rows for x in held)
+                if before + starts[-1]:
+                    flags = np.append(np.zeros(before, bool), start[:starts[-1]])
+                    flags[0] = True
+                    yield from finished(pa.concat_tables([*held, t.slice(0, starts[-1])]), flags)
+                held, t = [], t.slice(starts[-1])
+            held.append(t)
+        if held:
+            t = pa.concat_tables(held)
+            yield from finished(t, np.arange(t.num_rows) == 0)
+
+    x = words.select("page_id", F.col("text").cast("string"), *(F.col(k).cast("double") for k in ("x0", "x1", "y0", "y1")), ((F.col("y0") + F.col("y1")) / 2).cast("double").alias("_c"))
+    x = x.repartition("page_id").sortWithinPartitions("page_id", "_c")
+    return x.mapInArrow(scan, f"page_id {kind}, line_no int, word_no int, text string, x0 double, x1 double, y0 double, y1 double")
 
 
 def layout_lines_by_gap(words: DataFrame, tolerance: float = 8.0) -> DataFrame:
@@ -61,55 +124,100 @@ def layout_lines_by_gap(words: DataFrame, tolerance: float = 8.0) -> DataFrame:
 _LINE = ["page_id", "line_no"]
 
 
-def _gaps(lines: DataFrame) -> DataFrame:
-    w = W.partitionBy(*_LINE).orderBy("word_no")
-    return lines.withColumn("gap", F.col("x0") - F.lag("x1").over(w))
+def _line_rows(lines: DataFrame, make) -> DataFrame:
+    """One row a line: the structs in ``make(words, gaps, positive)``, from its words in order, the gap before each and the sorted positive gaps."""
+    g = lines.groupBy(*_LINE).agg(F.sort_array(F.collect_list(F.struct("word_no", "text", "x0", "x1"))).alias("_w"))
+    made = let(F.col("_w"), lambda w: let(F.transform(w, lambda x, i: x["x0"] - F.get(w, i - 1)["x1"]), lambda gaps: let(
+        F.sort_array(F.filter(gaps, lambda x: x > 0)), lambda positive: make(w, gaps, positive))))
+    return g.select(*_LINE, F.inline(made))
+
+
+def _text(words: Column) -> Column:
+    return collapse(F.array_join(F.transform(words, lambda w: w["text"]), " "))
+
+
+def _cell_starts(gaps: Column, positive: Column) -> Column:
+    """Places of the words that begin a cell."""
+    low = F.get(positive, F.lit(0))
+    limit = F.when(low.isNull(), 15.0).otherwise(F.least(F.lit(50.0), F.greatest(F.lit(8.0), low * 2.5)))
+    return let(limit, lambda m: F.filter(F.transform(gaps, lambda g, i: F.when((i == 0) | (g > m), i)), lambda i: i.isNotNull()))
+
+
+def _cells(words: Column, gaps: Column, positive: Column) -> Column:
+    """Cells (text, x0, x1) of a line, in order."""
+    def cell(w: Column) -> Column:
+        return F.struct(_text(w).alias("text"), F.get(w, F.lit(0))["x0"].alias("x0"), F.element_at(w, -1)["x1"].alias("x1"))
+
+    return let(_cell_starts(gaps, positive), lambda s: F.transform(s, lambda at, i: let(
+        F.slice(words, at + 1, F.coalesce(F.get(s, i + 1), F.size(words)) - at), cell)))
 
 
 def layout_cells(lines: DataFrame) -> DataFrame:
     """Cells of each line: a gap wider than 2.5 x the smallest gap (kept within 8..50) starts a new cell."""
-    w = W.partitionBy(*_LINE)
-    g = _gaps(lines).withColumn("_min", F.min(F.when(F.col("gap") > 0, F.col("gap"))).over(w))
-    limit = F.when(F.col("_min").isNull(), 15.0).otherwise(F.least(F.lit(50.0), F.greatest(F.lit(8.0), F.col("_min") * 2.5)))
-    g = g.withColumn("_b", F.coalesce((F.col("gap") > limit).cast("int"), F.lit(0)))
-    g = g.withColumn("cell_no", F.sum("_b").over(w.orderBy("word_no")).cast("int"))
-    text = collapse(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("word_no", "text"))), lambda x: x["text"]), " "))
-    return g.groupBy(*_LINE, "cell_no").agg(text.alias("text"), F.min_by("x0", "word_no").alias("x0"), F.max_by("x1", "word_no").alias("x1"))
+    return _line_rows(lines, lambda w, gaps, positive: F.transform(_cells(w, gaps, positive), lambda c, i: F.struct(
+        i.alias("cell_no"), c["text"].alias("text"), c["x0"].alias("x0"), c["x1"].alias("x1"))))
+
+
+def _is_row(words: Column, positive: Column) -> Column:
+    low = F.get(positive, F.lit(0))
+    limit = F.least(F.lit(50.0), F.greatest(F.lit(8.0), F.greatest(low * 2.5, low + 6)))
+    wide = F.size(let(limit, lambda m: F.filter(positive, lambda x: x > m)))
+    return (F.size(words) >= 4) & (F.size(positive) >= 3) & (wide >= 3)
 
 
 def table_rows(lines: DataFrame) -> DataFrame:
     """(page_id, line_no, is_row): at least four words and three wide gaps."""
-    pos = F.array_sort(F.collect_list(F.when(F.col("gap") > 0, F.col("gap"))))
-    g = _gaps(lines).groupBy(*_LINE).agg(F.count(F.lit(1)).alias("_n"), pos.alias("_g"))
-    low = F.get("_g", F.lit(0))
-    limit = F.least(F.lit(50.0), F.greatest(F.lit(8.0), F.greatest(low * 2.5, low + 6)))
-    wide = F.size(F.filter("_g", lambda x: x > limit))
-    return g.select(*_LINE, ((F.col("_n") >= 4) & (F.size("_g") >= 3) & (wide >= 3)).alias("is_row"))
+    return _line_rows(lines, lambda w, gaps, positive: F.array(F.struct(_is_row(w, positive).alias("is_row"))))
+
+
+def _columns(edges: Column, column_gap: float) -> Column:
+    """Column starts: means of runs of sorted left edges, a new one where the step is wider than ``column_gap``."""
+    def state(cols: Column, total: Column, n: Column, last: Column) -> Column:
+        return F.struct(cols, total, n, last).cast("struct<cols: array<double>, total: double, n: bigint, last: double>")
+
+    def grown(s: Column) -> Column:
+        return F.concat(s["cols"], F.array(s["total"] / s["n"]))
+
+    return F.aggregate(
+        F.sort_array(F.filter(edges, lambda x: x.isNotNull())),
+        state(F.array().cast("array<double>"), F.lit(0.0), F.lit(0), F.lit(None)),
+        lambda s, x: F.when(x - s["last"] > column_gap, state(grown(s), x, F.lit(1), x)).otherwise(state(s["cols"], s["total"] + x, s["n"] + 1, x)),
+        lambda s: F.sort_array(F.when(s["n"] > 0, grown(s)).otherwise(s["cols"])))
+
+
+def _row_cells(cells: Column, cols: Column, steps: Column) -> Column:
+    """(col_no, text) of a table row: each cell goes to its nearest column, the first of equals; cells of a column are joined."""
+    def column(x: Column) -> Column:  # halving steps to the right, as long as the column there is nearer than the one before it
+        nearer = lambda at: F.abs(x - F.get(cols, at)) < F.abs(x - F.get(cols, at - 1))
+        return F.aggregate(steps, F.lit(0), lambda at, step: F.when(nearer(at + step), at + step).otherwise(at))
+
+    def joined(a: Column) -> Column:
+        nos = F.array_distinct(F.transform(a, lambda c: c["col_no"]))
+        texts = lambda k: F.transform(F.filter(a, lambda c: c["col_no"] == k), lambda c: c["text"])
+        return F.when(F.size(nos) == F.size(a), a).otherwise(F.transform(nos, lambda k: F.struct(k.alias("col_no"), F.array_join(texts(k), " ").alias("text"))))
+
+    return let(F.transform(cells, lambda c: F.struct(column(c["x0"]).alias("col_no"), c["text"].alias("text"))), joined)
 
 
 def layout_tables(lines: DataFrame, column_gap: float = 25.0) -> DataFrame:
     """Table cells: (page_id, table_no, row_no, col_no, text, line_start, line_end); runs of two or more table rows."""
-    w = W.partitionBy("page_id").orderBy("line_no")
-    r = table_rows(lines).filter("is_row").withColumn("table_no", F.col("line_no") - F.row_number().over(w))
-    r = r.withColumn("_n", F.count(F.lit(1)).over(W.partitionBy("page_id", "table_no"))).filter("_n >= 2")
-    t = W.partitionBy("page_id", "table_no")
-    r = r.withColumns({"line_start": F.min("line_no").over(t), "line_end": F.max("line_no").over(t)})
-    cells = layout_cells(lines).join(r.select(*_LINE, "line_start", "line_end"), _LINE)
-    # column starts: sorted left edges, a new column where the step is wider than the tolerance
-    wx = W.partitionBy("page_id", "line_start").orderBy("x0", "line_no", "cell_no")
-    c = cells.withColumn("_new", F.coalesce((F.col("x0") - F.lag("x0").over(wx) > column_gap).cast("int"), F.lit(0))).withColumn("_k", F.sum("_new").over(wx))
-    cols = c.groupBy("page_id", "line_start", "_k").agg(F.avg("x0").alias("at")).groupBy("page_id", "line_start").agg(F.array_sort(F.collect_list("at")).alias("cols")).filter(F.size("cols") >= 3)
-    j = cells.join(cols, ["page_id", "line_start"])
-    near = F.array_min(F.transform("cols", lambda a, i: F.struct(F.abs(F.col("x0") - a).alias("d"), i.alias("i"))))["i"]
-    j = j.withColumn("col_no", near)
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("cell_no", "text"))), lambda x: x["text"]), " ")
-    g = j.groupBy("page_id", "line_start", "line_end", "line_no", "col_no").agg(text.alias("text"))
-    return g.select("page_id", "line_start", "line_end", (F.col("line_no") - F.col("line_start")).alias("row_no"), "col_no", "text")
+    r = _line_rows(lines.filter(F.col("page_id").isNotNull()), lambda w, gaps, positive: F.when(
+        _is_row(w, positive), F.array(F.struct(_cells(w, gaps, positive).alias("cells")))))
+    r = r.withColumn("_run", F.col("line_no") - F.row_number().over(W.partitionBy("page_id").orderBy("line_no")))
+    r = r.groupBy("page_id", "_run").agg(
+        F.min("line_no").alias("line_start"), F.max("line_no").alias("line_end"), F.sort_array(F.collect_list(F.struct("line_no", "cells"))).alias("_r"))
+    edges = F.flatten(F.transform("_r", lambda r: F.transform(r["cells"], lambda c: c["x0"])))
+
+    def rows(cols: Column) -> Column:
+        steps = F.filter(F.transform(F.sequence(F.lit(30), F.lit(0)), lambda i: F.pow(F.lit(2), i).cast("int")), lambda p: p < F.size(cols))
+        return F.when(F.size(cols) >= 3, let(steps, lambda p: F.flatten(F.transform("_r", lambda r: F.transform(_row_cells(r["cells"], cols, p), lambda c: F.struct(
+            (r["line_no"] - F.col("line_start")).alias("row_no"), c["col_no"].alias("col_no"), c["text"].alias("text")))))))
+
+    return r.select("page_id", "line_start", "line_end", F.inline(F.when(F.size("_r") >= 2, let(_columns(edges, column_gap), rows))))
 
 
 def line_texts(lines: DataFrame) -> DataFrame:
-    t = collapse(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("word_no", "text"))), lambda x: x["text"]), " "))
-    return lines.groupBy(*_LINE).agg(t.alias("t"))
+    return _line_rows(lines, lambda w, gaps, positive: F.array(F.struct(_text(w).alias("t"))))
 
 
 # Heading shapes and page numbers of scanned pages.

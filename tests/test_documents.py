@@ -105,6 +105,94 @@ def test_layout(spark):
     assert a == {(r.text, r.line_no) for r in lines.collect()}
 
 
+def test_layout_against_plain_loops(spark):
+    import random
+
+    rng = random.Random(7)
+    words = []
+    for page in range(12):
+        y = 0.0
+        for _ in range(rng.randrange(1, 14)):
+            y += rng.choice([1.0, 2.5, 3.0, 12.0])  # lines that overlap, touch or stand apart
+            x = 0.0
+            for _ in range(rng.randrange(1, 30)):
+                x += rng.choice([2.0, 3.0, 3.0, 30.0, 90.0])
+                words.append((page, rng.choice(["Ab", "c.", "d e", " ", "42", None]), x, x + 8.0, y + rng.choice([0.0, 1.0, 2.0]), y + 10.0))
+                x += 8.0
+    words += words[:60]
+    words += [(99, f"w{i}", float(i % 7), float(i), i * 0.4, i * 0.4) for i in range(3000)]  # no gap anywhere: the mean decides
+    df = spark.createDataFrame(words, "page_id int, text string, x0 double, x1 double, y0 double, y1 double").repartition(5)
+    order = lambda w: (w[0], (w[4] + w[5]) / 2, w[2], w[1] is not None, w[1] or "")
+    page, lines = None, {}
+    for w in sorted(words, key=order):
+        c = (w[4] + w[5]) / 2
+        if w[0] != page:
+            page, no, mean, n = w[0], 0, c, 1
+        elif abs(c - mean) <= 3.0:
+            n += 1
+            mean = (mean * (n - 1) + c) / n
+        else:
+            no, mean, n = no + 1, c, 1
+        lines.setdefault((page, no), []).append(w)
+    for v in lines.values():
+        v.sort(key=lambda w: (w[2], w[1] is not None, w[1] or ""))
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")  # lines and pages go on over many batches
+    try:
+        got = LY.layout_lines(df, 3.0).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert sorted((r.page_id, r.line_no, r.word_no, r.text or "", r.x0) for r in got) == sorted((*k, i, w[1] or "", w[2]) for k, v in lines.items() for i, w in enumerate(v))
+
+    found = spark.createDataFrame(got).localCheckpoint()
+    kept = lambda t: " ".join(" ".join(x for x in t if x is not None).split())
+    cells, rows = {}, set()
+    for k in lines:
+        v = sorted((r for r in got if (r.page_id, r.line_no) == k), key=lambda r: r.word_no)
+        gaps = [b.x0 - a.x1 for a, b in zip(v, v[1:])]
+        up = sorted(g for g in gaps if g > 0)
+        limit = min(50.0, max(8.0, up[0] * 2.5)) if up else 15.0
+        cells[k] = [[v[0]]]
+        for g, r in zip(gaps, v[1:]):
+            cells[k].append([r]) if g > limit else cells[k][-1].append(r)
+        if len(v) >= 4 and len(up) >= 3 and sum(g > min(50.0, max(8.0, up[0] * 2.5, up[0] + 6)) for g in up) >= 3:
+            rows.add(k)
+    assert {(r.page_id, r.line_no, r.cell_no, r.text, r.x0, r.x1) for r in LY.layout_cells(found).collect()} == {
+        (*k, i, kept([r.text for r in c]), c[0].x0, c[-1].x1) for k, v in cells.items() for i, c in enumerate(v)}
+    want = set()
+    for p, a in rows:
+        if (p, a - 1) in rows:
+            continue
+        z = a
+        while (p, z + 1) in rows:
+            z += 1
+        edges = sorted(c[0].x0 for i in range(a, z + 1) for c in cells[p, i])
+        runs = [[edges[0]]]
+        for x, y in zip(edges, edges[1:]):
+            runs.append([y]) if y - x > 25.0 else runs[-1].append(y)
+        cols = [sum(r) / len(r) for r in runs]
+        if z == a or len(cols) < 3:
+            continue
+        for i in range(a, z + 1):
+            texts = {}
+            for c in cells[p, i]:
+                texts.setdefault(min(range(len(cols)), key=lambda j: (abs(c[0].x0 - cols[j]), j)), []).append(kept([r.text for r in c]))
+            want |= {(p, a, z, i - a, j, " ".join(t)) for j, t in texts.items()}
+    assert want and {tuple(r) for r in LY.layout_tables(found).collect()} == want
+
+
+def test_layout_looks_at_words_once(spark):
+    """Tables read their lines once: no step of theirs is joined with, or fetched again for, another."""
+    import contextlib
+    import io
+
+    df = spark.createDataFrame([(1, "a", 0.0, 1.0, 0.0, 1.0)], "page_id int, text string, x0 double, x1 double, y0 double, y1 double")
+    for op in (LY.layout_tables,):
+        with contextlib.redirect_stdout(io.StringIO()) as plan:
+            op(LY.layout_lines(df, 3.0)).explain()
+        assert "Join" not in plan.getvalue() and plan.getvalue().count("MapInArrow") == 1
+
+
 def test_split_sentences_and_paragraphs(spark):
     s = "The plant in the north made a good profit in the first half of the year, but the plant in the south lost a lot of money again."
     got = spark.createDataFrame([(1, s)], "i int, t string").transform(lambda d: V.easy_text(d, "i", "t")).first().t
