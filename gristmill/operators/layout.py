@@ -17,7 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gristmill.functions import lines as L
-from gristmill.functions.text import collapse, count_words, let
+from gristmill.functions.text import collapse, let
 
 
 def _page_starts(page: pa.Array | None, ids: pa.Array) -> np.ndarray:
@@ -243,26 +243,36 @@ def layout_blocks(lines: DataFrame) -> DataFrame:
 
     Line classes, then islands: a list is a run of list lines; a paragraph ends at a sentence end before a capital.
     """
-    tab = layout_tables(lines).select("page_id", "line_start", "line_end").distinct()
-    inside = tab.select("page_id", F.explode(F.sequence("line_start", "line_end")).alias("line_no"), "line_start")
-    x = line_texts(lines).join(inside, _LINE, "left").filter((F.col("t") != "") | F.col("line_start").isNotNull())
+    x = _line_rows(lines, lambda w, gaps, positive: F.array(let(_is_row(w, positive) & F.col("page_id").isNotNull(), lambda row: F.struct(
+        row.alias("_row"), _text(w).alias("t"), F.when(row, F.transform(_cell_starts(gaps, positive), lambda i: F.get(w, i)["x0"])).alias("_x")))))
+    # runs of table rows, all other lines alone; a run of two rows and three columns or more is a table
+    w = W.partitionBy("page_id").orderBy("line_no")
+    run = F.col("line_no") - F.when(F.col("_row"), F.sum(F.col("_row").cast("int")).over(w)).otherwise(0)
+    r = x.withColumn("_run", run).groupBy("page_id", "_row", "_run").agg(
+        F.min("line_no").alias("_start"), F.sort_array(F.collect_list(F.struct("line_no", "t", "_x"))).alias("_r"))
+    n_cols = F.size(_columns(F.flatten(F.transform("_r", lambda r: r["_x"])), 25.0))
+    table = F.when(F.col("_row") & (F.size("_r") >= 2), F.when(n_cols >= 3, F.col("_start")))
+    x = r.select("page_id", F.inline(let(table, lambda start: F.transform("_r", lambda r: F.struct(
+        r["line_no"].alias("line_no"), r["t"].alias("t"), start.alias("line_start"))))))
+    x = x.filter((F.col("t") != "") | F.col("line_start").isNotNull())
     t = F.col("t")
     kind = (
         F.when(F.col("line_start").isNotNull(), "table").when(t.rlike(SCAN_PAGE_RE), "skip").when(is_scan_heading(t), "h").when(L.is_list_line(t), "ul").otherwise("p"))
     x = x.withColumn("type", kind)
-    w = W.partitionBy("page_id").orderBy("line_no")
     prev, prev_t = F.lag("type").over(w), F.lag("t").over(w)
     ends = F.coalesce(prev_t.rlike(r"[.!?:;]$") & t.rlike("^[A-ZÅÄÖ]"), F.lit(False))
     same_table = F.coalesce(F.lag("line_start").over(w) == F.col("line_start"), F.lit(False))
     goes_on = F.when(F.col("type") == "table", same_table).when(F.col("type") == "ul", prev == "ul").when(F.col("type") == "p", (prev == "p") & ~ends).otherwise(False)
     x = x.withColumn("_new", (~F.coalesce(goes_on, F.lit(False))).cast("int")).withColumn("block_no", F.sum("_new").over(w))
     strip = F.regexp_replace(F.regexp_replace(F.regexp_replace(t, r"^\s*[-*•·–—]\s+", ""), r"^\s*\d+[.)]\s+", ""), r"(?i)^\s*[a-z][.)]\s+", "")
+    # texts of lines are collapsed: words are parted by one space, and joined lines need no second pass
     body = F.when(F.col("type") == "ul", strip).otherwise(t)
-    g = x.filter("type <> 'skip'").groupBy("page_id", "block_no", "type").agg(
-        F.array_sort(F.collect_list(F.struct("line_no", body.alias("b")))).alias("_l"))
+    n = F.when(F.col("b") == "", 0).otherwise(F.length("b") - F.length(F.replace(F.col("b"), F.lit(" "), F.lit(""))) + 1)
+    g = x.filter("type <> 'skip'").withColumn("b", body).groupBy("page_id", "block_no", "type").agg(
+        F.sort_array(F.collect_list(F.struct("line_no", "b"))).alias("_l"), F.sum(n).cast("int").alias("words"))
     parts = F.transform("_l", lambda r: r["b"])
-    text = F.when(F.col("type") == "p", collapse(F.array_join(parts, " "))).otherwise(F.array_join(parts, "\n"))
-    out = g.select("page_id", "block_no", "type", text.alias("text"))
+    text = F.when(F.col("type") == "p", F.array_join(parts, " ")).otherwise(F.array_join(parts, "\n"))
+    out = g.select("page_id", "block_no", "type", text.alias("text"), "words")
     level = F.when(F.col("type") == "h", heading_level(F.col("text")))
     no = F.row_number().over(W.partitionBy("page_id").orderBy("block_no"))
-    return out.select("page_id", no.alias("block_no"), "type", level.alias("level"), "text", count_words("text").alias("words"))
+    return out.select("page_id", no.alias("block_no"), "type", level.alias("level"), "text", "words")

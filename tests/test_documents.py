@@ -179,15 +179,18 @@ def test_layout_against_plain_loops(spark):
                 texts.setdefault(min(range(len(cols)), key=lambda j: (abs(c[0].x0 - cols[j]), j)), []).append(kept([r.text for r in c]))
             want |= {(p, a, z, i - a, j, " ".join(t)) for j, t in texts.items()}
     assert want and {tuple(r) for r in LY.layout_tables(found).collect()} == want
+    blocks = LY.layout_blocks(found).collect()
+    assert all(r.words == len(r.text.split()) for r in blocks)
+    assert sum(r.type == "table" for r in blocks) == len({w[:3] for w in want})
 
 
 def test_layout_looks_at_words_once(spark):
-    """Tables read their lines once: no step of theirs is joined with, or fetched again for, another."""
+    """Tables and blocks read their lines once: no step of theirs is joined with, or fetched again for, another."""
     import contextlib
     import io
 
     df = spark.createDataFrame([(1, "a", 0.0, 1.0, 0.0, 1.0)], "page_id int, text string, x0 double, x1 double, y0 double, y1 double")
-    for op in (LY.layout_tables,):
+    for op in (LY.layout_tables, LY.layout_blocks):
         with contextlib.redirect_stdout(io.StringIO()) as plan:
             op(LY.layout_lines(df, 3.0)).explain()
         assert "Join" not in plan.getvalue() and plan.getvalue().count("MapInArrow") == 1
