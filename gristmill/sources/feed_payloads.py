@@ -6,6 +6,7 @@ import json
 import re
 import xml.etree.ElementTree as ET
 from collections.abc import Iterator
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,11 +16,11 @@ from pyspark.sql.types import StringType
 from gristmill.functions.text import col_of
 from gristmill.session import byte_batches
 
-# Element names that carry each item field, and the item cap of one feed.
-DESC_NAMES, DATE_NAMES, FEED_CAP = ("description", "summary", "content"), ("pubDate", "date", "published", "updated"), 40
+# Element names that carry each item field.
+DESC_NAMES, DATE_NAMES = ("description", "summary", "content"), ("pubDate", "date", "published", "updated")
 
-#: Payloads whose items a task holds at a time.
-PAYLOADS = 20
+#: Items that a task holds at a time.
+ITEMS = 1000
 
 
 def _local(tag: str) -> str:
@@ -47,25 +48,28 @@ def _item(node) -> dict[str, str]:
     return out
 
 
-def feed_scan(payloads: DataFrame, cap: int = FEED_CAP) -> DataFrame:
+def feed_scan(payloads: DataFrame) -> DataFrame:
     """``payloads(feed, body)`` -> (feed, pos, title, link, description, pub_date). RSS 2.0, RSS 1.0 and Atom.
 
-    One payload is one document, parsed inside its Arrow batch; malformed XML gives no items.
+    One payload is one document, parsed inside its Arrow batch; malformed XML gives no items. All items of a payload are
+    returned; ``per_feed_cap`` keeps the first ones where that is wanted.
     """
+    def items(pdf: pd.DataFrame) -> Iterator[tuple]:
+        for feed, body in zip(pdf["feed"], pdf["body"]):
+            try:
+                root = ET.fromstring(body)
+            except (ET.ParseError, TypeError, ValueError):
+                continue
+            found = (_item(n) for n in root.iter() if isinstance(n.tag, str) and _local(n.tag) in ("item", "entry"))
+            good = (i for i in found if i["title"] and re.match(r"https?://", i["link"], re.I))
+            for pos, i in enumerate(good):
+                yield feed, pos, i["title"], i["link"], i["description"], i["pub_text"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for at in range(0, len(batch), PAYLOADS):
-                pdf, rows = batch.iloc[at:at + PAYLOADS], []
-                for feed, body in zip(pdf["feed"], pdf["body"]):
-                    try:
-                        root = ET.fromstring(body)
-                    except (ET.ParseError, TypeError, ValueError):
-                        continue
-                    items = (_item(n) for n in root.iter() if isinstance(n.tag, str) and _local(n.tag) in ("item", "entry"))
-                    good = [i for i in items if i["title"] and re.match(r"https?://", i["link"], re.I)][:cap]
-                    rows += [(feed, pos, i["title"], i["link"], i["description"], i["pub_text"]) for pos, i in enumerate(good)]
-                yield pd.DataFrame(rows, columns=["feed", "pos", "title", "link", "description", "pub_text"])
+            rows = items(batch)
+            while part := list(islice(rows, ITEMS)):
+                yield pd.DataFrame(part, columns=["feed", "pos", "title", "link", "description", "pub_text"])
 
     byte_batches(payloads.sparkSession)
     out = payloads.select("feed", "body").mapInPandas(run, "feed string, pos int, title string, link string, description string, pub_text string")

@@ -59,6 +59,13 @@ def test_feed_formats(spark):
     assert got == {"r": ("A", "https://a.com", "2024-01-02 03:04:05"), "d": ("B", "https://b.com", "2024-01-02 03:04:05"), "a": ("C", "https://c.com", "None")}
 
 
+def test_all_items_of_a_feed_are_read(spark):
+    item = lambda i: f"<item><title>T{i}</title><link>https://a.com/{i}</link></item>"
+    body = "<rss><channel>" + "".join(map(item, range(2500))) + "</channel></rss>"
+    got = FP.feed_scan(spark.createDataFrame([("r", body)], "feed string, body string")).select("pos", "title").collect()
+    assert sorted(map(tuple, got)) == [(i, f"T{i}") for i in range(2500)]
+
+
 def test_json_and_breadcrumbs(spark):
     df = spark.createDataFrame([(1, 'x ```json\n{"a": 1, "b": "two\nlines",}\n```'), (2, "none"), (3, '{"a": 3}')], "i int, t string")
     got = {r.i: (r.parsed.a if r.parsed else None, r.repaired) for r in FP.json_repair_parse(df, "t", "a int, b string").collect()}
