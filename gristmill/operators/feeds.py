@@ -209,23 +209,24 @@ def distinct_sets(keyed: DataFrame) -> DataFrame:
 def coverage(df: DataFrame, changed: DataFrame | None = None) -> DataFrame:
     """Add ``coverage``: distinct outlets, own one included, that carry the same story.
 
-    Works on distinct title sets, so a wire story copied by a third of all rows is one node, not a clique. With
-    ``changed(title)``, the stories that came or went, only the stories whose coverage they can change are returned.
+    Works on distinct title sets, so a wire story copied by a third of all rows is one node, not a clique; sets meet in
+    blocks, and only counts leave a task. With ``changed(title)``, the stories that came or went, only the stories whose
+    coverage they can change are returned.
     """
     keyed = story_sets(df).withColumn("_outlet", F.lower(F.coalesce("source", F.lit(""))))
-    big = keyed.filter(F.size("tokens") >= 3)
-    sets, touched = distinct_sets(big), None
+    big = keyed.filter(F.size("tokens") >= 3).select("key", "tokens", "_outlet")
+    sets = big.groupBy("key").agg(F.any_value("tokens").alias("tokens"), F.collect_set(F.xxhash64("_outlet")).alias("outlets"))
+    sets = cut_lineage(sets.withColumn("id", F.monotonically_increasing_id()))
+    every = RL.coded(sets, RL.COVERAGE, "outlets", "key")
+    left = every
     if changed is not None:
-        moved = distinct_sets(story_sets(changed.select("title")).filter(F.size("tokens") >= 1))
-        met = RL.similar_pairs(distinct_sets(sets.unionByName(moved.filter(F.size("tokens") >= 3))), RL.COVERAGE, least_size=3, touched=moved)
-        touched = cut_lineage(moved.select("key").unionByName(met.select(F.col("a").alias("key"))).unionByName(met.select(F.col("b").alias("key"))).distinct())
+        moved = cut_lineage(distinct_sets(story_sets(changed.select("title"))).withColumn("id", F.monotonically_increasing_id()))
+        met = RL.met_by(RL.coded(moved.filter(F.size("tokens") >= 3), RL.COVERAGE), every.select("id", "t", "codes"))
         # stories without a token have the empty key, which every story without one shares
-        touched = touched.unionByName(df.sparkSession.createDataFrame([("",)], "key string"))
-        keyed = keyed.join(touched, "key", "left_semi")
-    pairs = RL.similar_pairs(sets, RL.COVERAGE, least_size=3, touched=touched)
-    outlets = big.select("key", "_outlet").distinct()
-    near = RL.both_ways(pairs).select("a", F.col("b").alias("key")).join(outlets, "key").select(F.col("a").alias("key"), "_outlet")
-    counted = near.unionByName(outlets).distinct().groupBy("key").agg(F.count(F.lit(1)).alias("_cov"))
+        touched = cut_lineage(moved.select("key").unionByName(every.join(met, "id").select("key")).unionByName(df.sparkSession.createDataFrame([("",)], "key string")).distinct())
+        keyed, left = keyed.join(touched, "key", "left_semi"), every.join(touched, "key", "left_semi")
+    counted = RL.outlet_counts(left.select("id", "t", "codes"), every.select("id", "t", "codes", "outlets"))
+    counted = cut_lineage(every.select("id", "key").join(counted, "id").select("key", F.col("n").alias("_cov")))
     j = keyed.join(counted, "key", "left")
     return j.withColumn("coverage", F.coalesce("_cov", F.lit(1)).cast("int")).drop("key", "tokens", "_outlet", "_cov")
 

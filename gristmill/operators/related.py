@@ -26,6 +26,8 @@ Required = Callable[[Column], Column]
 
 #: Left sets that a task holds, the least worth a task of their own, and common tokens counted at a time.
 BLOCK_SETS, LEAST_SETS, HITS = 50_000, 2_000, 2_000_000
+#: Frequent tokens that are kept as bits of a set, and left sets that a task holds where they are.
+FREQUENT, WIDE_SETS = 256, 200_000
 
 
 def share_rule(percent: int, least: int, most: int | None = None) -> Required:
@@ -190,6 +192,106 @@ class _Block:
             lo = hi
 
 
+def frequent(coded_sets: DataFrame, n: int = FREQUENT) -> np.ndarray:
+    """The hashes of the ``n`` most frequent tokens, the rarest of them first."""
+    often = coded_sets.select(F.explode("codes").alias("code")).groupBy("code").count().orderBy(F.desc("count"), "code").limit(n)
+    return np.array([r.code for r in often.collect()][::-1], np.int64)
+
+
+class _BitBlock(_Block):
+    """A block whose frequent tokens are bits of each set, so that most common tokens cost no look at a list.
+
+    Every pair that can meet the rule is looked at: it shares a rare token, or its common tokens are all frequent. Then one of
+    both sets, of ``n`` tokens and with ``t`` to share, has one of them among its ``n - t + 1`` rarest tokens.
+    """
+
+    def __init__(self, batches: list[pa.RecordBatch], often: np.ndarray):
+        table = pa.Table.from_batches(batches).combine_chunks()
+        self.id, self.t = (table.column(c).to_numpy() for c in ("id", "t"))
+        self.order = np.argsort(often)
+        self.often = often[self.order]
+        rare, often_, early, self.bits = self._parted(table.column("codes").combine_chunks(), self.t)
+        self.rare, self.all, self.early = _Index(*rare), _Index(*often_), _Index(*early)
+
+    def _parted(self, lists: pa.Array, t: np.ndarray) -> tuple:
+        """(tokens, owners) that are rare, that are frequent, and that are frequent among the rarest ``n - t + 1``; bits."""
+        codes, owner = _tokens(lists)
+        bits = np.zeros((-(-FREQUENT // 64), len(lists)), np.uint64)
+        if not len(self.often):
+            none = codes[:0], owner[:0]
+            return (codes, owner), none, none, bits
+        at = np.minimum(np.searchsorted(self.often, codes), len(self.often) - 1)
+        known = self.often[at] == codes
+        rank, who = self.order[at[known]], owner[known]
+        np.bitwise_or.at(bits, (rank // 64, who), np.uint64(1) << (rank % 64).astype(np.uint64))
+        size = np.bincount(owner, minlength=len(lists))
+        order = np.lexsort((rank, who))
+        rank, who = rank[order], who[order]
+        head = np.searchsorted(who, who)
+        place = size[who] - np.bincount(who, minlength=len(lists))[who] + np.arange(len(who)) - head
+        early = place < size[who] - t[who] + 1
+        return (codes[~known], owner[~known]), (rank, who), (rank[early], who[early]), bits
+
+    def meet(self, right: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        need, n = right.column("t").to_numpy(), len(self.id)
+        rare, often, early, bits = self._parted(right.column("codes"), need)
+        probes = [(self.rare, 1, *rare), (self.all, 0, *early), (self.early, 0, *often)]
+        # right sets in runs of about HITS common tokens
+        per = sum(np.bincount(who, index.hits(codes), minlength=right.num_rows) for index, _, codes, who in probes)
+        total, lo = np.cumsum(per), 0
+        probes = [(index, weight, codes[o := np.argsort(who, kind="stable")], who[o]) for index, weight, codes, who in probes]
+        while lo < right.num_rows:
+            hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + HITS, "right")))
+            cells = []
+            for index, weight, codes, who in probes:
+                some = slice(*np.searchsorted(who, (lo, hi)))
+                owner, column = index.owners(codes[some], who[some])
+                cells.append(((column - lo) * n + owner) * 2 + weight)
+            cell = np.concatenate(cells)
+            cell.sort()
+            if len(cell):
+                edge = np.flatnonzero(np.concatenate(([True], cell[1:] >> 1 != cell[:-1] >> 1)))
+                shared = np.add.reduceat(cell & 1, edge)
+                cell = cell[edge] >> 1
+                l, r = cell % n, cell // n + lo
+                shared = shared + self._common(bits, l, r)
+                met = shared >= np.minimum(self.t[l], need[r])
+                yield l[met], r[met], shared[met]
+            lo = hi
+
+    def _common(self, bits: np.ndarray, l: np.ndarray, r: np.ndarray) -> np.ndarray:
+        """Frequent tokens that the sets of each pair share."""
+        return sum(np.bitwise_count(own[l] & other[r]).astype(np.int64) for own, other in zip(self.bits, bits))
+
+
+class _Index:
+    """Tokens in order, each with the sets that hold it."""
+
+    def __init__(self, codes: np.ndarray, owner: np.ndarray):
+        order = np.argsort(codes, kind="stable")
+        codes, self.owner = codes[order], owner[order]
+        self.codes, self.start = np.unique(codes, return_index=True)
+        self.held = np.diff(np.append(self.start, len(codes)))
+
+    def _find(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not len(self.codes):
+            return np.zeros(len(codes), np.int64), np.zeros(len(codes), bool)
+        at = np.minimum(np.searchsorted(self.codes, codes), len(self.codes) - 1)
+        return at, self.codes[at] == codes
+
+    def hits(self, codes: np.ndarray) -> np.ndarray:
+        at, known = self._find(codes)
+        return self.held[at] * known if len(self.held) else np.zeros(len(codes), np.int64)
+
+    def owners(self, codes: np.ndarray, column: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(owner, column) of every set that holds one of the tokens."""
+        at, known = self._find(codes)
+        at, column = at[known], column[known]
+        size, first = self.held[at], self.start[at]
+        place = np.arange(int(size.sum())) + np.repeat(first - (np.cumsum(size) - size), size)
+        return self.owner[place], np.repeat(column, size)
+
+
 def _tokens(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All token hashes of an array of sets, and the position of the set of each."""
     size = lists.value_lengths().to_numpy(zero_copy_only=False)
@@ -202,10 +304,11 @@ def coded(sets: DataFrame, required: Required, *columns) -> DataFrame:
     return cut_lineage(sets.select("id", required(F.size("tokens")).cast("int").alias("t"), codes.alias("codes"), *columns))
 
 
-def _in_blocks(left: DataFrame, right: DataFrame, run: Callable[[_Block, Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+def _in_blocks(left: DataFrame, right: DataFrame, run: Callable[[_Block, Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str,
+               block: Callable[[list[pa.RecordBatch]], _Block] = _Block, most: int = BLOCK_SETS) -> DataFrame:
     """``run`` for every block of ``left`` with all rows of ``right``, ids ascending."""
     n = left.count()
-    blocks = max(1, -(-n // BLOCK_SETS), min(left.sparkSession.sparkContext.defaultParallelism, -(-n // LEAST_SETS)))
+    blocks = max(1, -(-n // most), min(left.sparkSession.sparkContext.defaultParallelism, -(-n // LEAST_SETS)))
     own = left.select(F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"), F.lit(0).alias("side"), "*")
     other = right.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(1).alias("side"), "*")
 
@@ -223,12 +326,57 @@ def _in_blocks(left: DataFrame, right: DataFrame, run: Callable[[_Block, Iterato
         stream = rest(batches)
         first = next(stream, None)
         if held and first is not None:
-            yield from run(_Block(held), (b for part in ((first,), stream) for b in part))
+            yield from run(block(held), (b for part in ((first,), stream) for b in part))
 
     dealt = own.unionByName(other, allowMissingColumns=True).repartitionById(blocks, F.col("block")).sortWithinPartitions("side", "id")
     return dealt.mapInArrow(task, schema)
 
 
+def outlet_counts(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(id, n): how many outlets the right sets have that each left set matches.
+
+    Both sides are ``coded``; ``right`` has the array ``outlets`` of longs. A left set meets all right sets in one task, which
+    keeps its outlets, not its pairs.
+    """
+    often = frequent(right)
+
+    def run(block: _Block, stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, kept, new, held = {}, np.empty(0, np.int64), [], 0
+        for batch in stream:
+            lists = batch.column("outlets")
+            size = lists.value_lengths().to_numpy(zero_copy_only=False)
+            first = np.cumsum(size) - size
+            outlet = np.array([names.setdefault(x, len(names)) for x in lists.flatten().to_pylist()], np.int64)
+            for l, r, _ in block.meet(batch):
+                n = size[r]
+                place = np.arange(int(n.sum())) + np.repeat(first[r] - (np.cumsum(n) - n), n)
+                # outlets are numbered as they come: the number is the high part, so that pairs stay as they are
+                new.append(np.unique(outlet[place] * len(block.id) + np.repeat(l, n)))
+                held += len(new[-1])
+                if held > HITS + len(kept):
+                    kept, new, held = np.unique(np.concatenate([kept, *new])), [], 0
+        kept = np.unique(np.concatenate([kept, *new])) % len(block.id)
+        n = np.bincount(kept, minlength=len(block.id))
+        for at in range(0, len(n), 100_000):
+            yield _batch(id=block.id[at:at + 100_000], n=n[at:at + 100_000])
+
+    return _in_blocks(left, right, run, "id bigint, n bigint", lambda batches: _BitBlock(batches, often), WIDE_SETS)
+
+
+def met_by(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(id) of the right sets that match a left set; both sides are ``coded``."""
+    often = frequent(right)
+
+    def run(block: _Block, stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in stream:
+            met = np.zeros(batch.num_rows, bool)
+            for _, r, _ in block.meet(batch):
+                met[r] = True
+            yield _batch(id=batch.column("id").to_numpy()[met])
+
+    return _in_blocks(left, right, run, "id bigint", lambda batches: _BitBlock(batches, often), WIDE_SETS).distinct()
+
+
 def _batch(**columns: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({n: pa.array(v) for n, v in columns.items()})
 

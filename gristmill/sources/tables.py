@@ -6,7 +6,7 @@ registered operator can read exactly the same view. The views read whole tables.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _IMG = "(p_partkey % 11 = 5 OR p_partkey % 23 = 7)"
@@ -132,11 +132,16 @@ def _of_story(expression: str, flat: str, first: str) -> str:
     return expression.replace("{T}", first).replace("{F}", flat)
 
 
+def first_sentence(text: str) -> Column:
+    """The first sentence of the text with single spaces. It is cut first, so that space is collapsed in it alone."""
+    return F.trim(F.regexp_replace(F.expr(_of_story(_FIRST, text, "")), "[ \\n\\r\\t]+", " "))
+
+
 def stories(spark: SparkSession, sf: str) -> DataFrame:
     """News stories from documents; the address comes from pages where the ids meet."""
     d, p = table(spark, sf, "documents"), table(spark, sf, "pages").select("page_id", "url")
     flat = F.trim(F.regexp_replace("text", "[ \\n\\r\\t]+", " "))
-    j = d.withColumn("_flat", flat).withColumn("_first", F.expr(_of_story(_FIRST, "_flat", ""))).join(p, d.doc_id == p.page_id, "left")
+    j = d.withColumn("_flat", flat).withColumn("_first", first_sentence("text")).join(p, d.doc_id == p.page_id, "left")
     minutes = F.col("doc_id") * 7919 % 10000
     published = (F.unix_seconds(F.to_timestamp(F.lit(AS_OF))) - minutes * 60).cast("timestamp")
     return j.withColumn("_pub", published).selectExpr(*[f"{_of_story(e, '_flat', '_first')} AS {n}" for n, e in STORY.items()], "_pub AS published_at")

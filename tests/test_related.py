@@ -150,3 +150,33 @@ def test_forest_of_a_dense_group_is_small(spark, monkeypatch):
     nodes = spark.range(320).select(F.col("id").alias("node"))
     labels = {r.node: r.label for r in RL.components(nodes, edges).collect()}
     assert all(labels[i] == 0 for i in range(300)) and all(labels[i] == i for i in range(300, 320))
+
+
+def test_coverage_of_rare_and_frequent_tokens_equals_brute_force(spark):
+    rnd = random.Random(11)
+    words = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}x" for i in range(600)]
+    weights = [1 / (i + 1) for i in range(600)]
+    rows, titles = [], []
+    for i in range(500):
+        title = rnd.choices(words, weights, k=rnd.randint(1, 14)) if i % 3 or not titles else rnd.choice(titles)[:] + rnd.choices(words, weights, k=2)
+        titles.append(title)
+        rows.append((i, " ".join(title), rnd.choice(["a", "B", "b", "c", "d", "e", None])))
+    sets, outlet = [set(t) for t in titles], [(r[2] or "").lower() for r in rows]
+    near = lambda x, y: min(len(x), len(y)) >= 3 and len(x & y) >= max(3, -(-55 * min(len(x), len(y)) // 100))
+    want = {i: len({outlet[i]} | {outlet[j] for j in range(500) if near(sets[i], sets[j])} if len(sets[i]) >= 3 else {0}) for i in range(500)}
+    df = spark.createDataFrame(rows, "story_id int, title string, source string")
+    assert {r.story_id: r.coverage for r in FE.coverage(df).collect()} == want
+    changed = df.filter("story_id % 50 = 7").select("title")
+    got = {r.story_id: r.coverage for r in FE.coverage(df, changed).collect()}
+    assert got == {i: want[i] for i in got}
+    moved = [sets[i] for i in range(7, 500, 50)]
+    assert set(got) == {i for i in range(500) if any(sets[i] == m or near(sets[i], m) for m in moved)}
+
+
+def test_plans_of_coverage_stay_small(spark):
+    # the pairs were one plan of some hundred steps, which filled the driver
+    df = spark.createDataFrame([(1, "alpha bravo charlie", "a"), (2, "alpha bravo delta charlie", "b")], "story_id int, title string, source string")
+    for changed in (None, df.select("title")):
+        found = FE.coverage(df, changed)
+        assert found._jdf.queryExecution().executedPlan().toString().count("Exchange") < 8
+        assert {r.coverage for r in found.collect()} == {2}
