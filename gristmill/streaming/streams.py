@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -256,7 +257,8 @@ def coverage_job(stories: DataFrame, name: str, when: str = "published_at", hour
         newest = max(t for t in (before, latest, 0.0) if t is not None)
         spark.createDataFrame([(newest,)], "newest double").coalesce(1).write.mode("overwrite").parquet(f"{marks}/_batch={batch}")
         live = between(batch, newest - span, newest)
-        changed = rows.select("title")
+        # in the first batch every story has come
+        changed = None if before is None else rows.select("title")
         if before is not None and newest > before:
             changed = changed.unionByName(between(batch - 1, before - span, newest - span).select("title"))
         counted = FE.coverage(live.select("story_id", "title", "source"), changed)
@@ -271,21 +273,158 @@ def read_coverage(spark: SparkSession, out: str) -> DataFrame:
     return df.groupBy("story_id").agg(F.max_by("coverage", "_batch").alias("coverage"))
 
 
-def carry_expiry(sections: DataFrame, stories: DataFrame, hours: int = 72, delay: str = "1 hour") -> DataFrame:
+def _packed(t: pa.Table) -> bytes:
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, t.schema) as w:
+        w.write_table(t)
+    return out.getvalue().to_pybytes()
+
+
+def _unpacked(rows) -> pa.Table | None:
+    tables = [pa.ipc.open_stream(bytes(r[0])).read_all() for r in rows]
+    return pa.concat_tables(tables).combine_chunks() if tables else None
+
+
+class _Units:
+    """Rows of equal id, time and size as one set: its tokens are those of all its rows, repeats counted."""
+
+    def __init__(self, t: pa.Table):
+        ids = t["id"].combine_chunks().dictionary_encode()
+        no, us, n = ids.indices.fill_null(-1).to_numpy(zero_copy_only=False), t["us"].to_numpy(), t["n"].to_numpy()
+        order = np.lexsort((n, us, no))
+        new = np.ones(len(order), bool)
+        new[1:] = np.any([x[order][1:] != x[order][:-1] for x in (no, us, n)], axis=0)
+        self.of_row = np.empty(len(order), np.int64)
+        self.of_row[order] = np.cumsum(new) - 1
+        first = order[new]
+        self.id, self.us, self.need, self.null = t["id"].combine_chunks().take(pa.array(first)), us[first], t["need"].to_numpy()[first], no[first] < 0
+        self.rows = np.bincount(self.of_row, minlength=len(first))
+        lists = t["codes"].combine_chunks().take(pa.array(order))
+        size = np.bincount(self.of_row[order], lists.value_lengths().to_numpy(zero_copy_only=False), len(first)).astype(np.int32)
+        self.codes = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size)), pa.int32()), lists.flatten())
+
+    def batch(self, rows: np.ndarray, need: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({"id": pa.array(rows), "t": pa.array(need), "codes": self.codes.take(pa.array(rows))})
+
+
+class WaitingSections(StatefulProcessor):
+    """Sections of one slot of time and lane, and the stories that may meet them.
+
+    A story is final when the watermark has passed it: no section before it can come any more, so it meets all that it can
+    meet at once, and goes. A section goes when the watermark has passed the end of its span, with a row of its own if no
+    story has met it. Rows are kept as Arrow tables, so a batch costs a key a few calls to the store.
+    """
+
+    def __init__(self, span: int, step: int):
+        self.span, self.step = span, step
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.sections = handle.getListState("sections", "rows binary")
+        self.stories = handle.getListState("stories", "rows binary")
+        self.timer = handle.getValueState("timer", "at bigint")
+
+    def _time(self, *tables: pa.Table | None) -> int | None:
+        """The first step past the time at which a story or the end of a section's span is final."""
+        ends = [int(t["us"].to_numpy().min()) + add for t, add in zip(tables, (self.span, 0)) if t is not None and t.num_rows]
+        return -(-(min(ends) // 1000 + 1) // self.step) * self.step if ends else None
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        first = []
+        for pdf in filter(len, rows):
+            for side, state in enumerate((self.sections, self.stories)):
+                own = pdf[pdf["side"] == side]
+                if not len(own):
+                    continue
+                lists = own["codes"].tolist()
+                codes = np.concatenate([np.asarray(x, np.int64) for x in lists])
+                ends = pa.array(np.append(0, np.cumsum([len(x) for x in lists])), pa.int32())
+                t = pa.table({"id": pa.array(own["id"], pa.string(), from_pandas=True), "us": pa.array(own["us"].to_numpy(np.int64)), "n": pa.array(own["n"].to_numpy(np.int64)),
+                              "need": pa.array(own["need"].to_numpy(np.int32)), "codes": pa.ListArray.from_arrays(ends, pa.array(codes)), "met": pa.array(np.zeros(len(own), np.int8))})
+                state.appendList([(_packed(t),)])
+                first.append(self._time(*((t, None) if side == 0 else (None, t))))
+        if first:
+            at = self.timer.get()
+            if at is None or min(first) < at[0]:
+                self.handle.registerTimer(min(first))
+                self.timer.update((min(first),))
+        return iter(())
+
+    def _pairs(self, sections: _Units, stories: _Units, met: np.ndarray) -> Iterator[pd.DataFrame]:
+        """The pairs, once for each row of a section; marks the sections that were met."""
+        need = stories.need
+        left = np.flatnonzero(~sections.null & (sections.codes.value_lengths().to_numpy(zero_copy_only=False) > 0))
+        for lo in range(0, len(left), RL.BLOCK_SETS):
+            some = left[lo:lo + RL.BLOCK_SETS]
+            block = RL._Block([sections.batch(some, sections.need[some])])
+            for at in range(0, len(need), 10_000):
+                part = np.arange(at, min(at + 10_000, len(need)))
+                for l, r, shared in block.meet(stories.batch(part, need[part])):
+                    l, r = some[l], part[r]
+                    inside = (sections.us[l] <= stories.us[r]) & (stories.us[r] <= sections.us[l] + self.span)
+                    l, r, shared = l[inside], r[inside], shared[inside]
+                    met[l] = True
+                    l, r, shared = (np.repeat(x, n) for n in (sections.rows[l],) for x in (l, r, shared))
+                    for i in range(0, len(l), 50_000):
+                        j = slice(i, i + 50_000)
+                        yield pd.DataFrame({"section_id": sections.id.take(pa.array(l[j])).to_pandas(), "story_id": stories.id.take(pa.array(r[j])).to_pandas(), "shared": pd.array(shared[j], "Int64")})
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now, at = timerValues.getCurrentWatermarkInMs(), self.timer.get()
+        if at is None or at[0] > now:
+            # an earlier timer of this key has done the work
+            return
+        sections, stories = _unpacked(self.sections.get()), _unpacked(self.stories.get())
+        final = stories["us"].to_numpy() <= now * 1000 if stories is not None else np.empty(0, bool)
+        if sections is not None:
+            seen = sections["met"].to_numpy() > 0
+            if final.any():
+                units = _Units(sections)
+                met = np.zeros(len(units.us), bool)
+                yield from self._pairs(units, _Units(stories.filter(pa.array(final))), met)
+                seen = seen | met[units.of_row]
+            over = sections["us"].to_numpy() + self.span <= now * 1000
+            alone = sections["id"].filter(pa.array(over & ~seen)).to_pandas()
+            for i in range(0, len(alone), 50_000):
+                ids = alone[i:i + 50_000].reset_index(drop=True)
+                yield pd.DataFrame({"section_id": ids, "story_id": pd.Series([None] * len(ids), dtype=object), "shared": pd.array([pd.NA] * len(ids), "Int64")})
+            sections = sections.set_column(sections.schema.get_field_index("met"), "met", pa.array(seen.astype(np.int8))).filter(pa.array(~over))
+        stories = None if stories is None else stories.filter(pa.array(~final))
+        for state, t in ((self.sections, sections), (self.stories, stories)):
+            if t is not None and t.num_rows:
+                state.put([(_packed(t),)])
+            else:
+                state.clear()
+        timer = self._time(sections, stories)
+        if timer is None:
+            self.timer.clear()
+        else:
+            self.handle.registerTimer(timer)
+            self.timer.update((timer,))
+
+
+def carry_expiry(sections: DataFrame, stories: DataFrame, hours: int = 72, delay: str = "1 hour", lanes: int = 4, step_seconds: int = 60) -> DataFrame:
     """Waiting sections met by a related story inside their 72 hours, and those that expire: (section_id, story_id, shared).
 
-    ``sections(section_id, title, at)`` and ``stories(story_id, title, published_at)`` are streams. They meet on title
-    tokens inside the interval, and every section is joined to its stories by an outer join: a section that no story has met
-    when the watermark passes the end of its interval is emitted with a null ``story_id``, and its state goes.
+    ``sections(section_id, title, at)`` and ``stories(story_id, title, published_at)`` are streams. A story meets the sections
+    whose interval it falls into when the watermark has passed it (in steps of ``step_seconds``); a section that no story has
+    met when the watermark passes the end of its interval is emitted with a null ``story_id``, and its state goes. Sections are
+    dealt by half spans of time and into ``lanes``; a story goes to the three half spans and the lanes that it can meet.
     """
-    inside = lambda t: (F.col(t) >= F.col("at")) & (F.col(t) <= F.col("at") + F.expr(f"INTERVAL '{hours}' HOUR"))
-    s = sections.withWatermark("at", delay).select("section_id", "at", F.explode(token_set(clean_title("title"))).alias("token"))
-    toks = token_set(clean_title("title"))
-    t = stories.withWatermark("published_at", delay).select("story_id", "published_at", F.size(toks).alias("n"), F.explode(toks).alias("token2"))
-    j = s.join(t, (F.col("token") == F.col("token2")) & inside("published_at"))
-    g = j.groupBy(F.window("published_at", "1 second").alias("w"), "section_id", "story_id", "n").agg(F.count(F.lit(1)).alias("shared"))
-    met = g.filter(F.col("shared") >= RL.RELATED(F.greatest(F.col("n"), F.lit(1)))).select(F.col("section_id").alias("met_id"), "story_id", "shared", F.window_time("w").alias("met"))
-    waiting = sections.withWatermark("at", delay).select("section_id", "at")
-    # a story stands for the second it was published in, so its time is up to a second later than it was
-    joined = (F.col("section_id") == F.col("met_id")) & (F.col("met") >= F.col("at")) & (F.col("met") <= F.col("at") + F.expr(f"INTERVAL '{hours * 3600 + 1}' SECOND"))
-    return waiting.join(met, joined, "left").select("section_id", "story_id", "shared")
+    _ordered_store(sections.sparkSession)
+    kinds, span = {c: dict(d.dtypes)[c] for d, c in ((sections, "section_id"), (stories, "story_id"))}, hours * 3600 * 1_000_000
+    tokens = token_set(clean_title("title"))
+    codes = F.transform("tokens", lambda x: F.xxhash64(x)).alias("codes")
+    slot = lambda us: F.floor(us / (span // 2))
+    s = sections.withWatermark("at", delay).withColumns({"tokens": tokens, "us": F.unix_micros("at")}).filter("us IS NOT NULL")
+    # the size of the story alone decides how much must be shared
+    s = s.select(F.col("at").alias("when"), F.lit(0).alias("side"), F.col("section_id").cast("string").alias("id"), "us", F.lit(0).cast("bigint").alias("n"), F.lit(2**31 - 1).alias("need"), codes,
+                 slot(F.col("us")).alias("slot"), F.pmod(F.xxhash64("section_id"), F.lit(lanes)).alias("lane"))
+    t = stories.withWatermark("published_at", delay).withColumns({"tokens": tokens, "us": F.unix_micros("published_at")}).filter("us IS NOT NULL")
+    t = t.select(F.col("published_at").alias("when"), F.lit(1).alias("side"), F.col("story_id").cast("string").alias("id"), "us", F.size("tokens").cast("bigint").alias("n"),
+                 RL.RELATED(F.greatest(F.size("tokens"), F.lit(1))).cast("int").alias("need"), codes,
+                 F.explode(F.sequence(slot(F.col("us") - span), slot(F.col("us")))).alias("slot"))
+    t = t.withColumn("lane", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(lanes - 1).cast("bigint"))))
+    out = s.unionByName(t).groupBy("slot", "lane").transformWithStateInPandas(
+        WaitingSections(span, step_seconds * 1000), "section_id string, story_id string, shared bigint", "append", "EventTime")
+    return out.select(*[F.col(c).cast(kinds[c]).alias(c) for c in kinds], "shared")

@@ -130,6 +130,31 @@ def test_waiting_sections_are_met_or_expire(spark, tmp_path):
     assert {(r.section_id, r.story_id) for r in out.collect() if r.section_id < 9} == {(1, 11), (1, 12), (2, None), (3, 14)}
 
 
+def test_waiting_sections_equal_every_pair_in_several_batches(spark, tmp_path):
+    rnd = random.Random(6)
+    words = "alpha bravo charlie delta echo foxtrot golf hotel india juliet".split()
+    title = lambda: " ".join(rnd.sample(words, rnd.randint(1, 5)))
+    sections = [(i, title() if i % 9 else None, rnd.randint(0, 20_000)) for i in range(60)]
+    stories = [(100 + i, title() if i % 7 else None, rnd.randint(0, 24_000)) for i in range(60)]
+    sections.append(sections[5])
+    end = (-1, "end", 10**7)
+    for name, rows in (("se", sections), ("st", stories)):
+        late = sorted(rows, key=lambda r: r[2] + rnd.randint(0, 1500))
+        for i, part in enumerate([late[:20], late[20:40], late[40:], [end]]):
+            spark.createDataFrame([(r[0], r[1], T0 + r[2]) for r in part], "id bigint, title string, s bigint").select("id", "title", F.timestamp_seconds("s").alias("t")).coalesce(1).write.parquet(str(tmp_path / name / f"{i}"))
+    read = lambda name: spark.readStream.schema("id bigint, title string, t timestamp").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / name))
+    stream = ST.carry_expiry(read("se").withColumnsRenamed({"id": "section_id", "t": "at"}), read("st").withColumnsRenamed({"id": "story_id", "t": "published_at"}), hours=1, delay="30 minutes")
+    # no join of the tokens, whose state and pairs would grow with the square of a frequent one
+    assert "Join" not in stream._jdf.queryExecution().analyzed().toString()
+    got = sorted((r.section_id, r.story_id or 0, r.shared or 0) for r in ST.drain(stream, "w").collect() if r.section_id >= 0)
+    want, sets = [], lambda x: set((x or "").split())
+    for i, a, at in sections:
+        copies = sum(s[0] == i for s in sections)
+        met = [(i, j, copies * len(sets(a) & sets(b))) for j, b, t in stories if at <= t <= at + 3600 and copies * len(sets(a) & sets(b)) >= (2 if len(sets(b)) <= 4 else 3)]
+        want += met or [(i, 0, 0)]
+    assert got == sorted(want) and any(w[1] == 0 for w in want)
+
+
 def test_a_table_in_a_folder_of_parts_is_streamed(spark, tmp_path):
     from gristmill.plans import io_queries as IO
     words = ["harbour", "bridge", "opens", "traffic", "early"]
