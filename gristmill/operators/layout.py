@@ -20,6 +20,9 @@ from gristmill.functions import lines as L
 from gristmill.functions.text import collapse, let
 
 
+_LINE, _WORD = ["page_id", "line_no"], "struct<word_no: int, text: string, x0: double, x1: double>"
+
+
 def _page_starts(page: pa.Array | None, ids: pa.Array) -> np.ndarray:
     """Where the page differs from that of the word before; words whose page is a null number share no page."""
     v = pa.concat_arrays([pa.nulls(1, ids.type) if page is None else page, ids])
@@ -33,6 +36,95 @@ def _page_starts(page: pa.Array | None, ids: pa.Array) -> np.ndarray:
     return differs
 
 
+_NUMBERS = ("x0", "x1", "_c")
+
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words as they are shuffled: those of a page and batch in the order of their centres, by columns, compressed."""
+    codec = pa.Codec("zstd", 1)
+    for b in batches:
+        if not b.num_rows:
+            continue
+        ids = b["page_id"].dictionary_encode()
+        page, c = ids.indices.fill_null(-1).to_numpy(zero_copy_only=False), b["_c"].to_numpy(zero_copy_only=False)
+        order = np.lexsort((c, b["_c"].is_valid().to_numpy(zero_copy_only=False), page))
+        b, page = b.take(pa.array(order)), page[order]
+        at = np.flatnonzero(np.append(True, page[1:] != page[:-1]))
+        sizes, blobs = [], []
+        text = b["text"]
+        missing = np.stack([b[k].is_null().to_numpy(zero_copy_only=False) for k in ("text", *_NUMBERS)])
+        length = pc.fill_null(pc.binary_length(text), 0).to_numpy().astype(np.int32)
+        end = np.append(0, np.cumsum(length))
+        chars = b"".join(x.encode() for x in text.to_pylist() if x)
+        values = [pc.fill_null(b[k], 0.0).to_numpy() for k in _NUMBERS]
+        for i, j in zip(at.tolist(), np.append(at[1:], len(page)).tolist()):
+            # bytes of equal weight stand together, which compresses well
+            planes = [np.ascontiguousarray(v[i:j]).view(np.uint8).reshape(j - i, -1).T.tobytes() for v in (*values, length)]
+            raw = b"".join([*planes, np.packbits(missing[:, i:j], axis=1).tobytes(), chars[end[i]:end[j]]])
+            sizes.append(len(raw))
+            blobs.append(codec.compress(raw, asbytes=True))
+        n = np.diff(np.append(at, len(page))).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([b["page_id"].take(pa.array(at)), b["_c"].take(pa.array(at)), pa.array(sizes, pa.int32()), pa.array(n), pa.array(blobs, pa.binary())],
+                                         ["page_id", "first", "size", "n", "words"])
+
+
+def _unpacked(raw: bytes, n: int) -> pa.RecordBatch:
+    def numbers(at: int, width: int, kind) -> np.ndarray:
+        return np.ascontiguousarray(np.frombuffer(raw, np.uint8, n * width, at).reshape(width, n).T).view(kind).ravel()
+
+    values = [numbers(8 * n * k, 8, np.float64) for k in range(3)]
+    end = np.append(0, np.cumsum(numbers(24 * n, 4, np.int32))).astype(np.int32)
+    width = -(-n // 8)
+    missing = np.unpackbits(np.frombuffer(raw, np.uint8, 4 * width, 28 * n).reshape(4, width), axis=1, count=n).astype(bool)
+    text = pa.StringArray.from_buffers(n, pa.py_buffer(end.tobytes()), pa.py_buffer(raw[28 * n + 4 * width:]))
+    if missing[0].any():
+        text = pc.if_else(pa.array(missing[0]), pa.scalar(None, pa.string()), text)
+    return pa.RecordBatch.from_arrays([text, *(pa.array(v, mask=m) for v, m in zip(values, missing[1:]))], ["text", *_NUMBERS])
+
+
+def _unpack(batches: Iterator[pa.RecordBatch], least: int = 10_000) -> Iterator[pa.RecordBatch]:
+    """The words of each page in the order of their centres; of a page only what its next part can still precede is held."""
+    codec, page, held = pa.Codec("zstd"), None, None
+    ids: list[pa.Array] = []
+    ready: list[pa.RecordBatch] = []
+    rows = 0
+
+    def let_go(words: pa.RecordBatch) -> int:
+        if words.num_rows:
+            ids.append(pa.repeat(page, words.num_rows))
+            ready.append(words)
+        return words.num_rows
+
+    def batch() -> pa.RecordBatch:
+        words = pa.Table.from_batches(ready).combine_chunks()
+        out = pa.RecordBatch.from_arrays([pa.concat_arrays(ids), *(words[k].combine_chunks() for k in ("text", *_NUMBERS))], ["page_id", "text", *_NUMBERS])
+        ids.clear()
+        ready.clear()
+        return out
+
+    for b in batches:
+        for i in range(b.num_rows):
+            own, first = b["page_id"][i], b["first"][i].as_py()
+            words = _unpacked(codec.decompress(b["words"][i].as_py(), b["size"][i].as_py(), asbytes=True), b["n"][i].as_py())
+            if held is not None and own == page:
+                # words before the first of this part are in place, the others are put in order with it
+                c = held["_c"]
+                k = c.null_count
+                cut = 0 if first is None else k + int(np.searchsorted(c.to_numpy(zero_copy_only=False)[k:], first))
+                rows += let_go(held.slice(0, cut))
+                words = pa.Table.from_batches([held.slice(cut), words]).combine_chunks().to_batches()[0]
+                words = words.take(pa.array(np.lexsort((words["_c"].to_numpy(zero_copy_only=False), words["_c"].is_valid().to_numpy(zero_copy_only=False)))))
+            elif held is not None:
+                rows += let_go(held)
+            page, held = own, words
+            if rows >= least:
+                yield batch()
+                rows = 0
+    if held is not None:
+        let_go(held)
+        yield batch()
+
+
 def _word_order(t: pa.Table, line: np.ndarray) -> np.ndarray:
     """Order of words by line, left edge (null first, NaN last) and text."""
     x, known = t["x0"].to_numpy(), t["x0"].is_valid().to_numpy()
@@ -45,9 +137,12 @@ def _word_order(t: pa.Table, line: np.ndarray) -> np.ndarray:
     return order
 
 
-def layout_lines(words: DataFrame, tolerance: float = 8.0) -> DataFrame:
+def layout_lines(words: DataFrame, tolerance: float = 8.0, by_line: bool = False) -> DataFrame:
     """Add ``line_no`` (0-based) and ``word_no`` (order by x inside the line).
 
+    With ``by_line`` a line is one row, (page_id, line_no, _w) with its words (word_no, text, x0, x1) in order, which the
+    functions below take as well: words are then shuffled once, and not a second time to be put together.
+
     A word joins the running line while its centre is within ``tolerance`` of the mean centre of the line so far. The
     mean moves with every word, which no window function can express, so sorted partitions are streamed with four
     values of state and the words of the last line; no page is ever held as a group. Words further apart than the
@@ -61,6 +156,11 @@ def layout_lines(words: DataFrame, tolerance: float = 8.0) -> DataFrame:
         at = np.flatnonzero(start)
         no = np.arange(len(start)) - np.repeat(at, np.diff(np.append(at, len(start))))
         t = t.take(pa.array(order)).add_column(2, "word_no", pa.array(no, pa.int32()))
+        if by_line:
+            parts = ["word_no", "text", "x0", "x1"]
+            held = pa.StructArray.from_arrays([t[c].combine_chunks() for c in parts], parts)
+            rows = pa.ListArray.from_arrays(pa.array(np.append(at, len(start)), pa.int32()), held)
+            t = t.select(_LINE).take(pa.array(at)).append_column("_w", rows)
         yield from t.combine_chunks().to_batches()
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,9 +206,21 @@ def layout_lines(words: DataFrame, tolerance: float = 8.0) -> DataFrame:
             t = pa.concat_tables(held)
             yield from finished(t, np.arange(t.num_rows) == 0)
 
-    x = words.select("page_id", F.col("text").cast("string"), *(F.col(k).cast("double") for k in ("x0", "x1", "y0", "y1")), ((F.col("y0") + F.col("y1")) / 2).cast("double").alias("_c"))
-    x = x.repartition("page_id").sortWithinPartitions("page_id", "_c")
-    return x.mapInArrow(scan, f"page_id {kind}, line_no int, word_no int, text string, x0 double, x1 double, y0 double, y1 double")
+    c = ((F.col("y0") + F.col("y1")) / 2).cast("double").alias("_c")
+    x = words.select("page_id", F.col("text").cast("string"), *(F.col(k).cast("double") for k in ("x0", "x1")), *([] if by_line else [F.col(k).cast("double") for k in ("y0", "y1")]), c)
+    if not by_line:
+        x = x.repartition("page_id").sortWithinPartitions("page_id", "_c")
+        return x.mapInArrow(scan, f"page_id {kind}, line_no int, word_no int, text string, x0 double, x1 double, y0 double, y1 double")
+    made, alone = f"page_id {kind}, line_no int, _w array<{_WORD}>", None
+    if kind in ("tinyint", "smallint", "int", "bigint", "float", "double", "timestamp", "timestamp_ntz"):
+        # words of such a page share none, so each is the first of its line; lines of equal page and number are one
+        none = F.col("page_id").isNull() | (F.isnan("page_id") if kind in ("float", "double") else F.lit(False))
+        alone = x.filter(none).groupBy("page_id").agg(F.sort_array(F.collect_list(F.struct(F.lit(0).alias("word_no"), "text", "x0", "x1"))).cast(f"array<{_WORD}>").alias("_w"))
+        x = x.filter(~none)
+    packed = f"page_id {kind}, first double, size int, n int, words binary"
+    x = x.mapInArrow(_pack, packed).repartition("page_id").sortWithinPartitions("page_id", "first")
+    x = x.mapInArrow(lambda rows: scan(_unpack(rows)), made)
+    return x if alone is None else x.unionByName(alone.select("page_id", F.lit(0).alias("line_no"), "_w"))
 
 
 def layout_lines_by_gap(words: DataFrame, tolerance: float = 8.0) -> DataFrame:
@@ -121,12 +233,11 @@ def layout_lines_by_gap(words: DataFrame, tolerance: float = 8.0) -> DataFrame:
     return x.withColumn("word_no", (F.row_number().over(W.partitionBy("page_id", "line_no").orderBy("x0", "text")) - 1).cast("int"))
 
 
-_LINE = ["page_id", "line_no"]
-
-
 def _line_rows(lines: DataFrame, make) -> DataFrame:
     """One row a line: the structs in ``make(words, gaps, positive)``, from its words in order, the gap before each and the sorted positive gaps."""
-    g = lines.groupBy(*_LINE).agg(F.sort_array(F.collect_list(F.struct("word_no", "text", "x0", "x1"))).alias("_w"))
+    g = lines
+    if "_w" not in lines.columns:
+        g = lines.groupBy(*_LINE).agg(F.sort_array(F.collect_list(F.struct("word_no", "text", "x0", "x1"))).alias("_w"))
     made = let(F.col("_w"), lambda w: let(F.transform(w, lambda x, i: x["x0"] - F.get(w, i - 1)["x1"]), lambda gaps: let(
         F.sort_array(F.filter(gaps, lambda x: x > 0)), lambda positive: make(w, gaps, positive))))
     return g.select(*_LINE, F.inline(made))

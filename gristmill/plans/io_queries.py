@@ -198,9 +198,9 @@ def words(s, sf):
 query("layout_lines", "WITH l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS line, unnest(string_split(text, chr(10))) AS t FROM documents), w AS (SELECT doc_id, line, len(list_filter(regexp_split_to_array(t, ' +'), lambda x: x <> '')) AS n FROM l), "
       "k AS (SELECT doc_id AS page_id, row_number() OVER (PARTITION BY doc_id ORDER BY line) - 1 AS line_no, n AS words FROM w WHERE n > 0) SELECT * FROM k")(
     lambda s, sf: LY.layout_lines(words(s, sf), 3.0).groupBy("page_id", "line_no").agg(F.count(F.lit(1)).alias("words")))
-query("layout_cells")(lambda s, sf: LY.layout_cells(LY.layout_lines(words(s, sf), 3.0)))
-query("layout_tables")(lambda s, sf: LY.layout_tables(LY.layout_lines(words(s, sf), 3.0)))
-query("layout_blocks")(lambda s, sf: LY.layout_blocks(LY.layout_lines(words(s, sf), 3.0)))
+query("layout_cells")(lambda s, sf: LY.layout_cells(LY.layout_lines(words(s, sf), 3.0, by_line=True)))
+query("layout_tables")(lambda s, sf: LY.layout_tables(LY.layout_lines(words(s, sf), 3.0, by_line=True)))
+query("layout_blocks")(lambda s, sf: LY.layout_blocks(LY.layout_lines(words(s, sf), 3.0, by_line=True)))
 
 # ---- streams -----------------------------------------------------------------------------------------------------------
 def stream_of(s, sf, name: str):
@@ -239,10 +239,9 @@ query("stream_usage_windows", "SELECT user_id AS key, to_timestamp((CAST(floor(e
 
 
 def story_stream(s, sf):
-    flat = F.trim(F.regexp_replace("text", "[ \\n\\r\\t]+", " "))
     start = F.unix_seconds(F.to_timestamp(F.lit(T.AS_OF)))
     return stream_of(s, sf, "documents").select(
-        F.col("doc_id").alias("story_id"), F.regexp_extract(flat, "^[^.!?]*[.!?]*", 0).alias("title"), "source", (start - F.col("doc_id") % 2400 * 60).cast("timestamp").alias("published_at"))
+        F.col("doc_id").alias("story_id"), T.first_sentence("text").alias("title"), "source", (start - F.col("doc_id") % 2400 * 60).cast("timestamp").alias("published_at"))
 
 
 _first_sentence = "regexp_extract(trim(regexp_replace(text, '[ \\n\\r\\t]+', ' ', 'g')), '^[^.!?]*[.!?]*', 0)"

@@ -210,3 +210,22 @@ def test_split_sentences_and_paragraphs(spark):
     p = " ".join(["One two three four five six seven eight nine ten."] * 12)
     two = spark.createDataFrame([(p,)], "t string").select(V.split_paragraph(F.col("t"))).first()[0]
     assert [len(x.split()) for x in two] == [60, 60]
+
+
+def test_lines_of_one_row_give_the_same_cells_and_shuffle_words_once(spark, capsys):
+    rnd = random.Random(8)
+    n = lambda top: None if rnd.random() < 0.02 else rnd.choice([float(rnd.randint(0, top)), rnd.random() * top, float("nan") if rnd.random() < 0.02 else 7.5])
+    rows = []
+    for _ in range(3000):
+        x, y = n(400), rnd.choice([float(rnd.randint(0, 60)), rnd.random() * 60])
+        rows.append((rnd.choice([None, 1, 2, 3, 4]), None if rnd.random() < 0.02 else rnd.choice(["a", "Bé", "", "long word", "1."]), x, None if x is None else x + 5, y, y + 4))
+    df = spark.createDataFrame(rows, "page_id bigint, text string, x0 double, x1 double, y0 double, y1 double").repartition(5)
+    for words in (df, df.withColumn("page_id", F.col("page_id").cast("string"))):
+        by_word, by_line = LY.layout_lines(words, 3.0), LY.layout_lines(words, 3.0, by_line=True)
+        for op in (LY.layout_cells, LY.layout_tables, LY.layout_blocks):
+            want = op(by_word).collect()
+            assert sorted(map(str, op(by_line).collect())) == sorted(map(str, want)) and want
+    flat = df.filter("page_id IS NOT NULL").withColumn("page_id", F.col("page_id").cast("string"))
+    capsys.readouterr()
+    LY.layout_cells(LY.layout_lines(flat, 3.0, by_line=True)).explain()
+    assert capsys.readouterr().out.count("hashpartitioning") == 1
